@@ -17,40 +17,227 @@ from pyspark.sql import functions as F
 
 from outfold.functions.folds import fold_sql
 from outfold.operators import folds as fo
+from outfold.operators import holdout as ho
 from outfold.operators import metrics as me
 from outfold.operators import oof
 from outfold.plans.registry import register, table
+from outfold.session import scratch_path
+from outfold.sources import sinks, tables
 
 K = 5
 
 
 def orders_fact(spark, sf_dir):
-    """(id, g, y, fold) for the row-fold stand-in."""
+    """(id, g, status, cust, y, fold) for the row-fold stand-in."""
     o = table(spark, sf_dir, "orders")
     return fo.assign_fold(
         o.select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("g"),
+                 F.col("o_orderstatus").alias("status"), F.col("o_custkey").alias("cust"),
                  F.col("o_totalprice").alias("y")), "id", K)
 
 
+def orders_oof(spark, sf_dir):
+    return oof.oof_predict(orders_fact(spark, sf_dir), fold="fold", y="y", by="g", k=K)
+
+
 ORDERS_FACT_SQL = f"""
-  SELECT o_orderkey AS id, o_orderpriority AS g, o_totalprice AS y,
-         {fold_sql('o_orderkey', K)} AS fold
+  SELECT o_orderkey AS id, o_orderpriority AS g, o_orderstatus AS status,
+         o_custkey AS cust, o_totalprice AS y, {fold_sql('o_orderkey', K)} AS fold
   FROM orders"""
 
+# Out-of-fold group mean per row, direct form: a correlated average over the
+# other folds, falling back to the average of all other folds.
+ORDERS_OOF_SQL = f"""
+  f AS ({ORDERS_FACT_SQL}),
+  p AS (
+    SELECT b.*,
+           coalesce((SELECT avg(x.y) FROM f x WHERE x.g = b.g AND x.fold <> b.fold),
+                    (SELECT avg(x.y) FROM f x WHERE x.fold <> b.fold)) AS pred
+    FROM f b)"""
+
+MAE_SQL = """round(avg(abs(y - pred)), 6) AS mae,
+       count(abs(y - pred)) AS n_scored,
+       count(*) - count(abs(y - pred)) AS n_missing"""
+
+
+def _r6(*cols):
+    return [F.round(c, 6).alias(c) for c in cols]
+
 
 # --- R4 + R3 + R2: the flagship ------------------------------------------------
 
 @register("oof_mae", oracle=f"""
-WITH f AS ({ORDERS_FACT_SQL}),
-p AS (
-  SELECT b.y,
-         coalesce((SELECT avg(x.y) FROM f x WHERE x.g = b.g AND x.fold <> b.fold),
-                  (SELECT avg(x.y) FROM f x WHERE x.fold <> b.fold)) AS pred
-  FROM f b)
-SELECT round(avg(abs(y - pred)), 6) AS mae,
-       count(abs(y - pred)) AS n_scored,
-       count(*) - count(abs(y - pred)) AS n_missing
-FROM p""")
+WITH {ORDERS_OOF_SQL}
+SELECT {MAE_SQL} FROM p""")
 def q_oof_mae(spark, sf_dir):
-    pred = oof.oof_predict(orders_fact(spark, sf_dir), fold="fold", y="y", by="g", k=K)
-    return me.mae(pred).select(F.round("mae", 6).alias("mae"), "n_scored", "n_missing")
+    return me.mae(orders_oof(spark, sf_dir)).select(
+        F.round("mae", 6).alias("mae"), "n_scored", "n_missing")
+
+
+@register("oof_group_mean", oracle=f"""
+WITH {ORDERS_OOF_SQL}
+SELECT id, fold, round(pred, 6) AS pred FROM p""")
+def q_oof_group_mean(spark, sf_dir):
+    return orders_oof(spark, sf_dir).select("id", "fold", F.round("pred", 6).alias("pred"))
+
+
+# --- R1: typed CSV scan ----------------------------------------------------------
+
+@register("csv_scan", oracle="SELECT * FROM part")
+def q_csv_scan(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    path = scratch_path(spark, "csv_scan")
+    tables.write_csv(part, path)
+    return tables.read_table(spark, path, part.schema)
+
+
+# --- R2, D19, D20: folds -------------------------------------------------------
+
+@register("fold_assign", oracle=f"""
+SELECT o_orderkey, {fold_sql('o_orderkey', K)} AS fold FROM orders""")
+def q_fold_assign(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey")
+    return fo.assign_fold(o, "o_orderkey", K)
+
+
+@register("group_fold", oracle=f"""
+WITH f AS (SELECT l_partkey, {fold_sql('l_partkey', K)} AS fold FROM lineitem)
+SELECT fold, count(*) AS n_rows, count(DISTINCT l_partkey) AS n_groups,
+       (SELECT max(nf) FROM (SELECT count(DISTINCT fold) AS nf FROM f GROUP BY l_partkey)) = 1
+         AS one_fold_per_group
+FROM f GROUP BY fold""")
+def q_group_fold(spark, sf_dir):
+    li = fo.assign_group_fold(table(spark, sf_dir, "lineitem").select("l_partkey"),
+                              "l_partkey", K)
+    folds_per_group = li.groupBy("l_partkey").agg(F.count_distinct("fold").alias("nf"))
+    one = folds_per_group.agg(F.max("nf") == 1).scalar()
+    return fo.fold_sizes(li, "fold", "l_partkey").withColumn("one_fold_per_group", one)
+
+
+@register("strat_fold", oracle="""
+SELECT c_custkey, c_mktsegment,
+       (row_number() OVER (PARTITION BY c_mktsegment
+                           ORDER BY md5(CAST(c_custkey AS VARCHAR)), c_custkey) - 1) % 5 AS fold
+FROM customer""")
+def q_strat_fold(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+    return fo.assign_strat_fold(c, "c_mktsegment", "c_custkey", K, rows_per_bucket=100)
+
+
+# --- R5, D21-D25: scores -------------------------------------------------------
+
+HOLD_SQL = f"""
+  h AS (SELECT *, {fold_sql('id', 10, 'hold')} = 0 AS hold FROM ({ORDERS_FACT_SQL})),
+  tr AS (SELECT * FROM h WHERE NOT hold),
+  te AS (SELECT * FROM h WHERE hold),
+  m AS (SELECT g, avg(y) AS gm FROM tr GROUP BY g),
+  hp AS (SELECT te.y, coalesce(m.gm, (SELECT avg(y) FROM tr)) AS pred
+         FROM te LEFT JOIN m ON te.g = m.g)"""
+
+
+def orders_holdout(spark, sf_dir):
+    return ho.holdout_predict(orders_fact(spark, sf_dir), "id", "y", "g", parts=10)
+
+
+@register("holdout_mae", oracle=f"""
+WITH {HOLD_SQL}
+SELECT {MAE_SQL} FROM hp""")
+def q_holdout_mae(spark, sf_dir):
+    return me.mae(orders_holdout(spark, sf_dir)).select(
+        F.round("mae", 6).alias("mae"), "n_scored", "n_missing")
+
+
+@register("mae_by_fold", oracle=f"""
+WITH {ORDERS_OOF_SQL},
+per AS (SELECT fold, avg(abs(y - pred)) AS mae, count(abs(y - pred)) AS n_scored,
+               count(*) - count(abs(y - pred)) AS n_missing
+        FROM p GROUP BY fold)
+SELECT fold, round(mae, 6) AS mae, n_scored, n_missing,
+       round((SELECT avg(mae) FROM per), 6) AS mean_fold_mae,
+       round((SELECT stddev_samp(mae) FROM per), 6) AS sd_fold_mae
+FROM per""")
+def q_mae_by_fold(spark, sf_dir):
+    r = me.mae_by_fold(orders_oof(spark, sf_dir))
+    return r.select("fold", *_r6("mae"), "n_scored", "n_missing",
+                    *_r6("mean_fold_mae", "sd_fold_mae"))
+
+
+@register("mae_by_segment", oracle=f"""
+WITH {ORDERS_OOF_SQL},
+pe AS (SELECT status, abs(y - pred) AS e FROM p)
+SELECT status, round(avg(e), 6) AS mae, count(e) AS n_scored, count(*) - count(e) AS n_missing,
+       round(sum(e), 2) AS sum_abs_err,
+       round(sum(e) / (SELECT sum(e) FROM pe), 6) AS err_share
+FROM pe GROUP BY status""")
+def q_mae_by_segment(spark, sf_dir):
+    r = me.mae_by(orders_oof(spark, sf_dir), "status")
+    return r.select("status", *_r6("mae"), "n_scored", "n_missing",
+                    F.round("sum_abs_err", 2).alias("sum_abs_err"), *_r6("err_share"))
+
+
+@register("score_gap", oracle=f"""
+WITH {HOLD_SQL},
+tf AS (SELECT * FROM tr),
+tp AS (SELECT b.y,
+              coalesce((SELECT avg(x.y) FROM tf x WHERE x.g = b.g AND x.fold <> b.fold),
+                       (SELECT avg(x.y) FROM tf x WHERE x.fold <> b.fold)) AS pred
+       FROM tf b),
+s AS (SELECT (SELECT avg(abs(y - pred)) FROM tp) AS mae_oof,
+             (SELECT avg(abs(y - pred)) FROM hp) AS mae_holdout,
+             (SELECT count(abs(y - pred)) FROM tp) AS n_oof,
+             (SELECT count(abs(y - pred)) FROM hp) AS n_holdout)
+SELECT round(mae_oof, 6) AS mae_oof, round(mae_holdout, 6) AS mae_holdout, n_oof, n_holdout,
+       round(mae_holdout - mae_oof, 6) AS gap,
+       round(100 * (mae_holdout - mae_oof) / mae_oof, 6) AS gap_pct
+FROM s""")
+def q_score_gap(spark, sf_dir):
+    fact = ho.split_holdout(orders_fact(spark, sf_dir), "id", 10, col="hold")
+    train = fact.where(~F.col("hold"))
+    oof_train = oof.oof_predict(train, fold="fold", y="y", by="g", k=K)
+    model, glob = ho.fit_group_mean(train, "y", "g")
+    held = ho.score_group_mean(fact.where(F.col("hold")), model, glob, "g")
+    r = me.gap(oof_train, held)
+    return r.select(*_r6("mae_oof", "mae_holdout"), "n_oof", "n_holdout", *_r6("gap", "gap_pct"))
+
+
+def orders_two_models(spark, sf_dir):
+    """Orders with two out-of-fold predictions: by priority (p1) and by the
+    customer's market segment (p2)."""
+    cust = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("cust"), F.col("c_mktsegment").alias("seg"))
+    f = orders_fact(spark, sf_dir).join(cust, "cust", "left")
+    f = oof.oof_predict(f, fold="fold", y="y", by="g", k=K, out="p1")
+    return oof.oof_predict(f, fold="fold", y="y", by="seg", k=K, out="p2")
+
+
+TWO_MODELS_SQL = f"""
+  f AS (SELECT o.*, c.c_mktsegment AS seg
+        FROM ({ORDERS_FACT_SQL}) o LEFT JOIN customer c ON o.cust = c.c_custkey),
+  p AS (
+    SELECT b.*,
+           coalesce((SELECT avg(x.y) FROM f x WHERE x.g = b.g AND x.fold <> b.fold),
+                    (SELECT avg(x.y) FROM f x WHERE x.fold <> b.fold)) AS p1,
+           coalesce((SELECT avg(x.y) FROM f x WHERE x.seg = b.seg AND x.fold <> b.fold),
+                    (SELECT avg(x.y) FROM f x WHERE x.fold <> b.fold)) AS p2
+    FROM f b)"""
+
+
+@register("blend_weights", oracle=f"""
+WITH {TWO_MODELS_SQL},
+ws AS (SELECT i / 10 AS w FROM range(0, 11) t(i)),
+r AS (SELECT ws.w, round(avg(abs(p.y - (ws.w * p.p1 + (1 - ws.w) * p.p2))), 6) AS mae
+      FROM ws, p GROUP BY ws.w)
+SELECT w, mae, w = (SELECT w FROM r ORDER BY mae, w LIMIT 1) AS best FROM r""")
+def q_blend_weights(spark, sf_dir):
+    r = me.blend(orders_two_models(spark, sf_dir), "p1", "p2", y="y", steps=10)
+    return r.select("w", *_r6("mae"), "best")
+
+
+@register("prediction_sink", oracle=f"""
+WITH {ORDERS_OOF_SQL}
+SELECT id, fold, round(pred, 6) AS pred FROM p""")
+def q_prediction_sink(spark, sf_dir):
+    path = scratch_path(spark, "predictions")
+    sinks.write_predictions(orders_oof(spark, sf_dir), path, "id", cols=("fold", "pred"))
+    back = spark.read.parquet(path)
+    return back.select("id", "fold", F.round("pred", 6).alias("pred"))
