@@ -37,3 +37,14 @@ def exact_int(c, to: str = "int") -> Column:
 
 def round6(c) -> Column:
     return F.round(col_(c), 6)
+
+
+def round_dec(c, scale: int = 6) -> Column:
+    """Round half away from zero on the decimal value (through decimal(38,9)),
+    as SQL engines do on decimals; a bare double ``round`` differs between
+    engines on exact ties such as ``2131.5759375``."""
+    return F.round(col_(c).cast("decimal(38,9)"), scale).cast("double")
+
+
+def round_dec_sql(expr: str, scale: int = 6) -> str:
+    return f"CAST(round(CAST({expr} AS DECIMAL(38,9)), {scale}) AS DOUBLE)"

@@ -16,10 +16,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from outfold.functions.folds import fold_sql
+from outfold.functions.safe import round_dec, round_dec_sql
+from outfold.operators import checks as ch
+from outfold.operators import features as fe
 from outfold.operators import folds as fo
 from outfold.operators import holdout as ho
 from outfold.operators import metrics as me
 from outfold.operators import oof
+from outfold.operators import profile as pr
 from outfold.plans.registry import register, table
 from outfold.session import scratch_path
 from outfold.sources import sinks, tables
@@ -241,3 +245,250 @@ def q_prediction_sink(spark, sf_dir):
     sinks.write_predictions(orders_oof(spark, sf_dir), path, "id", cols=("fold", "pred"))
     back = spark.read.parquet(path)
     return back.select("id", "fold", F.round("pred", 6).alias("pred"))
+
+
+# --- D1-D4, D10: checks --------------------------------------------------------
+
+@register("cast_exact", oracle="""
+SELECT 'l_quantity' AS "column", count(*) AS n_rows,
+       count(*) FILTER (WHERE l_quantity IS NULL) AS n_null,
+       count(*) FILTER (WHERE l_quantity = floor(l_quantity)) AS n_whole,
+       count(*) FILTER (WHERE l_quantity <> floor(l_quantity)) AS n_bad,
+       CAST(sum(CASE WHEN l_quantity = floor(l_quantity) THEN CAST(floor(l_quantity) AS BIGINT) END)
+            AS BIGINT) AS sum_int
+FROM lineitem
+UNION ALL
+SELECT 'l_extendedprice', count(*),
+       count(*) FILTER (WHERE l_extendedprice IS NULL),
+       count(*) FILTER (WHERE l_extendedprice = floor(l_extendedprice)),
+       count(*) FILTER (WHERE l_extendedprice <> floor(l_extendedprice)),
+       CAST(sum(CASE WHEN l_extendedprice = floor(l_extendedprice)
+                     THEN CAST(floor(l_extendedprice) AS BIGINT) END) AS BIGINT)
+FROM lineitem""")
+def q_cast_exact(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    return ch.inexact_counts(li, ["l_quantity", "l_extendedprice"])
+
+
+@register("dup_keys", oracle="""
+SELECT l_orderkey, l_linenumber, count(*) AS n
+FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1""")
+def q_dup_keys(spark, sf_dir):
+    return ch.check_unique(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"])
+
+
+LINEITEM_RULES = [
+    ch.not_null("l_orderkey"),
+    ch.positive("l_quantity"),
+    ch.between("l_quantity", 1, 49),
+    ch.ratio("l_discount"),
+    ch.between("l_tax", 0.0, 0.05),
+    ch.allowed("l_returnflag", ["A", "R"]),
+    ch.allowed("l_linestatus", ["O", "F"]),
+]
+
+
+def _rules_sql(rules, tbl):
+    parts = [f"SELECT '{name}' AS rule, count(*) AS n_rows, "
+             f"count(*) FILTER (WHERE NOT ({cond})) AS n_bad FROM {tbl}" for name, cond in rules]
+    return "\nUNION ALL\n".join(parts)
+
+
+@register("domain_rules", oracle=_rules_sql(LINEITEM_RULES, "lineitem"))
+def q_domain_rules(spark, sf_dir):
+    return ch.check_rules(table(spark, sf_dir, "lineitem"), LINEITEM_RULES)
+
+
+# Bounds per part type for p_size (a parameter of the check, with hits).
+P_SIZE_BOUNDS = {"ECONOMY": (1, 40), "LARGE": (10, 50), "MEDIUM": (5, 45),
+                 "PROMO": (1, 50), "SMALL": (1, 25)}
+
+
+def _bounds_sql(bounds):
+    return " UNION ALL ".join(f"SELECT '{k}' AS p_type, {lo} AS lo, {hi} AS hi"
+                              for k, (lo, hi) in bounds.items())
+
+
+@register("range_by_category", oracle=f"""
+WITH b AS ({_bounds_sql(P_SIZE_BOUNDS)})
+SELECT p.p_type, count(*) AS n_rows,
+       count(*) FILTER (WHERE p.p_size < b.lo OR p.p_size > b.hi) AS n_bad,
+       count(*) FILTER (WHERE b.lo IS NULL) AS n_unbounded,
+       min(p.p_size) AS min, max(p.p_size) AS max
+FROM part p LEFT JOIN b ON p.p_type = b.p_type GROUP BY p.p_type""")
+def q_range_by_category(spark, sf_dir):
+    return ch.check_ranges_by(table(spark, sf_dir, "part"), "p_type", "p_size", P_SIZE_BOUNDS)
+
+
+@register("orphans", oracle="""
+SELECT d.doc_id, d.lang FROM documents d
+WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)""")
+def q_orphans(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    return ch.orphans(docs, table(spark, sf_dir, "labels"), "doc_id")
+
+
+# --- D5-D8: profile ------------------------------------------------------------
+
+def _profile_sql(cols, tbl):
+    parts = []
+    for c in cols:
+        x = f"CAST({c} AS DOUBLE)"
+        parts.append(
+            f"SELECT '{c}' AS \"column\", count(*) AS n_rows, count(*) - count({c}) AS n_null, "
+            f"count(DISTINCT {c}) AS n_distinct, round(min({x}), 6) AS min, round(max({x}), 6) AS max, "
+            f"round(avg({x}), 6) AS mean, round(stddev_samp({x}), 6) AS sd, "
+            f"round(quantile_cont({x}, 0.25), 6) AS q1, round(quantile_cont({x}, 0.5), 6) AS median, "
+            f"round(quantile_cont({x}, 0.75), 6) AS q3 FROM {tbl}")
+    return "\nUNION ALL\n".join(parts)
+
+
+def _round_stats(df):
+    return df.select("column", "n_rows", "n_null", "n_distinct",
+                     *_r6("min", "max", "mean", "sd", "q1", "median", "q3"))
+
+
+@register("profile", oracle=_profile_sql(["o_totalprice", "o_custkey"], "orders"))
+def q_profile(spark, sf_dir):
+    return _round_stats(pr.profile(table(spark, sf_dir, "orders"), ["o_totalprice", "o_custkey"]))
+
+
+@register("profile_customer", oracle=_profile_sql(["c_acctbal", "c_nationkey"], "customer"))
+def q_profile_customer(spark, sf_dir):
+    return _round_stats(pr.profile(table(spark, sf_dir, "customer"), ["c_acctbal", "c_nationkey"]))
+
+
+@register("category_freq", oracle="""
+SELECT c_mktsegment AS value, count(*) AS n,
+       round(count(*) / (SELECT count(*) FROM customer), 6) AS share
+FROM customer GROUP BY c_mktsegment""")
+def q_category_freq(spark, sf_dir):
+    r = pr.freq(table(spark, sf_dir, "customer"), "c_mktsegment")
+    return r.select("value", "n", *_r6("share"))
+
+
+@register("summary_by_category", oracle="""
+SELECT o_orderpriority, count(*) AS n_rows, count(o_totalprice) AS o_totalprice_n,
+       round(avg(o_totalprice), 6) AS o_totalprice_mean,
+       round(stddev_samp(o_totalprice), 6) AS o_totalprice_sd,
+       min(o_totalprice) AS o_totalprice_min, max(o_totalprice) AS o_totalprice_max
+FROM orders GROUP BY o_orderpriority""")
+def q_summary_by_category(spark, sf_dir):
+    r = pr.summary_by(table(spark, sf_dir, "orders"), "o_orderpriority", ["o_totalprice"])
+    return r.select("o_orderpriority", "n_rows", "o_totalprice_n",
+                    *_r6("o_totalprice_mean", "o_totalprice_sd"),
+                    "o_totalprice_min", "o_totalprice_max")
+
+
+CORR_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+def _corr_sql(cols, tbl):
+    from itertools import combinations
+    return "\nUNION ALL\n".join(
+        f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 9) AS r FROM {tbl}"
+        for a, b in combinations(cols, 2))
+
+
+@register("corr_pairs", oracle=_corr_sql(CORR_COLS, "lineitem"))
+def q_corr_pairs(spark, sf_dir):
+    r = pr.corr_pairs(table(spark, sf_dir, "lineitem"), CORR_COLS)
+    return r.select("a", "b", F.round("r", 9).alias("r"))
+
+
+# --- D9, D11-D14: features -------------------------------------------------------
+
+@register("enrich", oracle="""
+SELECT o.o_orderkey, o.o_totalprice, c.c_mktsegment, c.c_acctbal
+FROM orders o LEFT JOIN customer c ON o.o_custkey = c.c_custkey""")
+def q_enrich(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.col("o_custkey").alias("custkey"), "o_totalprice")
+    c = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("custkey"), "c_mktsegment", "c_acctbal")
+    return fe.enrich(o, c, "custkey").drop("custkey")
+
+
+# Fixture: c_acctbal is masked to null on every 7th customer key (no row is
+# dropped), since the tables carry no nulls of their own.
+CUSTOMER_NULLS_SQL = """
+  SELECT c_custkey, c_mktsegment,
+         CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_acctbal END AS c_acctbal
+  FROM customer"""
+
+
+def customer_with_nulls(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    return c.select("c_custkey", "c_mktsegment",
+                    F.when(F.col("c_custkey") % 7 == 0, F.lit(None))
+                    .otherwise(F.col("c_acctbal")).alias("c_acctbal"))
+
+
+@register("impute_median", oracle=f"""
+WITH c AS ({CUSTOMER_NULLS_SQL}),
+m AS (SELECT c_mktsegment, quantile_cont(c_acctbal, 0.5) AS med FROM c GROUP BY c_mktsegment)
+SELECT c.c_custkey,
+       round(coalesce(c.c_acctbal, m.med, (SELECT quantile_cont(c_acctbal, 0.5) FROM c)), 6)
+         AS c_acctbal,
+       c.c_acctbal IS NULL AS c_acctbal_was_null
+FROM c LEFT JOIN m ON c.c_mktsegment = m.c_mktsegment""")
+def q_impute_median(spark, sf_dir):
+    r = fe.impute(customer_with_nulls(spark, sf_dir), ["c_acctbal"], by="c_mktsegment")
+    return r.select("c_custkey", *_r6("c_acctbal"), "c_acctbal_was_null")
+
+
+SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+
+
+@register("one_hot", oracle="SELECT c_custkey, " + ", ".join(
+    f"CAST(c_mktsegment = '{v}' AS INTEGER) AS c_mktsegment_{v}" for v in SEGMENTS)
+    + " FROM customer")
+def q_one_hot(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+    return fe.one_hot(c, "c_mktsegment").drop("c_mktsegment")
+
+
+@register("label_index", oracle="""
+WITH f AS (SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY c_mktsegment),
+i AS (SELECT c_mktsegment, CAST(row_number() OVER (ORDER BY n DESC, c_mktsegment) - 1 AS INTEGER)
+             AS c_mktsegment_idx FROM f)
+SELECT c.c_custkey, c.c_mktsegment, i.c_mktsegment_idx
+FROM customer c LEFT JOIN i ON c.c_mktsegment = i.c_mktsegment""")
+def q_label_index(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+    return fe.label_index(c, "c_mktsegment").select("c_custkey", "c_mktsegment", "c_mktsegment_idx")
+
+
+@register("ratios", oracle=f"""
+SELECT l_orderkey, l_linenumber,
+       {round_dec_sql('l_extendedprice / nullif(l_quantity, 0)')} AS price_per_qty,
+       {round_dec_sql('l_tax / nullif(l_discount, 0)')} AS tax_per_discount
+FROM lineitem""")
+def q_ratios(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity", "l_tax", "l_discount")
+    li = fe.ratio(li, "l_extendedprice", "l_quantity", "price_per_qty")
+    li = fe.ratio(li, "l_tax", "l_discount", "tax_per_discount")
+    return li.select("l_orderkey", "l_linenumber",
+                     *[round_dec(c).alias(c) for c in ("price_per_qty", "tax_per_discount")])
+
+
+@register("zscore", oracle="""
+SELECT o_orderkey,
+       round((o_totalprice - (SELECT avg(o_totalprice) FROM orders))
+             / (SELECT stddev_samp(o_totalprice) FROM orders), 6) AS o_totalprice_z
+FROM orders""")
+def q_zscore(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    return fe.zscore(o, ["o_totalprice"]).select("o_orderkey", *_r6("o_totalprice_z"))
+
+
+@register("quantile_bins", oracle="""
+WITH q AS (SELECT quantile_cont(o_totalprice, [0.25, 0.5, 0.75]) AS c FROM orders)
+SELECT o_orderkey,
+       CAST(o_totalprice > c[1] AS INTEGER) + CAST(o_totalprice > c[2] AS INTEGER)
+         + CAST(o_totalprice > c[3] AS INTEGER) AS o_totalprice_bin
+FROM orders, q""")
+def q_quantile_bins(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    return fe.qbin(o, "o_totalprice", 4).select("o_orderkey", "o_totalprice_bin")
