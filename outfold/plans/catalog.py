@@ -22,6 +22,7 @@ from outfold.operators import features as fe
 from outfold.operators import folds as fo
 from outfold.operators import holdout as ho
 from outfold.operators import metrics as me
+from outfold.operators import models as mo
 from outfold.operators import oof
 from outfold.operators import profile as pr
 from outfold.plans.registry import register, table
@@ -492,3 +493,78 @@ FROM orders, q""")
 def q_quantile_bins(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
     return fe.qbin(o, "o_totalprice", 4).select("o_orderkey", "o_totalprice_bin")
+
+
+# --- D15-D18: models -------------------------------------------------------------
+
+def orders_with_customer(spark, sf_dir):
+    cust = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("cust"), F.col("c_mktsegment").alias("seg"),
+        F.col("c_acctbal").alias("x"))
+    return orders_fact(spark, sf_dir).join(cust, "cust", "left")
+
+
+ORDERS_CUST_SQL = f"""
+  f AS (SELECT o.*, c.c_mktsegment AS seg, c.c_acctbal AS x
+        FROM ({ORDERS_FACT_SQL}) o LEFT JOIN customer c ON o.cust = c.c_custkey)"""
+
+
+@register("oof_encode", oracle=f"""
+WITH {ORDERS_CUST_SQL},
+p AS (
+  SELECT b.id, b.fold,
+         (SELECT sum(x.y) FROM f x WHERE x.seg = b.seg AND x.fold <> b.fold) AS s,
+         (SELECT count(x.y) FROM f x WHERE x.seg = b.seg AND x.fold <> b.fold) AS n,
+         (SELECT avg(x.y) FROM f x WHERE x.fold <> b.fold) AS g
+  FROM f b)
+SELECT id, fold, round((coalesce(s, 0) + 20 * g) / (coalesce(n, 0) + 20), 6) AS seg_te FROM p""")
+def q_oof_encode(spark, sf_dir):
+    r = oof.oof_encode(orders_with_customer(spark, sf_dir), col="seg", y="y", fold="fold",
+                       k=K, m=20.0)
+    return r.select("id", "fold", *_r6("seg_te"))
+
+
+@register("oof_group_median", oracle=f"""
+WITH f AS ({ORDERS_FACT_SQL}),
+p AS (
+  SELECT b.y,
+         coalesce((SELECT quantile_cont(x.y, 0.5) FROM f x WHERE x.g = b.g AND x.fold <> b.fold),
+                  (SELECT quantile_cont(x.y, 0.5) FROM f x WHERE x.fold <> b.fold)) AS pred
+  FROM f b)
+SELECT {MAE_SQL} FROM p""")
+def q_oof_group_median(spark, sf_dir):
+    r = oof.oof_median(orders_fact(spark, sf_dir), fold="fold", y="y", by="g", k=K,
+                       method="exact")
+    return me.mae(r).select(F.round("mae", 6).alias("mae"), "n_scored", "n_missing")
+
+
+@register("oof_group_median_sketch",
+          note="KLL sketches merged out of fold; approximate, so rows-only")
+def q_oof_group_median_sketch(spark, sf_dir):
+    r = oof.oof_median(orders_fact(spark, sf_dir), fold="fold", y="y", by="g", k=K,
+                       method="sketch")
+    return me.mae_by_fold(r).select("fold", *_r6("mae"), "n_scored", "n_missing")
+
+
+@register("oof_linear", oracle=f"""
+WITH {ORDERS_CUST_SQL},
+ff AS (SELECT DISTINCT fold FROM f),
+c AS (SELECT ff.fold, regr_slope(x.y, x.x) AS b1, regr_intercept(x.y, x.x) AS b0
+      FROM ff JOIN f x ON x.fold <> ff.fold GROUP BY ff.fold),
+e AS (SELECT f.fold, abs(f.y - (c.b0 + c.b1 * f.x)) AS err FROM f JOIN c ON f.fold = c.fold)
+SELECT fold, round(avg(err), 6) AS mae, count(err) AS n_scored FROM e GROUP BY fold""")
+def q_oof_linear(spark, sf_dir):
+    r = mo.oof_ols(orders_with_customer(spark, sf_dir), fold="fold", y="y", xs=["x"], k=K)
+    return (r.groupBy("fold").agg(F.avg(F.abs(F.col("y") - F.col("pred"))).alias("mae"),
+                                  F.count(F.abs(F.col("y") - F.col("pred"))).alias("n_scored"))
+            .select("fold", *_r6("mae"), "n_scored"))
+
+
+@register("oof_gbt", note="Spark ML fit per fold; no SQL form, rows-only")
+def q_oof_gbt(spark, sf_dir):
+    f = orders_with_customer(spark, sf_dir).join(
+        table(spark, sf_dir, "orders").select(
+            F.col("o_orderkey").alias("id"),
+            F.dayofyear("o_orderdate").cast("double").alias("doy")), "id")
+    r = mo.oof_gbt(f, fold="fold", y="y", xs=["x", "doy"], k=K, max_iter=5, max_depth=3)
+    return me.mae_by_fold(r).select("fold", *_r6("mae"), "n_scored", "n_missing")
