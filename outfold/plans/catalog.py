@@ -28,13 +28,15 @@ from outfold.operators import profile as pr
 from outfold.plans.registry import register, table
 from outfold.session import scratch_path
 from outfold.sources import sinks, tables
+from outfold.streaming import scoring as st
 
 K = 5
 
 
-def orders_fact(spark, sf_dir):
-    """(id, g, status, cust, y, fold) for the row-fold stand-in."""
-    o = table(spark, sf_dir, "orders")
+def orders_fact(spark, sf_dir, src=None):
+    """(id, g, status, cust, y, fold) for the row-fold stand-in; ``src`` may
+    be a streaming read of the same table."""
+    o = src if src is not None else table(spark, sf_dir, "orders")
     return fo.assign_fold(
         o.select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("g"),
                  F.col("o_orderstatus").alias("status"), F.col("o_custkey").alias("cust"),
@@ -205,6 +207,23 @@ def q_score_gap(spark, sf_dir):
     return r.select(*_r6("mae_oof", "mae_holdout"), "n_oof", "n_holdout", *_r6("gap", "gap_pct"))
 
 
+@register("stream_holdout_mae", oracle=f"""
+WITH {HOLD_SQL}
+SELECT {MAE_SQL} FROM hp""")
+def q_stream_holdout_mae(spark, sf_dir):
+    """Held-out rows arrive as a file stream and are scored against the model
+    fitted on the training rows; the running MAE ends equal to R5's."""
+    fact = ho.split_holdout(orders_fact(spark, sf_dir), "id", 10, col="hold")
+    model, glob = ho.fit_group_mean(fact.where(~F.col("hold")), "y", "g")
+    schema = table(spark, sf_dir, "orders").schema
+    src = st.file_stream(spark, f"{sf_dir.rstrip('/')}/orders.parquet", schema)
+    arriving = ho.split_holdout(orders_fact(spark, sf_dir, src), "id", 10, col="hold")
+    scored = st.score_stream(arriving.where(F.col("hold")), model, glob, "g")
+    out = scratch_path(spark, "stream-mae")
+    st.run_running_mae(spark, scored, out).awaitTermination()
+    return spark.read.parquet(out).select(F.round("mae", 6).alias("mae"), "n_scored", "n_missing")
+
+
 def orders_two_models(spark, sf_dir):
     """Orders with two out-of-fold predictions: by priority (p1) and by the
     customer's market segment (p2)."""
