@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from outfold.functions.safe import safe_div
 from outfold.operators.checks import check_unique
 from outfold.operators.joins import broadcast_bounded
-from outfold.operators.quantiles import quantile_agg
+from outfold.operators.quantiles import exact_quantiles, quantile_agg
 
 
 class DimensionKeyError(ValueError):
@@ -42,31 +42,40 @@ def impute(df: DataFrame, cols, by=None, stat: str = "median", fit_on: DataFrame
            exact: bool = True, flag_suffix: str = "_was_null") -> DataFrame:
     """Fill nulls in ``cols`` with the ``by`` group's median (or mean) fitted
     on ``fit_on`` (default ``df``), falling back to the overall statistic;
-    add a ``<col>_was_null`` flag per column."""
+    add a ``<col>_was_null`` flag per column.
+
+    Exact medians use ``exact_quantiles`` (no group's values in one task);
+    ``exact=False`` uses ``percentile_approx``.
+    """
     cols = [cols] if isinstance(cols, str) else list(cols)
     fit = fit_on if fit_on is not None else df
+    if stat not in ("median", "mean"):
+        raise ValueError(f"unknown stat {stat!r}")
+    by = [] if by is None else ([by] if isinstance(by, str) else list(by))
 
-    def agg(c):
-        if stat == "median":
-            return quantile_agg(F.col(c).cast("double"), [0.5], exact=exact)[0]
+    def stats(c, keys):
         if stat == "mean":
-            return F.avg(c)
-        raise ValueError(f"unknown stat {stat!r}")
+            return fit.groupBy(*keys).agg(F.avg(c).alias("__v"))
+        if exact:
+            return exact_quantiles(fit, c, [0.5], by=keys, out="__q").select(
+                *keys, F.col("__q")[0].alias("__v"))
+        return fit.groupBy(*keys).agg(
+            quantile_agg(F.col(c).cast("double"), [0.5], exact=False)[0].alias("__v"))
 
     out = df
     for c in cols:
         out = out.withColumn(f"{c}{flag_suffix}", F.col(c).isNull())
-    glob = {c: fit.agg(agg(c)).scalar() for c in cols}
-    if by is None:
-        for c in cols:
-            out = out.withColumn(c, F.coalesce(F.col(c).cast("double"), glob[c]))
-        return out
-    by = [by] if isinstance(by, str) else list(by)
-    stats = fit.groupBy(*by).agg(*[agg(c).alias(f"__fill_{c}") for c in cols])
-    out = out.join(stats, on=by, how="left")
     for c in cols:
-        out = out.withColumn(c, F.coalesce(F.col(c).cast("double"), F.col(f"__fill_{c}"), glob[c]))
-    return out.drop(*[f"__fill_{c}" for c in cols])
+        glob = stats(c, []).select("__v").scalar()
+        fill = [glob]
+        if by:
+            grp = stats(c, by).withColumnRenamed("__v", f"__fill_{c}")
+            out = out.join(grp, on=by, how="left")
+            fill = [F.col(f"__fill_{c}"), glob]
+        out = out.withColumn(c, F.coalesce(F.col(c).cast("double"), *fill))
+        if by:
+            out = out.drop(f"__fill_{c}")
+    return out
 
 
 def category_values(df: DataFrame, col: str, max_values: int = 1000) -> list:
@@ -125,7 +134,9 @@ def zscore(df: DataFrame, cols, fit_on: DataFrame | None = None, suffix: str = "
 def quantile_cuts(fit: DataFrame, col: str, n: int, exact: bool = True):
     """Scalar column: the n-1 cut points at 1/n, ..., (n-1)/n."""
     probs = [i / n for i in range(1, n)]
-    return fit.agg(quantile_agg(F.col(col).cast("double"), probs, exact=exact)).scalar()
+    if exact:
+        return exact_quantiles(fit, col, probs, out="__q").select("__q").scalar()
+    return fit.agg(quantile_agg(F.col(col).cast("double"), probs, exact=False)).scalar()
 
 
 def qbin(df: DataFrame, col: str, n: int, fit_on: DataFrame | None = None,

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from outfold.functions.safe import safe_div
 from outfold.operators.joins import broadcast_bounded
+from outfold.operators.quantiles import exact_quantiles
 
 
 def _cols(by):
@@ -112,23 +113,18 @@ def oof_median(df: DataFrame, fold: str = "fold", y: str = "y", by="g", k: int =
     replicated to the k-1 folds they train and merged; the rows are read
     once and never replicated, and every buffer has a bounded size.
 
-    ``method="exact"``: rows are first collapsed to (group, fold, value,
-    weight), those rows are sent to the k-1 folds they train, and
-    ``percentile(y, 0.5, weight)`` is taken per (group, fold). Its buffer
-    holds the distinct values of one (group, fold), merged from partial
-    buffers; use it where that fits a task (oracle checks, discrete targets).
+    ``method="exact"``: ``exact_quantiles`` in fold mode: histogram
+    refinement with per-fold counts, training counts as total minus own fold;
+    rows are replicated to the folds they train only inside the final small
+    intervals, and no task holds a whole group.
     """
     by = _cols(by)
     base = df.where(F.col(y).isNotNull())
     if method == "exact":
-        pre = base.groupBy(*by, fold, y).agg(F.count(F.lit(1)).alias("__w"))
-        rep = pre.withColumn("__t", F.explode(_other_folds(fold, k)))
-        grp = (rep.groupBy(*by, "__t").agg(F.percentile(y, F.lit(0.5), F.col("__w")).alias("__gm"))
-               .withColumnRenamed("__t", fold))
-        gpre = pre.groupBy(fold, y).agg(F.sum("__w").alias("__w"))
-        glob = (gpre.withColumn("__t", F.explode(_other_folds(fold, k)))
-                .groupBy("__t").agg(F.percentile(y, F.lit(0.5), F.col("__w")).alias("__glob"))
-                .withColumnRenamed("__t", fold))
+        grp = exact_quantiles(base, y, [0.5], by=by, fold=fold, k=k, out="__q").select(
+            *by, fold, F.col("__q")[0].alias("__gm"))
+        glob = exact_quantiles(base, y, [0.5], fold=fold, k=k, out="__q").select(
+            fold, F.col("__q")[0].alias("__glob"))
     elif method == "sketch":
         sk = base.groupBy(*by, fold).agg(
             F.kll_sketch_agg_double(F.col(y).cast("double"), F.lit(sketch_k)).alias("__sk"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from outfold.functions.safe import safe_div
-from outfold.operators.quantiles import quantile_agg
+from outfold.operators.quantiles import exact_quantiles, quantile_agg
 
 STATS = ("n_rows", "n_null", "n_distinct", "min", "max", "mean", "sd", "q1", "median", "q3")
 
@@ -18,27 +18,39 @@ STATS = ("n_rows", "n_null", "n_distinct", "min", "max", "mean", "sd", "q1", "me
 def profile(df: DataFrame, cols, exact: bool = True, accuracy: int = 10000) -> DataFrame:
     """(column, n_rows, n_null, n_distinct, min, max, mean, sd, q1, median, q3).
 
-    ``exact=False`` swaps the two holistic statistics for bounded sketches
-    (``approx_count_distinct``, ``percentile_approx``) for very large tables.
+    Moments and counts come from one aggregate. Exact quartiles come from
+    ``exact_quantiles`` over the columns unpivoted to (column, value), so all
+    columns share each refinement pass and no task holds a column's values.
+    ``exact=False`` uses bounded sketches (``approx_count_distinct``,
+    ``percentile_approx``) in the same single aggregate instead.
     """
     cols = [cols] if isinstance(cols, str) else list(cols)
+    probs = [0.25, 0.5, 0.75]
     aggs, structs = [], []
     for i, c in enumerate(cols):
         x = F.col(c).cast("double")
         nd = F.count_distinct(c) if exact else F.approx_count_distinct(c)
-        q = quantile_agg(x, [0.25, 0.5, 0.75], exact=exact, accuracy=accuracy)
         aggs += [F.count(F.when(F.col(c).isNull(), 1)).alias(f"nn{i}"), nd.alias(f"nd{i}"),
                  F.min(x).alias(f"mi{i}"), F.max(x).alias(f"ma{i}"), F.avg(x).alias(f"me{i}"),
-                 F.stddev_samp(x).alias(f"sd{i}"), q.alias(f"q{i}")]
+                 F.stddev_samp(x).alias(f"sd{i}")]
+        if not exact:
+            aggs.append(quantile_agg(x, probs, exact=False, accuracy=accuracy).alias(f"q{i}"))
         structs.append(F.struct(
             F.lit(c).alias("column"), F.col("__n").alias("n_rows"),
             F.col(f"nn{i}").alias("n_null"), F.col(f"nd{i}").alias("n_distinct"),
             F.col(f"mi{i}").alias("min"), F.col(f"ma{i}").alias("max"),
             F.col(f"me{i}").alias("mean"), F.col(f"sd{i}").alias("sd"),
-            F.col(f"q{i}")[0].alias("q1"), F.col(f"q{i}")[1].alias("median"),
-            F.col(f"q{i}")[2].alias("q3")))
+            (F.col(f"q{i}") if not exact else F.lit(None).cast("array<double>")).alias("q")))
     wide = df.agg(F.count(F.lit(1)).alias("__n"), *aggs)
-    return wide.select(F.inline(F.array(*structs)))
+    rows = wide.select(F.inline(F.array(*structs)))
+    if exact:
+        long = df.select(F.inline(F.array(*[
+            F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in cols])))
+        qs = exact_quantiles(long, "x", probs, by="column", out="__q")
+        rows = rows.join(qs, "column", "left").withColumn("q", F.col("__q")).drop("__q")
+    return rows.select(*[c for c in rows.columns if c != "q"],
+                       F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"),
+                       F.col("q")[2].alias("q3"))
 
 
 def freq(df: DataFrame, col: str) -> DataFrame:

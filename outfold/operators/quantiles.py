@@ -1,20 +1,193 @@
 """Quantiles with the semantics of SQL ``percentile`` / ``quantile_cont``
-(linear interpolation between order statistics)."""
+(linear interpolation between order statistics).
+
+``exact_quantiles`` finds the needed order statistics by histogram refinement
+instead of collecting a group's values into one buffer. Per pass, each open
+search interval is cut into ``buckets`` equal-width value buckets; one
+partial+final aggregate counts rows per (interval, bucket) (bounded output,
+map-side combined, so a group holding a third of all rows costs one partial
+row per bucket per task); a window over at most ``buckets`` rows per interval
+finds the bucket holding the target rank; the next pass looks only at that
+bucket's rows. Buckets are monotone in the value, so a bucket is a contiguous
+value range [min, max] and the rank bookkeeping is exact. Once an interval
+holds at most ``small`` rows, ``row_number`` over those rows finishes it.
+Each pass is one scan of the value column; the small search state is
+checkpointed to the shared folder between passes.
+
+With ``fold``/``k`` the groups are training sets: the quantile for target
+fold t is taken over the rows of the other folds. Counts per fold are
+aggregated once and the training count is the total minus the own fold, so
+no row is replicated to the k-1 folds it trains until an interval is small.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from outfold.session import shared_dir
+
 
 def quantile_agg(x: Column, probs, exact: bool = True, accuracy: int = 10000) -> Column:
     """Aggregate expression returning an array of quantiles of ``x``.
 
     ``exact``: Spark's ``percentile``, whose buffer is a map of distinct value
-    to count, merged from map-side partial buffers. ``exact=False``:
+    to count; fine for groups known to be small. ``exact=False``:
     ``percentile_approx``, a bounded sketch with rank error ``1/accuracy``.
+    For exact quantiles of large or skewed groups use ``exact_quantiles``.
     """
     probs = [float(p) for p in probs]
     if exact:
         return F.percentile(x, F.array(*[F.lit(p) for p in probs]))
     return F.percentile_approx(x, F.array(*[F.lit(p) for p in probs]), accuracy).cast("array<double>")
+
+
+def _cut(df: DataFrame) -> DataFrame:
+    """Materialise a small intermediate table in the shared folder."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def exact_quantiles(df: DataFrame, x: str, probs, by=(), fold: str | None = None,
+                    k: int | None = None, buckets: int = 4096, small: int = 200_000,
+                    max_passes: int = 80, out: str = "q") -> DataFrame:
+    """Exact quantiles of ``x`` per ``by`` group (per (by, target fold) with
+    ``fold``/``k``): one row per non-empty group with ``out`` an array of
+    doubles in the order of ``probs``. Nulls and NaN are ignored.
+
+    In fold mode the result has a column named ``fold`` holding the target
+    fold t; its quantiles are over the group's rows with fold != t.
+    """
+    by = [by] if isinstance(by, str) else list(by)
+    probs = [float(p) for p in probs]
+    folded = fold is not None
+    if folded and not k:
+        raise ValueError("k is required with fold")
+    xv = F.col(x).cast("double")
+    cols = [*by, *([F.col(fold).cast("bigint").alias("__f")] if folded else []), xv.alias("__x")]
+    base = df.select(*cols).where(F.col("__x").isNotNull() & ~F.isnan("__x"))
+    if not by:
+        base = base.withColumn("__g0", F.lit(0))
+        by_k = ["__g0"]
+    else:
+        by_k = list(by)
+    gk = [*by_k, "__t"] if folded else list(by_k)
+
+    # Group sizes and value ranges.
+    rng = base.groupBy(*by_k).agg(F.count(F.lit(1)).alias("__nall"),
+                                  F.min("__x").alias("__lo"), F.max("__x").alias("__hi"))
+    rng = _cut(rng)
+    if (rng.agg(F.max("__nall")).first()[0] or 0) <= small:
+        # Every group holds at most ``small`` values, so a plain ``percentile``
+        # buffer is bounded; in fold mode rows go to the k-1 folds they train.
+        src = base
+        if folded:
+            src = base.withColumn("__t", F.explode(F.filter(
+                F.sequence(F.lit(0).cast("bigint"), F.lit(k - 1).cast("bigint")),
+                lambda t: t != F.col("__f"))))
+        res = src.groupBy(*gk).agg(
+            F.percentile("__x", F.array(*[F.lit(p) for p in probs])).alias(out))
+        if not by:
+            res = res.drop("__g0")
+        return res.withColumnRenamed("__t", fold) if folded else res
+    if folded:
+        per = base.groupBy(*by_k, F.col("__f").alias("__t")).agg(F.count(F.lit(1)).alias("__nf"))
+        tg = (rng.withColumn("__t", F.explode(F.sequence(F.lit(0).cast("bigint"),
+                                                          F.lit(k - 1).cast("bigint"))))
+              .join(per, on=[*by_k, "__t"], how="left")
+              .withColumn("__n", F.col("__nall") - F.coalesce("__nf", F.lit(0))))
+    else:
+        tg = rng.withColumn("__n", F.col("__nall"))
+    tg = tg.where(F.col("__n") > 0)
+
+    # Target ranks (0-based): floor and ceil of p * (n - 1) for every p.
+    pos = [F.lit(p) * (F.col("__n") - 1) for p in probs]
+    spec = tg.select(*gk, "__lo", "__hi", "__n", F.posexplode(F.array(*pos)).alias("__qi", "__pos"))
+    spec = (spec.withColumn("__rlo", F.floor("__pos").cast("bigint"))
+            .withColumn("__rhi", F.ceil("__pos").cast("bigint")))
+    spec = _cut(spec)
+
+    state = (spec.select(*gk, "__lo", "__hi", "__n", F.explode(F.array("__rlo", "__rhi")).alias("__r"))
+             .distinct()
+             .select(*gk, "__r", F.col("__lo").alias("__a"), F.col("__hi").alias("__b"),
+                     F.lit(0).cast("bigint").alias("__below"), F.col("__n").alias("__cnt")))
+    state = _cut(state)
+
+    def rows_in(intervals: DataFrame) -> DataFrame:
+        """Rows of ``base`` inside each interval (by_k, a, b), one output row
+        per (row, containing interval). Without ``by`` the intervals number at
+        most 2 * len(probs) * k (a parameter bound), so they are inlined as
+        literals instead of joined."""
+        if by:
+            j = base.join(intervals, on=by_k, how="inner")
+            return j.where((F.col("__x") >= F.col("__a")) & (F.col("__x") <= F.col("__b")))
+        ivs = intervals.select("__a", "__b").distinct().collect()
+        arr = F.array(*[F.struct(F.lit(float(a)).alias("a"), F.lit(float(b)).alias("b"))
+                        for a, b in ivs]) if ivs else F.array().cast("array<struct<a:double,b:double>>")
+        hit = F.explode(F.filter(arr, lambda s: (F.col("__x") >= s["a"]) & (F.col("__x") <= s["b"])))
+        m = base.select("*", hit.alias("__iv"))
+        return m.select(*base.columns, F.col("__iv.a").alias("__a"), F.col("__iv.b").alias("__b"))
+
+    open_cond = (F.col("__a") < F.col("__b")) & (F.col("__cnt") > small)
+    for _ in range(max_passes):
+        opened = state.where(open_cond)
+        if opened.limit(1).count() == 0:
+            break
+        iv = opened.select(*by_k, "__a", "__b").distinct()
+        width = F.col("__b") - F.col("__a")
+        bucket = F.least(F.lit(buckets - 1),
+                         F.floor((F.col("__x") - F.col("__a")) / width * F.lit(float(buckets)))
+                         .cast("int"))
+        r = rows_in(iv).withColumn("__bk", bucket)
+        aggs = [F.count(F.lit(1)).alias("__c"), F.min("__x").alias("__mn"), F.max("__x").alias("__mx")]
+        if folded:
+            aggs += [F.count(F.when(F.col("__f") == i, 1)).alias(f"__c{i}") for i in range(k)]
+        hist = r.groupBy(*by_k, "__a", "__b", "__bk").agg(*aggs)
+        w = (Window.partitionBy(*by_k, "__a", "__b").orderBy("__bk")
+             .rowsBetween(Window.unboundedPreceding, -1))
+        hist = hist.withColumn("__cb", F.coalesce(F.sum("__c").over(w), F.lit(0)))
+        if folded:
+            for i in range(k):
+                hist = hist.withColumn(f"__cb{i}", F.coalesce(F.sum(f"__c{i}").over(w), F.lit(0)))
+        cand = opened.join(hist, on=[*by_k, "__a", "__b"], how="inner")
+        if folded:
+            own_c = F.element_at(F.array(*[F.col(f"__c{i}") for i in range(k)]),
+                                 (F.col("__t") + 1).cast("int"))
+            own_cb = F.element_at(F.array(*[F.col(f"__cb{i}") for i in range(k)]),
+                                  (F.col("__t") + 1).cast("int"))
+            c_t, cb_t = F.col("__c") - own_c, F.col("__cb") - own_cb
+        else:
+            c_t, cb_t = F.col("__c"), F.col("__cb")
+        lo_rank = F.col("__below") + cb_t
+        picked = cand.where((lo_rank <= F.col("__r")) & (F.col("__r") < lo_rank + c_t)).select(
+            *gk, "__r", F.col("__mn").alias("__a"), F.col("__mx").alias("__b"),
+            lo_rank.alias("__below"), c_t.alias("__cnt"))
+        state = _cut(state.where(~open_cond).unionByName(picked))
+
+    done = state.where(F.col("__a") == F.col("__b")).select(*gk, "__r", F.col("__a").alias("__v"))
+    rest = state.where(F.col("__a") < F.col("__b"))
+    iv = rest.select(*gk, "__a", "__b").distinct()
+    rr = rows_in(iv.select(*by_k, "__a", "__b").distinct())
+    if folded:
+        rr = rr.join(iv, on=[*by_k, "__a", "__b"], how="inner").where(F.col("__f") != F.col("__t"))
+    wr = Window.partitionBy(*gk, "__a", "__b").orderBy("__x")
+    rr = rr.withColumn("__rn", F.row_number().over(wr) - 1)
+    fin = rest.join(rr, on=[*gk, "__a", "__b"], how="inner").where(
+        F.col("__below") + F.col("__rn") == F.col("__r")).select(*gk, "__r", F.col("__x").alias("__v"))
+    vals = done.unionByName(fin)
+
+    lo_v = vals.select(*gk, F.col("__r").alias("__rlo"), F.col("__v").alias("__vlo"))
+    hi_v = vals.select(*gk, F.col("__r").alias("__rhi"), F.col("__v").alias("__vhi"))
+    q = spec.join(lo_v, on=[*gk, "__rlo"], how="left").join(hi_v, on=[*gk, "__rhi"], how="left")
+    # Interpolate as Spark's percentile does.
+    qv = F.when(F.col("__rlo") == F.col("__rhi"), F.col("__vlo")).otherwise(
+        (F.col("__rhi") - F.col("__pos")) * F.col("__vlo")
+        + (F.col("__pos") - F.col("__rlo")) * F.col("__vhi"))
+    res = q.groupBy(*gk).agg(
+        F.array_sort(F.collect_list(F.struct(F.col("__qi"), qv.alias("v")))).alias("__qs"))
+    res = res.select(*gk, F.transform("__qs", lambda s: s["v"]).alias(out))
+    if not by:
+        res = res.drop("__g0")
+    if folded:
+        res = res.withColumnRenamed("__t", fold)
+    return res
