@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from outfold.functions.safe import safe_div
 from outfold.operators.checks import check_unique
-from outfold.operators.joins import broadcast_bounded
+from outfold.operators.joins import broadcast_bounded, broadcast_checked
 from outfold.operators.quantiles import exact_quantiles, quantile_agg
 
 
@@ -69,7 +69,7 @@ def impute(df: DataFrame, cols, by=None, stat: str = "median", fit_on: DataFrame
         glob = stats(c, []).select("__v").scalar()
         fill = [glob]
         if by:
-            grp = stats(c, by).withColumnRenamed("__v", f"__fill_{c}")
+            grp = broadcast_checked(stats(c, by).withColumnRenamed("__v", f"__fill_{c}"))
             out = out.join(grp, on=by, how="left")
             fill = [F.col(f"__fill_{c}"), glob]
         out = out.withColumn(c, F.coalesce(F.col(c).cast("double"), *fill))

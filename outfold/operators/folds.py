@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from outfold.functions.folds import _key, fold_col, hash32
-from outfold.operators.joins import join_keys
+from outfold.operators.joins import broadcast_checked, join_keys
 
 
 def assign_fold(df: DataFrame, key, k: int, seed=None, out: str = "fold") -> DataFrame:
@@ -51,15 +51,16 @@ def assign_strat_fold(df: DataFrame, by, key, k: int, seed=None,
     sizes = base.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
     sizes = sizes.withColumn(
         "__nb", F.greatest(F.lit(1), F.ceil(F.col("__n") / F.lit(rows_per_bucket))).cast("bigint"))
-    base = join_keys(base, sizes.select(*by, "__nb"), by, "inner", null_safe=True)
+    base = join_keys(base, broadcast_checked(sizes.select(*by, "__nb")), by, "inner",
+                     null_safe=True)
     base = base.withColumn(
         "__b", F.floor(F.col("__h") * F.col("__nb") / F.lit(2 ** 32)).cast("bigint"))
 
     counts = base.groupBy(*by, "__b").agg(F.count(F.lit(1)).alias("__c"))
     wb = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("__off", F.coalesce(F.sum("__c").over(wb), F.lit(0)))
-    base = join_keys(base, counts.select(*by, "__b", "__off"), [*by, "__b"], "inner",
-                     null_safe=True)
+    base = join_keys(base, broadcast_checked(counts.select(*by, "__b", "__off")),
+                     [*by, "__b"], "inner", null_safe=True)
 
     wr = Window.partitionBy(*by, "__b").orderBy("__md5", *keycols)
     rank0 = F.col("__off") + F.row_number().over(wr) - 1

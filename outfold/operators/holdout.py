@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from outfold.functions.folds import fold_col
 from outfold.functions.safe import safe_div
+from outfold.operators.joins import broadcast_checked
 
 HOLD_SEED = "hold"
 
@@ -32,7 +33,7 @@ def score_group_mean(test: DataFrame, model: DataFrame, glob: DataFrame, by,
     global training mean (a scalar subquery, no join)."""
     by = [by] if isinstance(by, str) else list(by)
     gmean = glob.select(safe_div("__s", "__n")).scalar()
-    j = test.join(model, on=by, how="left")
+    j = test.join(broadcast_checked(model), on=by, how="left")
     return j.withColumn(out, F.coalesce(safe_div("__gs", "__gn"), gmean)).drop("__gs", "__gn")
 
 

@@ -1,18 +1,27 @@
 """Join helpers.
 
-No helper here puts a ``broadcast`` hint on data whose size grows with the
-input. Catalyst broadcasts a side whose estimated size is under
-``spark.sql.autoBroadcastJoinThreshold``; AQE re-plans a sort-merge join into a
-broadcast join once the shuffled side has been measured below
-``spark.sql.adaptive.autoBroadcastJoinThreshold``, and splits skewed
-partitions otherwise. ``broadcast_bounded`` is for tables whose row count is
-bounded by a parameter (k folds, a rule list), checked before hinting.
+No helper here puts an unchecked ``broadcast`` hint on data whose size grows
+with the input.
+
+- ``broadcast_bounded``: tables whose row count is bounded by a parameter
+  (k folds, a rule list), checked against that bound.
+- ``broadcast_checked``: tables derived from the data (per-group model
+  tables). Catalyst cannot size an aggregate's output before running it, so it
+  plans a sort-merge join, and AQE would then shuffle the large side in
+  parallel with the small one before it could switch to a broadcast. Instead
+  the small table is materialised in the shared folder, counted, and hinted
+  as broadcast only when its estimated size is under the session's
+  ``spark.sql.autoBroadcastJoinThreshold``; beyond it the plain shuffle join
+  stays, with AQE splitting skewed keys.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from outfold.session import shared_dir
 
 # Largest row count we hint as broadcast without measuring; such tables are
 # built from parameters (folds, rules, weights), never from data.
@@ -26,6 +35,48 @@ def broadcast_bounded(df: DataFrame, bound: int) -> DataFrame:
     return F.broadcast(df)
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and read it back: cuts the
+    lineage and makes later counts and joins read the stored rows."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def _row_bytes(schema: T.StructType) -> int:
+    size = 8  # row header
+    for f in schema.fields:
+        t = f.dataType
+        if isinstance(t, (T.StringType, T.BinaryType)):
+            size += 32
+        elif isinstance(t, (T.ArrayType, T.MapType, T.StructType)):
+            size += 64
+        else:
+            size += 8
+    return size
+
+
+def broadcast_threshold(spark) -> int:
+    v = spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")
+    v = str(v).strip().lower()
+    mult = {"b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20, "g": 1 << 30, "gb": 1 << 30}
+    for suf in sorted(mult, key=len, reverse=True):
+        if v.endswith(suf):
+            return int(float(v[: -len(suf)]) * mult[suf])
+    return int(v)
+
+
+def broadcast_checked(df: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """Materialise a data-derived table, then hint it as broadcast only if
+    rows x estimated row width is within ``max_bytes`` (default: the
+    session's broadcast threshold; a negative threshold never broadcasts)."""
+    m = materialize(df)
+    limit = broadcast_threshold(df.sparkSession) if max_bytes is None else max_bytes
+    if limit < 0:
+        return m
+    n = m.count()
+    return F.broadcast(m) if n * _row_bytes(m.schema) <= limit else m
+
+
 def join_keys(left: DataFrame, right: DataFrame, keys, how: str = "inner",
               null_safe: bool = False) -> DataFrame:
     """Equi-join on same-named ``keys``; ``null_safe`` matches null to null.

@@ -2,7 +2,9 @@
 two scores (D23) and a blend search (D24).
 
 Every score is one partial+final hash aggregate; scalars are attached with a
-scalar subquery (``DataFrame.scalar()``), never with a join.
+scalar subquery (``DataFrame.scalar()``), never with a join. When a scalar is
+taken over a grouped result, the grouped table (k folds, segments, weights)
+is materialised once so the subquery does not rerun the scoring.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from outfold.functions.safe import abs_err, col_, safe_div
+from outfold.operators.joins import materialize
 
 
 def _mae_aggs(y, pred) -> list[Column]:
@@ -35,7 +38,7 @@ def mae_by_fold(df: DataFrame, y: str = "y", pred: str = "pred",
     The pooled MAE equals the n_scored-weighted mean of fold MAEs, not the
     plain mean, unless folds are equal in size.
     """
-    per = df.groupBy(fold).agg(*_mae_aggs(y, pred))
+    per = materialize(df.groupBy(fold).agg(*_mae_aggs(y, pred)))
     return (per.withColumn("mean_fold_mae", per.agg(F.avg("mae")).scalar())
             .withColumn("sd_fold_mae", per.agg(F.stddev_samp("mae")).scalar()))
 
@@ -45,8 +48,8 @@ def mae_by(df: DataFrame, by, y: str = "y", pred: str = "pred") -> DataFrame:
     ``err_share`` being the segment's part of the total absolute error."""
     by = [by] if isinstance(by, str) else list(by)
     err = abs_err(y, pred)
-    per = df.groupBy(*by).agg(*_mae_aggs(y, pred), F.sum(err).alias("sum_abs_err"))
-    total = df.agg(F.sum(err)).scalar()
+    per = materialize(df.groupBy(*by).agg(*_mae_aggs(y, pred), F.sum(err).alias("sum_abs_err")))
+    total = per.agg(F.sum("sum_abs_err")).scalar()
     return per.withColumn("err_share", safe_div(F.col("sum_abs_err"), total))
 
 
@@ -78,7 +81,7 @@ def blend(df: DataFrame, p1: str, p2: str, y: str = "y", steps: int = 10) -> Dat
     ws = [i / steps for i in range(steps + 1)]
     aggs = [F.avg(F.abs(col_(y) - (F.lit(w) * col_(p1) + F.lit(1.0 - w) * col_(p2))))
             .alias(f"m{i}") for i, w in enumerate(ws)]
-    wide = df.agg(*aggs)
+    wide = materialize(df.agg(*aggs))
     rows = F.array(*[F.struct(F.lit(w).alias("w"), F.col(f"m{i}").alias("mae"))
                      for i, w in enumerate(ws)])
     long = wide.select(F.inline(rows))

@@ -5,9 +5,10 @@ The k-fold cost is removed by algebra, not by k passes: per (group, fold)
 partial sums are aggregated once (map-side combine, so a hot group costs one
 row per task, not its rows), the out-of-fold sum of a (group, fold) is the
 group total minus its own fold, and the result is joined back to the rows.
-The fact rows are never shuffled for the model; only the join back may
-shuffle them, and AQE turns that join into a broadcast when the measured
-(group, fold) table is small, or splits skewed keys when it is not.
+The fact rows are never shuffled for the model. The (group, fold) table is
+materialised and broadcast when its measured size is under the threshold, so
+the join back streams the fact without a shuffle; beyond it a shuffle join
+with AQE's skew splitting is used.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from outfold.functions.safe import safe_div
-from outfold.operators.joins import broadcast_bounded
+from outfold.operators.joins import broadcast_bounded, broadcast_checked
 from outfold.operators.quantiles import exact_quantiles
 
 
@@ -78,7 +79,7 @@ def oof_encode(df: DataFrame, col="g", y: str = "y", fold: str = "fold", k: int
     """
     by = _cols(col)
     out = out or (f"{by[0]}_te" if m is not None else "pred")
-    sums = oof_group_sums(df, fold, y, by)
+    sums = broadcast_checked(oof_group_sums(df, fold, y, by))
     glob = oof_global_sums(df, fold, y, k)
     j = df.join(sums, on=[*by, fold], how="left").join(glob, on=fold, how="left")
     g_mean = safe_div("gs_oof", "gn_oof")
@@ -140,5 +141,6 @@ def oof_median(df: DataFrame, fold: str = "fold", y: str = "y", by="g", k: int =
     else:
         raise ValueError(f"unknown method {method!r}")
     glob = broadcast_bounded(glob, k)
+    grp = broadcast_checked(grp)
     j = df.join(grp, on=[*by, fold], how="left").join(glob, on=fold, how="left")
     return j.withColumn(out, F.coalesce("__gm", "__glob")).drop("__gm", "__glob")

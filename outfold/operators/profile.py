@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from outfold.functions.safe import safe_div
+from outfold.operators.joins import materialize
 from outfold.operators.quantiles import exact_quantiles, quantile_agg
 
 STATS = ("n_rows", "n_null", "n_distinct", "min", "max", "mean", "sd", "q1", "median", "q3")
@@ -55,8 +56,8 @@ def profile(df: DataFrame, cols, exact: bool = True, accuracy: int = 10000) -> D
 
 def freq(df: DataFrame, col: str) -> DataFrame:
     """(value, n, share) per category, nulls included as their own value."""
-    per = df.groupBy(F.col(col).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    total = df.agg(F.count(F.lit(1))).scalar()
+    per = materialize(df.groupBy(F.col(col).alias("value")).agg(F.count(F.lit(1)).alias("n")))
+    total = per.agg(F.sum("n")).scalar()
     return per.withColumn("share", safe_div(F.col("n").cast("double"), total))
 
 

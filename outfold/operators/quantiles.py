@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from outfold.session import shared_dir
+from outfold.operators.joins import broadcast_checked, materialize
 
 
 def quantile_agg(x: Column, probs, exact: bool = True, accuracy: int = 10000) -> Column:
@@ -44,8 +44,7 @@ def quantile_agg(x: Column, probs, exact: bool = True, accuracy: int = 10000) ->
 
 def _cut(df: DataFrame) -> DataFrame:
     """Materialise a small intermediate table in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return materialize(df)
 
 
 def exact_quantiles(df: DataFrame, x: str, probs, by=(), fold: str | None = None,
@@ -119,7 +118,7 @@ def exact_quantiles(df: DataFrame, x: str, probs, by=(), fold: str | None = None
         most 2 * len(probs) * k (a parameter bound), so they are inlined as
         literals instead of joined."""
         if by:
-            j = base.join(intervals, on=by_k, how="inner")
+            j = base.join(broadcast_checked(intervals), on=by_k, how="inner")
             return j.where((F.col("__x") >= F.col("__a")) & (F.col("__x") <= F.col("__b")))
         ivs = intervals.select("__a", "__b").distinct().collect()
         arr = F.array(*[F.struct(F.lit(float(a)).alias("a"), F.lit(float(b)).alias("b"))
