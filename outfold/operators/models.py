@@ -105,11 +105,16 @@ def oof_ols(df: DataFrame, fold: str = "fold", y: str = "y", xs=("x",), k: int =
 
 
 def oof_gbt(df: DataFrame, fold: str = "fold", y: str = "y", xs=("x",), k: int = 5,
-            max_iter: int = 20, max_depth: int = 5, seed: int = 7, out: str = "pred") -> DataFrame:
+            max_iter: int = 20, max_depth: int = 5, seed: int = 7, out: str = "pred",
+            parallelism: int | None = None) -> DataFrame:
     """Out-of-fold gradient-boosted trees with absolute loss: k fits, each on
-    the rows of the other folds (the one place with k passes). Intermediate
-    state is checkpointed to the shared folder, so a long fit survives
-    executor loss without an ever-growing lineage."""
+    the rows of the other folds (the one place with k passes). The fits are
+    independent and are submitted from ``parallelism`` driver threads (default
+    k), as Spark ML's CrossValidator does, so small fits share the cluster.
+    Intermediate state is checkpointed to the shared folder, so a long fit
+    survives executor loss without an ever-growing lineage."""
+    from concurrent.futures import ThreadPoolExecutor
+
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor
 
@@ -117,13 +122,18 @@ def oof_gbt(df: DataFrame, fold: str = "fold", y: str = "y", xs=("x",), k: int =
     xs = list(xs)
     va = VectorAssembler(inputCols=xs, outputCol="__features", handleInvalid="keep")
     data = va.transform(df)
-    scored = None
-    for f in range(k):
+
+    def fit(f: int):
         train = data.where((F.col(fold) != f) & F.col(y).isNotNull())
         gbt = GBTRegressor(featuresCol="__features", labelCol=y, predictionCol=out,
                            lossType="absolute", maxIter=max_iter, maxDepth=max_depth,
                            seed=seed, checkpointInterval=10, cacheNodeIds=False)
-        model = gbt.fit(train)
-        part = model.transform(data.where(F.col(fold) == f))
-        scored = part if scored is None else scored.unionByName(part)
+        return gbt.fit(train)
+
+    with ThreadPoolExecutor(max_workers=max(1, min(k, parallelism or k))) as pool:
+        models = list(pool.map(fit, range(k)))
+    parts = [m.transform(data.where(F.col(fold) == f)) for f, m in enumerate(models)]
+    scored = parts[0]
+    for p in parts[1:]:
+        scored = scored.unionByName(p)
     return scored.drop("__features")
