@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from outfold.functions.safe import safe_div
-from outfold.operators.joins import broadcast_bounded, broadcast_checked
+from outfold.operators.joins import broadcast_bounded, broadcast_checked, materialize
 from outfold.operators.quantiles import exact_quantiles
 
 
@@ -37,13 +37,14 @@ def group_fold_sums(df: DataFrame, fold: str, y: str, by) -> DataFrame:
     return df.groupBy(*by, fold).agg(F.sum(y).alias("__s"), F.count(y).alias("__n"))
 
 
-def oof_group_sums(df: DataFrame, fold: str, y: str, by) -> DataFrame:
+def oof_group_sums(df: DataFrame, fold: str, y: str, by, stats: DataFrame | None = None) -> DataFrame:
     """(by, fold, s_oof, n_oof): sum/count of ``y`` in the group's other folds.
 
-    The window only sees the aggregated table (k rows per group).
+    The window only sees the aggregated table (k rows per group); ``stats``
+    may pass an already computed ``group_fold_sums``.
     """
     by = _cols(by)
-    st = group_fold_sums(df, fold, y, by)
+    st = stats if stats is not None else group_fold_sums(df, fold, y, by)
     w = Window.partitionBy(*by)
     return st.select(
         *by, fold,
@@ -52,9 +53,14 @@ def oof_group_sums(df: DataFrame, fold: str, y: str, by) -> DataFrame:
         (F.sum("__n").over(w) - F.col("__n")).alias("n_oof"))
 
 
-def oof_global_sums(df: DataFrame, fold: str, y: str, k: int) -> DataFrame:
-    """(fold, gs_oof, gn_oof): sum/count of ``y`` over all other folds; k rows."""
-    per = df.groupBy(fold).agg(F.sum(y).alias("__s"), F.count(y).alias("__n"))
+def oof_global_sums(df: DataFrame, fold: str, y: str, k: int,
+                    stats: DataFrame | None = None) -> DataFrame:
+    """(fold, gs_oof, gn_oof): sum/count of ``y`` over all other folds; k rows.
+    With ``stats`` (a ``group_fold_sums`` table) the fact is not read again."""
+    if stats is not None:
+        per = stats.groupBy(fold).agg(F.sum("__s").alias("__s"), F.sum("__n").alias("__n"))
+    else:
+        per = df.groupBy(fold).agg(F.sum(y).alias("__s"), F.count(y).alias("__n"))
     g = (per.withColumn("__t", F.explode(_other_folds(fold, k)))
          .groupBy("__t").agg(F.sum("__s").alias("gs_oof"), F.sum("__n").alias("gn_oof"))
          .withColumnRenamed("__t", fold))
@@ -79,8 +85,9 @@ def oof_encode(df: DataFrame, col="g", y: str = "y", fold: str = "fold", k: int
     """
     by = _cols(col)
     out = out or (f"{by[0]}_te" if m is not None else "pred")
-    sums = broadcast_checked(oof_group_sums(df, fold, y, by))
-    glob = oof_global_sums(df, fold, y, k)
+    st = materialize(group_fold_sums(df, fold, y, by))
+    sums = broadcast_checked(oof_group_sums(df, fold, y, by, stats=st))
+    glob = oof_global_sums(df, fold, y, k, stats=st)
     j = df.join(sums, on=[*by, fold], how="left").join(glob, on=fold, how="left")
     g_mean = safe_div("gs_oof", "gn_oof")
     s = F.coalesce(F.col("s_oof"), F.lit(0.0))
