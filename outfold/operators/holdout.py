@@ -37,6 +37,13 @@ def score_group_mean(test: DataFrame, model: DataFrame, glob: DataFrame, by,
     return j.withColumn(out, F.coalesce(safe_div("__gs", "__gn"), gmean)).drop("__gs", "__gn")
 
 
+def holdout_score(df: DataFrame, key, y: str, by, parts: int = 10,
+                  seed: str = HOLD_SEED) -> DataFrame:
+    """R5: one row (mae, n_scored, n_missing) on the held-out part."""
+    from outfold.operators.metrics import mae
+    return mae(holdout_predict(df, key, y, by, parts, seed), y=y)
+
+
 def holdout_predict(df: DataFrame, key, y: str, by, parts: int = 10,
                     seed: str = HOLD_SEED, out: str = "pred") -> DataFrame:
     """Rows of the held-out part with predictions from the other parts."""

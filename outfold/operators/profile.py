@@ -16,7 +16,12 @@ from outfold.operators.quantiles import exact_quantiles, quantile_agg
 STATS = ("n_rows", "n_null", "n_distinct", "min", "max", "mean", "sd", "q1", "median", "q3")
 
 
-def profile(df: DataFrame, cols, exact: bool = True, accuracy: int = 10000) -> DataFrame:
+def numeric_columns(df: DataFrame) -> list[str]:
+    from pyspark.sql import types as T
+    return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
+
+
+def profile(df: DataFrame, cols=None, exact: bool = True, accuracy: int = 10000) -> DataFrame:
     """(column, n_rows, n_null, n_distinct, min, max, mean, sd, q1, median, q3).
 
     Moments and counts come from one aggregate. Exact quartiles come from
@@ -25,7 +30,7 @@ def profile(df: DataFrame, cols, exact: bool = True, accuracy: int = 10000) -> D
     ``exact=False`` uses bounded sketches (``approx_count_distinct``,
     ``percentile_approx``) in the same single aggregate instead.
     """
-    cols = [cols] if isinstance(cols, str) else list(cols)
+    cols = numeric_columns(df) if cols is None else ([cols] if isinstance(cols, str) else list(cols))
     probs = [0.25, 0.5, 0.75]
     aggs, structs = [], []
     for i, c in enumerate(cols):
@@ -73,11 +78,26 @@ def summary_by(df: DataFrame, by, cols) -> DataFrame:
     return df.groupBy(*by).agg(*aggs)
 
 
-def corr_pairs(df: DataFrame, cols) -> DataFrame:
-    """(a, b, r): Pearson correlation of every pair of ``cols``, one aggregate.
-    For hundreds of columns use ``pyspark.ml.stat.Correlation`` instead."""
-    cols = list(cols)
+def corr_pairs(df: DataFrame, cols=None, method: str = "agg") -> DataFrame:
+    """(a, b, r): Pearson correlation of every pair of ``cols``.
+
+    ``method="agg"``: one aggregate with a ``corr`` per pair (pairwise
+    complete rows, as SQL ``corr``). ``method="matrix"``: Spark ML's
+    ``Correlation`` over an assembled vector, one pass for very wide inputs;
+    rows with a null in any column are skipped, and only the p x p matrix
+    reaches the driver.
+    """
+    cols = numeric_columns(df) if cols is None else list(cols)
     pairs = list(combinations(cols, 2))
+    if method == "matrix":
+        from pyspark.ml.feature import VectorAssembler
+        from pyspark.ml.stat import Correlation
+        vec = VectorAssembler(inputCols=cols, outputCol="__v", handleInvalid="skip").transform(
+            df.select(*[F.col(c).cast("double").alias(c) for c in cols]))
+        m = Correlation.corr(vec, "__v").first()[0].toArray()
+        idx = {c: i for i, c in enumerate(cols)}
+        rows = [(a, b, float(m[idx[a], idx[b]])) for a, b in pairs]
+        return df.sparkSession.createDataFrame(rows, "a string, b string, r double")
     wide = df.agg(*[F.corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
     return wide.select(F.inline(F.array(*[
         F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{i}").alias("r"))

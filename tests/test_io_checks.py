@@ -168,3 +168,31 @@ def test_zscore_and_profile(spark):
     assert (p["n_rows"], p["n_distinct"], p["median"], p["q1"], p["q3"]) == (5, 5, 3.0, 2.0, 4.0)
     pa = pr.profile(df, ["x"], exact=False).first()
     assert pa["median"] == 3.0
+
+
+def test_layout_flow(spark, layout_dir):
+    from outfold.sources.layout import layout_report, read_layouts
+    df = read_layouts(spark, layout_dir)
+    assert dict(df.dtypes)["pack_station_count"] == "int"
+    rep = {r["rule"]: r["n_bad"] for r in layout_report(df).collect()}
+    assert rep["layout_id_unique"] == 0 and set(rep.values()) == {0}
+    assert len(rep) == 2 + 13 + 3 + 16 + 1
+
+
+def test_corr_matrix_matches_agg(spark):
+    from outfold.plans.registry import table
+    from outfold.operators import profile as pr
+    li = table(spark, "/root/testdata/sf0.01", "lineitem")
+    cols = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    a = {(r["a"], r["b"]): r["r"] for r in pr.corr_pairs(li, cols).collect()}
+    b = {(r["a"], r["b"]): r["r"] for r in pr.corr_pairs(li, cols, method="matrix").collect()}
+    assert a.keys() == b.keys()
+    for k in a:
+        assert a[k] == pytest.approx(b[k], abs=1e-9)
+
+
+def test_holdout_score_one_row(spark):
+    from outfold.operators.holdout import holdout_score
+    from outfold.plans.catalog import orders_fact
+    r = holdout_score(orders_fact(spark, "/root/testdata/sf0.01"), "id", "y", "g").first()
+    assert round(r["mae"], 6) == 122980.895302 and r["n_scored"] == 1480
