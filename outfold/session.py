@@ -19,6 +19,8 @@ DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # materialised model tables live in the shared folder only while in use
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 

@@ -48,6 +48,17 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType,
     return r.csv(path)
 
 
+def csv_to_parquet(spark: SparkSession, src: str, dst: str, schema: T.StructType,
+                   mode: str = "errorifexists", partitions: int | None = None) -> DataFrame:
+    """Convert a header CSV to parquet once, so later scans are columnar,
+    vectorised and prune columns and row groups; returns the parquet scan."""
+    df = read_table(spark, src, schema)
+    if partitions:
+        df = df.repartition(partitions)
+    df.write.mode(mode).parquet(dst)
+    return spark.read.parquet(dst)
+
+
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Header CSV written by the executors (one file per partition)."""
     df.write.mode(mode).option("header", True).csv(path)

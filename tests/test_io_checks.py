@@ -196,3 +196,9 @@ def test_holdout_score_one_row(spark):
     from outfold.plans.catalog import orders_fact
     r = holdout_score(orders_fact(spark, "/root/testdata/sf0.01"), "id", "y", "g").first()
     assert round(r["mae"], 6) == 122980.895302 and r["n_scored"] == 1480
+
+
+def test_csv_to_parquet(spark, layout_dir):
+    out = scratch_path(spark, "layout-pq")
+    pq = tables.csv_to_parquet(spark, layout_dir, out, LAYOUT_SCHEMA)
+    assert pq.count() == 300 and pq.schema == LAYOUT_SCHEMA
