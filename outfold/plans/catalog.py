@@ -587,3 +587,61 @@ def q_oof_gbt(spark, sf_dir):
             F.dayofyear("o_orderdate").cast("double").alias("doy")), "id")
     r = mo.oof_gbt(f, fold="fold", y="y", xs=["x", "doy"], k=K, max_iter=5, max_depth=3)
     return me.mae_by_fold(r).select("fold", *_r6("mae"), "n_scored", "n_missing")
+
+
+@register("oof_encode_many", oracle=f"""
+WITH {ORDERS_CUST_SQL},
+p AS (
+  SELECT b.id, b.fold,
+         (SELECT sum(x.y) FROM f x WHERE x.seg = b.seg AND x.fold <> b.fold) AS s1,
+         (SELECT count(x.y) FROM f x WHERE x.seg = b.seg AND x.fold <> b.fold) AS n1,
+         (SELECT sum(x.y) FROM f x WHERE x.g = b.g AND x.fold <> b.fold) AS s2,
+         (SELECT count(x.y) FROM f x WHERE x.g = b.g AND x.fold <> b.fold) AS n2,
+         (SELECT avg(x.y) FROM f x WHERE x.fold <> b.fold) AS gm
+  FROM f b)
+SELECT id, fold,
+       round((coalesce(s1, 0) + 20 * gm) / (coalesce(n1, 0) + 20), 6) AS seg_te,
+       round((coalesce(s2, 0) + 20 * gm) / (coalesce(n2, 0) + 20), 6) AS g_te
+FROM p""")
+def q_oof_encode_many(spark, sf_dir):
+    r = oof.oof_encode_many(orders_with_customer(spark, sf_dir), ["seg", "g"], y="y",
+                            fold="fold", k=K, m=20.0)
+    return r.select("id", "fold", *_r6("seg_te", "g_te"))
+
+
+# --- D19 in use: row-wise against group-wise folds --------------------------------
+
+LINEITEM_FOLDS_SQL = f"""
+  f AS (SELECT l_partkey AS p, l_extendedprice AS y,
+               {fold_sql('l_orderkey', K)} AS fold_order,
+               {fold_sql('l_partkey', K)} AS fold_part
+        FROM lineitem)"""
+
+
+@register("fold_kind_mae", oracle=f"""
+WITH {LINEITEM_FOLDS_SQL},
+po AS (SELECT b.y,
+              coalesce((SELECT avg(x.y) FROM f x WHERE x.p = b.p AND x.fold_order <> b.fold_order),
+                       (SELECT avg(x.y) FROM f x WHERE x.fold_order <> b.fold_order)) AS pred
+       FROM f b),
+pp AS (SELECT b.y,
+              coalesce((SELECT avg(x.y) FROM f x WHERE x.p = b.p AND x.fold_part <> b.fold_part),
+                       (SELECT avg(x.y) FROM f x WHERE x.fold_part <> b.fold_part)) AS pred
+       FROM f b)
+SELECT 'order' AS fold_kind, {MAE_SQL} FROM po
+UNION ALL
+SELECT 'part', {MAE_SQL} FROM pp""")
+def q_fold_kind_mae(spark, sf_dir):
+    """Mean extended price per part, scored out of fold with folds by order
+    (a part's other orders train its own prediction) and by part (a part is
+    never seen in training, as new entities on a leaderboard)."""
+    li = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("p"),
+        F.col("l_extendedprice").alias("y"))
+    out = None
+    for kind, key in (("order", "o"), ("part", "p")):
+        f = fo.assign_fold(li, key, K) if kind == "order" else fo.assign_group_fold(li, key, K)
+        r = me.mae(oof.oof_predict(f, by="p", k=K)).select(
+            F.lit(kind).alias("fold_kind"), F.round("mae", 6).alias("mae"), "n_scored", "n_missing")
+        out = r if out is None else out.unionByName(r)
+    return out

@@ -176,3 +176,13 @@ def test_linear_matches_brute_force(spark):
         for r in rows:
             if r[4] == f:
                 assert got[r[0]] == pytest.approx(beta @ [1.0, r[1], r[2]], rel=1e-7, abs=1e-7)
+
+
+def test_encode_many_equals_one_at_a_time(spark, fact):
+    f = fact.withColumn("g2", F.concat_ws("-", "g", "status"))
+    many = oof.oof_encode_many(f, ["g", "g2"], k=K, m=5.0).select("id", "g_te", "g2_te")
+    one = oof.oof_encode(f, col="g", k=K, m=5.0, out="a").select("id", "a")
+    two = oof.oof_encode(f, col="g2", k=K, m=5.0, out="b").select("id", "b")
+    j = many.join(one, "id").join(two, "id")
+    assert j.count() == 15000
+    assert j.where("abs(g_te - a) > 1e-6 OR abs(g2_te - b) > 1e-6").count() == 0
