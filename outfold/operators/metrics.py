@@ -16,39 +16,51 @@ from outfold.functions.safe import abs_err, col_, safe_div
 from outfold.operators.joins import materialize
 
 
-def _mae_aggs(y, pred) -> list[Column]:
+def _mae_aggs(y, pred, exact: bool = False) -> list[Column]:
     err = abs_err(y, pred)
+    if exact:
+        # decimal sums are exact, so the score does not depend on the order
+        # in which partitions are merged (bit-identical on every run)
+        total = F.sum(err.cast("decimal(38,9)")).cast("double")
+        m = F.try_divide(total, F.count(err).cast("double"))
+    else:
+        m = F.avg(err)
     return [
-        F.avg(err).alias("mae"),
+        m.alias("mae"),
         F.count(err).alias("n_scored"),
         (F.count(F.lit(1)) - F.count(err)).alias("n_missing"),
     ]
 
 
-def mae(df: DataFrame, y: str = "y", pred: str = "pred") -> DataFrame:
+def mae(df: DataFrame, y: str = "y", pred: str = "pred", exact: bool = False) -> DataFrame:
     """One row: (mae, n_scored, n_missing). Pairs with a null ``y`` or ``pred``
-    are not scored but counted; an empty input gives a null mae."""
-    return df.agg(*_mae_aggs(y, pred))
+    are not scored but counted; an empty input gives a null mae.
+
+    ``exact``: sum the errors as decimal(38,9), so the result is identical for
+    any partitioning and merge order (a double ``avg`` may differ in its last
+    bits between runs of different layout); somewhat slower.
+    """
+    return df.agg(*_mae_aggs(y, pred, exact))
 
 
 def mae_by_fold(df: DataFrame, y: str = "y", pred: str = "pred",
-                fold: str = "fold") -> DataFrame:
+                fold: str = "fold", exact: bool = False) -> DataFrame:
     """Per fold: (fold, mae, n_scored, n_missing, mean_fold_mae, sd_fold_mae).
 
     The pooled MAE equals the n_scored-weighted mean of fold MAEs, not the
     plain mean, unless folds are equal in size.
     """
-    per = materialize(df.groupBy(fold).agg(*_mae_aggs(y, pred)))
+    per = materialize(df.groupBy(fold).agg(*_mae_aggs(y, pred, exact)))
     return (per.withColumn("mean_fold_mae", per.agg(F.avg("mae")).scalar())
             .withColumn("sd_fold_mae", per.agg(F.stddev_samp("mae")).scalar()))
 
 
-def mae_by(df: DataFrame, by, y: str = "y", pred: str = "pred") -> DataFrame:
+def mae_by(df: DataFrame, by, y: str = "y", pred: str = "pred", exact: bool = False) -> DataFrame:
     """Per segment: (by, mae, n_scored, n_missing, sum_abs_err, err_share),
     ``err_share`` being the segment's part of the total absolute error."""
     by = [by] if isinstance(by, str) else list(by)
     err = abs_err(y, pred)
-    per = materialize(df.groupBy(*by).agg(*_mae_aggs(y, pred), F.sum(err).alias("sum_abs_err")))
+    per = materialize(df.groupBy(*by).agg(*_mae_aggs(y, pred, exact), F.sum(err).alias("sum_abs_err")))
     total = per.agg(F.sum("sum_abs_err")).scalar()
     return per.withColumn("err_share", safe_div(F.col("sum_abs_err"), total))
 

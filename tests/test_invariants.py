@@ -186,3 +186,10 @@ def test_encode_many_equals_one_at_a_time(spark, fact):
     j = many.join(one, "id").join(two, "id")
     assert j.count() == 15000
     assert j.where("abs(g_te - a) > 1e-6 OR abs(g2_te - b) > 1e-6").count() == 0
+
+
+def test_exact_mae_is_partition_independent(fact):
+    p = oof.oof_predict(fact, by="g", k=K).cache()
+    vals = {me.mae(p.repartition(n), exact=True).first()["mae"] for n in (1, 7, 64)}
+    assert len(vals) == 1
+    assert round(vals.pop(), 6) == 124745.804755
