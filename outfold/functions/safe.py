@@ -35,10 +35,6 @@ def exact_int(c, to: str = "int") -> Column:
     return F.when(is_whole(c), F.floor(c).cast(to))
 
 
-def round6(c) -> Column:
-    return F.round(col_(c), 6)
-
-
 def round_dec(c, scale: int = 6) -> Column:
     """Round half away from zero on the decimal value (through decimal(38,9)),
     as SQL engines do on decimals; a bare double ``round`` differs between

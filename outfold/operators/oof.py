@@ -129,15 +129,6 @@ def oof_encode_many(df: DataFrame, cols, y: str = "y", fold: str = "fold", k: in
     return out.drop("gs_oof", "gn_oof")
 
 
-def group_mean_model(train: DataFrame, y: str, by) -> tuple[DataFrame, DataFrame]:
-    """Plain (not out-of-fold) group means for scoring unseen rows:
-    (by, g_mean) and a one-row global mean."""
-    by = _cols(by)
-    model = train.groupBy(*by).agg(F.avg(y).alias("g_mean"))
-    glob = train.agg(F.avg(y).alias("global_mean"))
-    return model, glob
-
-
 def oof_median(df: DataFrame, fold: str = "fold", y: str = "y", by="g", k: int = 5,
                out: str = "pred", method: str = "exact", sketch_k: int = 2000) -> DataFrame:
     """D16: out-of-fold group median (the constant minimising absolute error),

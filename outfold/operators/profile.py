@@ -13,9 +13,6 @@ from outfold.functions.safe import safe_div
 from outfold.operators.joins import materialize
 from outfold.operators.quantiles import exact_quantiles, quantile_agg
 
-STATS = ("n_rows", "n_null", "n_distinct", "min", "max", "mean", "sd", "q1", "median", "q3")
-
-
 def numeric_columns(df: DataFrame) -> list[str]:
     from pyspark.sql import types as T
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
