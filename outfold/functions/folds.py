@@ -26,13 +26,20 @@ def hash32(cols, seed=None) -> Column:
     return F.conv(F.substring(F.md5(_key(cols, seed)), 1, 8), 16, 10).cast("bigint")
 
 
-def fold_col(cols, k: int, seed=None) -> Column:
+def fold_col(cols, k: int, seed=None, method: str = "md5") -> Column:
     """Fold number in ``0..k-1`` for the key column(s) ``cols``.
 
     Keys must be integers or strings: doubles print differently across engines.
+    ``method="xxhash64"`` is about five times cheaper per row and equally
+    stateless and repeatable, but has no SQL twin in other engines; use it
+    where no cross-engine check is needed.
     """
     if k < 1:
         raise ValueError("k must be >= 1")
+    if method == "xxhash64":
+        return F.pmod(F.xxhash64(_key(cols, seed)), F.lit(k).cast("bigint"))
+    if method != "md5":
+        raise ValueError(f"unknown method {method!r}")
     return hash32(cols, seed) % F.lit(k).cast("bigint")
 
 

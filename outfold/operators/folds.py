@@ -9,16 +9,17 @@ from outfold.functions.folds import _key, fold_col, hash32
 from outfold.operators.joins import broadcast_checked, join_keys
 
 
-def assign_fold(df: DataFrame, key, k: int, seed=None, out: str = "fold") -> DataFrame:
+def assign_fold(df: DataFrame, key, k: int, seed=None, out: str = "fold",
+                method: str = "md5") -> DataFrame:
     """Add ``out`` = fold of the row key. No shuffle: a projection only."""
-    return df.withColumn(out, fold_col(key, k, seed))
+    return df.withColumn(out, fold_col(key, k, seed, method))
 
 
 def assign_group_fold(df: DataFrame, group_key, k: int, seed=None,
-                      out: str = "fold") -> DataFrame:
+                      out: str = "fold", method: str = "md5") -> DataFrame:
     """All rows sharing ``group_key`` land in one fold, so a group is never in
     train and test at once. Same hash as R2, applied to the group key."""
-    return df.withColumn(out, fold_col(group_key, k, seed))
+    return df.withColumn(out, fold_col(group_key, k, seed, method))
 
 
 def fold_sizes(df: DataFrame, fold: str = "fold", group_key=None) -> DataFrame:

@@ -193,3 +193,12 @@ def test_exact_mae_is_partition_independent(fact):
     vals = {me.mae(p.repartition(n), exact=True).first()["mae"] for n in (1, 7, 64)}
     assert len(vals) == 1
     assert round(vals.pop(), 6) == 124745.804755
+
+
+def test_xxhash_folds_are_balanced_and_stable(spark, fact):
+    a = fo.assign_fold(fact.select("id"), "id", K, method="xxhash64", out="f2")
+    b = fo.assign_fold(fact.select("id").repartition(13), "id", K, method="xxhash64", out="f3")
+    j = a.join(b, "id")
+    assert j.where("f2 <> f3").count() == 0
+    sizes = [r["count"] for r in a.groupBy("f2").count().collect()]
+    assert len(sizes) == K and min(sizes) > 0.18 * 15000
