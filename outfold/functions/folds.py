@@ -30,14 +30,18 @@ def fold_col(cols, k: int, seed=None, method: str = "md5") -> Column:
     """Fold number in ``0..k-1`` for the key column(s) ``cols``.
 
     Keys must be integers or strings: doubles print differently across engines.
-    ``method="xxhash64"`` is about five times cheaper per row and equally
-    stateless and repeatable, but has no SQL twin in other engines; use it
-    where no cross-engine check is needed.
+    ``method="xxhash64"`` hashes the typed key columns directly, several
+    times cheaper per row and equally stateless and repeatable, but it has no
+    SQL twin in other engines (and an int key hashes unlike the same value as
+    a bigint); use it where no cross-engine check is needed.
     """
     if k < 1:
         raise ValueError("k must be >= 1")
     if method == "xxhash64":
-        return F.pmod(F.xxhash64(_key(cols, seed)), F.lit(k).cast("bigint"))
+        cs = [cols] if isinstance(cols, (str, Column)) else list(cols)
+        parts = ([F.lit(str(seed))] if seed is not None else []) + [
+            F.col(c) if isinstance(c, str) else c for c in cs]
+        return F.pmod(F.xxhash64(*parts), F.lit(k).cast("bigint"))
     if method != "md5":
         raise ValueError(f"unknown method {method!r}")
     return hash32(cols, seed) % F.lit(k).cast("bigint")
