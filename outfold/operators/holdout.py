@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from outfold.functions.folds import fold_col
 from outfold.functions.safe import safe_div
-from outfold.operators.joins import broadcast_checked
+from outfold.operators.joins import broadcast_if_small, materialize
 
 HOLD_SEED = "hold"
 
@@ -20,10 +20,12 @@ def split_holdout(df: DataFrame, key, parts: int = 10, seed: str = HOLD_SEED,
 
 
 def fit_group_mean(train: DataFrame, y: str, by) -> tuple[DataFrame, DataFrame]:
-    """(by, sum, count) per group, and the one-row global (sum, count)."""
+    """(by, sum, count) per group, materialised once, and the one-row global
+    (sum, count) derived from it (the null group included), so the training
+    rows are read once."""
     by = [by] if isinstance(by, str) else list(by)
-    model = train.groupBy(*by).agg(F.sum(y).alias("__gs"), F.count(y).alias("__gn"))
-    glob = train.agg(F.sum(y).alias("__s"), F.count(y).alias("__n"))
+    model = materialize(train.groupBy(*by).agg(F.sum(y).alias("__gs"), F.count(y).alias("__gn")))
+    glob = model.agg(F.sum("__gs").alias("__s"), F.sum("__gn").alias("__n"))
     return model, glob
 
 
@@ -33,7 +35,7 @@ def score_group_mean(test: DataFrame, model: DataFrame, glob: DataFrame, by,
     global training mean (a scalar subquery, no join)."""
     by = [by] if isinstance(by, str) else list(by)
     gmean = glob.select(safe_div("__s", "__n")).scalar()
-    j = test.join(broadcast_checked(model), on=by, how="left")
+    j = test.join(broadcast_if_small(model), on=by, how="left")
     return j.withColumn(out, F.coalesce(safe_div("__gs", "__gn"), gmean)).drop("__gs", "__gn")
 
 

@@ -65,18 +65,22 @@ def broadcast_threshold(spark) -> int:
     return int(v)
 
 
-def broadcast_checked(df: DataFrame, max_bytes: int | None = None) -> DataFrame:
-    """Materialise a data-derived table, then hint it as broadcast only if
-    rows x estimated row width is within ``max_bytes`` (default: the
+def broadcast_if_small(m: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """For an already materialised table: count it and hint it as broadcast
+    only if rows x estimated row width is within ``max_bytes`` (default: the
     session's broadcast threshold; a negative threshold never broadcasts)."""
-    m = materialize(df)
-    limit = broadcast_threshold(df.sparkSession) if max_bytes is None else max_bytes
+    limit = broadcast_threshold(m.sparkSession) if max_bytes is None else max_bytes
     if limit < 0:
         return m
     n = m.count()
     return F.broadcast(m) if n * _row_bytes(m.schema) <= limit else m
 
 
+def broadcast_checked(df: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """Materialise a data-derived table, then ``broadcast_if_small``."""
+    return broadcast_if_small(materialize(df), max_bytes)
+
+
 def join_keys(left: DataFrame, right: DataFrame, keys, how: str = "inner",
               null_safe: bool = False) -> DataFrame:
     """Equi-join on same-named ``keys``; ``null_safe`` matches null to null.

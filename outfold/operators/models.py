@@ -1,10 +1,12 @@
 """Out-of-fold fitted models: linear least squares (D17) and gradient-boosted
 trees with absolute loss (D18).
 
-D17 needs one pass: per-fold sums of centred features and target are
-aggregated once, the training sums of fold f are the totals minus fold f,
-and the p x p normal equations of each fold are solved on the driver. Only
-k rows of O(p^2) sums reach the driver; no data row does.
+D17 needs one pass over the data: per fold, Spark's numerically stable
+moment aggregates (``avg``, ``covar_pop``) give the count, means and
+co-moments of the features and the target; the training moments of fold t
+are the exact parallel combination of the other folds' moments, and the
+p x p normal equations of each fold are solved on the driver. Only k rows of
+O(p^2) moments reach the driver; no data row does.
 """
 
 from __future__ import annotations
@@ -20,66 +22,61 @@ from outfold.operators.joins import broadcast_bounded
 from outfold.session import shared_dir
 
 
-def _centres(df: DataFrame, xs, y):
-    """Global means of features and target, as scalar subqueries."""
-    return {c: df.agg(F.avg(c)).scalar() for c in [*xs, y]}
-
-
 def fold_moments(df: DataFrame, fold: str, y: str, xs) -> DataFrame:
-    """Per fold: n and sums of centred x_i, y, x_i*x_j, x_i*y over complete
-    rows (no null in y or any x). One aggregate, k rows out."""
+    """Per fold over complete rows (no null in y or any x): n, the means of
+    every x_i and y, and the population co-moments cov(x_i, x_j), cov(x_i, y).
+    One aggregate, k rows out."""
     xs = list(xs)
     complete = F.col(y).isNotNull()
     for c in xs:
         complete = complete & F.col(c).isNotNull()
-    m = _centres(df.where(complete), xs, y)
-    a = {c: F.col(c) - m[c] for c in xs}
-    b = F.col(y) - m[y]
-    aggs = [F.count(F.lit(1)).alias("n"), F.sum(b).alias("sb"), F.sum(b * b).alias("sbb")]
-    aggs += [F.sum(a[c]).alias(f"sa_{i}") for i, c in enumerate(xs)]
-    aggs += [F.sum(a[c] * b).alias(f"sab_{i}") for i, c in enumerate(xs)]
-    aggs += [F.sum(a[ci] * a[cj]).alias(f"saa_{i}_{j}")
-             for (i, ci), (j, cj) in combinations_with_replacement(list(enumerate(xs)), 2)]
-    out = df.where(complete).groupBy(fold).agg(*aggs)
-    for c in [*xs, y]:
-        out = out.withColumn(f"m_{c}", m[c])
-    return out
+    cols = [*xs, y]
+    aggs = [F.count(F.lit(1)).alias("n")]
+    aggs += [F.avg(c).alias(f"m_{i}") for i, c in enumerate(cols)]
+    aggs += [F.covar_pop(cols[i], cols[j]).alias(f"c_{i}_{j}")
+             for i, j in combinations_with_replacement(range(len(cols)), 2)]
+    return df.where(complete).groupBy(fold).agg(*aggs)
+
+
+def _merge(parts: list, p1: int):
+    """Exact combination of (n, means, co-moment matrix) of several folds."""
+    n = sum(r[0] for r in parts)
+    if n == 0:
+        return 0, None, None
+    mean = sum(r[0] * r[1] for r in parts) / n
+    com = np.zeros((p1, p1))
+    for cnt, mu, cov in parts:
+        d = mu - mean
+        com += cnt * cov + cnt * np.outer(d, d)
+    return n, mean, com
 
 
 def solve_folds(moments: list, xs, y, k: int, l2: float = 0.0, fold: str = "fold") -> list[dict]:
-    """Coefficients per fold from the fold moments (rows collected from
-    ``fold_moments``: at most k rows). Ridge ``l2`` adds to the diagonal of
-    the centred normal equations (the intercept is not penalised)."""
+    """Coefficients per target fold from the fold moments (at most k rows).
+    Ridge ``l2`` adds to the diagonal of the centred normal equations (the
+    intercept is not penalised)."""
     p = len(xs)
-    by_fold = {int(r[fold]): r for r in moments}
-    keys = [kk for kk in moments[0].asDict() if kk != fold and not kk.startswith("m_")] \
-        if moments else []
-    tot = {kk: sum(float(r[kk] or 0.0) for r in moments) for kk in keys}
+    p1 = p + 1
+    per = {}
+    for r in moments:
+        mu = np.array([r[f"m_{i}"] for i in range(p1)], dtype=float)
+        cov = np.zeros((p1, p1))
+        for i, j in combinations_with_replacement(range(p1), 2):
+            cov[i, j] = cov[j, i] = r[f"c_{i}_{j}"]
+        per[int(r[fold])] = (int(r["n"]), mu, cov)
     out = []
-    for f in range(k):
-        own = by_fold.get(f)
-        s = {kk: tot[kk] - (float(own[kk] or 0.0) if own is not None else 0.0) for kk in keys}
-        n = s["n"]
+    for t in range(k):
+        n, mean, com = _merge([v for f, v in per.items() if f != t], p1)
         if n < 1:
-            out.append({"fold": f, "intercept": None, **{f"b_{i}": None for i in range(p)}})
+            out.append({"fold": t, "intercept": None, **{f"b_{i}": None for i in range(p)}})
             continue
-        ma = np.array([s[f"sa_{i}"] / n for i in range(p)])
-        mb = s["sb"] / n
-        A = np.zeros((p, p))
-        for i in range(p):
-            for j in range(i, p):
-                v = s[f"saa_{i}_{j}"] - n * ma[i] * ma[j]
-                A[i, j] = A[j, i] = v
-        rhs = np.array([s[f"sab_{i}"] - n * ma[i] * mb for i in range(p)])
-        A = A + l2 * np.eye(p)
+        A = com[:p, :p] + l2 * np.eye(p)
+        rhs = com[:p, p]
         try:
             beta = np.linalg.solve(A, rhs)
         except np.linalg.LinAlgError:
             beta = np.linalg.lstsq(A, rhs, rcond=None)[0]
-        m0 = moments[0]
-        mx = np.array([m0[f"m_{c}"] for c in xs]) + ma
-        my = m0[f"m_{y}"] + mb
-        out.append({"fold": f, "intercept": float(my - mx @ beta),
+        out.append({"fold": t, "intercept": float(mean[p] - mean[:p] @ beta),
                     **{f"b_{i}": float(beta[i]) for i in range(p)}})
     return out
 

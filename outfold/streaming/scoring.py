@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from outfold.functions.safe import abs_err, safe_div
-from outfold.operators.joins import broadcast_checked
+from outfold.operators.joins import broadcast_if_small
 from outfold.session import scratch_path
 
 
@@ -26,7 +26,7 @@ def score_stream(stream: DataFrame, model: DataFrame, glob: DataFrame, by,
     by = [by] if isinstance(by, str) else list(by)
     g = glob.select(safe_div("__s", "__n").alias("__glob"))
     gmean = g.first()["__glob"]
-    j = stream.join(broadcast_checked(model), on=by, how="left")
+    j = stream.join(broadcast_if_small(model), on=by, how="left")
     return j.withColumn(out, F.coalesce(safe_div("__gs", "__gn"), F.lit(gmean))).drop("__gs", "__gn")
 
 
