@@ -45,7 +45,10 @@ def oof_group_sums(df: DataFrame, fold: str, y: str, by, stats: DataFrame | None
     """
     by = _cols(by)
     st = stats if stats is not None else group_fold_sums(df, fold, y, by)
-    w = Window.partitionBy(*by)
+    # ordered by fold so the k partial sums are added in the same order on
+    # every run (shuffle fetch order would otherwise decide the last bits)
+    w = (Window.partitionBy(*by).orderBy(fold)
+         .rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     return st.select(
         *by, fold,
         (F.coalesce(F.sum("__s").over(w), F.lit(0.0)) - F.coalesce(F.col("__s"), F.lit(0.0)))

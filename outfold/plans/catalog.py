@@ -52,14 +52,31 @@ ORDERS_FACT_SQL = f"""
          o_custkey AS cust, o_totalprice AS y, {fold_sql('o_orderkey', K)} AS fold
   FROM orders"""
 
-# Out-of-fold group mean per row, direct form: a correlated average over the
-# other folds, falling back to the average of all other folds.
+def fold_sums_sql(name: str, src: str, keys=(), fold: str = "fold", y: str = "y") -> str:
+    """CTE with the sum and count of ``y`` per (keys, fold): one plain GROUP BY."""
+    cols = "".join(f"{k}, " for k in keys)
+    return (f"{name} AS (SELECT {cols}{fold} AS fold, sum({y}) AS s, count({y}) AS n "
+            f"FROM {src} GROUP BY {cols}{fold})")
+
+
+def other_folds_sql(cte: str, keys=(), fold: str = "fold", what: str = "mean") -> str:
+    """Correlated aggregate over the *other* folds' rows of the same keys (the
+    direct form: no total-minus-own subtraction). Summing per-fold partial
+    sums keeps DuckDB's float results the same on every run."""
+    cond = " AND ".join([f"x.{k} = b.{k}" for k in keys] + [f"x.fold <> b.{fold}"])
+    expr = {"mean": "sum(x.s) / nullif(sum(x.n), 0)", "s": "sum(x.s)", "n": "sum(x.n)"}[what]
+    return f"(SELECT {expr} FROM {cte} x WHERE {cond})"
+
+
+# Out-of-fold group mean per row, direct form: the mean over the other folds'
+# rows of the group, falling back to the mean over all other folds' rows.
 ORDERS_OOF_SQL = f"""
   f AS ({ORDERS_FACT_SQL}),
+  {fold_sums_sql('fg', 'f', ['g'])},
+  {fold_sums_sql('fa', 'f')},
   p AS (
     SELECT b.*,
-           coalesce((SELECT avg(x.y) FROM f x WHERE x.g = b.g AND x.fold <> b.fold),
-                    (SELECT avg(x.y) FROM f x WHERE x.fold <> b.fold)) AS pred
+           coalesce({other_folds_sql('fg', ['g'])}, {other_folds_sql('fa')}) AS pred
     FROM f b)"""
 
 MAE_SQL = """round(avg(abs(y - pred)), 6) AS mae,
@@ -67,6 +84,13 @@ MAE_SQL = """round(avg(abs(y - pred)), 6) AS mae,
        count(*) - count(abs(y - pred)) AS n_missing"""
 
 
+# The order-independent form (metrics.mae(exact=True)): errors summed as decimals.
+MAE_EXACT_SQL = """round(CAST(sum(CAST(abs(y - pred) AS DECIMAL(38,9))) AS DOUBLE)
+             / count(abs(y - pred)), 6) AS mae,
+       count(abs(y - pred)) AS n_scored,
+       count(*) - count(abs(y - pred)) AS n_missing"""
+
+
 def _r6(*cols):
     return [F.round(c, 6).alias(c) for c in cols]
 
@@ -184,11 +208,10 @@ def q_mae_by_segment(spark, sf_dir):
 
 @register("score_gap", oracle=f"""
 WITH {HOLD_SQL},
-tf AS (SELECT * FROM tr),
-tp AS (SELECT b.y,
-              coalesce((SELECT avg(x.y) FROM tf x WHERE x.g = b.g AND x.fold <> b.fold),
-                       (SELECT avg(x.y) FROM tf x WHERE x.fold <> b.fold)) AS pred
-       FROM tf b),
+{fold_sums_sql('tg', 'tr', ['g'])},
+{fold_sums_sql('ta', 'tr')},
+tp AS (SELECT b.y, coalesce({other_folds_sql('tg', ['g'])}, {other_folds_sql('ta')}) AS pred
+       FROM tr b),
 s AS (SELECT (SELECT avg(abs(y - pred)) FROM tp) AS mae_oof,
              (SELECT avg(abs(y - pred)) FROM hp) AS mae_holdout,
              (SELECT count(abs(y - pred)) FROM tp) AS n_oof,
@@ -237,12 +260,13 @@ def orders_two_models(spark, sf_dir):
 TWO_MODELS_SQL = f"""
   f AS (SELECT o.*, c.c_mktsegment AS seg
         FROM ({ORDERS_FACT_SQL}) o LEFT JOIN customer c ON o.cust = c.c_custkey),
+  {fold_sums_sql('fg', 'f', ['g'])},
+  {fold_sums_sql('fs', 'f', ['seg'])},
+  {fold_sums_sql('fa', 'f')},
   p AS (
     SELECT b.*,
-           coalesce((SELECT avg(x.y) FROM f x WHERE x.g = b.g AND x.fold <> b.fold),
-                    (SELECT avg(x.y) FROM f x WHERE x.fold <> b.fold)) AS p1,
-           coalesce((SELECT avg(x.y) FROM f x WHERE x.seg = b.seg AND x.fold <> b.fold),
-                    (SELECT avg(x.y) FROM f x WHERE x.fold <> b.fold)) AS p2
+           coalesce({other_folds_sql('fg', ['g'])}, {other_folds_sql('fa')}) AS p1,
+           coalesce({other_folds_sql('fs', ['seg'])}, {other_folds_sql('fa')}) AS p2
     FROM f b)"""
 
 
@@ -530,11 +554,13 @@ ORDERS_CUST_SQL = f"""
 
 @register("oof_encode", oracle=f"""
 WITH {ORDERS_CUST_SQL},
+{fold_sums_sql('fs', 'f', ['seg'])},
+{fold_sums_sql('fa', 'f')},
 p AS (
   SELECT b.id, b.fold,
-         (SELECT sum(x.y) FROM f x WHERE x.seg = b.seg AND x.fold <> b.fold) AS s,
-         (SELECT count(x.y) FROM f x WHERE x.seg = b.seg AND x.fold <> b.fold) AS n,
-         (SELECT avg(x.y) FROM f x WHERE x.fold <> b.fold) AS g
+         {other_folds_sql('fs', ['seg'], what='s')} AS s,
+         {other_folds_sql('fs', ['seg'], what='n')} AS n,
+         {other_folds_sql('fa')} AS g
   FROM f b)
 SELECT id, fold, round((coalesce(s, 0) + 20 * g) / (coalesce(n, 0) + 20), 6) AS seg_te FROM p""")
 def q_oof_encode(spark, sf_dir):
@@ -550,11 +576,11 @@ p AS (
          coalesce((SELECT quantile_cont(x.y, 0.5) FROM f x WHERE x.g = b.g AND x.fold <> b.fold),
                   (SELECT quantile_cont(x.y, 0.5) FROM f x WHERE x.fold <> b.fold)) AS pred
   FROM f b)
-SELECT {MAE_SQL} FROM p""")
+SELECT {MAE_EXACT_SQL} FROM p""")
 def q_oof_group_median(spark, sf_dir):
     r = oof.oof_median(orders_fact(spark, sf_dir), fold="fold", y="y", by="g", k=K,
                        method="exact")
-    return me.mae(r).select(F.round("mae", 6).alias("mae"), "n_scored", "n_missing")
+    return me.mae(r, exact=True).select(F.round("mae", 6).alias("mae"), "n_scored", "n_missing")
 
 
 @register("oof_group_median_sketch",
@@ -591,13 +617,16 @@ def q_oof_gbt(spark, sf_dir):
 
 @register("oof_encode_many", oracle=f"""
 WITH {ORDERS_CUST_SQL},
+{fold_sums_sql('fs', 'f', ['seg'])},
+{fold_sums_sql('fg', 'f', ['g'])},
+{fold_sums_sql('fa', 'f')},
 p AS (
   SELECT b.id, b.fold,
-         (SELECT sum(x.y) FROM f x WHERE x.seg = b.seg AND x.fold <> b.fold) AS s1,
-         (SELECT count(x.y) FROM f x WHERE x.seg = b.seg AND x.fold <> b.fold) AS n1,
-         (SELECT sum(x.y) FROM f x WHERE x.g = b.g AND x.fold <> b.fold) AS s2,
-         (SELECT count(x.y) FROM f x WHERE x.g = b.g AND x.fold <> b.fold) AS n2,
-         (SELECT avg(x.y) FROM f x WHERE x.fold <> b.fold) AS gm
+         {other_folds_sql('fs', ['seg'], what='s')} AS s1,
+         {other_folds_sql('fs', ['seg'], what='n')} AS n1,
+         {other_folds_sql('fg', ['g'], what='s')} AS s2,
+         {other_folds_sql('fg', ['g'], what='n')} AS n2,
+         {other_folds_sql('fa')} AS gm
   FROM f b)
 SELECT id, fold,
        round((coalesce(s1, 0) + 20 * gm) / (coalesce(n1, 0) + 20), 6) AS seg_te,
@@ -620,13 +649,15 @@ LINEITEM_FOLDS_SQL = f"""
 
 @register("fold_kind_mae", oracle=f"""
 WITH {LINEITEM_FOLDS_SQL},
-po AS (SELECT b.y,
-              coalesce((SELECT avg(x.y) FROM f x WHERE x.p = b.p AND x.fold_order <> b.fold_order),
-                       (SELECT avg(x.y) FROM f x WHERE x.fold_order <> b.fold_order)) AS pred
+{fold_sums_sql('go', 'f', ['p'], fold='fold_order')},
+{fold_sums_sql('ao', 'f', fold='fold_order')},
+{fold_sums_sql('gp', 'f', ['p'], fold='fold_part')},
+{fold_sums_sql('ap', 'f', fold='fold_part')},
+po AS (SELECT b.y, coalesce({other_folds_sql('go', ['p'], fold='fold_order')},
+                            {other_folds_sql('ao', fold='fold_order')}) AS pred
        FROM f b),
-pp AS (SELECT b.y,
-              coalesce((SELECT avg(x.y) FROM f x WHERE x.p = b.p AND x.fold_part <> b.fold_part),
-                       (SELECT avg(x.y) FROM f x WHERE x.fold_part <> b.fold_part)) AS pred
+pp AS (SELECT b.y, coalesce({other_folds_sql('gp', ['p'], fold='fold_part')},
+                            {other_folds_sql('ap', fold='fold_part')}) AS pred
        FROM f b)
 SELECT 'order' AS fold_kind, {MAE_SQL} FROM po
 UNION ALL

@@ -51,11 +51,21 @@ def compare(spark_df, con, sql):
     res = con.execute(sql)
     d_cols = [c[0] for c in res.description]
     d_rows = res.fetchall()
+    match = (len(s_rows) == len(d_rows) and sorted(s_cols) == sorted(d_cols)
+             and digest(s_cols, s_rows) == digest(d_cols, d_rows))
+    diff = []
+    if not match and sorted(s_cols) == sorted(d_cols):
+        so = sorted(range(len(s_cols)), key=lambda i: s_cols[i])
+        do = sorted(range(len(d_cols)), key=lambda i: d_cols[i])
+        sset = {tuple(_norm(r[i]) for i in so) for r in s_rows}
+        dset = {tuple(_norm(r[i]) for i in do) for r in d_rows}
+        diff = [("spark", x) for x in sorted(sset - dset)[:5]] + \
+               [("duck", x) for x in sorted(dset - sset)[:5]]
     return {
+        "diff": diff,
         "rows": (len(s_rows), len(d_rows)),
         "cols": (sorted(s_cols), sorted(d_cols)),
-        "match": (len(s_rows) == len(d_rows) and sorted(s_cols) == sorted(d_cols)
-                  and digest(s_cols, s_rows) == digest(d_cols, d_rows)),
+        "match": match,
         "spark_sample": s_rows[:3],
         "duck_sample": d_rows[:3],
     }
