@@ -65,15 +65,22 @@ def broadcast_threshold(spark) -> int:
     return int(v)
 
 
+def broadcast_sized(df: DataFrame, n_rows: int, max_bytes: int | None = None) -> DataFrame:
+    """Hint ``df`` as broadcast only if ``n_rows`` (a measured count or a
+    proven upper bound) x estimated row width is within ``max_bytes``
+    (default: the session's broadcast threshold; negative never broadcasts)."""
+    limit = broadcast_threshold(df.sparkSession) if max_bytes is None else max_bytes
+    if limit < 0:
+        return df
+    return F.broadcast(df) if n_rows * _row_bytes(df.schema) <= limit else df
+
+
 def broadcast_if_small(m: DataFrame, max_bytes: int | None = None) -> DataFrame:
-    """For an already materialised table: count it and hint it as broadcast
-    only if rows x estimated row width is within ``max_bytes`` (default: the
-    session's broadcast threshold; a negative threshold never broadcasts)."""
+    """For an already materialised table: count it, then ``broadcast_sized``."""
     limit = broadcast_threshold(m.sparkSession) if max_bytes is None else max_bytes
     if limit < 0:
         return m
-    n = m.count()
-    return F.broadcast(m) if n * _row_bytes(m.schema) <= limit else m
+    return broadcast_sized(m, m.count(), max_bytes)
 
 
 def broadcast_checked(df: DataFrame, max_bytes: int | None = None) -> DataFrame:

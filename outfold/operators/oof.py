@@ -17,7 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from outfold.functions.safe import safe_div
-from outfold.operators.joins import broadcast_bounded, broadcast_checked, materialize
+from outfold.operators.joins import (broadcast_bounded, broadcast_checked, broadcast_sized,
+                                     materialize)
 from outfold.operators.quantiles import exact_quantiles
 
 
@@ -89,7 +90,8 @@ def oof_encode(df: DataFrame, col="g", y: str = "y", fold: str = "fold", k: int
     by = _cols(col)
     out = out or (f"{by[0]}_te" if m is not None else "pred")
     st = materialize(group_fold_sums(df, fold, y, by))
-    sums = broadcast_checked(oof_group_sums(df, fold, y, by, stats=st))
+    # the window keeps one row per (group, fold): the stats count sizes it
+    sums = broadcast_sized(oof_group_sums(df, fold, y, by, stats=st), st.count())
     glob = oof_global_sums(df, fold, y, k, stats=st)
     j = df.join(sums, on=[*by, fold], how="left").join(glob, on=fold, how="left")
     g_mean = safe_div("gs_oof", "gn_oof")
@@ -114,6 +116,7 @@ def oof_encode_many(df: DataFrame, cols, y: str = "y", fold: str = "fold", k: in
         F.sum(y).alias("__s"), F.count(y).alias("__n"),
         *[F.grouping(c).alias(f"__g_{c}") for c in cols])
     st = materialize(st)
+    n_st = st.count()   # an upper bound on every column's (value, fold) rows
     per_col = {c: st.where(F.col(f"__g_{c}") == 0).select(c, fold, "__s", "__n") for c in cols}
     glob = oof_global_sums(df, fold, y, k, stats=per_col[cols[0]])
     out = df.join(glob, on=fold, how="left")
@@ -121,7 +124,7 @@ def oof_encode_many(df: DataFrame, cols, y: str = "y", fold: str = "fold", k: in
     for c in cols:
         sums = oof_group_sums(df, fold, y, c, stats=per_col[c]).select(
             c, fold, F.col("s_oof").alias("__so"), F.col("n_oof").alias("__no"))
-        out = out.join(broadcast_checked(sums), on=[c, fold], how="left")
+        out = out.join(broadcast_sized(sums, n_st), on=[c, fold], how="left")
         s = F.coalesce(F.col("__so"), F.lit(0.0))
         n = F.coalesce(F.col("__no"), F.lit(0)).cast("double")
         if m is None:
@@ -143,7 +146,8 @@ def oof_median(df: DataFrame, fold: str = "fold", y: str = "y", by="g", k: int =
     ``method="sketch"`` (the scalable default for large data): one KLL sketch
     per (group, fold) is aggregated map-side, and only the sketches are
     replicated to the k-1 folds they train and merged; the rows are read
-    once and never replicated, and every buffer has a bounded size.
+    once and never replicated, and every buffer has a bounded size. Sketches
+    are approximate and their last digits depend on the merge order.
 
     ``method="exact"``: ``exact_quantiles`` in fold mode: histogram
     refinement with per-fold counts, training counts as total minus own fold;
