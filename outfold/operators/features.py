@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from outfold.functions.safe import safe_div
 from outfold.operators.checks import check_unique
-from outfold.operators.joins import broadcast_bounded, broadcast_checked
+from outfold.operators.joins import broadcast_bounded, broadcast_checked, materialize
 from outfold.operators.quantiles import exact_quantiles, quantile_agg
 
 
@@ -44,38 +44,46 @@ def impute(df: DataFrame, cols, by=None, stat: str = "median", fit_on: DataFrame
     on ``fit_on`` (default ``df``), falling back to the overall statistic;
     add a ``<col>_was_null`` flag per column.
 
-    Exact medians use ``exact_quantiles`` (no group's values in one task);
-    ``exact=False`` uses ``percentile_approx``.
+    All columns are handled together: the fit rows are unpivoted to
+    (column, value), so one statistic per (column, group) and one per column
+    come from a single search each (exact medians by ``exact_quantiles``,
+    never a whole group in one task; ``exact=False`` uses
+    ``percentile_approx``), and the group table is pivoted back to one row
+    per group for a single measured join.
     """
     cols = [cols] if isinstance(cols, str) else list(cols)
     fit = fit_on if fit_on is not None else df
     if stat not in ("median", "mean"):
         raise ValueError(f"unknown stat {stat!r}")
     by = [] if by is None else ([by] if isinstance(by, str) else list(by))
+    long = fit.select(*by, F.inline(F.array(*[
+        F.struct(F.lit(c).alias("__col"), F.col(c).cast("double").alias("__x")) for c in cols])))
 
-    def stats(c, keys):
+    def stats(keys):
         if stat == "mean":
-            return fit.groupBy(*keys).agg(F.avg(c).alias("__v"))
+            return long.groupBy(*keys).agg(F.avg("__x").alias("__v"))
         if exact:
-            return exact_quantiles(fit, c, [0.5], by=keys, out="__q").select(
+            return exact_quantiles(long, "__x", [0.5], by=keys, out="__q").select(
                 *keys, F.col("__q")[0].alias("__v"))
-        return fit.groupBy(*keys).agg(
-            quantile_agg(F.col(c).cast("double"), [0.5], exact=False)[0].alias("__v"))
+        return long.groupBy(*keys).agg(
+            quantile_agg(F.col("__x"), [0.5], exact=False)[0].alias("__v"))
 
+    def wide(t, keys):
+        """One row per ``keys`` with a ``__fill_<col>`` column per column."""
+        return t.groupBy(*keys).pivot("__col", cols).agg(F.first("__v")).select(
+            *keys, *[F.col(c).alias(f"__fill_{c}") for c in cols])
+
+    glob = materialize(wide(stats(["__col"]), []))
     out = df
     for c in cols:
         out = out.withColumn(f"{c}{flag_suffix}", F.col(c).isNull())
+    if by:
+        out = out.join(broadcast_checked(wide(stats(["__col", *by]), by)), on=by, how="left")
     for c in cols:
-        glob = stats(c, []).select("__v").scalar()
-        fill = [glob]
-        if by:
-            grp = broadcast_checked(stats(c, by).withColumnRenamed("__v", f"__fill_{c}"))
-            out = out.join(grp, on=by, how="left")
-            fill = [F.col(f"__fill_{c}"), glob]
-        out = out.withColumn(c, F.coalesce(F.col(c).cast("double"), *fill))
-        if by:
-            out = out.drop(f"__fill_{c}")
-    return out
+        fill = [F.col(f"__fill_{c}")] if by else []
+        out = out.withColumn(c, F.coalesce(F.col(c).cast("double"), *fill,
+                                           glob.select(f"__fill_{c}").scalar()))
+    return out.drop(*[f"__fill_{c}" for c in cols]) if by else out
 
 
 def category_values(df: DataFrame, col: str, max_values: int = 1000) -> list:

@@ -202,3 +202,15 @@ def test_csv_to_parquet(spark, layout_dir):
     out = scratch_path(spark, "layout-pq")
     pq = tables.csv_to_parquet(spark, layout_dir, out, LAYOUT_SCHEMA)
     assert pq.count() == 300 and pq.schema == LAYOUT_SCHEMA
+
+
+def test_impute_many_columns_and_mean(spark):
+    df = spark.createDataFrame(
+        [(1, "a", 1.0, None), (2, "a", None, 4.0), (3, "a", 3.0, 6.0), (4, "b", None, None),
+         (5, "b", 7.0, 8.0)], "id int, g string, x double, z double")
+    got = {r["id"]: (r["x"], r["z"]) for r in fe.impute(df, ["x", "z"], by="g").collect()}
+    assert got[2] == (2.0, 4.0) and got[1] == (1.0, 5.0) and got[4] == (7.0, 8.0)
+    glob = {r["id"]: (r["x"], r["z"]) for r in fe.impute(df, ["x", "z"]).collect()}
+    assert glob[4] == (3.0, 6.0)
+    mean = {r["id"]: r["x"] for r in fe.impute(df, ["x"], by="g", stat="mean").collect()}
+    assert mean[2] == 2.0 and mean[4] == 7.0
