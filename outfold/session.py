@@ -59,6 +59,10 @@ def shared_dir(spark: SparkSession) -> str:
         return d
     d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not d:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors "
+                               "(HDFS, object store); a machine-local folder cannot hold "
+                               "checkpoints on a cluster")
         d = tempfile.mkdtemp(prefix="outfold-ckpt-")
     sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d
