@@ -89,7 +89,8 @@ def oof_encode(df: DataFrame, col="g", y: str = "y", fold: str = "fold", k: int
     """
     by = _cols(col)
     out = out or (f"{by[0]}_te" if m is not None else "pred")
-    st = materialize(group_fold_sums(df, fold, y, by))
+    # a row without a fold (null key) trains nothing
+    st = materialize(group_fold_sums(df.where(F.col(fold).isNotNull()), fold, y, by))
     # the window keeps one row per (group, fold): the stats count sizes it
     sums = broadcast_sized(oof_group_sums(df, fold, y, by, stats=st), st.count())
     glob = oof_global_sums(df, fold, y, k, stats=st)
@@ -112,7 +113,7 @@ def oof_encode_many(df: DataFrame, cols, y: str = "y", fold: str = "fold", k: in
     ``oof_encode`` with its own measured join back."""
     cols = list(cols)
     sets = [[c, fold] for c in cols]
-    st = df.groupingSets(sets, *cols, fold).agg(
+    st = df.where(F.col(fold).isNotNull()).groupingSets(sets, *cols, fold).agg(
         F.sum(y).alias("__s"), F.count(y).alias("__n"),
         *[F.grouping(c).alias(f"__g_{c}") for c in cols])
     st = materialize(st)
@@ -155,7 +156,7 @@ def oof_median(df: DataFrame, fold: str = "fold", y: str = "y", by="g", k: int =
     intervals, and no task holds a whole group.
     """
     by = _cols(by)
-    base = df.where(F.col(y).isNotNull())
+    base = df.where(F.col(y).isNotNull() & F.col(fold).isNotNull())
     if method == "exact":
         grp = exact_quantiles(base, y, [0.5], by=by, fold=fold, k=k, out="__q").select(
             *by, fold, F.col("__q")[0].alias("__gm"))

@@ -65,6 +65,8 @@ def exact_quantiles(df: DataFrame, x: str, probs, by=(), fold: str | None = None
     xv = F.col(x).cast("double")
     cols = [*by, *([F.col(fold).cast("bigint").alias("__f")] if folded else []), xv.alias("__x")]
     base = df.select(*cols).where(F.col("__x").isNotNull() & ~F.isnan("__x"))
+    if folded:
+        base = base.where(F.col("__f").isNotNull())   # a row without a fold trains nothing
     if not by:
         base = base.withColumn("__g0", F.lit(0))
         by_k = ["__g0"]

@@ -202,3 +202,18 @@ def test_xxhash_folds_are_balanced_and_stable(spark, fact):
     assert j.where("f2 <> f3").count() == 0
     sizes = [r["count"] for r in a.groupBy("f2").count().collect()]
     assert len(sizes) == K and min(sizes) > 0.18 * 15000
+
+
+def test_row_without_fold_trains_nothing(spark):
+    rows = [(1, "a", 10.0), (2, "a", 20.0), (None, "a", 1000.0), (4, "a", 30.0), (5, "a", 40.0)]
+    df = fo.assign_fold(spark.createDataFrame(rows, "id long, g string, y double"), "id", 2)
+    base = fo.assign_fold(spark.createDataFrame([r for r in rows if r[0] is not None],
+                                                "id long, g string, y double"), "id", 2)
+    for fn in (lambda d: oof.oof_predict(d, by="g", k=2),
+               lambda d: oof.oof_median(d, by="g", k=2, method="exact"),
+               lambda d: oof.oof_encode_many(d, ["g"], k=2, m=None, suffix="_p")
+               .withColumnRenamed("g_p", "pred")):
+        with_null = {r["id"]: r["pred"] for r in fn(df).collect()}
+        without = {r["id"]: r["pred"] for r in fn(base).collect()}
+        assert with_null.pop(None) is None
+        assert with_null == pytest.approx(without)
