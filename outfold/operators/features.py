@@ -39,11 +39,16 @@ def enrich(fact: DataFrame, dim: DataFrame, key, how: str = "left",
 
 
 def impute(df: DataFrame, cols, by=None, stat: str = "median", fit_on: DataFrame | None = None,
-           exact: bool = True, flag_suffix: str = "_was_null") -> DataFrame:
+           exact: bool = True, flag_suffix: str = "_was_null", fold: str | None = None,
+           k: int | None = None) -> DataFrame:
     """Fill nulls in ``cols`` with the ``by`` group's median (or mean) fitted
     on ``fit_on`` (default ``df``), falling back to the overall statistic;
     add a ``<col>_was_null`` flag per column.
 
+    With ``fold``/``k`` the statistics are out of fold: a row of fold t is
+    filled from the rows of the other folds only, so imputed values feeding a
+    cross-validated model carry nothing from the row's own fold.
+
     All columns are handled together: the fit rows are unpivoted to
     (column, value), so one statistic per (column, group) and one per column
     come from a single search each (exact medians by ``exact_quantiles``,
@@ -55,35 +60,57 @@ def impute(df: DataFrame, cols, by=None, stat: str = "median", fit_on: DataFrame
     fit = fit_on if fit_on is not None else df
     if stat not in ("median", "mean"):
         raise ValueError(f"unknown stat {stat!r}")
+    if fold is not None and not k:
+        raise ValueError("k is required with fold")
     by = [] if by is None else ([by] if isinstance(by, str) else list(by))
-    long = fit.select(*by, F.inline(F.array(*[
+    fk = [fold] if fold is not None else []
+    long = fit.select(*by, *fk, F.inline(F.array(*[
         F.struct(F.lit(c).alias("__col"), F.col(c).cast("double").alias("__x")) for c in cols])))
+    if fold is not None:
+        long = long.where(F.col(fold).isNotNull())
 
     def stats(keys):
+        """(keys, [fold], __v): the statistic per key (per target fold)."""
+        if fold is not None and stat == "mean":
+            per = long.groupBy(*keys, fold).agg(F.sum("__x").alias("__s"), F.count("__x").alias("__n"))
+            tot = per.groupBy(*keys).agg(F.sum("__s").alias("__ts"), F.sum("__n").alias("__tn"))
+            t = tot.withColumn(fold, F.explode(F.sequence(F.lit(0).cast("bigint"),
+                                                          F.lit(k - 1).cast("bigint"))))
+            t = t.join(per, on=[*keys, fold], how="left")
+            return t.select(*keys, fold, safe_div(
+                F.col("__ts") - F.coalesce("__s", F.lit(0.0)),
+                F.col("__tn") - F.coalesce("__n", F.lit(0))).alias("__v"))
         if stat == "mean":
             return long.groupBy(*keys).agg(F.avg("__x").alias("__v"))
         if exact:
-            return exact_quantiles(long, "__x", [0.5], by=keys, out="__q").select(
-                *keys, F.col("__q")[0].alias("__v"))
+            return exact_quantiles(long, "__x", [0.5], by=keys, fold=fold, k=k, out="__q").select(
+                *keys, *fk, F.col("__q")[0].alias("__v"))
+        if fold is not None:
+            raise ValueError("out-of-fold medians need exact=True")
         return long.groupBy(*keys).agg(
             quantile_agg(F.col("__x"), [0.5], exact=False)[0].alias("__v"))
 
-    def wide(t, keys):
-        """One row per ``keys`` with a ``__fill_<col>`` column per column."""
+    def wide(t, keys, pre):
+        """One row per ``keys`` with a ``<pre><col>`` column per column."""
         return t.groupBy(*keys).pivot("__col", cols).agg(F.first("__v")).select(
-            *keys, *[F.col(c).alias(f"__fill_{c}") for c in cols])
+            *keys, *[F.col(c).alias(f"{pre}{c}") for c in cols])
 
-    glob = materialize(wide(stats(["__col"]), []))
     out = df
     for c in cols:
         out = out.withColumn(f"{c}{flag_suffix}", F.col(c).isNull())
+    glob = materialize(wide(stats(["__col"]), fk, "__glob_"))
+    if fold is not None:
+        out = out.join(broadcast_bounded(glob, k), on=fold, how="left")
     if by:
-        out = out.join(broadcast_checked(wide(stats(["__col", *by]), by)), on=by, how="left")
+        out = out.join(broadcast_checked(wide(stats(["__col", *by]), [*by, *fk], "__fill_")),
+                       on=[*by, *fk], how="left")
     for c in cols:
         fill = [F.col(f"__fill_{c}")] if by else []
-        out = out.withColumn(c, F.coalesce(F.col(c).cast("double"), *fill,
-                                           glob.select(f"__fill_{c}").scalar()))
-    return out.drop(*[f"__fill_{c}" for c in cols]) if by else out
+        g = F.col(f"__glob_{c}") if fold is not None else glob.select(f"__glob_{c}").scalar()
+        out = out.withColumn(c, F.coalesce(F.col(c).cast("double"), *fill, g))
+    drop = ([f"__fill_{c}" for c in cols] if by else []) + \
+           ([f"__glob_{c}" for c in cols] if fold is not None else [])
+    return out.drop(*drop)
 
 
 def category_values(df: DataFrame, col: str, max_values: int = 1000) -> list:

@@ -676,3 +676,20 @@ def q_fold_kind_mae(spark, sf_dir):
             F.lit(kind).alias("fold_kind"), F.round("mae", 6).alias("mae"), "n_scored", "n_missing")
         out = r if out is None else out.unionByName(r)
     return out
+
+
+@register("impute_median_oof", oracle=f"""
+WITH c AS (SELECT *, {fold_sql('c_custkey', K)} AS fold FROM ({CUSTOMER_NULLS_SQL}))
+SELECT b.c_custkey, b.fold,
+       round(coalesce(b.c_acctbal,
+         (SELECT quantile_cont(x.c_acctbal, 0.5) FROM c x
+          WHERE x.c_mktsegment = b.c_mktsegment AND x.fold <> b.fold),
+         (SELECT quantile_cont(x.c_acctbal, 0.5) FROM c x WHERE x.fold <> b.fold)), 6) AS c_acctbal,
+       b.c_acctbal IS NULL AS c_acctbal_was_null
+FROM c b""")
+def q_impute_median_oof(spark, sf_dir):
+    """D11 without leaks for cross-validation: a row of fold t is filled from
+    the other folds' rows of its segment."""
+    c = fo.assign_fold(customer_with_nulls(spark, sf_dir), "c_custkey", K)
+    r = fe.impute(c, ["c_acctbal"], by="c_mktsegment", fold="fold", k=K)
+    return r.select("c_custkey", "fold", *_r6("c_acctbal"), "c_acctbal_was_null")

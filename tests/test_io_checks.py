@@ -214,3 +214,19 @@ def test_impute_many_columns_and_mean(spark):
     assert glob[4] == (3.0, 6.0)
     mean = {r["id"]: r["x"] for r in fe.impute(df, ["x"], by="g", stat="mean").collect()}
     assert mean[2] == 2.0 and mean[4] == 7.0
+
+
+@pytest.mark.parametrize("stat", ["median", "mean"])
+def test_impute_out_of_fold(spark, stat):
+    import numpy as np
+    rows = [(i, "ab"[i % 2], None if i % 5 == 0 else float((i * 7) % 13), i % 3) for i in range(40)]
+    df = spark.createDataFrame(rows, "id int, g string, x double, fold long")
+    got = {r["id"]: r["x"] for r in fe.impute(df, "x", by="g", stat=stat, fold="fold", k=3).collect()}
+    agg = np.median if stat == "median" else np.mean
+    for i, g, x, f in rows:
+        if x is not None:
+            assert got[i] == x
+            continue
+        grp = [v for (_, gg, v, ff) in rows if gg == g and ff != f and v is not None]
+        allv = [v for (_, _, v, ff) in rows if ff != f and v is not None]
+        assert got[i] == pytest.approx(agg(grp) if grp else agg(allv))
