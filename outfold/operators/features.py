@@ -153,17 +153,49 @@ def ratio(df: DataFrame, num: str, den: str, name: str | None = None) -> DataFra
     return df.withColumn(name or f"{num}_per_{den}", safe_div(num, den))
 
 
-def zscore(df: DataFrame, cols, fit_on: DataFrame | None = None, suffix: str = "_z") -> DataFrame:
+def zscore(df: DataFrame, cols, fit_on: DataFrame | None = None, suffix: str = "_z",
+           fold: str | None = None, k: int | None = None) -> DataFrame:
     """``(x - mean) / sd`` with mean and sample sd fitted on ``fit_on``;
-    the statistics are scalar subqueries over one aggregate."""
+    the statistics are scalar subqueries over one aggregate.
+
+    With ``fold``/``k`` a row of fold t is scaled by the mean and sd of the
+    other folds' rows: per fold, sums of values centred on the overall mean
+    (k rows, one aggregate) are combined over the other folds and joined
+    back on the fold (a table of k rows).
+    """
     cols = [cols] if isinstance(cols, str) else list(cols)
     fit = fit_on if fit_on is not None else df
     out = df
-    for c in cols:
-        mean = fit.agg(F.avg(c)).scalar()
-        sd = fit.agg(F.stddev_samp(c)).scalar()
-        out = out.withColumn(f"{c}{suffix}", safe_div(F.col(c) - mean, sd))
-    return out
+    if fold is None:
+        for c in cols:
+            mean = fit.agg(F.avg(c)).scalar()
+            sd = fit.agg(F.stddev_samp(c)).scalar()
+            out = out.withColumn(f"{c}{suffix}", safe_div(F.col(c) - mean, sd))
+        return out
+    if not k:
+        raise ValueError("k is required with fold")
+    fit = fit.where(F.col(fold).isNotNull())
+    centre = {c: fit.agg(F.avg(c)).scalar() for c in cols}
+    aggs = []
+    for i, c in enumerate(cols):
+        d = F.col(c) - centre[c]
+        aggs += [F.count(c).alias(f"__n{i}"), F.sum(d).alias(f"__s{i}"), F.sum(d * d).alias(f"__q{i}")]
+    per = fit.groupBy(fold).agg(*aggs)
+    other = F.filter(F.sequence(F.lit(0).cast("bigint"), F.lit(k - 1).cast("bigint")),
+                     lambda t: t != F.col(fold))
+    tr = (per.withColumn("__t", F.explode(other)).groupBy("__t")
+          .agg(*[F.sum(f"__{m}{i}").alias(f"__{m}{i}") for i in range(len(cols)) for m in "nsq"]))
+    sel = [F.col("__t").alias(fold)]
+    for i, c in enumerate(cols):
+        n = F.col(f"__n{i}").cast("double")
+        mean_d = safe_div(F.col(f"__s{i}"), n)
+        var = safe_div(F.col(f"__q{i}") - n * mean_d * mean_d, n - 1)
+        sel += [(mean_d + centre[c]).alias(f"__m{i}"), F.sqrt(var).alias(f"__sd{i}")]
+    stats = broadcast_bounded(tr.select(*sel), k)
+    out = out.join(stats, on=fold, how="left")
+    for i, c in enumerate(cols):
+        out = out.withColumn(f"{c}{suffix}", safe_div(F.col(c) - F.col(f"__m{i}"), F.col(f"__sd{i}")))
+    return out.drop(*[f"__m{i}" for i in range(len(cols))], *[f"__sd{i}" for i in range(len(cols))])
 
 
 def quantile_cuts(fit: DataFrame, col: str, n: int, exact: bool = True):

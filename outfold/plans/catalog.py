@@ -693,3 +693,18 @@ def q_impute_median_oof(spark, sf_dir):
     c = fo.assign_fold(customer_with_nulls(spark, sf_dir), "c_custkey", K)
     r = fe.impute(c, ["c_acctbal"], by="c_mktsegment", fold="fold", k=K)
     return r.select("c_custkey", "fold", *_r6("c_acctbal"), "c_acctbal_was_null")
+
+
+@register("zscore_oof", oracle=f"""
+WITH o AS (SELECT o_orderkey, o_totalprice, {fold_sql('o_orderkey', K)} AS fold FROM orders),
+t AS (SELECT DISTINCT fold FROM o),
+s AS (SELECT t.fold, avg(x.o_totalprice) AS m, stddev_samp(x.o_totalprice) AS sd
+      FROM t JOIN o x ON x.fold <> t.fold GROUP BY t.fold)
+SELECT o.o_orderkey, o.fold, round((o.o_totalprice - s.m) / s.sd, 6) AS o_totalprice_z
+FROM o JOIN s ON o.fold = s.fold""")
+def q_zscore_oof(spark, sf_dir):
+    """D14 without leaks for cross-validation: scaled by the other folds."""
+    o = fo.assign_fold(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"),
+                       "o_orderkey", K)
+    r = fe.zscore(o, ["o_totalprice"], fold="fold", k=K)
+    return r.select("o_orderkey", "fold", *_r6("o_totalprice_z"))

@@ -230,3 +230,13 @@ def test_impute_out_of_fold(spark, stat):
         grp = [v for (_, gg, v, ff) in rows if gg == g and ff != f and v is not None]
         allv = [v for (_, _, v, ff) in rows if ff != f and v is not None]
         assert got[i] == pytest.approx(agg(grp) if grp else agg(allv))
+
+
+def test_zscore_out_of_fold_brute_force(spark):
+    import numpy as np
+    rows = [(i, float((i * 37) % 101), i % 4) for i in range(60)]
+    df = spark.createDataFrame(rows, "id int, x double, fold long")
+    got = {r["id"]: r["x_z"] for r in fe.zscore(df, "x", fold="fold", k=4).collect()}
+    for i, x, f in rows:
+        other = np.array([v for (_, v, ff) in rows if ff != f])
+        assert got[i] == pytest.approx((x - other.mean()) / other.std(ddof=1), rel=1e-9)
