@@ -65,6 +65,25 @@ def mae_by(df: DataFrame, by, y: str = "y", pred: str = "pred", exact: bool = Fa
     return per.withColumn("err_share", safe_div(F.col("sum_abs_err"), total))
 
 
+def mae_report(df: DataFrame, fold: str = "fold", by: str | None = None, y: str = "y",
+               pred: str = "pred", exact: bool = False) -> DataFrame:
+    """Pooled, per-fold and (with ``by``) per-segment MAE from one aggregate
+    over the scored rows (grouping sets), instead of one scoring run each.
+    Rows: (level, key, mae, n_scored, n_missing) with level in
+    {"pooled", "fold", <by>} and key the fold or segment as a string."""
+    sets = [[], [fold]] + ([[by]] if by else [])
+    keys = [fold] + ([by] if by else [])
+    g = df.groupingSets(sets, *keys).agg(
+        *_mae_aggs(y, pred, exact), *[F.grouping(k).alias(f"__g_{k}") for k in keys])
+    level = F.when(F.col(f"__g_{fold}") == 0, F.lit("fold"))
+    key = F.when(F.col(f"__g_{fold}") == 0, F.col(fold).cast("string"))
+    if by:
+        level = level.when(F.col(f"__g_{by}") == 0, F.lit(by))
+        key = key.when(F.col(f"__g_{by}") == 0, F.col(by).cast("string"))
+    return g.select(level.otherwise(F.lit("pooled")).alias("level"), key.alias("key"),
+                    "mae", "n_scored", "n_missing")
+
+
 def gap(scored_a: DataFrame, scored_b: DataFrame, y: str = "y", pred: str = "pred",
         names=("oof", "holdout")) -> DataFrame:
     """D23: one row comparing two scored tables (e.g. out-of-fold and held-out):

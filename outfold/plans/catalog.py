@@ -708,3 +708,16 @@ def q_zscore_oof(spark, sf_dir):
                        "o_orderkey", K)
     r = fe.zscore(o, ["o_totalprice"], fold="fold", k=K)
     return r.select("o_orderkey", "fold", *_r6("o_totalprice_z"))
+
+
+@register("mae_report", oracle=f"""
+WITH {ORDERS_OOF_SQL}
+SELECT 'pooled' AS level, CAST(NULL AS VARCHAR) AS key, {MAE_SQL} FROM p
+UNION ALL
+SELECT 'fold', CAST(fold AS VARCHAR), {MAE_SQL} FROM p GROUP BY fold
+UNION ALL
+SELECT 'status', status, {MAE_SQL} FROM p GROUP BY status""")
+def q_mae_report(spark, sf_dir):
+    """R4, D21 and D22 from one aggregate over the scored rows."""
+    r = me.mae_report(orders_oof(spark, sf_dir), fold="fold", by="status")
+    return r.select("level", "key", *_r6("mae"), "n_scored", "n_missing")
