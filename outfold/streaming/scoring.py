@@ -30,18 +30,25 @@ def score_stream(stream: DataFrame, model: DataFrame, glob: DataFrame, by,
     return j.withColumn(out, F.coalesce(safe_div("__gs", "__gn"), F.lit(gmean))).drop("__gs", "__gn")
 
 
-def running_mae(scored: DataFrame, y: str = "y", pred: str = "pred") -> DataFrame:
-    """Streaming aggregate: the running MAE state over every row seen."""
+def running_mae(scored: DataFrame, y: str = "y", pred: str = "pred", by=None) -> DataFrame:
+    """Streaming aggregate: the running MAE state over every row seen, one
+    row in all or one row per ``by`` segment (state bounded by the number of
+    segments)."""
     err = abs_err(y, pred)
-    return scored.agg(F.sum(err).alias("sum_abs_err"), F.count(err).alias("n_scored"),
-                      (F.count(F.lit(1)) - F.count(err)).alias("n_missing"))
+    aggs = [F.sum(err).alias("sum_abs_err"), F.count(err).alias("n_scored"),
+            (F.count(F.lit(1)) - F.count(err)).alias("n_missing")]
+    if by is None:
+        return scored.agg(*aggs)
+    by = [by] if isinstance(by, str) else list(by)
+    return scored.groupBy(*by).agg(*aggs)
 
 
 def run_running_mae(spark: SparkSession, scored: DataFrame, out_path: str,
                     y: str = "y", pred: str = "pred", checkpoint: str | None = None,
-                    available_now: bool = True):
-    """Start the running-MAE query; with ``available_now`` it processes every
-    file present and stops. Returns the StreamingQuery."""
+                    available_now: bool = True, by=None):
+    """Start the running-MAE query (per ``by`` segment if given); with
+    ``available_now`` it processes every file present and stops. Each batch
+    overwrites the whole current table. Returns the StreamingQuery."""
     checkpoint = checkpoint or scratch_path(spark, "stream-ckpt")
 
     def write(batch: DataFrame, epoch_id: int) -> None:
@@ -49,7 +56,7 @@ def run_running_mae(spark: SparkSession, scored: DataFrame, out_path: str,
          .withColumn("epoch", F.lit(epoch_id).cast("bigint"))
          .coalesce(1).write.mode("overwrite").parquet(out_path))
 
-    w = (running_mae(scored, y, pred).writeStream.outputMode("complete")
+    w = (running_mae(scored, y, pred, by).writeStream.outputMode("complete")
          .option("checkpointLocation", checkpoint).foreachBatch(write))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start()

@@ -44,3 +44,19 @@ def test_running_mae_over_batches_and_restart(spark):
     run()                              # restart: nothing new, nothing counted twice
     again = spark.read.parquet(out).first()
     assert again["n_scored"] == 1480
+
+
+def test_running_mae_per_segment(spark):
+    fact = ho.split_holdout(orders_fact(spark, SF01), "id", 10, col="hold")
+    model, glob = ho.fit_group_mean(fact.where(~F.col("hold")), "y", "g")
+    held = fact.where(F.col("hold")).drop("hold")
+    want = {r["status"]: (r["n_scored"], round(r["mae"], 6)) for r in
+            me.mae_by(ho.score_group_mean(held, model, glob, "g"), "status").collect()}
+    src = scratch_path(spark, "arrivals-seg")
+    held.coalesce(2).write.parquet(src)
+    stream = spark.readStream.schema(held.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    out = scratch_path(spark, "running-seg")
+    st.run_running_mae(spark, st.score_stream(stream, model, glob, "g"), out,
+                       by="status").awaitTermination()
+    got = {r["status"]: (r["n_scored"], round(r["mae"], 6)) for r in spark.read.parquet(out).collect()}
+    assert got == want
