@@ -14,10 +14,11 @@ from pyspark.sql import types as T
 from outfold.functions.safe import exact_int, is_whole
 from outfold.operators.joins import broadcast_bounded
 
-# The layout types and the per-type ranges observed in the
-# layout-attribute table (type: aisle_width_avg, one_way_ratio,
-# layout_compactness, intersection_count), as lo-hi pairs.
-LAYOUT_TYPES = ("grid", "hybrid", "narrow", "hub_spoke")
+# The layout types, in the order they first appear in the
+# layout-attribute table, and the per-type ranges observed there (type:
+# aisle_width_avg, one_way_ratio, layout_compactness, intersection_count),
+# as lo-hi pairs.
+LAYOUT_TYPES = ("narrow", "grid", "hybrid", "hub_spoke")
 LAYOUT_TYPE_BOUNDS = {
     "narrow": {"aisle_width_avg": (1.50, 2.50), "one_way_ratio": (0.3041, 0.7922),
                "layout_compactness": (0.7013, 0.9977), "intersection_count": (10, 35)},
