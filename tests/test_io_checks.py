@@ -240,3 +240,12 @@ def test_zscore_out_of_fold_brute_force(spark):
     for i, x, f in rows:
         other = np.array([v for (_, v, ff) in rows if ff != f])
         assert got[i] == pytest.approx((x - other.mean()) / other.std(ddof=1), rel=1e-9)
+
+
+def test_profile_and_corr_default_to_numeric_columns(spark):
+    from outfold.operators import profile as pr
+    df = spark.createDataFrame([(1, 2.0, "a"), (2, 4.5, "b"), (3, 5.0, "a")], "i int, x double, s string")
+    cols = [r["column"] for r in pr.profile(df).collect()]
+    assert sorted(cols) == ["i", "x"]
+    pairs = [(r["a"], r["b"]) for r in pr.corr_pairs(df).collect()]
+    assert pairs == [("i", "x")]
