@@ -607,10 +607,12 @@ def q_oof_linear(spark, sf_dir):
 
 @register("oof_gbt", note="Spark ML fit per fold; no SQL form, rows-only")
 def q_oof_gbt(spark, sf_dir):
-    f = orders_with_customer(spark, sf_dir).join(
-        table(spark, sf_dir, "orders").select(
-            F.col("o_orderkey").alias("id"),
-            F.dayofyear("o_orderdate").cast("double").alias("doy")), "id")
+    o = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("cust"),
+        F.col("o_totalprice").alias("y"), F.dayofyear("o_orderdate").cast("double").alias("doy"))
+    cust = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("cust"), F.col("c_acctbal").alias("x"))
+    f = fo.assign_fold(o, "id", K).join(cust, "cust", "left")
     r = mo.oof_gbt(f, fold="fold", y="y", xs=["x", "doy"], k=K, max_iter=5, max_depth=3)
     return me.mae_by_fold(r).select("fold", *_r6("mae"), "n_scored", "n_missing")
 
