@@ -143,12 +143,6 @@ def pieces(n: int, width: int, limit: int) -> list[tuple[int, int]]:
     return [(lo, min(n, lo + limit)) for lo in range(0, max(1, n - width + 1), step)]
 
 
-def window_hashes(symbols: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent hashes of the windows that start at ``at``."""
-    return (Rolling(symbols, BASE_A).of(at, at + width) ^ np.uint64(width),
-            Rolling(symbols, BASE_B).of(at, at + width))
-
-
 def union_of(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Maximal runs covered by half-open intervals (touching ones join)."""
     order = np.argsort(starts, kind="stable")

@@ -3,9 +3,13 @@ substring and the phrase operator share.
 
 A document is a row of symbols, its UTF-8 bytes or its words. ``sample`` writes
 one small row for each run of windows (see ``anchors``). Runs whose key occurs
-once have no repeated window. Runs of a key with a single content are repeated
-as a whole; only runs of a key with several contents are compared window by
-window, by two 64-bit hashes each.
+once have no repeated window; runs with equal content are repeated as a whole.
+What is left are runs that share their key with runs of another content. One
+run of each such content is taken apart into blocks of a few windows, which
+have a key (what all windows of the block have in common) and a content of
+their own and are judged in the same way, and blocks that are still open into
+single windows. So a text that differs from its copies here and there costs
+some rows around each difference, not one for each window.
 """
 
 from __future__ import annotations
@@ -19,8 +23,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from outfold.llm.anchors import (BYTE_VALUES, MAX_SYMBOLS, Runs, find_runs, mix, pieces,
-                                 union_of, window_hashes)
+from outfold.llm.anchors import (BASE_A, BASE_B, BYTE_VALUES, MAX_SYMBOLS, Rolling, Runs, find_runs,
+                                 mix, pieces, union_of)
 from outfold.llm.common import Workspace, blobs, slices
 
 #: Bytes of text that a task looks at together.
@@ -160,32 +164,90 @@ def with_refs(rows: DataFrame, refs: DataFrame, make: Callable, confirm: Callabl
         run, f"_id long, _h int, _size long, _sha string, _t string, _refs {kind_of_refs}")
 
 
-def windows_of(docs: DataFrame, make: Callable) -> DataFrame:
-    """Two hashes of each window of the refs marked ``mixed``."""
+def parts_of(docs: DataFrame, make: Callable, step: int) -> DataFrame:
+    """The refs marked ``open``, cut into blocks of at most ``step`` windows whose
+    distance to the anchor is the same multiple of ``step``; rows as in ``RUN``."""
+    names = [f.split()[0] for f in RUN.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = make()
         for b in slices(batches, "_t", SLICE):
-            for i, (t, own) in enumerate(zip(blobs(b.column("_t")), b.column("_refs").to_pylist(),
-                                             strict=True)):
-                own = [r for r in own if r["mixed"]]
-                if not own:
+            for i, (t, refs) in enumerate(zip(blobs(b.column("_t")), b.column("_refs").to_pylist(),
+                                              strict=True)):
+                own = np.array([(r["start"], r["n"], r["lead"]) for r in refs if r["open"]],
+                               dtype=np.int64).reshape(-1, 3)
+                if not len(own):
                     continue
                 symbols = kind.read(kind.parts(t))
-                at = np.concatenate([np.arange(r["start"], r["start"] + r["n"]) for r in own])
-                h1, h2 = window_hashes(symbols, at, kind.width)
+                start, n, lead = own.T
+                low = lead - n + 1                       # smallest distance to the anchor
+                first, count = low // step, lead // step - low // step + 1
+                which = np.repeat(np.arange(len(own)), count)
+                j = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count) + first[which]
+                far = np.minimum(lead[which], j * step + step - 1)
+                near = np.maximum(low[which], j * step)
+                anchor = (start + lead)[which]
+                at, size = anchor - far, far - near + 1
+                core = Rolling(symbols, BASE_A).of(
+                    anchor - j * step, anchor - j * step - step + 1 + kind.width)
+                whole = Rolling(symbols, BASE_B).of(at, at + size - 1 + kind.width)
+                key = mix(core + mix(j.astype(np.uint64)))
+                content = mix(whole + far.astype(np.uint64) * np.uint64(BASE_A))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([b.column("_id")[i].as_py()] * len(at), pa.int64()),
                      pa.array(np.full(len(at), b.column("_h")[i].as_py(), np.int32)),
-                     pa.array(at.astype(np.int32)), pa.array(h1.view(np.int64)),
-                     pa.array(h2.view(np.int64))], ["_id", "_h", "_start", "_w1", "_w2"])
-
-    return docs.mapInArrow(run, "_id long, _h int, _start int, _w1 long, _w2 long")
+                     *(pa.array(c.astype(np.int32)) for c in (at, size, far)),
+                     pa.array(key.view(np.int64)), pa.array(content.view(np.int64))], names)
+
+    return docs.mapInArrow(run, RUN)
+
+
+def judge(runs: DataFrame, keep_first: bool) -> DataFrame:
+    """Runs that are repeated as a whole (``cut``; with ``keep_first`` all but
+    the first of equal ones) and runs to be taken apart (``open``: the first of
+    its content, where the key has other contents too). ``runs`` must be a
+    table, as it is read twice. All counts are pre-aggregated."""
+    place = F.struct("_id", "_start")
+    same = runs.groupBy("_key", "_content").agg(
+        F.count("*").alias("_c"), F.min(place).alias("_first"))
+    keys = same.groupBy("_key").agg(F.sum("_c").alias("_all"), (
+        F.min("_content") != F.max("_content")).alias("_mixed")).where("_all > 1").drop("_all")
+    known = same.join(keys, "_key")
+    first = place.eqNullSafe(F.col("_first"))
+    return (runs.join(known, ["_key", "_content"])
+            .withColumn("cut", ~first if keep_first else F.col("_c") > 1)
+            .withColumn("open", F.col("_mixed") & first)
+            .where("cut or open")
+            .select("_id", "_h", F.struct(
+                F.col("_start").alias("start"), F.col("_n").alias("n"), F.col("_lead").alias("lead"),
+                "cut", "open").alias("_ref")))
+
+
+def open_parts(docs: DataFrame, refs: DataFrame, make: Callable, step: int) -> DataFrame:
+    """``parts_of`` for further refs of documents whose text is in ``docs``."""
+    by_doc = refs.where("_ref.open").groupBy("_id", "_h").agg(F.collect_list("_ref").alias("_more"))
+    joined = docs.join(by_doc, same_text(docs, by_doc)).select(
+        docs["_id"], docs["_h"], docs["_t"], by_doc["_more"].alias("_refs"))
+    return parts_of(joined, make, step)
+
+
+def remove_repeats(rows: DataFrame, recurring: DataFrame, make: Callable, ws: Workspace, step: int,
+                   keep_first: bool, id_col: str, unit: str, confirm: Callable | None = None
+                   ) -> DataFrame:
+    """From the runs with a recurring key to the documents without what repeats."""
+    refs = judge(recurring, keep_first)
+    marked = ws.save(with_refs(rows, refs, make, confirm), "marked")
+    touched = marked.where("_refs is not null")
+    blocks = ws.save(parts_of(touched.where("exists(_refs, r -> r.open)"), make, step), "blocks")
+    more = ws.save(judge(blocks, keep_first), "more")
+    single = ws.save(open_parts(touched, more, make, 1), "windows")
+    hits = judge(single, keep_first).unionAll(more).where("_ref.cut")
+    return finish(marked, hits, make, id_col, unit)
 
 
 def finish(docs: DataFrame, hits: DataFrame, make: Callable, id_col: str, unit: str) -> DataFrame:
-    """Remove the symbols covered by refs with ``cut`` and by windows of ``hits``."""
-    by_doc = hits.groupBy("_id", "_h").agg(F.collect_list("_start").alias("_hits"))
+    """Remove the symbols covered by refs with ``cut``, those of ``docs`` and of ``hits``."""
+    by_doc = hits.groupBy("_id", "_h").agg(F.collect_list("_ref").alias("_hits"))
     touched = docs.where("_refs is not null")
     joined = touched.join(by_doc, same_text(touched, by_doc), "left").select(
         touched["_id"], touched["_t"], touched["_refs"], by_doc["_hits"])
@@ -196,13 +258,12 @@ def finish(docs: DataFrame, hits: DataFrame, make: Callable, id_col: str, unit:
         kind = make()
         for b in slices(batches, "_t", 4 * SLICE):
             out = [[] for _ in names[1:]]
-            for t, refs, hits_in in zip(blobs(b.column("_t")), b.column("_refs").to_pylist(),
+            for t, refs, more in zip(blobs(b.column("_t")), b.column("_refs").to_pylist(),
                                         b.column("_hits").to_pylist(), strict=True):
                 parts = kind.parts(t)
-                cut = [(r["start"], r["start"] + r["n"] - 1 + kind.width) for r in refs if r["cut"]]
-                lo = np.array([c[0] for c in cut] + (hits_in or []), dtype=np.int64)
-                hi = np.array([c[1] for c in cut] + [s + kind.width for s in hits_in or []],
-                              dtype=np.int64)
+                cut = [(r["start"], r["n"]) for r in (*refs, *(more or ())) if r["cut"]]
+                lo, n = np.array(cut, dtype=np.int64).reshape(-1, 2).T
+                hi = lo + n - 1 + kind.width
                 if len(lo):
                     lo, hi = union_of(lo, hi)
                 out[0].append(len(parts))
@@ -217,9 +278,3 @@ def finish(docs: DataFrame, hits: DataFrame, make: Callable, id_col: str, unit:
         "_id", F.col("_size").alias(f"n_{unit}"), F.lit(0).cast("long").alias("n_removed"),
         F.lit(0).cast("long").alias("n_spans"), F.col("_sha").alias("kept_sha256"))
     return clean.unionAll(joined.mapInArrow(run, schema)).withColumnRenamed("_id", id_col)
-
-
-def contents(runs: DataFrame, ws: Workspace, *extra) -> DataFrame:
-    """Of each recurring key: is there more than one content? Pre-aggregated."""
-    return ws.save(runs.groupBy("_key").agg(
-        (F.min("_content") != F.max("_content")).alias("_mixed"), *extra), "contents")

@@ -19,9 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from outfold.llm.common import Workspace
-from outfold.llm.passages import (Words, contents, finish, rows_of, sample, windows_of, with_refs)
+from outfold.llm.passages import Words, remove_repeats, rows_of, sample
 
 WIDTH, GRAM = 20, 6
+#: Windows of a block when a run is taken apart.
+BLOCK = 4
 
 
 def locate(kind: Words, parts: list[list[bytes]], refs: list[list[dict] | None]
@@ -76,17 +78,4 @@ def repeated_phrases(docs: DataFrame, width: int = WIDTH, gram: int = GRAM,
     runs = ws.save(sample(rows, make), "runs")
     often = runs.groupBy("_key").agg(F.count("*").alias("_c")).where("_c > 1").select("_key")
     recurring = ws.save(runs.join(often, "_key"), "recurring")
-    place = F.struct("_id", "_start")
-    known = contents(recurring, ws, F.min(place).alias("_first"))
-    later = ~place.eqNullSafe(F.col("_first"))
-    ref = F.struct(F.col("_start").alias("start"), F.col("_n").alias("n"), F.col("_lead").alias("lead"),
-                   F.col("_mixed").alias("mixed"), (~F.col("_mixed")).alias("cut")).alias("_ref")
-    # the first of equal runs stays, so it needs no ref
-    refs = recurring.join(known, "_key").where(F.col("_mixed") | later).select("_id", "_h", ref)
-    marked = ws.save(with_refs(rows, refs, make, locate), "marked")
-    windows = ws.save(windows_of(marked.where("exists(_refs, r -> r.mixed)"), make), "windows")
-    first = windows.groupBy("_w1", "_w2").agg(F.min(place).alias("_first"), F.count("*").alias("_c")
-                                              ).where("_c > 1").drop("_c")
-    hits = windows.join(first, ["_w1", "_w2"]
-        ).where(later).select("_id", "_h", "_start")
-    return finish(marked, hits, make, id_col, "words")
+    return remove_repeats(rows, recurring, make, ws, BLOCK, True, id_col, "words", locate)

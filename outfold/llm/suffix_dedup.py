@@ -22,9 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from outfold.llm.common import Workspace
-from outfold.llm.passages import (Bytes, contents, finish, rows_of, sample, windows_of, with_refs)
+from outfold.llm.passages import Bytes, remove_repeats, rows_of, sample
 
 WIDTH, GRAM = 200, 32
+#: Windows of a block when a run is taken apart.
+BLOCK = 16
 
 
 class SuffixFamily:
@@ -80,11 +82,4 @@ def repeated_substrings(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, b
         matches = family.add(runs.where(batch == b).select("_key"))
         found = matches if found is None else found.unionAll(matches)
     recurring = ws.save(runs.join(found.distinct(), "_key"), "recurring")
-    ref = F.struct(F.col("_start").alias("start"), F.col("_n").alias("n"),
-                   F.col("_mixed").alias("mixed"), (~F.col("_mixed")).alias("cut")).alias("_ref")
-    refs = recurring.join(contents(recurring, ws), "_key").select("_id", "_h", ref)
-    marked = ws.save(with_refs(rows, refs, make), "marked")
-    windows = ws.save(windows_of(marked.where("exists(_refs, r -> r.mixed)"), make), "windows")
-    twice = windows.groupBy("_w1", "_w2").agg(F.count("*").alias("_c")).where("_c > 1").drop("_c")
-    hits = windows.join(twice, ["_w1", "_w2"]).select("_id", "_h", "_start")
-    return finish(marked, hits, make, id_col, "bytes")
+    return remove_repeats(rows, recurring, make, ws, BLOCK, False, id_col, "bytes")
