@@ -151,8 +151,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
             yield pa.RecordBatch.from_arrays(
                 [b.column("_id"), pa.ListArray.from_arrays(pa.array(ends), flat)], ["_id", "_set"])
 
-    # Whole sets, for candidates only.
-    sets = ws.save(texts_in.join(wanted, "_id", "left_semi").dropDuplicates(["_id"])
+    # Whole sets, for candidates only. The texts go through a shuffle at any size:
+    # the candidates are not bounded, so they are not to be broadcast.
+    sets = ws.save(texts_in.hint("merge").join(wanted, "_id", "left_semi").dropDuplicates(["_id"])
                    .mapInArrow(shingle_sets, "_id long, _set array<bigint>"), "sets")
     lead_sets = sets.select(F.col("_id").alias("_lead"), F.col("_set").alias("_lead_set"))
     common = F.size(F.array_intersect("_set", "_lead_set"))
