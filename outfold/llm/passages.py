@@ -140,7 +140,8 @@ def with_refs(rows: DataFrame, refs: DataFrame, make: Callable, confirm: Callabl
     there are refs. One shuffle of the texts. ``confirm(kind, parts of a batch's
     documents, their refs)`` may take refs away."""
     by_doc = refs.groupBy("_id", "_h").agg(F.collect_list("_ref").alias("_refs"))
-    joined = rows.join(by_doc, same_text(rows, by_doc), "left").select(
+    # refs are not bounded: no broadcast at any size
+    joined = rows.hint("merge").join(by_doc, same_text(rows, by_doc), "left").select(
         rows["_id"], rows["_h"], rows["_t"], by_doc["_refs"])
     kind_of_refs = joined.schema["_refs"].dataType.simpleString()
 
@@ -226,7 +227,7 @@ def judge(runs: DataFrame, keep_first: bool) -> DataFrame:
 def open_parts(docs: DataFrame, refs: DataFrame, make: Callable, step: int) -> DataFrame:
     """``parts_of`` for further refs of documents whose text is in ``docs``."""
     by_doc = refs.where("_ref.open").groupBy("_id", "_h").agg(F.collect_list("_ref").alias("_more"))
-    joined = docs.join(by_doc, same_text(docs, by_doc)).select(
+    joined = docs.hint("merge").join(by_doc, same_text(docs, by_doc)).select(
         docs["_id"], docs["_h"], docs["_t"], by_doc["_more"].alias("_refs"))
     return parts_of(joined, make, step)
 
@@ -249,7 +250,7 @@ def finish(docs: DataFrame, hits: DataFrame, make: Callable, id_col: str, unit:
     """Remove the symbols covered by refs with ``cut``, those of ``docs`` and of ``hits``."""
     by_doc = hits.groupBy("_id", "_h").agg(F.collect_list("_ref").alias("_hits"))
     touched = docs.where("_refs is not null")
-    joined = touched.join(by_doc, same_text(touched, by_doc), "left").select(
+    joined = touched.hint("merge").join(by_doc, same_text(touched, by_doc), "left").select(
         touched["_id"], touched["_t"], touched["_refs"], by_doc["_hits"])
     names = ["_id", f"n_{unit}", "n_removed", "n_spans", "kept_sha256"]
     schema = f"_id long, n_{unit} long, n_removed long, n_spans long, kept_sha256 string"
