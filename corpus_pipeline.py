@@ -30,15 +30,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     ws = Workspace(spark, "neardup")
     kept = ws.save(minhash.near_duplicates(docs, words=5, percent=80).where("kept")
                    .select(F.col("doc_id").alias("_kept")).distinct(), "kept")
-    return docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi")
+    return docs.hint("merge").join(kept, docs["doc_id"] == kept["_kept"], "left_semi")
 
 
 def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    ws = Workspace(spark, "leaks")
-    hit = ws.save(decontaminate.leaks(docs, table(spark, sf_dir, "benchmark"))
-                  .select(F.col("doc_id").alias("_hit")).distinct(), "hit")
-    return docs.join(hit, docs["doc_id"] == hit["_hit"], "left_anti")
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -182,3 +182,24 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     if out is None:
         out = rows.limit(0).mapInArrow(lambda it: iter(()), schema)
     return out.withColumnRenamed("_id", id_col).withColumnRenamed("_item", item_col)
+
+
+def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id",
+          item_text_col: str = "text", chars_per_edit: int = CHARS_PER_EDIT) -> DataFrame:
+    """The rows of ``docs`` in which no item stands (see ``leaks``), with all
+    their columns; one pass for each block of items, no shuffle."""
+    spark = docs.sparkSession
+    out = docs
+    for block in item_blocks(items, item_col, item_text_col):
+        sent = spark.sparkContext.broadcast(block)
+        rows = out.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+                          F.col(text_col).cast("string").alias("_t"))
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            matcher = Matcher(sent.value, chars_per_edit)
+            for b in slices(batches, "_t", 4 << 20):
+                stay = [not matcher.find(normal(t)) for t in texts(b.column("_t"))]
+                yield b.select(["row"]).filter(pa.array(stay, pa.bool_()))
+
+        out = rows.mapInArrow(run, rows.select("row").schema).select("row.*")
+    return out
