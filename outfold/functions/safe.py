@@ -15,8 +15,16 @@ def safe_div(num, den) -> Column:
     return F.try_divide(col_(num), col_(den))
 
 
+def known(c) -> Column:
+    """The value as a double, null where it is null or NaN: what a model may
+    learn from and a score may count."""
+    x = col_(c).cast("double")
+    return F.when(~F.isnan(x), x)
+
+
 def abs_err(y, pred) -> Column:
-    return F.abs(col_(y) - col_(pred))
+    """Null (not scored, counted as missing) where either is null or NaN."""
+    return F.abs(known(y) - known(pred))
 
 
 def is_whole(c) -> Column:

@@ -153,3 +153,13 @@ def orphans(fact: DataFrame, dim: DataFrame, key, dim_key=None) -> DataFrame:
     dkeys = keys if dim_key is None else ([dim_key] if isinstance(dim_key, str) else list(dim_key))
     d = dim.select(*[F.col(a).alias(b) for a, b in zip(dkeys, keys)])
     return fact.join(d, on=keys, how="left_anti")
+
+
+def fit_ranges(df: DataFrame, by: str, cols) -> dict:
+    """Bounds for ``check_ranges_by`` learned from trusted rows: column ->
+    {category: (min, max)}. One aggregate; one row per category reaches the
+    driver, as the bounds are a parameter of the check."""
+    cols = [cols] if isinstance(cols, str) else list(cols)
+    rows = df.where(F.col(by).isNotNull()).groupBy(by).agg(
+        *[f(c).alias(f"{f.__name__}_{c}") for c in cols for f in (F.min, F.max)]).collect()
+    return {c: {r[by]: (r[f"min_{c}"], r[f"max_{c}"]) for r in rows} for c in cols}

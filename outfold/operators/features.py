@@ -12,10 +12,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from outfold.functions.safe import safe_div
+from outfold.functions.safe import known, safe_div
 from outfold.operators.checks import check_unique
+from outfold.operators.folds import check_folds
 from outfold.operators.joins import broadcast_bounded, broadcast_checked, materialize
-from outfold.operators.quantiles import exact_quantiles, quantile_agg
+from outfold.operators.quantiles import SKETCH_K, exact_quantiles, quantile_agg
 
 
 class DimensionKeyError(ValueError):
@@ -43,7 +44,7 @@ def impute(df: DataFrame, cols, by=None, stat: str = "median", fit_on: DataFrame
            k: int | None = None) -> DataFrame:
     """Fill nulls in ``cols`` with the ``by`` group's median (or mean) fitted
     on ``fit_on`` (default ``df``), falling back to the overall statistic;
-    add a ``<col>_was_null`` flag per column.
+    add a ``<col>_was_null`` flag per column. NaN teaches nothing and is kept.
 
     With ``fold``/``k`` the statistics are out of fold: a row of fold t is
     filled from the rows of the other folds only, so imputed values feeding a
@@ -65,7 +66,7 @@ def impute(df: DataFrame, cols, by=None, stat: str = "median", fit_on: DataFrame
     by = [] if by is None else ([by] if isinstance(by, str) else list(by))
     fk = [fold] if fold is not None else []
     long = fit.select(*by, *fk, F.inline(F.array(*[
-        F.struct(F.lit(c).alias("__col"), F.col(c).cast("double").alias("__x")) for c in cols])))
+        F.struct(F.lit(c).alias("__col"), known(c).alias("__x")) for c in cols])))
     if fold is not None:
         long = long.where(F.col(fold).isNotNull())
 
@@ -85,8 +86,15 @@ def impute(df: DataFrame, cols, by=None, stat: str = "median", fit_on: DataFrame
         if exact:
             return exact_quantiles(long, "__x", [0.5], by=keys, fold=fold, k=k, out="__q").select(
                 *keys, *fk, F.col("__q")[0].alias("__v"))
-        if fold is not None:
-            raise ValueError("out-of-fold medians need exact=True")
+        if fold is not None:  # sketches of the folds, merged over the others
+            sk = long.where(F.col("__x").isNotNull()).groupBy(*keys, fold).agg(
+                F.kll_sketch_agg_double("__x", F.lit(SKETCH_K)).alias("__sk"))
+            other = F.filter(F.sequence(F.lit(0).cast("bigint"), F.lit(k - 1).cast("bigint")),
+                             lambda t: t != F.col(fold))
+            return (sk.withColumn("__t", F.explode(other)).groupBy(*keys, "__t")
+                    .agg(F.kll_merge_agg_double("__sk").alias("__sk"))
+                    .select(*keys, F.col("__t").alias(fold),
+                            F.kll_sketch_get_quantile_double("__sk", F.lit(0.5)).alias("__v")))
         return long.groupBy(*keys).agg(
             quantile_agg(F.col("__x"), [0.5], exact=False)[0].alias("__v"))
 
@@ -114,9 +122,9 @@ def impute(df: DataFrame, cols, by=None, stat: str = "median", fit_on: DataFrame
 
 
 def category_values(df: DataFrame, col: str, max_values: int = 1000) -> list:
-    """Distinct values of a categorical column, refusing more than
-    ``max_values`` (the bound that makes one-hot columns and a broadcast
-    index table safe)."""
+    """Distinct values of a categorical column. More than ``max_values`` raise:
+    each value becomes a column of the plan. List the values to choose some, or
+    use ``label_index``, which has no such bound."""
     vals = df.select(col).where(F.col(col).isNotNull()).distinct().limit(max_values + 1).collect()
     if len(vals) > max_values:
         raise ValueError(f"{col} has more than {max_values} values")
@@ -132,20 +140,26 @@ def one_hot(df: DataFrame, col: str, values=None, prefix: str | None = None,
                             for v in values])
 
 
-def label_index(df: DataFrame, col: str, out: str | None = None, fit_on: DataFrame | None = None,
-                max_values: int = 1000) -> DataFrame:
+def label_index(df: DataFrame, col: str, out: str | None = None, fit_on: DataFrame | None = None
+                ) -> DataFrame:
     """Index categories 0, 1, ... by (frequency desc, value asc) on ``fit_on``;
-    unseen or null categories get null. The index table is bounded by
-    ``max_values`` (checked) before it is ranked and broadcast."""
+    unseen or null categories get null. Any number of categories: they are
+    dealt out in order by a range partitioning, numbered inside each partition,
+    and shifted by the partitions' prefix sums; the index is joined back by
+    broadcast only if its measured size allows."""
     out = out or f"{col}_idx"
     fit = fit_on if fit_on is not None else df
     freq = fit.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("__c"))
-    n = freq.count()
-    if n > max_values:
-        raise ValueError(f"{col} has {n} values, more than {max_values}")
-    w = Window.orderBy(F.col("__c").desc(), F.col(col).asc())
-    idx = freq.select(col, (F.row_number().over(w) - 1).alias(out))
-    return df.join(broadcast_bounded(idx, n), on=col, how="left")
+    # a table, so that its partitions are the same in both uses below
+    dealt = materialize(freq.repartitionByRange(F.col("__c").desc(), F.col(col).asc())
+                        .withColumn("__p", F.spark_partition_id()))
+    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = dealt.groupBy("__p").agg(F.count(F.lit(1)).alias("__n")).select(
+        "__p", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))  # one row per partition
+    inside = Window.partitionBy("__p").orderBy(F.col("__c").desc(), F.col(col).asc())
+    idx = dealt.withColumn("__i", F.row_number().over(inside)).join(sizes, "__p").select(
+        col, (F.col("__off") + F.col("__i") - 1).cast("int").alias(out))
+    return df.join(broadcast_checked(idx), on=col, how="left")
 
 
 def ratio(df: DataFrame, num: str, den: str, name: str | None = None) -> DataFrame:
@@ -174,23 +188,27 @@ def zscore(df: DataFrame, cols, fit_on: DataFrame | None = None, suffix: str = "
         return out
     if not k:
         raise ValueError("k is required with fold")
-    fit = fit.where(F.col(fold).isNotNull())
-    centre = {c: fit.agg(F.avg(c)).scalar() for c in cols}
+    # per-fold count, mean and sample variance (stable aggregates), combined
+    # over the other folds in a table of k rows
     aggs = []
     for i, c in enumerate(cols):
-        d = F.col(c) - centre[c]
-        aggs += [F.count(c).alias(f"__n{i}"), F.sum(d).alias(f"__s{i}"), F.sum(d * d).alias(f"__q{i}")]
-    per = fit.groupBy(fold).agg(*aggs)
+        aggs += [F.count(known(c)).alias(f"__n{i}"), F.avg(known(c)).alias(f"__a{i}"),
+                 F.var_pop(known(c)).alias(f"__v{i}")]
+    per = materialize(fit.where(F.col(fold).isNotNull()).groupBy(fold).agg(*aggs))
+    check_folds(per, fold, k)
     other = F.filter(F.sequence(F.lit(0).cast("bigint"), F.lit(k - 1).cast("bigint")),
                      lambda t: t != F.col(fold))
-    tr = (per.withColumn("__t", F.explode(other)).groupBy("__t")
-          .agg(*[F.sum(f"__{m}{i}").alias(f"__{m}{i}") for i in range(len(cols)) for m in "nsq"]))
-    sel = [F.col("__t").alias(fold)]
-    for i, c in enumerate(cols):
-        n = F.col(f"__n{i}").cast("double")
-        mean_d = safe_div(F.col(f"__s{i}"), n)
-        var = safe_div(F.col(f"__q{i}") - n * mean_d * mean_d, n - 1)
-        sel += [(mean_d + centre[c]).alias(f"__m{i}"), F.sqrt(var).alias(f"__sd{i}")]
+    train = per.withColumn("__t", F.explode(other))
+    sums = train.groupBy("__t").agg(
+        *[F.sum(f"__n{i}").alias(f"__tn{i}") for i in range(len(cols))],
+        *[safe_div(F.sum(F.col(f"__n{i}") * F.col(f"__a{i}")), F.sum(f"__n{i}").cast("double"))
+          .alias(f"__m{i}") for i in range(len(cols))])
+    tr = train.join(broadcast_bounded(sums, k), "__t").groupBy("__t").agg(
+        *[F.first(f"__m{i}").alias(f"__m{i}") for i in range(len(cols))],
+        *[F.sqrt(safe_div(F.sum(F.col(f"__n{i}") * (F.col(f"__v{i}") + F.pow(
+            F.col(f"__a{i}") - F.col(f"__m{i}"), F.lit(2.0)))), (F.first(f"__tn{i}") - 1).cast("double")))
+          .alias(f"__sd{i}") for i in range(len(cols))])
+    sel = [F.col("__t").alias(fold), *[f"__{m}{i}" for i in range(len(cols)) for m in ("m", "sd")]]
     stats = broadcast_bounded(tr.select(*sel), k)
     out = out.join(stats, on=fold, how="left")
     for i, c in enumerate(cols):

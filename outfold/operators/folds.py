@@ -9,6 +9,15 @@ from outfold.functions.folds import _key, fold_col, hash32
 from outfold.operators.joins import broadcast_checked, join_keys
 
 
+def check_folds(stats: DataFrame, fold: str, k: int) -> None:
+    """Raise ValueError if a small table of per-fold statistics holds a fold
+    outside 0..k-1: its rows would be scored by a model that was trained on them
+    or by none. A null fold is allowed; such rows train nothing."""
+    low, high = stats.agg(F.min(fold), F.max(fold)).first()
+    if low is not None and (low < 0 or high >= k):
+        raise ValueError(f"folds {low}..{high} are not in 0..{k - 1}")
+
+
 def assign_fold(df: DataFrame, key, k: int, seed=None, out: str = "fold",
                 method: str = "md5") -> DataFrame:
     """Add ``out`` = fold of the row key. No shuffle: a projection only."""
@@ -31,39 +40,27 @@ def fold_sizes(df: DataFrame, fold: str = "fold", group_key=None) -> DataFrame:
     return df.groupBy(fold).agg(*aggs)
 
 
-def assign_strat_fold(df: DataFrame, by, key, k: int, seed=None,
-                      out: str = "fold", rows_per_bucket: int = 1_000_000) -> DataFrame:
+def assign_strat_fold(df: DataFrame, by, key, k: int, seed=None, out: str = "fold",
+                      buckets: int = 4096) -> DataFrame:
     """Stratified folds: within each ``by`` stratum, rows ordered by
     ``(md5(key), key)`` are dealt round-robin to folds, so each fold gets
     ``floor(n/k)`` or ``ceil(n/k)`` rows of every stratum.
 
-    The rank is exact without sending a whole stratum to one task: each
-    stratum is cut into hash buckets of about ``rows_per_bucket`` rows (the
-    bucket is a monotone function of the md5 prefix, so bucket order agrees
-    with the row order), bucket offsets come from a small cumulative count,
-    and ``row_number`` only runs inside a bucket. A stratum holding a third of
-    all rows is spread over many tasks.
+    The rank is exact without sending a whole stratum to one task: ``buckets``
+    equal ranges of the md5 prefix cut every stratum, one aggregate counts the
+    rows of each (stratum, bucket), a cumulative sum over the at most
+    ``buckets`` counts of a stratum gives where each bucket begins, and
+    ``row_number`` runs inside a bucket only. Choose ``buckets`` so that the
+    largest stratum over ``buckets`` fits a task's sort.
     """
     by = [by] if isinstance(by, str) else list(by)
-    digest = F.md5(_key(key, seed))
     keycols = [key] if isinstance(key, str) else list(key)
-    base = df.withColumn("__h", hash32(key, seed)).withColumn("__md5", digest)
-
-    sizes = base.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
-    sizes = sizes.withColumn(
-        "__nb", F.greatest(F.lit(1), F.ceil(F.col("__n") / F.lit(rows_per_bucket))).cast("bigint"))
-    base = join_keys(base, broadcast_checked(sizes.select(*by, "__nb")), by, "inner",
-                     null_safe=True)
-    base = base.withColumn(
-        "__b", F.floor(F.col("__h") * F.col("__nb") / F.lit(2 ** 32)).cast("bigint"))
-
+    base = (df.withColumn("__md5", F.md5(_key(key, seed)))
+            .withColumn("__b", F.floor(hash32(key, seed) * F.lit(buckets) / F.lit(2 ** 32)).cast("bigint")))
     counts = base.groupBy(*by, "__b").agg(F.count(F.lit(1)).alias("__c"))
     wb = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("__off", F.coalesce(F.sum("__c").over(wb), F.lit(0)))
-    base = join_keys(base, broadcast_checked(counts.select(*by, "__b", "__off")),
-                     [*by, "__b"], "inner", null_safe=True)
-
+    offsets = counts.select(*by, "__b", F.coalesce(F.sum("__c").over(wb), F.lit(0)).alias("__off"))
+    base = join_keys(base, broadcast_checked(offsets), [*by, "__b"], "inner", null_safe=True)
     wr = Window.partitionBy(*by, "__b").orderBy("__md5", *keycols)
     rank0 = F.col("__off") + F.row_number().over(wr) - 1
-    return (base.withColumn(out, (rank0 % F.lit(k)).cast("bigint"))
-            .drop("__h", "__md5", "__nb", "__b", "__off"))
+    return base.withColumn(out, (rank0 % F.lit(k)).cast("bigint")).drop("__md5", "__b", "__off")

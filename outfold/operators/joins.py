@@ -9,10 +9,14 @@ with the input.
   tables). Catalyst cannot size an aggregate's output before running it, so it
   plans a sort-merge join, and AQE would then shuffle the large side in
   parallel with the small one before it could switch to a broadcast. Instead
-  the small table is materialised in the shared folder, counted, and hinted
-  as broadcast only when its estimated size is under the session's
+  the small table is materialised in the shared folder, its rows and the bytes
+  of its variable-length values are measured in one aggregate, and it is hinted
+  as broadcast only when that size is under the session's
   ``spark.sql.autoBroadcastJoinThreshold``; beyond it the plain shuffle join
   stays, with AQE splitting skewed keys.
+- ``join_hot``: as above, but beyond the threshold the rows of keys that would
+  overload a task meet their (few) table rows by broadcast and stay where they
+  are, so an aggregate above the join does not gather them in one task.
 """
 
 from __future__ import annotations
@@ -42,17 +46,21 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def _row_bytes(schema: T.StructType) -> int:
-    size = 8  # row header
-    for f in schema.fields:
-        t = f.dataType
-        if isinstance(t, (T.StringType, T.BinaryType)):
-            size += 32
-        elif isinstance(t, (T.ArrayType, T.MapType, T.StructType)):
-            size += 64
-        else:
-            size += 8
-    return size
+def table_bytes(df: DataFrame) -> int:
+    """Measured size of a materialised table: eight bytes for each field and
+    row, and the real length of strings, binaries and nested values."""
+    fixed = 8 * (len(df.schema.fields) + 1)
+    lengths = []
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            lengths.append(F.octet_length(c))
+        elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            lengths.append(F.octet_length(F.to_json(F.struct(c))))
+    size = F.lit(fixed).cast("bigint")
+    for n in lengths:
+        size = size + F.coalesce(n, F.lit(0))
+    return df.agg(F.sum(size)).first()[0] or 0
 
 
 def broadcast_threshold(spark) -> int:
@@ -65,22 +73,20 @@ def broadcast_threshold(spark) -> int:
     return int(v)
 
 
-def broadcast_sized(df: DataFrame, n_rows: int, max_bytes: int | None = None) -> DataFrame:
-    """Hint ``df`` as broadcast only if ``n_rows`` (a measured count or a
-    proven upper bound) x estimated row width is within ``max_bytes``
-    (default: the session's broadcast threshold; negative never broadcasts)."""
+def broadcast_sized(df: DataFrame, n_bytes: int, max_bytes: int | None = None) -> DataFrame:
+    """Hint ``df`` as broadcast only if ``n_bytes`` (a measured size or a proven
+    upper bound) is within ``max_bytes`` (default: the session's broadcast
+    threshold; negative never broadcasts)."""
     limit = broadcast_threshold(df.sparkSession) if max_bytes is None else max_bytes
-    if limit < 0:
-        return df
-    return F.broadcast(df) if n_rows * _row_bytes(df.schema) <= limit else df
+    return F.broadcast(df) if 0 <= n_bytes <= limit else df
 
 
 def broadcast_if_small(m: DataFrame, max_bytes: int | None = None) -> DataFrame:
-    """For an already materialised table: count it, then ``broadcast_sized``."""
+    """For an already materialised table: measure it, then ``broadcast_sized``."""
     limit = broadcast_threshold(m.sparkSession) if max_bytes is None else max_bytes
     if limit < 0:
         return m
-    return broadcast_sized(m, m.count(), max_bytes)
+    return broadcast_sized(m, table_bytes(m), limit)
 
 
 def broadcast_checked(df: DataFrame, max_bytes: int | None = None) -> DataFrame:
@@ -88,6 +94,26 @@ def broadcast_checked(df: DataFrame, max_bytes: int | None = None) -> DataFrame:
     return broadcast_if_small(materialize(df), max_bytes)
 
 
+def join_hot(rows: DataFrame, table: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """Inner join of many rows with a materialised table of one row per ``key``,
+    whose column ``size`` says how many of the ``total`` rows the key has (it is
+    not returned).
+
+    A table under the broadcast threshold is broadcast. Beyond it, keys with
+    more than an even share of a shuffle partition number at most as many as
+    there are partitions; these are broadcast, and only the other rows are
+    shuffled by the key."""
+    spark = table.sparkSession
+    slim = table.drop(size)
+    if 0 <= table_bytes(slim) <= broadcast_threshold(spark):
+        return rows.join(F.broadcast(slim), key)
+    share = total // int(spark.conf.get("spark.sql.shuffle.partitions"))
+    hot = table.where(F.col(size) > share).drop(size)
+    cold = table.where(F.col(size) <= share).drop(size)
+    return rows.join(F.broadcast(hot), key).unionByName(
+        rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key))
+
+
 def join_keys(left: DataFrame, right: DataFrame, keys, how: str = "inner",
               null_safe: bool = False) -> DataFrame:
     """Equi-join on same-named ``keys``; ``null_safe`` matches null to null.

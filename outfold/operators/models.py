@@ -18,18 +18,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from outfold.operators.joins import broadcast_bounded
+from outfold.functions.safe import known
+from outfold.operators.folds import check_folds
+from outfold.operators.joins import broadcast_bounded, materialize
 from outfold.session import shared_dir
 
 
 def fold_moments(df: DataFrame, fold: str, y: str, xs) -> DataFrame:
-    """Per fold over complete rows (no null in y or any x): n, the means of
-    every x_i and y, and the population co-moments cov(x_i, x_j), cov(x_i, y).
-    One aggregate, k rows out."""
+    """Per fold over complete rows (a fold, and no null or NaN in y or any x): n,
+    the means of every x_i and y, and the population co-moments cov(x_i, x_j),
+    cov(x_i, y). One aggregate, k rows out."""
     xs = list(xs)
-    complete = F.col(y).isNotNull()
-    for c in xs:
-        complete = complete & F.col(c).isNotNull()
+    complete = F.col(fold).isNotNull()
+    for c in (*xs, y):
+        complete = complete & known(c).isNotNull()
     cols = [*xs, y]
     aggs = [F.count(F.lit(1)).alias("n")]
     aggs += [F.avg(c).alias(f"m_{i}") for i, c in enumerate(cols)]
@@ -51,65 +53,78 @@ def _merge(parts: list, p1: int):
     return n, mean, com
 
 
-def solve_folds(moments: list, xs, y, k: int, l2: float = 0.0, fold: str = "fold") -> list[dict]:
-    """Coefficients per target fold from the fold moments (at most k rows).
-    Ridge ``l2`` adds to the diagonal of the centred normal equations (the
-    intercept is not penalised)."""
-    p = len(xs)
-    p1 = p + 1
-    per = {}
-    for r in moments:
-        mu = np.array([r[f"m_{i}"] for i in range(p1)], dtype=float)
-        cov = np.zeros((p1, p1))
-        for i, j in combinations_with_replacement(range(p1), 2):
-            cov[i, j] = cov[j, i] = r[f"c_{i}_{j}"]
-        per[int(r[fold])] = (int(r["n"]), mu, cov)
-    out = []
-    for t in range(k):
-        n, mean, com = _merge([v for f, v in per.items() if f != t], p1)
-        if n < 1:
-            out.append({"fold": t, "intercept": None, **{f"b_{i}": None for i in range(p)}})
-            continue
-        A = com[:p, :p] + l2 * np.eye(p)
-        rhs = com[:p, p]
-        try:
-            beta = np.linalg.solve(A, rhs)
-        except np.linalg.LinAlgError:
-            beta = np.linalg.lstsq(A, rhs, rcond=None)[0]
-        out.append({"fold": t, "intercept": float(mean[p] - mean[:p] @ beta),
-                    **{f"b_{i}": float(beta[i]) for i in range(p)}})
-    return out
+def _moments(r, p1: int):
+    mu = np.array([r[f"m_{i}"] for i in range(p1)], dtype=float)
+    cov = np.zeros((p1, p1))
+    for i, j in combinations_with_replacement(range(p1), 2):
+        cov[i, j] = cov[j, i] = r[f"c_{i}_{j}"]
+    return int(r["n"]), mu, cov
+
+
+def solve(moments: list, p: int, l2: float = 0.0) -> list[float] | None:
+    """Intercept and coefficients from rows of moments that are taken together;
+    None without a row. Ridge ``l2`` adds to the diagonal of the centred normal
+    equations (the intercept is not penalised)."""
+    n, mean, com = _merge([_moments(r, p + 1) for r in moments], p + 1)
+    if n < 1:
+        return None
+    lhs, rhs = com[:p, :p] + l2 * np.eye(p), com[:p, p]
+    try:
+        beta = np.linalg.solve(lhs, rhs)
+    except np.linalg.LinAlgError:
+        beta = np.linalg.lstsq(lhs, rhs, rcond=None)[0]
+    return [float(mean[p] - mean[:p] @ beta), *map(float, beta)]
+
+
+def linear(coefs: list[float] | None, xs):
+    """Prediction as a column; null without a model, or where a feature is."""
+    if coefs is None:
+        return F.lit(None).cast("double")
+    pred = F.lit(coefs[0])
+    for b, c in zip(coefs[1:], xs, strict=True):
+        pred = pred + F.lit(b) * known(c)
+    return pred
 
 
 def oof_ols(df: DataFrame, fold: str = "fold", y: str = "y", xs=("x",), k: int = 5,
             l2: float = 0.0, out: str = "pred") -> DataFrame:
     """Out-of-fold linear least squares: each row is predicted by the model
-    fitted on the other folds. Rows with a null feature get a null pred."""
+    fitted on the other folds. Rows with a null or NaN feature, without a fold,
+    or without any training row get a null pred; rows without a fold train
+    nothing; a fold outside 0..k-1 raises ValueError."""
     xs = list(xs)
-    mom = fold_moments(df, fold, y, xs).collect()
-    coefs = solve_folds(mom, xs, y, k, l2, fold)
+    mom = materialize(fold_moments(df, fold, y, xs))
+    check_folds(mom, fold, k)
+    mom = mom.collect()  # k rows
+    coefs = [(t, solve([r for r in mom if r[fold] != t], len(xs), l2)) for t in range(k)]
     spark: SparkSession = df.sparkSession
-    schema = T.StructType([T.StructField(fold, T.LongType())]
-                          + [T.StructField("__b0", T.DoubleType())]
-                          + [T.StructField(f"__b{i + 1}", T.DoubleType()) for i in range(len(xs))])
-    rows = [(c["fold"], c["intercept"], *[c[f"b_{i}"] for i in range(len(xs))]) for c in coefs]
-    cdf = broadcast_bounded(spark.createDataFrame(rows, schema), k)
-    pred = F.col("__b0")
+    cdf = broadcast_bounded(spark.createDataFrame(
+        coefs, T.StructType([T.StructField(fold, T.LongType()),
+                             T.StructField("__b", T.ArrayType(T.DoubleType()))])), k)
+    pred = F.col("__b")[0]
     for i, c in enumerate(xs):
-        pred = pred + F.col(f"__b{i + 1}") * F.col(c)
-    j = df.join(cdf, on=fold, how="left")
-    return j.withColumn(out, pred).drop("__b0", *[f"__b{i + 1}" for i in range(len(xs))])
+        pred = pred + F.col("__b")[i + 1] * known(c)
+    return df.join(cdf, on=fold, how="left").withColumn(out, pred).drop("__b")
 
 
 def oof_gbt(df: DataFrame, fold: str = "fold", y: str = "y", xs=("x",), k: int = 5,
             max_iter: int = 20, max_depth: int = 5, seed: int = 7, out: str = "pred",
             parallelism: int | None = None) -> DataFrame:
     """Out-of-fold gradient-boosted trees with absolute loss: k fits, each on
-    the rows of the other folds (the one place with k passes). The fits are
-    independent and are submitted from ``parallelism`` driver threads (default
-    k), as Spark ML's CrossValidator does, so small fits share the cluster.
-    Intermediate state is checkpointed to the shared folder, so a long fit
-    survives executor loss without an ever-growing lineage."""
+    the rows of the other folds.
+
+    The assembled rows (fold, target, features) are written once and all fits
+    read them, so what makes ``df`` runs once for the fits. One more pass scores:
+    every row meets the k models in one projection and takes its fold's. The
+    fits are independent and are submitted from ``parallelism`` driver threads
+    (default k), as Spark ML's CrossValidator does. Intermediate state is
+    checkpointed to the shared folder, so a long fit survives executor loss
+    without an ever-growing lineage.
+
+    Every row is returned. Rows without a fold, and rows whose fold has no
+    training row (k=1), get a null pred; rows without a fold, with a null or
+    NaN target train nothing; a fold outside 0..k-1 raises ValueError.
+    """
     from concurrent.futures import ThreadPoolExecutor
 
     from pyspark.ml.feature import VectorAssembler
@@ -117,20 +132,31 @@ def oof_gbt(df: DataFrame, fold: str = "fold", y: str = "y", xs=("x",), k: int =
 
     shared_dir(df.sparkSession)
     xs = list(xs)
-    va = VectorAssembler(inputCols=xs, outputCol="__features", handleInvalid="keep")
-    data = va.transform(df)
+    names = [f"__x{i}" for i in range(len(xs))]
+    va = VectorAssembler(inputCols=names, outputCol="__features", handleInvalid="keep")
+    doubles = [F.col(c).cast("double").alias(n) for c, n in zip(xs, names, strict=True)]
+    train = materialize(va.transform(df.select(
+        F.col(fold).cast("bigint").alias("__f"), known(y).alias("__y"), *doubles))
+        .where("__f is not null and __y is not null").select("__f", "__y", "__features"))
+    sizes = materialize(train.groupBy("__f").count())
+    check_folds(sizes, "__f", k)
+    have = {r["__f"]: r["count"] for r in sizes.collect()}  # k rows
 
     def fit(f: int):
-        train = data.where((F.col(fold) != f) & F.col(y).isNotNull())
-        gbt = GBTRegressor(featuresCol="__features", labelCol=y, predictionCol=out,
+        gbt = GBTRegressor(featuresCol="__features", labelCol="__y", predictionCol=f"__p{f}",
                            lossType="absolute", maxIter=max_iter, maxDepth=max_depth,
                            seed=seed, checkpointInterval=10, cacheNodeIds=False)
-        return gbt.fit(train)
+        return gbt.fit(train.where(F.col("__f") != f))
 
+    folds = [f for f in range(k) if any(n for g, n in have.items() if g != f)]
+    if not folds:
+        return df.withColumn(out, F.lit(None).cast("double"))
     with ThreadPoolExecutor(max_workers=max(1, min(k, parallelism or k))) as pool:
-        models = list(pool.map(fit, range(k)))
-    parts = [m.transform(data.where(F.col(fold) == f)) for f, m in enumerate(models)]
-    scored = parts[0]
-    for p in parts[1:]:
-        scored = scored.unionByName(p)
-    return scored.drop("__features")
+        models = list(pool.map(fit, folds))
+    scored = va.transform(df.select("*", *doubles))
+    for m in models:
+        scored = m.transform(scored)
+    pred = F.lit(None).cast("double")
+    for f in folds:
+        pred = F.when(F.col(fold) == f, F.col(f"__p{f}")).otherwise(pred)
+    return scored.withColumn(out, pred).drop("__features", *names, *[f"__p{f}" for f in folds])

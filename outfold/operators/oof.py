@@ -16,9 +16,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from outfold.functions.safe import safe_div
+from outfold.functions.safe import known, safe_div
+from outfold.operators.folds import check_folds
 from outfold.operators.joins import (broadcast_bounded, broadcast_checked, broadcast_sized,
-                                     materialize)
+                                     materialize, table_bytes)
 from outfold.operators.quantiles import exact_quantiles
 
 
@@ -33,9 +34,10 @@ def _other_folds(fold: str, k: int) -> Column:
 
 
 def group_fold_sums(df: DataFrame, fold: str, y: str, by) -> DataFrame:
-    """Sum and non-null count of ``y`` per (by, fold): one partial+final aggregate."""
+    """Sum and count of the known ``y`` (not null, not NaN) per (by, fold): one
+    partial+final aggregate."""
     by = _cols(by)
-    return df.groupBy(*by, fold).agg(F.sum(y).alias("__s"), F.count(y).alias("__n"))
+    return df.groupBy(*by, fold).agg(F.sum(known(y)).alias("__s"), F.count(known(y)).alias("__n"))
 
 
 def oof_group_sums(df: DataFrame, fold: str, y: str, by, stats: DataFrame | None = None) -> DataFrame:
@@ -64,7 +66,7 @@ def oof_global_sums(df: DataFrame, fold: str, y: str, k: int,
     if stats is not None:
         per = stats.groupBy(fold).agg(F.sum("__s").alias("__s"), F.sum("__n").alias("__n"))
     else:
-        per = df.groupBy(fold).agg(F.sum(y).alias("__s"), F.count(y).alias("__n"))
+        per = df.groupBy(fold).agg(F.sum(known(y)).alias("__s"), F.count(known(y)).alias("__n"))
     g = (per.withColumn("__t", F.explode(_other_folds(fold, k)))
          .groupBy("__t").agg(F.sum("__s").alias("gs_oof"), F.sum("__n").alias("gn_oof"))
          .withColumnRenamed("__t", fold))
@@ -91,8 +93,9 @@ def oof_encode(df: DataFrame, col="g", y: str = "y", fold: str = "fold", k: int
     out = out or (f"{by[0]}_te" if m is not None else "pred")
     # a row without a fold (null key) trains nothing
     st = materialize(group_fold_sums(df.where(F.col(fold).isNotNull()), fold, y, by))
-    # the window keeps one row per (group, fold): the stats count sizes it
-    sums = broadcast_sized(oof_group_sums(df, fold, y, by, stats=st), st.count())
+    check_folds(st, fold, k)
+    # the window keeps one row per (group, fold): the stats' size is its size
+    sums = broadcast_sized(oof_group_sums(df, fold, y, by, stats=st), table_bytes(st))
     glob = oof_global_sums(df, fold, y, k, stats=st)
     j = df.join(sums, on=[*by, fold], how="left").join(glob, on=fold, how="left")
     g_mean = safe_div("gs_oof", "gn_oof")
@@ -114,10 +117,11 @@ def oof_encode_many(df: DataFrame, cols, y: str = "y", fold: str = "fold", k: in
     cols = list(cols)
     sets = [[c, fold] for c in cols]
     st = df.where(F.col(fold).isNotNull()).groupingSets(sets, *cols, fold).agg(
-        F.sum(y).alias("__s"), F.count(y).alias("__n"),
+        F.sum(known(y)).alias("__s"), F.count(known(y)).alias("__n"),
         *[F.grouping(c).alias(f"__g_{c}") for c in cols])
     st = materialize(st)
-    n_st = st.count()   # an upper bound on every column's (value, fold) rows
+    check_folds(st, fold, k)
+    n_st = table_bytes(st)   # an upper bound on every column's (value, fold) table
     per_col = {c: st.where(F.col(f"__g_{c}") == 0).select(c, fold, "__s", "__n") for c in cols}
     glob = oof_global_sums(df, fold, y, k, stats=per_col[cols[0]])
     out = df.join(glob, on=fold, how="left")
@@ -136,6 +140,44 @@ def oof_encode_many(df: DataFrame, cols, y: str = "y", fold: str = "fold", k: in
     return out.drop("gs_oof", "gn_oof")
 
 
+def oof_predict_kinds(df: DataFrame, folds: dict[str, str], y: str = "y", by="g", k: int = 5
+                      ) -> DataFrame:
+    """R3 for several fold columns at once (``folds``: name -> column), one
+    ``pred_<name>`` each: one aggregate with a grouping set per fold column, and
+    one scoring pass."""
+    by = _cols(by)
+    cols = list(folds.values())
+    st = materialize(df.groupingSets([[*by, f] for f in cols], *by, *cols).agg(
+        F.sum(known(y)).alias("__s"), F.count(known(y)).alias("__n"),
+        *[F.grouping(f).alias(f"__g_{f}") for f in cols]))
+    size = table_bytes(st)
+    out = df
+    for name, f in folds.items():
+        own = st.where((F.col(f"__g_{f}") == 0) & F.col(f).isNotNull()).select(*by, f, "__s", "__n")
+        check_folds(own, f, k)
+        sums = oof_group_sums(df, f, y, by, stats=own).select(
+            *by, f, F.col("s_oof").alias("__so"), F.col("n_oof").alias("__no"))
+        out = (out.join(broadcast_sized(sums, size), on=[*by, f], how="left")
+               .join(oof_global_sums(df, f, y, k, stats=own), on=f, how="left")
+               .withColumn(f"pred_{name}", F.coalesce(safe_div("__so", "__no"),
+                                                      safe_div("gs_oof", "gn_oof")))
+               .drop("__so", "__no", "gs_oof", "gn_oof"))
+    return out
+
+
+def oof_with_holdout(df: DataFrame, hold: str, fold: str = "fold", y: str = "y", by="g", k: int = 5,
+                     out: str = "pred") -> DataFrame:
+    """R3 and R5 in one: rows without the flag ``hold`` are predicted out of
+    fold, rows with it from all rows without it; neither trains on itself. One
+    aggregate and one scoring pass: held-out rows get a fold number of their own
+    that trains nothing, so "all other folds" is all training rows for them."""
+    num = F.when(F.col(hold), F.lit(k)).otherwise(F.col(fold))
+    target = F.when(~F.col(hold), known(y))
+    scored = oof_encode(df.withColumn("__hf", num.cast("bigint")).withColumn("__hy", target),
+                        col=by, y="__hy", fold="__hf", k=k + 1, m=None, out=out)
+    return scored.drop("__hf", "__hy")
+
+
 def oof_median(df: DataFrame, fold: str = "fold", y: str = "y", by="g", k: int = 5,
                out: str = "pred", method: str = "exact", sketch_k: int = 2000) -> DataFrame:
     """D16: out-of-fold group median (the constant minimising absolute error),
@@ -144,19 +186,16 @@ def oof_median(df: DataFrame, fold: str = "fold", y: str = "y", by="g", k: int =
     Medians do not subtract, so each training value must reach the k-1 folds
     it trains.
 
-    ``method="sketch"`` (the scalable default for large data): one KLL sketch
-    per (group, fold) is aggregated map-side, and only the sketches are
+    ``method="sketch"``: one KLL sketch per (group, fold) is aggregated map-side, and only the sketches are
     replicated to the k-1 folds they train and merged; the rows are read
     once and never replicated, and every buffer has a bounded size. Sketches
     are approximate and their last digits depend on the merge order.
 
-    ``method="exact"``: ``exact_quantiles`` in fold mode: histogram
-    refinement with per-fold counts, training counts as total minus own fold;
-    rows are replicated to the folds they train only inside the final small
-    intervals, and no task holds a whole group.
+    ``method="exact"`` (the default): ``exact_quantiles`` in fold mode:
+    brackets from sketches, counts per fold, no row replicated.
     """
     by = _cols(by)
-    base = df.where(F.col(y).isNotNull() & F.col(fold).isNotNull())
+    base = df.withColumn(y, known(y)).where(F.col(y).isNotNull() & F.col(fold).isNotNull())
     if method == "exact":
         grp = exact_quantiles(base, y, [0.5], by=by, fold=fold, k=k, out="__q").select(
             *by, fold, F.col("__q")[0].alias("__gm"))
@@ -164,7 +203,9 @@ def oof_median(df: DataFrame, fold: str = "fold", y: str = "y", by="g", k: int =
             fold, F.col("__q")[0].alias("__glob"))
     elif method == "sketch":
         sk = base.groupBy(*by, fold).agg(
-            F.kll_sketch_agg_double(F.col(y).cast("double"), F.lit(sketch_k)).alias("__sk"))
+            F.kll_sketch_agg_double(F.col(y), F.lit(sketch_k)).alias("__sk"))
+        sk = materialize(sk)
+        check_folds(sk, fold, k)
         rep = sk.withColumn("__t", F.explode(_other_folds(fold, k)))
         grp = (rep.groupBy(*by, "__t").agg(F.kll_merge_agg_double("__sk").alias("__sk"))
                .select(*by, F.col("__t").alias(fold),
@@ -180,3 +221,60 @@ def oof_median(df: DataFrame, fold: str = "fold", y: str = "y", by="g", k: int =
     grp = broadcast_checked(grp)
     j = df.join(grp, on=[*by, fold], how="left").join(glob, on=fold, how="left")
     return j.withColumn(out, F.coalesce("__gm", "__glob")).drop("__gm", "__glob")
+
+
+def nested_encoded_ols(df: DataFrame, col, y: str = "y", fold: str = "fold", k: int = 5,
+                       m: float = 20.0, out: str = "pred") -> DataFrame:
+    """Out-of-fold least squares of ``y`` on the target encoding of ``col``,
+    without a leak from the encoding into the model.
+
+    The model that scores fold t is fitted on rows of the other folds; the
+    encoding of such a row of fold f leaves out f *and* t, since with t it would
+    hold targets of the rows to be scored. A row of fold t is scored with the
+    encoding from all other folds. Encoding and model need nothing but the sums
+    per (category, fold): one aggregate, and a table of k^2 rows per category.
+    """
+    by = _cols(col)
+    st = materialize(group_fold_sums(df.where(F.col(fold).isNotNull()), fold, y, by)
+                     .select(F.struct(*by).alias("__g"), F.col(fold).alias("__f"), "__s", "__n")
+                     .withColumn("__s", F.coalesce("__s", F.lit(0.0))))
+    check_folds(st, "__f", k)
+    # sums over the folds other than the own and the target one
+    own = Window.partitionBy("__g").orderBy("__f").rowsBetween(
+        Window.unboundedPreceding, Window.unboundedFollowing)
+    everyone = st.select("__g", "__f", "__s", "__n", F.collect_list(
+        F.struct("__f", "__s", "__n")).over(own).alias("__all"))
+    pairs = everyone.withColumn("__t", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).select(
+        "*", F.filter("__all", lambda r: (r["__f"] != F.col("__f")) & (r["__f"] != F.col("__t"))
+                      ).alias("__rest"))
+    total = (st.groupBy("__f").agg(F.sum("__s").alias("__s"), F.sum("__n").alias("__n"))
+             .agg(F.collect_list(F.struct("__f", "__s", "__n"))).first()[0])  # k rows
+    def mean(skip: set) -> float | None:
+        n = sum(r["__n"] for r in total if r["__f"] not in skip)
+        return sum(r["__s"] for r in total if r["__f"] not in skip) / n if n else None
+    spark = df.sparkSession
+    glob = broadcast_bounded(spark.createDataFrame(
+        [(f, t, mean({f, t})) for f in range(k) for t in range(k)],
+        "__f bigint, __t int, __m double"), k * k)
+
+    def add(field: str):
+        zero = F.lit(0.0) if field == "__s" else F.lit(0).cast("bigint")
+        return F.aggregate("__rest", zero, lambda acc, r: acc + r[field])
+
+    enc = safe_div(add("__s") + F.lit(float(m)) * F.col("__m"), add("__n") + F.lit(float(m)))
+    coded = pairs.join(glob, ["__f", "__t"]).withColumn("__x", F.coalesce(enc, F.col("__m")))
+    # Moments of (x, y) over the rows of each training set: x is one value per
+    # (category, fold, target), so the sums give them; centred on the mean of x.
+    train = materialize(coded.where("__f <> __t and __n > 0").select("__t", "__x", "__s", "__n"))
+    centre = train.groupBy("__t").agg((F.sum(F.col("__x") * F.col("__n")) / F.sum("__n")).alias("__mx"),
+                                      (F.sum("__s") / F.sum("__n")).alias("__my"))
+    d = F.col("__x") - F.col("__mx")
+    line = train.join(broadcast_bounded(centre, k), "__t").groupBy("__t", "__mx", "__my").agg(
+        F.sum(d * (F.col("__s") - F.col("__n") * F.col("__my"))).alias("__xy"),
+        F.sum(d * d * F.col("__n")).alias("__xx"))
+    slope = F.coalesce(safe_div("__xy", "__xx"), F.lit(0.0))
+    line = broadcast_bounded(line.select(F.col("__t").cast("bigint").alias(fold), slope.alias("__b1"),
+                                         (F.col("__my") - slope * F.col("__mx")).alias("__b0")), k)
+    scored = oof_encode(df, col=by, y=y, fold=fold, k=k, m=m, out="__te").join(line, fold, "left")
+    return scored.withColumn(out, F.col("__b0") + F.col("__b1") * F.col("__te")).drop(
+        "__te", "__b0", "__b1")

@@ -18,14 +18,15 @@ def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
 
 
-def profile(df: DataFrame, cols=None, exact: bool = True, accuracy: int = 10000) -> DataFrame:
+def profile(df: DataFrame, cols=None, exact: bool = False, accuracy: int = 10000) -> DataFrame:
     """(column, n_rows, n_null, n_distinct, min, max, mean, sd, q1, median, q3).
 
-    Moments and counts come from one aggregate. Exact quartiles come from
-    ``exact_quantiles`` over the columns unpivoted to (column, value), so all
-    columns share each refinement pass and no task holds a column's values.
-    ``exact=False`` uses bounded sketches (``approx_count_distinct``,
-    ``percentile_approx``) in the same single aggregate instead.
+    Moments and counts come from one aggregate; by default distinct counts and
+    quartiles are bounded sketches (``approx_count_distinct``,
+    ``percentile_approx``) in that same aggregate. ``exact=True`` counts distinct
+    values exactly, which shuffles every column's distinct values, and takes
+    quartiles from ``exact_quantiles`` over the columns unpivoted to (column,
+    value), so all columns share each pass and no task holds a column's values.
     """
     cols = numeric_columns(df) if cols is None else ([cols] if isinstance(cols, str) else list(cols))
     probs = [0.25, 0.5, 0.75]

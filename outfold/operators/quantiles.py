@@ -1,23 +1,21 @@
 """Quantiles with the semantics of SQL ``percentile`` / ``quantile_cont``
 (linear interpolation between order statistics).
 
-``exact_quantiles`` finds the needed order statistics by histogram refinement
-instead of collecting a group's values into one buffer. Per pass, each open
-search interval is cut into ``buckets`` equal-width value buckets; one
-partial+final aggregate counts rows per (interval, bucket) (bounded output,
-map-side combined, so a group holding a third of all rows costs one partial
-row per bucket per task); a window over at most ``buckets`` rows per interval
-finds the bucket holding the target rank; the next pass looks only at that
-bucket's rows. Buckets are monotone in the value, so a bucket is a contiguous
-value range [min, max] and the rank bookkeeping is exact. Once an interval
-holds at most ``small`` rows, ``row_number`` over those rows finishes it.
-Each pass is one scan of the value column; the small search state is
-checkpointed to the shared folder between passes.
-
-With ``fold``/``k`` the groups are training sets: the quantile for target
-fold t is taken over the rows of the other folds. Counts per fold are
-aggregated once and the training count is the total minus the own fold, so
-no row is replicated to the k-1 folds it trains until an interval is small.
+``exact_quantiles`` finds order statistics by brackets from sketches instead of
+collecting a group's values into one buffer. Each wanted rank (a *state*) looks
+in one open interval of values, at first all of them. A pass merges bounded KLL
+sketches of that interval, takes two cut points a little below and above the
+rank, and counts the rows below, at, between and above the cut points in one
+map-side-combined aggregate. Either the rank falls on a cut point, which is its
+value, or on an open interval that leaves both cut points out, so every pass
+makes progress whatever the spread of the values: ties, outliers and infinities
+are values like any others. Intervals of at most ``work`` rows are ranked row by
+row. The algorithm is the same for groups of any size; ``work`` only bounds what
+one task ranks.
+
+With ``fold``/``k`` the groups are training sets: the quantile for target fold t
+is over the rows of the other folds. Counts and sketches are kept per fold, the
+training count is the sum over the other folds, and no row is replicated.
 """
 
 from __future__ import annotations
@@ -25,7 +23,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from outfold.operators.joins import broadcast_checked, materialize
+from outfold.operators.joins import join_hot, materialize
+
+#: Cut points are taken among GRID + 1 evenly ranked quantiles of an interval, at
+#: least BRACKET of its rows below and above the wanted rank; BRACKET is several
+#: times the sketch's rank error at SKETCH_K.
+GRID = 200
+BRACKET = 0.01
+SKETCH_K = 2000
 
 
 def quantile_agg(x: Column, probs, exact: bool = True, accuracy: int = 10000) -> Column:
@@ -42,153 +47,155 @@ def quantile_agg(x: Column, probs, exact: bool = True, accuracy: int = 10000) ->
     return F.percentile_approx(x, F.array(*[F.lit(p) for p in probs]), accuracy).cast("array<double>")
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Materialise a small intermediate table in the shared folder."""
-    return materialize(df)
+def _cell(x: Column, cuts: Column) -> Column:
+    """Place of ``x`` among sorted cut points: 2i+1 at cut i, even between."""
+    return 2 * F.size(F.filter(cuts, lambda c: c < x)) + F.array_contains(cuts, x).cast("int")
+
+
+def _pos(value: Column, cuts: Column, missing: Column) -> Column:
+    return F.when(value.isNull(), missing).otherwise(
+        2 * F.array_position(cuts, value).cast("int") - 1)
 
 
 def exact_quantiles(df: DataFrame, x: str, probs, by=(), fold: str | None = None,
-                    k: int | None = None, buckets: int = 4096, small: int = 200_000,
-                    max_passes: int = 80, out: str = "q") -> DataFrame:
+                    k: int | None = None, work: int = 200_000, out: str = "q") -> DataFrame:
     """Exact quantiles of ``x`` per ``by`` group (per (by, target fold) with
     ``fold``/``k``): one row per non-empty group with ``out`` an array of
-    doubles in the order of ``probs``. Nulls and NaN are ignored.
+    doubles in the order of ``probs``. Nulls and NaN are ignored; rows without
+    a fold train nothing; a null group is a group of its own.
 
     In fold mode the result has a column named ``fold`` holding the target
-    fold t; its quantiles are over the group's rows with fold != t.
+    fold t; its quantiles are over the group's rows with fold != t. A fold
+    outside 0..k-1 raises ValueError.
     """
     by = [by] if isinstance(by, str) else list(by)
     probs = [float(p) for p in probs]
     folded = fold is not None
     if folded and not k:
         raise ValueError("k is required with fold")
-    xv = F.col(x).cast("double")
-    cols = [*by, *([F.col(fold).cast("bigint").alias("__f")] if folded else []), xv.alias("__x")]
-    base = df.select(*cols).where(F.col("__x").isNotNull() & ~F.isnan("__x"))
+    targets = k if folded else 1
+    # A struct as the key matches null to null in joins.
+    group = F.struct(*[F.col(c) for c in by]) if by else F.struct(F.lit(0).alias("__one"))
+    own = F.col(fold).cast("bigint") if folded else F.lit(-1).cast("bigint")
+    rows = df.select(group.alias("__g"), own.alias("__f"),
+                     (F.col(x).cast("double") + F.lit(0.0)).alias("__x")
+                     ).where("__x is not null and not isnan(__x) and __f is not null")
+
+    sketch = F.kll_sketch_agg_double("__x", F.lit(SKETCH_K)).alias("__sk")
+    cells = materialize(rows.groupBy("__g", "__f").agg(
+        F.lit(0).alias("__i"), F.count(F.lit(1)).alias("__c"), sketch))
     if folded:
-        base = base.where(F.col("__f").isNotNull())   # a row without a fold trains nothing
-    if not by:
-        base = base.withColumn("__g0", F.lit(0))
-        by_k = ["__g0"]
-    else:
-        by_k = list(by)
-    gk = [*by_k, "__t"] if folded else list(by_k)
-
-    # Group sizes and value ranges.
-    rng = base.groupBy(*by_k).agg(F.count(F.lit(1)).alias("__nall"),
-                                  F.min("__x").alias("__lo"), F.max("__x").alias("__hi"))
-    rng = _cut(rng)
-    if (rng.agg(F.max("__nall")).first()[0] or 0) <= small:
-        # Every group holds at most ``small`` values, so a plain ``percentile``
-        # buffer is bounded; in fold mode rows go to the k-1 folds they train.
-        src = base
-        if folded:
-            src = base.withColumn("__t", F.explode(F.filter(
-                F.sequence(F.lit(0).cast("bigint"), F.lit(k - 1).cast("bigint")),
-                lambda t: t != F.col("__f"))))
-        res = src.groupBy(*gk).agg(
-            F.percentile("__x", F.array(*[F.lit(p) for p in probs])).alias(out))
-        if not by:
-            res = res.drop("__g0")
-        return res.withColumnRenamed("__t", fold) if folded else res
-    if folded:
-        per = base.groupBy(*by_k, F.col("__f").alias("__t")).agg(F.count(F.lit(1)).alias("__nf"))
-        tg = (rng.withColumn("__t", F.explode(F.sequence(F.lit(0).cast("bigint"),
-                                                          F.lit(k - 1).cast("bigint"))))
-              .join(per, on=[*by_k, "__t"], how="left")
-              .withColumn("__n", F.col("__nall") - F.coalesce("__nf", F.lit(0))))
-    else:
-        tg = rng.withColumn("__n", F.col("__nall"))
-    tg = tg.where(F.col("__n") > 0)
-
-    # Target ranks (0-based): floor and ceil of p * (n - 1) for every p.
-    pos = [F.lit(p) * (F.col("__n") - 1) for p in probs]
-    spec = tg.select(*gk, "__lo", "__hi", "__n", F.posexplode(F.array(*pos)).alias("__qi", "__pos"))
-    spec = (spec.withColumn("__rlo", F.floor("__pos").cast("bigint"))
-            .withColumn("__rhi", F.ceil("__pos").cast("bigint")))
-    spec = _cut(spec)
-
-    state = (spec.select(*gk, "__lo", "__hi", "__n", F.explode(F.array("__rlo", "__rhi")).alias("__r"))
-             .distinct()
-             .select(*gk, "__r", F.col("__lo").alias("__a"), F.col("__hi").alias("__b"),
-                     F.lit(0).cast("bigint").alias("__below"), F.col("__n").alias("__cnt")))
-    state = _cut(state)
-
-    def rows_in(intervals: DataFrame) -> DataFrame:
-        """Rows of ``base`` inside each interval (by_k, a, b), one output row
-        per (row, containing interval). Without ``by`` the intervals number at
-        most 2 * len(probs) * k (a parameter bound), so they are inlined as
-        literals instead of joined."""
-        if by:
-            j = base.join(broadcast_checked(intervals), on=by_k, how="inner")
-            return j.where((F.col("__x") >= F.col("__a")) & (F.col("__x") <= F.col("__b")))
-        ivs = intervals.select("__a", "__b").distinct().collect()
-        arr = F.array(*[F.struct(F.lit(float(a)).alias("a"), F.lit(float(b)).alias("b"))
-                        for a, b in ivs]) if ivs else F.array().cast("array<struct<a:double,b:double>>")
-        hit = F.explode(F.filter(arr, lambda s: (F.col("__x") >= s["a"]) & (F.col("__x") <= s["b"])))
-        m = base.select("*", hit.alias("__iv"))
-        return m.select(*base.columns, F.col("__iv.a").alias("__a"), F.col("__iv.b").alias("__b"))
-
-    open_cond = (F.col("__a") < F.col("__b")) & (F.col("__cnt") > small)
-    for _ in range(max_passes):
-        opened = state.where(open_cond)
-        if opened.limit(1).count() == 0:
+        low, high = cells.agg(F.min("__f"), F.max("__f")).first()
+        if low is not None and (low < 0 or high >= k):
+            raise ValueError(f"folds {low}..{high} are not in 0..{k - 1}")
+
+    sizes = cells.withColumn("__t", F.explode(F.sequence(F.lit(0), F.lit(targets - 1)))).where(
+        "__f <> __t").groupBy("__g", "__t").agg(F.sum("__c").alias("__n"))
+    spec = materialize(sizes.select("__g", "__t", "__n", F.posexplode(F.array(
+        *[F.lit(p) * (F.col("__n") - 1) for p in probs])).alias("__q", "__at")).select(
+        "__g", "__t", "__n", "__q", "__at", F.floor("__at").cast("bigint").alias("__rlo"),
+        F.ceil("__at").cast("bigint").alias("__rhi")))
+    none = F.lit(None).cast("double")
+    # __rel: the rank inside the interval (__lo, __hi), of __in rows.
+    states = materialize(spec.select(
+        "__g", "__t", "__n", F.explode(F.array("__rlo", "__rhi")).alias("__r")).distinct().select(
+        "__g", "__t", "__r", F.col("__r").alias("__rel"), F.col("__n").alias("__in"),
+        F.lit(0).alias("__i"), none.alias("__lo"), none.alias("__hi"), none.alias("__v")))
+
+    heavy = max(1, cells.agg(F.sum("__c")).first()[0] or 0)
+    # The states of one interval differ in their training rows; they go on together.
+    peak = F.max("__in").over(Window.partitionBy("__g", "__lo", "__hi"))
+    while True:
+        seeking = states.where("__v is null").withColumn("__peak", peak)
+        wide = seeking.where(F.col("__peak") > work).drop("__peak")
+        if wide.isEmpty():
             break
-        iv = opened.select(*by_k, "__a", "__b").distinct()
-        width = F.col("__b") - F.col("__a")
-        bucket = F.least(F.lit(buckets - 1),
-                         F.floor((F.col("__x") - F.col("__a")) / width * F.lit(float(buckets)))
-                         .cast("int"))
-        r = rows_in(iv).withColumn("__bk", bucket)
-        aggs = [F.count(F.lit(1)).alias("__c"), F.min("__x").alias("__mn"), F.max("__x").alias("__mx")]
-        if folded:
-            aggs += [F.count(F.when(F.col("__f") == i, 1)).alias(f"__c{i}") for i in range(k)]
-        hist = r.groupBy(*by_k, "__a", "__b", "__bk").agg(*aggs)
-        w = (Window.partitionBy(*by_k, "__a", "__b").orderBy("__bk")
-             .rowsBetween(Window.unboundedPreceding, -1))
-        hist = hist.withColumn("__cb", F.coalesce(F.sum("__c").over(w), F.lit(0)))
-        if folded:
-            for i in range(k):
-                hist = hist.withColumn(f"__cb{i}", F.coalesce(F.sum(f"__c{i}").over(w), F.lit(0)))
-        cand = opened.join(hist, on=[*by_k, "__a", "__b"], how="inner")
-        if folded:
-            own_c = F.element_at(F.array(*[F.col(f"__c{i}") for i in range(k)]),
-                                 (F.col("__t") + 1).cast("int"))
-            own_cb = F.element_at(F.array(*[F.col(f"__cb{i}") for i in range(k)]),
-                                  (F.col("__t") + 1).cast("int"))
-            c_t, cb_t = F.col("__c") - own_c, F.col("__cb") - own_cb
-        else:
-            c_t, cb_t = F.col("__c"), F.col("__cb")
-        lo_rank = F.col("__below") + cb_t
-        picked = cand.where((lo_rank <= F.col("__r")) & (F.col("__r") < lo_rank + c_t)).select(
-            *gk, "__r", F.col("__mn").alias("__a"), F.col("__mx").alias("__b"),
-            lo_rank.alias("__below"), c_t.alias("__cnt"))
-        state = _cut(state.where(~open_cond).unionByName(picked))
-
-    done = state.where(F.col("__a") == F.col("__b")).select(*gk, "__r", F.col("__a").alias("__v"))
-    rest = state.where(F.col("__a") < F.col("__b"))
-    iv = rest.select(*gk, "__a", "__b").distinct()
-    rr = rows_in(iv.select(*by_k, "__a", "__b").distinct())
-    if folded:
-        rr = rr.join(iv, on=[*by_k, "__a", "__b"], how="inner").where(F.col("__f") != F.col("__t"))
-    wr = Window.partitionBy(*gk, "__a", "__b").orderBy("__x")
-    rr = rr.withColumn("__rn", F.row_number().over(wr) - 1)
-    fin = rest.join(rr, on=[*gk, "__a", "__b"], how="inner").where(
-        F.col("__below") + F.col("__rn") == F.col("__r")).select(*gk, "__r", F.col("__x").alias("__v"))
-    vals = done.unionByName(fin)
-
-    lo_v = vals.select(*gk, F.col("__r").alias("__rlo"), F.col("__v").alias("__vlo"))
-    hi_v = vals.select(*gk, F.col("__r").alias("__rhi"), F.col("__v").alias("__vhi"))
-    q = spec.join(lo_v, on=[*gk, "__rlo"], how="left").join(hi_v, on=[*gk, "__rhi"], how="left")
-    # Interpolate as Spark's percentile does.
-    qv = F.when(F.col("__rlo") == F.col("__rhi"), F.col("__vlo")).otherwise(
-        (F.col("__rhi") - F.col("__pos")) * F.col("__vlo")
-        + (F.col("__pos") - F.col("__rlo")) * F.col("__vhi"))
-    res = q.groupBy(*gk).agg(
-        F.array_sort(F.collect_list(F.struct(F.col("__qi"), qv.alias("v")))).alias("__qs"))
-    res = res.select(*gk, F.transform("__qs", lambda s: s["v"]).alias(out))
-    if not by:
-        res = res.drop("__g0")
-    if folded:
-        res = res.withColumnRenamed("__t", fold)
-    return res
+        share = F.col("__rel") / F.greatest(F.col("__in") - 1, F.lit(1))
+        merged = wide.join(cells.drop("__c"), ["__g", "__i"]).where("__f <> __t").groupBy(
+            "__g", "__t", "__r").agg(F.kll_merge_agg_double("__sk").alias("__sk"))
+        grid = F.kll_sketch_get_quantile_double("__sk", F.array(
+            *[F.lit(i / GRID) for i in range(GRID + 1)]))
+        lower = F.greatest(F.floor((share - BRACKET) * GRID), F.lit(0)).cast("int")
+        upper = F.least(F.ceil((share + BRACKET) * GRID), F.lit(GRID)).cast("int")
+        wide = materialize(wide.join(merged, ["__g", "__t", "__r"]).withColumn("__grid", grid)
+                           .withColumn("__ab", F.array(F.get("__grid", lower), F.get("__grid", upper)))
+                           .drop("__sk", "__grid"))
+        cuts = materialize(wide.groupBy("__g").agg(F.array_sort(F.array_distinct(F.flatten(
+            F.collect_list(F.filter(F.concat("__ab", F.array("__lo", "__hi")),
+                                    lambda v: v.isNotNull()))))).alias("__cuts"),
+            F.max("__in").alias("__size")))
+        placed = join_hot(rows, cuts, "__g", "__size", heavy)
+        cells = materialize(placed.withColumn("__i", _cell(F.col("__x"), F.col("__cuts")))
+                            .groupBy("__g", "__f", "__i").agg(F.count(F.lit(1)).alias("__c"), sketch))
+        inside = (F.col("__i") > _pos(F.col("__lo"), F.col("__cuts"), F.lit(-1))) & \
+            (F.col("__i") < _pos(F.col("__hi"), F.col("__cuts"), 2 * F.size("__cuts") + 1))
+        key = ["__g", "__t", "__r"]
+        counts = (wide.drop("__i", "__ab").join(cuts.drop("__size"), "__g").join(cells.drop("__sk"), "__g")
+                  .where("__f <> __t").where(inside)
+                  .groupBy(*key, "__i").agg(
+                      F.sum("__c").alias("__in"),
+                      *[F.first(c).alias(c) for c in ("__rel", "__lo", "__hi", "__cuts")]))
+        # a few cells of one state, not rows
+        before = Window.partitionBy(*key).orderBy("__i").rowsBetween(Window.unboundedPreceding, -1)
+        half = F.expr("__i div 2")
+        odd = F.col("__i") % 2 == 1
+        found = (counts.withColumn("__b", F.coalesce(F.sum("__in").over(before), F.lit(0)))
+                 .where("__b <= __rel and __rel < __b + __in")
+                 .select(*key, (F.col("__rel") - F.col("__b")).alias("__rel"), "__in", "__i",
+                         F.when(~odd, F.get("__cuts", half - 1)).alias("__lo"),
+                         F.when(~odd, F.get("__cuts", half)).alias("__hi"),
+                         F.when(odd, F.get("__cuts", half)).alias("__v")))
+        states = materialize(states.where("__v is not null")
+                             .unionByName(seeking.where(F.col("__peak") <= work).drop("__peak"))
+                             .unionByName(found))
+
+    # The open intervals of a group are equal or apart, so all their ends
+    # together cut the rows into just these intervals.
+    left = states.where("__v is null")
+    cuts = left.groupBy("__g").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(
+        F.filter(F.array("__lo", "__hi"), lambda v: v.isNotNull()))))).alias("__cuts"),
+        F.max("__in").alias("__size"))
+    left = left.join(cuts.drop("__size"), "__g").withColumn(
+        "__i", _pos(F.col("__lo"), F.col("__cuts"), F.lit(-1)) + 1)
+    wanted = left.groupBy("__g", "__cuts", "__i").agg(F.collect_list(
+        F.struct("__t", "__r", "__rel")).alias("__want"))
+    cuts = materialize(cuts.join(left.groupBy("__g").agg(F.collect_set("__i").alias("__is")), "__g"))
+    per_fold = [F.count(F.when(F.col("__f") == i, 1)).alias(f"__c{i}") for i in range(k)] if folded else []
+    values = (join_hot(rows, cuts, "__g", "__size", heavy)
+              .withColumn("__i", _cell(F.col("__x"), F.col("__cuts")))
+              .where(F.array_contains("__is", F.col("__i")))
+              .groupBy("__g", "__i", "__x").agg(F.count(F.lit(1)).alias("__c"), *per_fold))
+    # one interval of about ``work`` rows at most
+    upto = Window.partitionBy("__g", "__i").orderBy("__x").rowsBetween(Window.unboundedPreceding, 0)
+    names = ["__c", *[f"__c{i}" for i in range(k if folded else 0)]]
+    values = values.select("__g", "__i", "__x", *names,
+                           *[F.sum(c).over(upto).alias(f"{c}_end") for c in names])
+
+    def of_target(suffix: str, t: Column) -> Column:
+        every = F.col(f"__c{suffix}")
+        if not folded:
+            return every
+        return every - F.element_at(F.array(*[F.col(f"__c{i}{suffix}") for i in range(k)]), t + 1)
+
+    def holds(s: Column) -> Column:
+        end = of_target("_end", s["__t"])
+        return (s["__rel"] < end) & (s["__rel"] >= end - of_target("", s["__t"]))
+
+    ranked = values.join(wanted.drop("__cuts"), ["__g", "__i"]).select(
+        "__g", "__x", F.inline(F.filter("__want", holds))).select(
+        "__g", "__t", "__r", F.col("__x").alias("__v"))
+    vals = materialize(states.where("__v is not null").select("__g", "__t", "__r", "__v")
+                       .unionByName(ranked))
+
+    lo_v = vals.select("__g", "__t", F.col("__r").alias("__rlo"), F.col("__v").alias("__vlo"))
+    hi_v = vals.select("__g", "__t", F.col("__r").alias("__rhi"), F.col("__v").alias("__vhi"))
+    q = spec.join(lo_v, ["__g", "__t", "__rlo"]).join(hi_v, ["__g", "__t", "__rhi"])
+    # Interpolate as Spark's percentile does; equal ends stay as they are (also infinite ones).
+    value = F.when(F.col("__vlo") == F.col("__vhi"), F.col("__vlo")).otherwise(
+        (F.col("__rhi") - F.col("__at")) * F.col("__vlo")
+        + (F.col("__at") - F.col("__rlo")) * F.col("__vhi"))
+    res = q.groupBy("__g", "__t").agg(F.array_sort(F.collect_list(
+        F.struct("__q", value.alias("v")))).alias("__qs"))
+    target = [F.col("__t").cast("bigint").alias(fold)] if folded else []
+    return res.select(*[F.col("__g")[c].alias(c) for c in by], *target,
+                      F.transform("__qs", lambda s: s["v"]).alias(out))

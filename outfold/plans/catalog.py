@@ -25,6 +25,7 @@ from outfold.operators import metrics as me
 from outfold.operators import models as mo
 from outfold.operators import oof
 from outfold.operators import profile as pr
+from outfold.operators.quantiles import exact_quantiles
 from outfold.plans.registry import register, table
 from outfold.session import scratch_path
 from outfold.sources import sinks, tables
@@ -152,7 +153,7 @@ SELECT c_custkey, c_mktsegment,
 FROM customer""")
 def q_strat_fold(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
-    return fo.assign_strat_fold(c, "c_mktsegment", "c_custkey", K, rows_per_bucket=100)
+    return fo.assign_strat_fold(c, "c_mktsegment", "c_custkey", K)
 
 
 # --- R5, D21-D25: scores -------------------------------------------------------
@@ -222,11 +223,9 @@ SELECT round(mae_oof, 6) AS mae_oof, round(mae_holdout, 6) AS mae_holdout, n_oof
 FROM s""")
 def q_score_gap(spark, sf_dir):
     fact = ho.split_holdout(orders_fact(spark, sf_dir), "id", 10, col="hold")
-    train = fact.where(~F.col("hold"))
-    oof_train = oof.oof_predict(train, fold="fold", y="y", by="g", k=K)
-    model, glob = ho.fit_group_mean(train, "y", "g")
-    held = ho.score_group_mean(fact.where(F.col("hold")), model, glob, "g")
-    r = me.gap(oof_train, held)
+    # Held-out rows have no fold: they train nothing and, as rows of no fold, are
+    # predicted from all training rows by the same sums.
+    r = me.gap_of(oof.oof_with_holdout(fact, "hold", by="g", k=K), F.col("hold"))
     return r.select(*_r6("mae_oof", "mae_holdout"), "n_oof", "n_holdout", *_r6("gap", "gap_pct"))
 
 
@@ -244,7 +243,7 @@ def q_stream_holdout_mae(spark, sf_dir):
     scored = st.score_stream(arriving.where(F.col("hold")), model, glob, "g")
     out = scratch_path(spark, "stream-mae")
     st.run_running_mae(spark, scored, out).awaitTermination()
-    return spark.read.parquet(out).select(F.round("mae", 6).alias("mae"), "n_scored", "n_missing")
+    return st.latest(spark, out).select(F.round("mae", 6).alias("mae"), "n_scored", "n_missing")
 
 
 def orders_two_models(spark, sf_dir):
@@ -253,8 +252,8 @@ def orders_two_models(spark, sf_dir):
     cust = table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("cust"), F.col("c_mktsegment").alias("seg"))
     f = orders_fact(spark, sf_dir).join(cust, "cust", "left")
-    f = oof.oof_predict(f, fold="fold", y="y", by="g", k=K, out="p1")
-    return oof.oof_predict(f, fold="fold", y="y", by="seg", k=K, out="p2")
+    f = oof.oof_encode_many(f, ["g", "seg"], y="y", fold="fold", k=K, m=None)
+    return f.withColumnsRenamed({"g_te": "p1", "seg_te": "p2"})
 
 
 TWO_MODELS_SQL = f"""
@@ -294,6 +293,18 @@ def q_prediction_sink(spark, sf_dir):
 # --- D1-D4, D10: checks --------------------------------------------------------
 
 @register("cast_exact", oracle="""
+SELECT l_orderkey, l_linenumber,
+       CASE WHEN l_quantity = floor(l_quantity) THEN CAST(floor(l_quantity) AS INTEGER) END AS l_quantity,
+       CASE WHEN l_extendedprice = floor(l_extendedprice)
+            THEN CAST(floor(l_extendedprice) AS INTEGER) END AS l_extendedprice
+FROM lineitem""")
+def q_cast_exact(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
+    return ch.cast_exact(li, ["l_quantity", "l_extendedprice"])
+
+
+@register("inexact_counts", oracle="""
 SELECT 'l_quantity' AS "column", count(*) AS n_rows,
        count(*) FILTER (WHERE l_quantity IS NULL) AS n_null,
        count(*) FILTER (WHERE l_quantity = floor(l_quantity)) AS n_whole,
@@ -309,7 +320,7 @@ SELECT 'l_extendedprice', count(*),
        CAST(sum(CASE WHEN l_extendedprice = floor(l_extendedprice)
                      THEN CAST(floor(l_extendedprice) AS BIGINT) END) AS BIGINT)
 FROM lineitem""")
-def q_cast_exact(spark, sf_dir):
+def q_inexact_counts(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
     return ch.inexact_counts(li, ["l_quantity", "l_extendedprice"])
 
@@ -392,14 +403,28 @@ def _round_stats(df):
                      *_r6("min", "max", "mean", "sd", "q1", "median", "q3"))
 
 
-@register("profile", oracle=_profile_sql(["o_totalprice", "o_custkey"], "orders"))
+@register("profile", oracle=_profile_sql(["o_orderkey", "o_custkey", "o_totalprice"], "orders"))
 def q_profile(spark, sf_dir):
-    return _round_stats(pr.profile(table(spark, sf_dir, "orders"), ["o_totalprice", "o_custkey"]))
+    return _round_stats(pr.profile(table(spark, sf_dir, "orders"), exact=True))
 
 
-@register("profile_customer", oracle=_profile_sql(["c_acctbal", "c_nationkey"], "customer"))
+@register("profile_customer", oracle=_profile_sql(["c_custkey", "c_nationkey", "c_acctbal"], "customer"))
 def q_profile_customer(spark, sf_dir):
-    return _round_stats(pr.profile(table(spark, sf_dir, "customer"), ["c_acctbal", "c_nationkey"]))
+    return _round_stats(pr.profile(table(spark, sf_dir, "customer"), exact=True))
+
+
+@register("quantiles_by_flag", oracle="""
+SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.1), 6) AS p10,
+       round(quantile_cont(l_extendedprice, 0.5), 6) AS p50,
+       round(quantile_cont(l_extendedprice, 0.9), 6) AS p90
+FROM lineitem GROUP BY l_returnflag""")
+def q_quantiles_by_flag(spark, sf_dir):
+    """Exact quantiles of large groups, with intervals of a few hundred rows
+    at the end, so that the passes over brackets run at any table size."""
+    q = exact_quantiles(table(spark, sf_dir, "lineitem"), "l_extendedprice", [0.1, 0.5, 0.9],
+                        by="l_returnflag", work=200)
+    return q.select("l_returnflag", *[F.round(F.col("q")[i], 6).alias(c)
+                                      for i, c in enumerate(("p10", "p50", "p90"))])
 
 
 @register("category_freq", oracle="""
@@ -583,12 +608,25 @@ def q_oof_group_median(spark, sf_dir):
     return me.mae(r, exact=True).select(F.round("mae", 6).alias("mae"), "n_scored", "n_missing")
 
 
-@register("oof_group_median_sketch",
-          note="KLL sketches merged out of fold; approximate, so rows-only")
+@register("oof_group_median_sketch", oracle=f"""
+WITH f AS ({ORDERS_FACT_SQL})
+SELECT fold, count(y) AS n_scored, count(*) - count(y) AS n_missing, true AS in_bounds
+FROM f GROUP BY fold""")
 def q_oof_group_median_sketch(spark, sf_dir):
-    r = oof.oof_median(orders_fact(spark, sf_dir), fold="fold", y="y", by="g", k=K,
-                       method="sketch")
-    return me.mae_by_fold(r).select("fold", *_r6("mae"), "n_scored", "n_missing")
+    """Per fold: are all sketched medians within 1 % of the middle rank of the
+    rows they stand for? (The oracle says yes.)"""
+    f = orders_fact(spark, sf_dir)
+    r = oof.oof_median(f, fold="fold", y="y", by="g", k=K, method="sketch")
+    scored = r.groupBy("fold").agg(
+        F.count(me.abs_err("y", "pred")).alias("n_scored"),
+        (F.count(F.lit(1)) - F.count(me.abs_err("y", "pred"))).alias("n_missing"))
+    meds = r.groupBy("g", "fold").agg(F.first("pred").alias("m")).withColumnRenamed("fold", "t")
+    ranks = (f.join(meds, "g").where("fold <> t").groupBy("g", "t").agg(
+        (F.count(F.when(F.col("y") < F.col("m"), 1)) / F.count("y")).alias("below"),
+        (F.count(F.when(F.col("y") <= F.col("m"), 1)) / F.count("y")).alias("upto")))
+    ok = ranks.groupBy(F.col("t").alias("fold")).agg(
+        F.every((F.col("below") <= 0.51) & (F.col("upto") >= 0.49)).alias("in_bounds"))
+    return scored.join(ok, "fold").select("fold", "n_scored", "n_missing", "in_bounds")
 
 
 @register("oof_linear", oracle=f"""
@@ -605,16 +643,74 @@ def q_oof_linear(spark, sf_dir):
             .select("fold", *_r6("mae"), "n_scored"))
 
 
-@register("oof_gbt", note="Spark ML fit per fold; no SQL form, rows-only")
+@register("oof_gbt", oracle=f"""
+WITH f AS ({ORDERS_FACT_SQL})
+SELECT fold, count(y) AS n_scored, count(*) - count(y) AS n_missing, true AS near_median
+FROM f GROUP BY fold""")
 def q_oof_gbt(spark, sf_dir):
+    """Per fold: is the trees' MAE at most 1.05 times that of the out-of-fold
+    median? (The oracle says yes.)"""
     o = table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("cust"),
         F.col("o_totalprice").alias("y"), F.dayofyear("o_orderdate").cast("double").alias("doy"))
     cust = table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("cust"), F.col("c_acctbal").alias("x"))
-    f = fo.assign_fold(o, "id", K).join(cust, "cust", "left")
-    r = mo.oof_gbt(f, fold="fold", y="y", xs=["x", "doy"], k=K, max_iter=5, max_depth=3)
-    return me.mae_by_fold(r).select("fold", *_r6("mae"), "n_scored", "n_missing")
+    f = fo.assign_fold(o, "id", K).join(cust, "cust", "left").withColumn("one", F.lit(1))
+    r = mo.oof_gbt(f, fold="fold", y="y", xs=["x", "doy"], k=K)
+    r = oof.oof_median(r, fold="fold", y="y", by="one", k=K, out="med", method="sketch")
+    err, base = me.abs_err("y", "pred"), me.abs_err("y", "med")
+    return r.groupBy("fold").agg(
+        F.count(err).alias("n_scored"), (F.count(F.lit(1)) - F.count(err)).alias("n_missing"),
+        (F.avg(err) <= 1.05 * F.avg(base)).alias("near_median"))
+
+
+@register("holdout_encode", oracle=f"""
+WITH {HOLD_SQL},
+s AS (SELECT g, sum(y) AS s, count(y) AS n FROM tr GROUP BY g)
+SELECT te.id, round((coalesce(s.s, 0) + 20 * (SELECT avg(y) FROM tr)) / (coalesce(s.n, 0) + 20), 6) AS pred
+FROM te LEFT JOIN s ON te.g = s.g""")
+def q_holdout_encode(spark, sf_dir):
+    """The held-out form of the smoothed target encoding."""
+    r = ho.holdout_encode(orders_fact(spark, sf_dir), "id", "y", "g", m=20.0)
+    return r.select("id", *_r6("pred"))
+
+
+@register("holdout_linear", oracle=f"""
+WITH {ORDERS_CUST_SQL},
+h AS (SELECT *, {fold_sql('id', 10, 'hold')} = 0 AS hold FROM f),
+c AS (SELECT regr_slope(y, x) AS b1, regr_intercept(y, x) AS b0 FROM h WHERE NOT hold)
+SELECT round(avg(abs(y - (b0 + b1 * x))), 6) AS mae, count(abs(y - (b0 + b1 * x))) AS n_scored,
+       count(*) - count(abs(y - (b0 + b1 * x))) AS n_missing
+FROM h, c WHERE hold""")
+def q_holdout_linear(spark, sf_dir):
+    """The held-out form of least squares."""
+    r = ho.holdout_linear(orders_with_customer(spark, sf_dir), "id", "y", ["x"])
+    return me.mae(r).select(*_r6("mae"), "n_scored", "n_missing")
+
+
+@register("oof_linear_encoded", oracle=f"""
+WITH {ORDERS_CUST_SQL},
+s AS (SELECT seg, fold, sum(y) AS s, count(y) AS n FROM f GROUP BY seg, fold),
+a AS (SELECT fold, sum(y) AS s, count(y) AS n FROM f GROUP BY fold),
+t AS (SELECT DISTINCT fold FROM f),
+enc AS (
+  SELECT b.seg, b.fold, t.fold AS target,
+         (coalesce((SELECT sum(x.s) FROM s x WHERE x.seg = b.seg AND x.fold <> b.fold AND x.fold <> t.fold), 0)
+          + 20 * (SELECT sum(x.s) / sum(x.n) FROM a x WHERE x.fold <> b.fold AND x.fold <> t.fold))
+         / (coalesce((SELECT sum(x.n) FROM s x WHERE x.seg = b.seg AND x.fold <> b.fold AND x.fold <> t.fold), 0)
+            + 20) AS x
+  FROM s b, t),
+c AS (SELECT e.target, regr_slope(f.y, e.x) AS b1, regr_intercept(f.y, e.x) AS b0
+      FROM f JOIN enc e ON e.seg = f.seg AND e.fold = f.fold WHERE f.fold <> e.target GROUP BY e.target),
+p AS (SELECT f.fold, f.y, c.b0 + c.b1 * e.x AS pred
+      FROM f JOIN enc e ON e.seg = f.seg AND e.fold = f.fold AND e.target = f.fold
+      JOIN c ON c.target = f.fold)
+SELECT fold, round(avg(abs(y - pred)), 4) AS mae, count(abs(y - pred)) AS n_scored FROM p GROUP BY fold""")
+def q_oof_linear_encoded(spark, sf_dir):
+    """Least squares on a target encoding that never holds a scored row's target."""
+    r = oof.nested_encoded_ols(orders_with_customer(spark, sf_dir), "seg", y="y", k=K, m=20.0)
+    err = me.abs_err("y", "pred")
+    return r.groupBy("fold").agg(F.round(F.avg(err), 4).alias("mae"), F.count(err).alias("n_scored"))
 
 
 @register("oof_encode_many", oracle=f"""
@@ -671,13 +767,15 @@ def q_fold_kind_mae(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("p"),
         F.col("l_extendedprice").alias("y"))
-    out = None
-    for kind, key in (("order", "o"), ("part", "p")):
-        f = fo.assign_fold(li, key, K) if kind == "order" else fo.assign_group_fold(li, key, K)
-        r = me.mae(oof.oof_predict(f, by="p", k=K)).select(
-            F.lit(kind).alias("fold_kind"), F.round("mae", 6).alias("mae"), "n_scored", "n_missing")
-        out = r if out is None else out.unionByName(r)
-    return out
+    f = fo.assign_group_fold(fo.assign_fold(li, "o", K, out="fold_order"), "p", K, out="fold_part")
+    r = oof.oof_predict_kinds(f, {"order": "fold_order", "part": "fold_part"}, by="p", k=K)
+    errs = {kind: me.abs_err("y", f"pred_{kind}") for kind in ("order", "part")}
+    wide = r.agg(F.count(F.lit(1)).alias("n"), *[a for kind, e in errs.items() for a in (
+        F.avg(e).alias(f"m_{kind}"), F.count(e).alias(f"n_{kind}"))])
+    return wide.select(F.inline(F.array(*[F.struct(
+        F.lit(kind).alias("fold_kind"), F.round(f"m_{kind}", 6).alias("mae"),
+        F.col(f"n_{kind}").alias("n_scored"), (F.col("n") - F.col(f"n_{kind}")).alias("n_missing"))
+        for kind in errs])))
 
 
 @register("impute_median_oof", oracle=f"""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,30 +24,44 @@ def check_keys(df: DataFrame, key) -> dict:
 
 def write_predictions(df: DataFrame, path: str, key, cols=("pred",), fmt: str = "parquet",
                       mode: str = "errorifexists", expected_rows: int | None = None) -> dict:
-    """Write ``key`` + ``cols``; refuse a null or duplicate key, and check the
-    written row count against the input (and ``expected_rows`` when given).
+    """Write ``key`` + ``cols`` once, check what was written, then publish it.
 
-    The write goes through Spark's commit protocol, so a lost executor's
-    tasks are retried and the output appears whole or not at all.
+    The rows go to a staging folder beside ``path``; keys and counts are checked
+    on the written files, so the scoring plan runs only once and what is checked
+    is what is published. A null or duplicate key, or a row count other than
+    ``expected_rows``, raises and leaves neither output nor staging folder. The
+    staging folder is renamed to ``path`` at the end.
     """
+    if mode not in ("errorifexists", "overwrite"):
+        raise ValueError(f"unknown mode {mode!r}")
     keys = [key] if isinstance(key, str) else list(key)
     out = df.select(*keys, *cols)
-    st = check_keys(out, keys)
-    if st["n_null_key"]:
-        raise SinkCheckError(f"{st['n_null_key']} rows with a null key")
-    if st["n_distinct"] != st["n"]:
-        raise SinkCheckError(f"{st['n'] - st['n_distinct']} duplicate key rows")
-    if expected_rows is not None and st["n"] != expected_rows:
-        raise SinkCheckError(f"{st['n']} rows, expected {expected_rows}")
-    w = out.write.mode(mode)
-    if fmt == "csv":
-        w.option("header", True).csv(path)
-    else:
-        w.format(fmt).save(path)
     spark = df.sparkSession
-    back = (spark.read.option("header", True).schema(out.schema).csv(path) if fmt == "csv"
-            else spark.read.format(fmt).load(path))
-    n_back = back.count()
-    if n_back != st["n"]:
-        raise SinkCheckError(f"wrote {n_back} rows, expected {st['n']}")
-    return {"path": path, "rows": n_back}
+    target = spark._jvm.org.apache.hadoop.fs.Path(path.rstrip("/"))
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if mode == "errorifexists" and fs.exists(target):
+        raise FileExistsError(path)
+    name = f"{path.rstrip('/')}.staging-{uuid.uuid4().hex}"
+    staging = spark._jvm.org.apache.hadoop.fs.Path(name)
+    try:
+        if fmt == "csv":
+            out.write.option("header", True).csv(name)
+            back = spark.read.option("header", True).schema(out.schema).csv(name)
+        else:
+            out.write.format(fmt).save(name)
+            back = spark.read.format(fmt).load(name)
+        st = check_keys(back, keys)
+        if st["n_null_key"]:
+            raise SinkCheckError(f"{st['n_null_key']} rows with a null key")
+        if st["n_distinct"] != st["n"]:
+            raise SinkCheckError(f"{st['n'] - st['n_distinct']} duplicate key rows")
+        if expected_rows is not None and st["n"] != expected_rows:
+            raise SinkCheckError(f"{st['n']} rows, expected {expected_rows}")
+        if mode == "overwrite":
+            fs.delete(target, True)
+        if not fs.rename(staging, target):
+            raise SinkCheckError(f"could not publish {path}")
+    finally:
+        if fs.exists(staging):
+            fs.delete(staging, True)
+    return {"path": path, "rows": st["n"]}

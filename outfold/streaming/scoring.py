@@ -3,9 +3,10 @@
 New rows arrive as files; each micro-batch is scored against a fitted
 group-mean model (a stream-static join: the model is a static DataFrame) and
 folded into a running (sum of absolute error, n_scored, n_missing) state kept
-by Spark's state store. The running score is written by ``foreachBatch``,
-overwriting a one-row table, which is idempotent when a batch is replayed
-after a failure. Checkpoints go under the shared folder.
+by Spark's state store. The running score is written by ``foreachBatch`` into a
+folder of its epoch, which is idempotent when a batch is replayed after a
+failure; ``latest`` reads the newest whole epoch, so a reader never meets a
+table that is being replaced. Checkpoints go under the shared folder.
 """
 
 from __future__ import annotations
@@ -48,13 +49,15 @@ def run_running_mae(spark: SparkSession, scored: DataFrame, out_path: str,
                     available_now: bool = True, by=None):
     """Start the running-MAE query (per ``by`` segment if given); with
     ``available_now`` it processes every file present and stops. Each batch
-    overwrites the whole current table. Returns the StreamingQuery."""
+    writes the whole current table to ``out_path/epoch=N``; the epoch before the
+    last is removed. Read it with ``latest``. Returns the StreamingQuery."""
     checkpoint = checkpoint or scratch_path(spark, "stream-ckpt")
 
     def write(batch: DataFrame, epoch_id: int) -> None:
         (batch.withColumn("mae", safe_div("sum_abs_err", F.col("n_scored").cast("double")))
-         .withColumn("epoch", F.lit(epoch_id).cast("bigint"))
-         .coalesce(1).write.mode("overwrite").parquet(out_path))
+         .write.mode("overwrite").parquet(f"{out_path}/epoch={epoch_id}"))
+        old = spark._jvm.org.apache.hadoop.fs.Path(f"{out_path}/epoch={epoch_id - 2}")
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
     w = (running_mae(scored, y, pred, by).writeStream.outputMode("complete")
          .option("checkpointLocation", checkpoint).foreachBatch(write))
@@ -62,6 +65,18 @@ def run_running_mae(spark: SparkSession, scored: DataFrame, out_path: str,
     return w.start()
 
 
+def latest(spark: SparkSession, out_path: str) -> DataFrame:
+    """The running table of the newest epoch that was written whole."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(out_path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    done = [int(f.getPath().getName().split("=")[1]) for f in fs.listStatus(folder)
+            if f.getPath().getName().startswith("epoch=") and fs.exists(
+                spark._jvm.org.apache.hadoop.fs.Path(f.getPath(), "_SUCCESS"))]
+    epoch = max(done)
+    return spark.read.parquet(f"{out_path}/epoch={epoch}").withColumn(
+        "epoch", F.lit(epoch).cast("bigint"))
+
+
 def file_stream(spark: SparkSession, path: str, schema: T.StructType,
                 max_files_per_trigger: int | None = None) -> DataFrame:
     """Parquet files arriving under the folder ``path``. A single file is

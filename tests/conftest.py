@@ -14,6 +14,6 @@ SF01 = "/root/testdata/sf0.01"
 @pytest.fixture(scope="session")
 def spark():
     from outfold.session import get_spark
-    s = get_spark("local[8]", app="outfold-tests", shuffle_partitions=8)
+    s = get_spark("local[4]", app="outfold-tests", shuffle_partitions=8)
     yield s
     s.stop()

@@ -40,13 +40,13 @@ def test_hot_group_exact_median_refined(hot):
         F.sequence(F.lit(0).cast("bigint"), F.lit(K - 1).cast("bigint")),
         lambda t: t != F.col("fold"))))
     ref = rep.groupBy("g", "t").agg(F.percentile("y", F.lit(0.5)).alias("r"))
-    got = exact_quantiles(hot, "y", [0.5], by="g", fold="fold", k=K, buckets=64, small=500)
+    got = exact_quantiles(hot, "y", [0.5], by="g", fold="fold", k=K, work=500)
     j = got.join(ref.withColumnRenamed("t", "fold"), ["g", "fold"])
     assert j.count() == 30 and j.where("q[0] <> r").count() == 0
 
 
 def test_hot_stratum_folds_balanced(hot):
-    s = fo.assign_strat_fold(hot, "g", "id", K, rows_per_bucket=300)
+    s = fo.assign_strat_fold(hot, "g", "id", K, buckets=16)
     sizes = s.where("g = 'HOT'").groupBy("fold").count().collect()
     counts = sorted(r["count"] for r in sizes)
     assert len(counts) == K and counts[-1] - counts[0] <= 1 and sum(counts) == 5000

@@ -35,14 +35,14 @@ def test_running_mae_over_batches_and_restart(spark):
         return q
 
     q = run()
-    got = spark.read.parquet(out).first()
+    got = st.latest(spark, out).first()
     assert got["n_scored"] == want["n_scored"] == 1480
     assert round(got["mae"], 6) == round(want["mae"], 6)
     assert got["epoch"] >= 3          # at least four micro-batches ran
     assert q.lastProgress is not None
 
     run()                              # restart: nothing new, nothing counted twice
-    again = spark.read.parquet(out).first()
+    again = st.latest(spark, out).first()
     assert again["n_scored"] == 1480
 
 
@@ -58,5 +58,5 @@ def test_running_mae_per_segment(spark):
     out = scratch_path(spark, "running-seg")
     st.run_running_mae(spark, st.score_stream(stream, model, glob, "g"), out,
                        by="status").awaitTermination()
-    got = {r["status"]: (r["n_scored"], round(r["mae"], 6)) for r in spark.read.parquet(out).collect()}
+    got = {r["status"]: (r["n_scored"], round(r["mae"], 6)) for r in st.latest(spark, out).collect()}
     assert got == want
