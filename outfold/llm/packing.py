@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from outfold.llm.common import Workspace, slices, texts
-from outfold.llm.tokens import WordIds, words_of
+from outfold.llm.tokens import whole_tokens, worker_words
 
 
 def cut(n: int, capacity: int, whole: int) -> list[tuple[int, int]]:
@@ -70,17 +70,16 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 2,
         raise ValueError("need capacity >= 2 and 1 <= whole <= capacity")
     spark = docs.sparkSession
     ws = Workspace(spark, "packing")
+    proved = spark.sparkContext.broadcast(whole_tokens(tokenizer))  # bounded by the vocabulary
     tail = int(end_id).to_bytes(4, "little")
     names = ["_id", "start", "length", "ids_crc32", "doc_tokens", "class", "_part", "_i"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, part, seen = WordIds(tokenizer), TaskContext.get().partitionId(), {}
+        table, part, seen = worker_words(tokenizer, proved.value), TaskContext.get().partitionId(), {}
         for b in slices(batches, "_t", 4 << 20):
-            lists = [words_of(t) for t in texts(b.column("_t"))]
-            table.learn(set().union(*lists))
             out = [[] for _ in names]
-            for key, words in zip(b.column("_id").to_pylist(), lists, strict=True):
-                ids = memoryview(table.ids(words) + tail)
+            for key, t in zip(b.column("_id").to_pylist(), texts(b.column("_t")), strict=True):
+                ids = memoryview(table.encode(t) + tail)
                 total, start = len(ids) // 4, 0
                 for size, j in cut(total, capacity, whole):
                     i = seen.get(j, 0)

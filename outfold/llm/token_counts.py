@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from outfold.llm.common import byte_lengths, slices, texts
-from outfold.llm.tokens import WordCounts, whole_tokens
+from outfold.llm.tokens import whole_tokens, worker_words
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 2048, id_col: str = "doc_id",
@@ -26,9 +26,9 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 2048, id_col: str
     proved = docs.sparkSession.sparkContext.broadcast(whole_tokens(tokenizer))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = WordCounts(tokenizer, proved.value)
+        words = worker_words(tokenizer, proved.value)
         for b in slices(batches, "_t", 8 << 20):
-            n = pa.array([counts.count(t) for t in texts(b.column("_t"))], pa.int64())
+            n = pa.array([words.count(t) for t in texts(b.column("_t"))], pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [b.column("_id"), pa.array(byte_lengths(b.column("_t")), pa.int64()), n],
                 ["_id", "n_bytes", "n_tokens"])

@@ -9,14 +9,30 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
-#: Words kept by a task before its table is emptied.
-CACHE_WORDS = 400_000
+#: Words and pre-tokens that a Python worker keeps, in two halves: when the newer
+#: half is full, the older one is dropped.
+CACHE_WORDS = 800_000
 
-# Pre-tokens of lower-cased plain ASCII, the tokenizer's own pattern restricted
-# to that alphabet; other words go through the tokenizer's pre-tokenizer.
-_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
-_PLAIN = re.compile(r"[!-~]+").fullmatch
+# Pre-tokens of lower-cased words of ASCII and Latin-1 letters: the tokenizer's
+# own pattern restricted to that alphabet, in which lower case is letter by
+# letter and composition (NFC) changes nothing. Other words go through the
+# tokenizer's normalizer and pre-tokenizer.
+_PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch
+_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|"
+                     "[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+").findall
+
+
+def byte_alphabet() -> dict[int, int]:
+    """Byte -> character of byte-level tokenizers: printable bytes stand for
+    themselves, the n-th other byte for character 256 + n."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: b for b in shown} | {b: 256 + n for n, b in enumerate(hidden)}
+
+
+_BYTES = byte_alphabet()
 
 
 def load(path: str):
@@ -32,71 +48,96 @@ def words_of(text: str) -> list[str]:
     return text.replace("\n", " ").split(" ")
 
 
-def whole_tokens(path: str) -> frozenset[str]:
-    """Pre-tokens that are one token, proved by running the model on every
-    string of the vocabulary (a few tens of thousands, once, on the driver)."""
+def whole_tokens(path: str) -> dict[str, int]:
+    """Pre-tokens that are one token, and its id, proved by running the model on
+    every string of the vocabulary (a few tens of thousands, once, on the driver)."""
     t = load(path)
     end = getattr(t.model, "end_of_word_suffix", None) or ""
-    proved = set()
+    proved = {}
     for s in t.get_vocab():
         s = s[:-len(end)] if end and s.endswith(end) else s
-        if s and s not in proved and len(t.model.tokenize(s)) == 1:
-            proved.add(s)
-    return frozenset(proved)
+        if s and s not in proved and len(found := t.model.tokenize(s)) == 1:
+            proved[s] = found[0].id
+    return proved
 
 
-class WordCounts(dict):
-    """word -> tokens. Pre-tokens proved whole count 1; only the rest is merged."""
+class Cache(dict):
+    """A bounded table: ``make`` is asked for what is in neither half."""
 
-    def __init__(self, path: str, proved: frozenset[str]):
+    def __init__(self, make, limit: int):
         super().__init__()
-        self.t = load(path)
-        self.proved = proved
+        self.make, self.limit, self.old = make, limit // 2, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
+class Words:
+    """Answers word by word: how many tokens (``counts``), and their ids as
+    little-endian unsigned 32-bit integers (``ids``)."""
+
+    def __init__(self, path: str, proved: dict[str, int]):
+        self.t, self.proved = load(path), proved
         self.special = [a.content for a in self.t.get_added_tokens_decoder().values()]
-        self[""] = 0
+        self.piece_ids = Cache(self._piece, CACHE_WORDS // 2)
+        self.ids = Cache(self._word_ids, CACHE_WORDS)
+        self.counts = Cache(self._word_count, CACHE_WORDS)
 
-    def __missing__(self, word: str) -> int:
+    def pieces(self, word: str) -> list[str] | None:
+        """Pre-tokens in the byte alphabet; None if a special string is inside,
+        which only the tokenizer as a whole knows how to treat."""
         if any(s in word for s in self.special):
-            n = len(self.t.encode(word, add_special_tokens=False).ids)
-        else:
-            if _PLAIN(word):  # these stand for themselves in the byte alphabet
-                parts = _ASCII.findall(word.lower())
-            else:
-                parts = [p for p, _ in self.t.pre_tokenizer.pre_tokenize_str(
-                    self.t.normalizer.normalize_str(word))]
-            n, proved, merge = 0, self.proved, self.t.model.tokenize
-            for p in parts:
-                n += 1 if p in proved else len(merge(p))
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-            self[""] = 0
-        self[word] = n
-        return n
+            return None
+        if not _PLAIN(word):
+            return [p for p, _ in self.t.pre_tokenizer.pre_tokenize_str(
+                self.t.normalizer.normalize_str(word))]
+        word = word.lower()
+        if word.isascii():
+            return _PIECES(word)
+        return [p.encode().decode("latin-1").translate(_BYTES) for p in _PIECES(word)]
+
+    def whole(self, word: str) -> list[int]:
+        return self.t.encode(word, add_special_tokens=False).ids
+
+    def _piece(self, piece: str) -> bytes:
+        one = self.proved.get(piece)
+        ids = [x.id for x in self.t.model.tokenize(piece)] if one is None else [one]
+        return array("I", ids).tobytes()
+
+    def _word_ids(self, word: str) -> bytes:
+        found = self.pieces(word)
+        if found is None:
+            return array("I", self.whole(word)).tobytes()
+        return b"".join(map(self.piece_ids.__getitem__, found))
+
+    def _word_count(self, word: str) -> int:
+        """Pre-tokens proved whole count 1; only the rest is merged."""
+        found = self.pieces(word)
+        if found is None:
+            return len(self.whole(word))
+        proved, merge = self.proved, self.t.model.tokenize
+        return sum(1 if p in proved else len(merge(p)) for p in found)
 
     def count(self, text: str) -> int:
-        return sum(map(self.__getitem__, words_of(text)))
+        return sum(map(self.counts.__getitem__, words_of(text)))
 
+    def encode(self, text: str) -> bytes:
+        return b"".join(map(self.ids.__getitem__, words_of(text)))
 
-class WordIds(dict):
-    """word -> its ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str):
-        super().__init__()
-        self.t = load(path)
-        self[""] = b""
+_words: dict[str, Words] = {}
 
-    def learn(self, words: set[str]) -> None:
-        import numpy as np
-        new = list(words.difference(self))
-        if len(self) + len(new) > CACHE_WORDS:
-            self.clear()
-            self[""] = b""
-            new = list(words)
-        for i in range(0, len(new), 20_000):
-            part = new[i:i + 20_000]
-            for w, e in zip(part, self.t.encode_batch_fast(part, add_special_tokens=False),
-                            strict=True):
-                self[w] = np.array(e.ids, dtype="<u4").tobytes()
-
-    def ids(self, words: list[str]) -> bytes:
-        return b"".join(map(self.__getitem__, words))
+
+def worker_words(path: str, proved: dict[str, int]) -> Words:
+    """The tables of this Python worker; they outlive a task."""
+    if path not in _words:
+        _words.clear()
+        _words[path] = Words(path, proved)
+    return _words[path]

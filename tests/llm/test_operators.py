@@ -226,12 +226,26 @@ def test_token_counts(spark, some):
 
 
 def test_whole_tokens_are_one_token():
-    from outfold.llm.tokens import WordCounts, load
+    from outfold.llm.tokens import Words, load
     tok, proved = load(tokenizer_path()), token_counts.whole_tokens(tokenizer_path())
     assert len(proved) > 20_000
     assert all(len(tok.model.tokenize(s)) == 1 for s in list(proved)[:2000])
-    counts = WordCounts(tokenizer_path(), proved)
-    assert counts.count("the theeaing") == len(tok.encode("the theeaing", add_special_tokens=False).ids)
+    words = Words(tokenizer_path(), proved)
+    assert words.count("the theeaing") == len(tok.encode("the theeaing", add_special_tokens=False).ids)
+
+
+@pytest.mark.parametrize("limit", [4, 10_000])
+def test_words_give_the_tokenizers_ids(monkeypatch, limit):
+    from outfold.llm import tokens
+    monkeypatch.setattr(tokens, "CACHE_WORDS", limit)
+    words = tokens.Words(tokenizer_path(), tokens.whole_tokens(tokenizer_path()))
+    rng = random.Random(11)
+    chars = [chr(c) for c in range(1, 600)] + list("  \n\t'sdlmtre09\u0301\u03a3\u0130\u2003\ufb01\u6f22\U0001f600") * 6
+    for i in range(1500):
+        text = "".join(rng.choices(chars if i % 2 else chars[:255], k=rng.randint(0, 40)))
+        ids = words.t.encode(text, add_special_tokens=False).ids
+        assert words.encode(text) == struct.pack(f"<{len(ids)}I", *ids), repr(text)
+        assert words.count(text) == len(ids)
 
 
 def test_language(spark):
