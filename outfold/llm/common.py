@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -17,13 +18,16 @@ class Workspace:
 
     ``save`` writes a DataFrame as Parquet with Spark's commit protocol and
     reads it back, which cuts the lineage: a lost executor costs its own tasks
-    only. ``drop`` removes tables that are no longer read.
+    only. ``drop`` removes tables that are no longer read. After a table is
+    written, the driver collects its garbage, so that Spark's cleaner removes
+    the shuffle files of finished steps while the operator goes on.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
         self._n = 0
+        self._kept: set[str] = set()
 
     def path(self, name: str) -> str:
         self._n += 1
@@ -35,9 +39,17 @@ class Workspace:
     def save_at(self, df: DataFrame, name: str) -> tuple[DataFrame, str]:
         path = self.path(name)
         df.write.parquet(path)
+        self._kept.add(path)
+        gc.collect()
+        self.spark._jvm.System.gc()
         return self.spark.read.schema(df.schema).parquet(path), path
 
+    def drop_all(self, but: str) -> None:
+        for path in self._kept - {but}:
+            self.drop(path)
+
     def drop(self, path: str) -> None:
+        self._kept.discard(path)
         hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 

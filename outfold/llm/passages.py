@@ -9,7 +9,9 @@ run of each such content is taken apart into blocks of a few windows, which
 have a key (what all windows of the block have in common) and a content of
 their own and are judged in the same way, and blocks that are still open into
 single windows. So a text that differs from its copies here and there costs
-some rows around each difference, not one for each window.
+some rows around each difference, not one for each window. Equal runs of one
+document are one row; where a document has more of them than the first, they are
+found again when its text is at hand.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,24 +52,30 @@ class Bytes:
         return b"".join(parts[a:b] for a, b in edges)
 
 
-class Words(dict):
-    """Symbols are words between ASCII blanks (x20, x09-x0D), unchanged."""
-
-    def __init__(self, width: int, gram: int):
-        super().__init__()
-        self.width, self.gram = width, gram
+class _WordHashes(dict):
+    """Hashes of the words a Python worker has met, bounded."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 800_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
 
+
+_hashes = _WordHashes()
+
+
+class Words:
+    """Symbols are words between ASCII blanks (x20, x09-x0D), unchanged."""
+
+    def __init__(self, width: int, gram: int):
+        self.width, self.gram = width, gram
+
     def parts(self, text: bytes) -> list[bytes]:
         return text.split()
 
     def read(self, parts: list[bytes]) -> np.ndarray:
-        return mix(np.fromiter(map(self.__getitem__, parts), np.uint64, len(parts)))
+        return mix(np.fromiter(map(_hashes.__getitem__, parts), np.uint64, len(parts)))
 
     def kept(self, parts: list[bytes], lo: np.ndarray, hi: np.ndarray) -> bytes:
         edges = zip([0, *hi.tolist()], [*lo.tolist(), len(parts)], strict=True)
@@ -106,24 +115,37 @@ def _batch_runs(symbols: list[np.ndarray], kind) -> Iterator[tuple[np.ndarray, R
         yield from flush()
 
 
-RUN = "_id long, _h int, _start int, _n int, _lead int, _key long, _content long"
+RUN = "_id long, _h int, _start int, _n int, _lead int, _m int, _key long, _content long"
+NAMES = [f.split()[0] for f in RUN.split(", ")]
+
+
+def _run_batch(ids: pa.Array, checks: pa.Array, ints: list[np.ndarray], key: np.ndarray,
+               content: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [ids, checks, *(pa.array(c.astype(np.int32)) for c in ints),
+         pa.array(key.view(np.int64)), pa.array(content.view(np.int64))], NAMES)
 
 
 def sample(rows: DataFrame, make: Callable) -> DataFrame:
-    """One row for each run: document, first window, number of windows, how far
-    the anchor stands from the first window, key, content."""
-    names = [f.split()[0] for f in RUN.split(", ")]
+    """One row for each different run of a document: document, first window,
+    number of windows, how far the anchor stands from the first window, how
+    often the document has such a run, key, content."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = make()
         for b in slices(batches, "_t", SLICE):
             symbols = [kind.read(kind.parts(t)) for t in blobs(b.column("_t"))]
             for doc, r in _batch_runs(symbols, kind):
-                pick = pa.array(doc)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("_id").take(pick), b.column("_h").take(pick),
-                     *(pa.array(c.astype(np.int32)) for c in (r.start, r.windows, r.anchor - r.start)),
-                     pa.array(r.key.view(np.int64)), pa.array(r.content.view(np.int64))], names)
+                order = np.lexsort((r.start, r.content, doc))
+                d, c = doc[order], r.content[order]
+                new = np.ones(len(d), dtype=bool)
+                new[1:] = (d[1:] != d[:-1]) | (c[1:] != c[:-1])
+                head = np.flatnonzero(new)
+                first = order[head]
+                pick = pa.array(doc[first])
+                yield _run_batch(b.column("_id").take(pick), b.column("_h").take(pick),
+                                 [r.start[first], r.windows[first], (r.anchor - r.start)[first],
+                                  np.diff(np.append(head, len(d)))], r.key[first], r.content[first])
 
     return rows.mapInArrow(run, RUN)
 
@@ -165,52 +187,65 @@ def with_refs(rows: DataFrame, refs: DataFrame, make: Callable, confirm: Callabl
         run, f"_id long, _h int, _size long, _sha string, _t string, _refs {kind_of_refs}")
 
 
+def _refs_of(col: pa.ListArray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """Refs of a batch: the row of each, and their fields."""
+    rows = np.repeat(np.arange(len(col)), pc.fill_null(pc.list_value_length(col), 0).to_numpy(
+        zero_copy_only=False))
+    flat = col.flatten()
+    return rows, {f.name: flat.field(f.name).to_numpy(zero_copy_only=False).astype(
+        bool if pa.types.is_boolean(f.type) else np.int64) for f in flat.type}
+
+
 def parts_of(docs: DataFrame, make: Callable, step: int) -> DataFrame:
     """The refs marked ``open``, cut into blocks of at most ``step`` windows whose
     distance to the anchor is the same multiple of ``step``; rows as in ``RUN``."""
-    names = [f.split()[0] for f in RUN.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = make()
         for b in slices(batches, "_t", SLICE):
-            for i, (t, refs) in enumerate(zip(blobs(b.column("_t")), b.column("_refs").to_pylist(),
-                                              strict=True)):
-                own = np.array([(r["start"], r["n"], r["lead"]) for r in refs if r["open"]],
-                               dtype=np.int64).reshape(-1, 3)
-                if not len(own):
-                    continue
-                symbols = kind.read(kind.parts(t))
-                start, n, lead = own.T
-                low = lead - n + 1                       # smallest distance to the anchor
-                first, count = low // step, lead // step - low // step + 1
-                which = np.repeat(np.arange(len(own)), count)
-                j = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count) + first[which]
-                far = np.minimum(lead[which], j * step + step - 1)
-                near = np.maximum(low[which], j * step)
-                anchor = (start + lead)[which]
-                at, size = anchor - far, far - near + 1
-                core = Rolling(symbols, BASE_A).of(
-                    anchor - j * step, anchor - j * step - step + 1 + kind.width)
-                whole = Rolling(symbols, BASE_B).of(at, at + size - 1 + kind.width)
-                key = mix(core + mix(j.astype(np.uint64)))
-                content = mix(whole + far.astype(np.uint64) * np.uint64(BASE_A))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([b.column("_id")[i].as_py()] * len(at), pa.int64()),
-                     pa.array(np.full(len(at), b.column("_h")[i].as_py(), np.int32)),
-                     *(pa.array(c.astype(np.int32)) for c in (at, size, far)),
-                     pa.array(key.view(np.int64)), pa.array(content.view(np.int64))], names)
+            doc, ref = _refs_of(b.column("_refs"))
+            take = ref["open"]
+            doc = doc[take]
+            if not len(doc):
+                continue
+            start, n, lead = (ref[c][take] for c in ("start", "n", "lead"))
+            use = np.unique(doc)  # the documents with open refs, end to end
+            read = blobs(b.column("_t").take(pa.array(use)))
+            symbols = [kind.read(kind.parts(t)) for t in read]
+            base = np.cumsum([0, *map(len, symbols)])[:-1]
+            start = start + base[np.searchsorted(use, doc)]
+            symbols = np.concatenate(symbols)
+            low = lead - n + 1                       # smallest distance to the anchor
+            first, count = low // step, lead // step - low // step + 1
+            which = np.repeat(np.arange(len(doc)), count)
+            j = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count) + first[which]
+            far = np.minimum(lead[which], j * step + step - 1)
+            near = np.maximum(low[which], j * step)
+            anchor = (start + lead)[which]
+            at, size = anchor - far, far - near + 1
+            core = Rolling(symbols, BASE_A).of(
+                anchor - j * step, anchor - j * step - step + 1 + kind.width)
+            whole = Rolling(symbols, BASE_B).of(at, at + size - 1 + kind.width)
+            key = mix(core + mix(j.astype(np.uint64)))
+            content = mix(whole + far.astype(np.uint64) * np.uint64(BASE_A))
+            doc = doc[which]
+            pick = pa.array(doc)
+            yield _run_batch(b.column("_id").take(pick), b.column("_h").take(pick),
+                             [at - base[np.searchsorted(use, doc)], size, far, np.ones(len(at))],
+                             key, content)
 
     return docs.mapInArrow(run, RUN)
 
 
 def judge(runs: DataFrame, keep_first: bool) -> DataFrame:
     """Runs that are repeated as a whole (``cut``; with ``keep_first`` all but
-    the first of equal ones) and runs to be taken apart (``open``: the first of
-    its content, where the key has other contents too). ``runs`` must be a
-    table, as it is read twice. All counts are pre-aggregated."""
+    the first of equal ones), runs to be taken apart (``open``: the first of its
+    content, where the key has other contents too) and runs that the document
+    has again further on (``many``). ``runs`` must be a table, as it is read
+    twice. All counts are pre-aggregated."""
     place = F.struct("_id", "_start")
     same = runs.groupBy("_key", "_content").agg(
-        F.count("*").alias("_c"), F.min(place).alias("_first"))
+        F.sum("_m").alias("_c"), F.min(place).alias("_first"))
     keys = same.groupBy("_key").agg(F.sum("_c").alias("_all"), (
         F.min("_content") != F.max("_content")).alias("_mixed")).where("_all > 1").drop("_all")
     known = same.join(keys, "_key")
@@ -218,10 +253,11 @@ def judge(runs: DataFrame, keep_first: bool) -> DataFrame:
     return (runs.join(known, ["_key", "_content"])
             .withColumn("cut", ~first if keep_first else F.col("_c") > 1)
             .withColumn("open", F.col("_mixed") & first)
-            .where("cut or open")
+            .withColumn("many", F.col("_m") > 1)
+            .where("cut or open or many")
             .select("_id", "_h", F.struct(
                 F.col("_start").alias("start"), F.col("_n").alias("n"), F.col("_lead").alias("lead"),
-                "cut", "open").alias("_ref")))
+                F.col("_content").alias("content"), "cut", "open", "many").alias("_ref")))
 
 
 def open_parts(docs: DataFrame, refs: DataFrame, make: Callable, step: int) -> DataFrame:
@@ -236,35 +272,65 @@ def remove_repeats(rows: DataFrame, recurring: DataFrame, make: Callable, ws: Wo
                    keep_first: bool, id_col: str, unit: str, confirm: Callable | None = None
                    ) -> DataFrame:
     """From the runs with a recurring key to the documents without what repeats."""
-    refs = judge(recurring, keep_first)
-    marked = ws.save(with_refs(rows, refs, make, confirm), "marked")
-    touched = marked.where("_refs is not null")
-    blocks = ws.save(parts_of(touched.where("exists(_refs, r -> r.open)"), make, step), "blocks")
+    marked, path = ws.save_at(with_refs(rows, judge(recurring, keep_first), make, confirm), "marked")
+    ws.drop_all(but=path)
+    opened = marked.where("exists(_refs, r -> r.open)")
+    blocks = ws.save(parts_of(opened, make, step), "blocks")
     more = ws.save(judge(blocks, keep_first), "more")
-    single = ws.save(open_parts(touched, more, make, 1), "windows")
-    hits = judge(single, keep_first).unionAll(more).where("_ref.cut")
+    single = ws.save(open_parts(opened, more, make, 1), "windows")
+    hits = ws.save(judge(single, keep_first).unionAll(more).where("_ref.cut"), "hits")
     return finish(marked, hits, make, id_col, unit)
 
 
+def _again(kind, parts: list, doc: np.ndarray, ref: dict[str, np.ndarray]
+           ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, start, n) of the runs that equal a ref marked ``many`` of their
+    document, but for the refs that stay."""
+    none = np.empty(0, np.int64)
+    use = np.unique(doc[ref["many"]])
+    if not len(use):
+        return none, none, none
+    tag = mix(doc.astype(np.uint64) * np.uint64(BASE_B) + ref["content"].view(np.uint64))
+    seek = tag[ref["many"]]
+    stay = ~ref["cut"]
+    stay = mix(tag[stay] + ref["start"][stay].astype(np.uint64))
+    out = []
+    for d, r in _batch_runs([kind.read(parts[i]) for i in use], kind):
+        d = use[d]
+        own = mix(d.astype(np.uint64) * np.uint64(BASE_B) + r.content)
+        hit = np.isin(own, seek) & ~np.isin(mix(own + r.start.astype(np.uint64)), stay)
+        out.append((d[hit], r.start[hit], r.windows[hit]))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (none, none, none)
+
+
 def finish(docs: DataFrame, hits: DataFrame, make: Callable, id_col: str, unit: str) -> DataFrame:
     """Remove the symbols covered by refs with ``cut``, those of ``docs`` and of ``hits``."""
     by_doc = hits.groupBy("_id", "_h").agg(F.collect_list("_ref").alias("_hits"))
-    touched = docs.where("_refs is not null")
-    joined = touched.hint("merge").join(by_doc, same_text(touched, by_doc), "left").select(
-        touched["_id"], touched["_t"], touched["_refs"], by_doc["_hits"])
+    opened = docs.where("exists(_refs, r -> r.open)")
+    closed = docs.where("not exists(_refs, r -> r.open)").select(
+        "_id", "_t", "_refs", F.lit(None).cast(by_doc.schema["_hits"].dataType).alias("_hits"))
+    joined = opened.hint("merge").join(by_doc, same_text(opened, by_doc), "left").select(
+        opened["_id"], opened["_t"], opened["_refs"], by_doc["_hits"]).unionAll(closed)
     names = ["_id", f"n_{unit}", "n_removed", "n_spans", "kept_sha256"]
     schema = f"_id long, n_{unit} long, n_removed long, n_spans long, kept_sha256 string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = make()
-        for b in slices(batches, "_t", 4 * SLICE):
+        for b in slices(batches, "_t", SLICE):
+            read = [kind.parts(t) for t in blobs(b.column("_t"))]
+            doc, ref = _refs_of(b.column("_refs"))
+            more_doc, more = _refs_of(b.column("_hits"))
+            cut = ref["cut"]
+            found = [(doc[cut], ref["start"][cut], ref["n"][cut]),
+                     (more_doc, more["start"], more["n"]), _again(kind, read, doc, ref)]
+            doc, start, n = (np.concatenate(c) for c in zip(*found, strict=True))
+            order = np.argsort(doc, kind="stable")
+            doc, start, n = doc[order], start[order], n[order]
+            edge = np.searchsorted(doc, np.arange(len(read) + 1))
             out = [[] for _ in names[1:]]
-            for t, refs, more in zip(blobs(b.column("_t")), b.column("_refs").to_pylist(),
-                                        b.column("_hits").to_pylist(), strict=True):
-                parts = kind.parts(t)
-                cut = [(r["start"], r["n"]) for r in (*refs, *(more or ())) if r["cut"]]
-                lo, n = np.array(cut, dtype=np.int64).reshape(-1, 2).T
-                hi = lo + n - 1 + kind.width
+            for i, parts in enumerate(read):
+                lo = start[edge[i]:edge[i + 1]]
+                hi = lo + n[edge[i]:edge[i + 1]] - 1 + kind.width
                 if len(lo):
                     lo, hi = union_of(lo, hi)
                 out[0].append(len(parts))

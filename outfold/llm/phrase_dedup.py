@@ -76,6 +76,6 @@ def repeated_phrases(docs: DataFrame, width: int = WIDTH, gram: int = GRAM,
     rows = rows_of(docs, id_col, text_col)
     make = partial(Words, width, gram)
     runs = ws.save(sample(rows, make), "runs")
-    often = runs.groupBy("_key").agg(F.count("*").alias("_c")).where("_c > 1").select("_key")
+    often = runs.groupBy("_key").agg(F.sum("_m").alias("_c")).where("_c > 1").select("_key")
     recurring = ws.save(runs.join(often, "_key"), "recurring")
     return remove_repeats(rows, recurring, make, ws, BLOCK, True, id_col, "words", locate)

@@ -7,7 +7,7 @@ there is a level of equal size, as in binary counting.
 
 Only sampled suffixes are kept: those at the anchors of ``anchors``. Every
 string of ``width`` bytes that repeats has an anchor at the same offset in each
-place, so no repeat is lost, while the family holds about one entry for 85
+place, so no repeat is lost, while the family holds about one entry for 60
 bytes. Entries are ordered by the fingerprint of the suffix's first ``gram``
 bytes instead of the bytes: suffixes that begin alike are still neighbours,
 and a common beginning is spread over no more than one row of a level however
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from outfold.llm.common import Workspace
 from outfold.llm.passages import Bytes, remove_repeats, rows_of, sample
 
-WIDTH, GRAM = 200, 32
+WIDTH, GRAM = 200, 64
 #: Windows of a block when a run is taken apart.
 BLOCK = 16
 
@@ -37,13 +37,13 @@ class SuffixFamily:
         self.levels: dict[int, tuple[DataFrame, str]] = {}
 
     def add(self, suffixes: DataFrame) -> DataFrame:
-        """Index a batch (column ``_key``); returns the keys of the batch that
+        """Index a batch (``_key`` and ``_m``, how often); returns the keys of the batch that
         occur elsewhere too, in the batch or in an older one."""
         full = 0
         while full in self.levels:
             full += 1
-        one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
-        every = suffixes.select("_key", one.alias("n"), one.alias("fresh"), one.alias("own"))
+        n, one, none = F.col("_m").cast("long"), F.lit(1).cast("long"), F.lit(0).cast("long")
+        every = suffixes.select("_key", n.alias("n"), one.alias("fresh"), n.alias("own"))
         for i, (level, _) in self.levels.items():
             every = every.unionAll(level.select(
                 "_key", "n", none.alias("fresh"), (F.col("n") if i < full else none).alias("own")))
@@ -79,7 +79,7 @@ def repeated_substrings(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, b
     family, found = SuffixFamily(ws), None
     batch = F.pmod(F.xxhash64("_id", "_h"), F.lit(batches))
     for b in range(batches):
-        matches = family.add(runs.where(batch == b).select("_key"))
+        matches = family.add(runs.where(batch == b).select("_key", "_m"))
         found = matches if found is None else found.unionAll(matches)
     recurring = ws.save(runs.join(found.distinct(), "_key"), "recurring")
     return remove_repeats(rows, recurring, make, ws, BLOCK, False, id_col, "bytes")
