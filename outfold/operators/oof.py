@@ -170,7 +170,8 @@ def oof_with_holdout(df: DataFrame, hold: str, fold: str = "fold", y: str = "y",
     """R3 and R5 in one: rows without the flag ``hold`` are predicted out of
     fold, rows with it from all rows without it; neither trains on itself. One
     aggregate and one scoring pass: held-out rows get a fold number of their own
-    that trains nothing, so "all other folds" is all training rows for them."""
+    that trains nothing, so "all other folds" is all training rows for them.
+    Rows with neither flag nor fold train nothing and get a null pred."""
     num = F.when(F.col(hold), F.lit(k)).otherwise(F.col(fold))
     target = F.when(~F.col(hold), known(y))
     scored = oof_encode(df.withColumn("__hf", num.cast("bigint")).withColumn("__hy", target),

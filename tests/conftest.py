@@ -12,8 +12,9 @@ SF01 = "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from outfold.session import get_spark
-    s = get_spark("local[4]", app="outfold-tests", shuffle_partitions=8)
+    s = get_spark("local[8]", app="outfold-tests", shuffle_partitions=8,
+                  extra={"spark.checkpoint.dir": str(tmp_path_factory.mktemp("checkpoints"))})
     yield s
     s.stop()
