@@ -80,7 +80,7 @@ def email(m):
 
 CASES = [
     ("4111 1111 1111 1111", card), ("4111111111111111", card), ("5500-0000-0000-0004", card),
-    ("378282246310005", card), ("+1 (743) 555-3824", phone), ("743-555-3824", phone),
+    ("378282246310005", card), ("3782-822463-10005", card), ("+1 (743) 555-3824", phone), ("743-555-3824", phone),
     ("152.143.123.131", address), ("0.0.0.0", address), ("255.255.255.255", address),
     ("2024-02-29", date), ("1800-01-01", date), ("2199-12-31", date),
     ("29.02.2024", lambda m: date(m, "%d.%m.%Y")), ("02/29/2024", lambda m: date(m, "%m/%d/%Y")),
@@ -110,6 +110,12 @@ def test_each_kind_matches_python(moved):
         assert f(m) != m
 
 
+def test_neighbouring_numbers(moved):
+    a, b = "4111111111111111", "5500000000000004"
+    assert moved([f"{a} {b} 123", f"{a} 12", f"12 {a}-1"]) == [f"{card(a)} {card(b)} 123", f"{card(a)} 12",
+                                                            f"12 {card(a)}-1"]
+
+
 def test_formats_hold(moved):
     cards = moved(["4111 1111 1111 1111", "378282246310005"])
     assert all(luhn(re.sub(r"\D", "", c)) for c in cards)
