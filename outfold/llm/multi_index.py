@@ -2,9 +2,10 @@
 
 A vector is cut into two halves and each half is quantised with a codebook of
 its own, so a vector lies in one of ``codes ** 2`` cells. For a query, pairs of
-centroids are visited in order of their summed nearness with a heap
-(multi-sequence algorithm) until the visited cells hold enough vectors; these
-are ranked again with the exact inner product in double precision.
+centroids are visited in order of their summed nearness with a heap until the
+visited cells hold enough vectors; these are ranked again with the exact inner
+product in double precision. A query travels with the smallest sum it visits, so
+that a task knows from the codebooks which of its cells are meant.
 """
 
 from __future__ import annotations
@@ -17,12 +18,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from outfold.llm.anchors import mix
 from outfold.llm.common import Workspace
 
 #: Codebooks are fitted on at most about this many vectors (hash sample).
 SAMPLE = 20_000
-#: Vectors of a cell that one task ranks at once; larger cells are split.
-CELL_ROWS = 4096
+#: Vectors that one task ranks at once: small cells are put together up to this
+#: number, larger ones are split.
+BUCKET_ROWS = 4096
+#: Queries that one task ranks at once.
+QUERY_ROWS = 256
+#: Side of the squares of centroid pairs that the heap holds.
+SIDE = 8
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 7) -> np.ndarray:
@@ -45,22 +52,41 @@ def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return (((c ** 2).sum(1))[None] - 2 * x @ c.T).argmin(1)
 
 
-def visit(a: np.ndarray, b: np.ndarray, sizes: np.ndarray, want: int) -> list[int]:
-    """Cells (i * len(b) + j) by descending a[i] + b[j], until the cells hold
-    ``want`` vectors; empty cells are passed over."""
+def visit(a: np.ndarray, b: np.ndarray, sizes: np.ndarray, want: int, side: int = SIDE
+          ) -> tuple[np.ndarray, float]:
+    """The non-empty cells (i * len(b) + j) with the largest a[i] + b[j] that
+    together hold ``want`` vectors, and the smallest of their sums.
+
+    Both lists are sorted; a heap pops squares of ``side`` x ``side``
+    neighbouring pairs by the sum at their best corner, until no square that is
+    left can hold a better pair than those found."""
     ia, ib = np.argsort(-a, kind="stable"), np.argsort(-b, kind="stable")
-    heap, seen, out, got = [(-(a[ia[0]] + b[ib[0]]), 0, 0)], {(0, 0)}, [], 0
-    while heap and got < want:
+    a, b, n = a[ia], b[ib], len(b)
+    heap, seen = [(-(a[0] + b[0]), 0, 0)], {(0, 0)}
+    sums, cells, got, least = [], [], 0, -np.inf
+    while heap and (got < want or -heap[0][0] > least):
         _, i, j = heapq.heappop(heap)
-        cell = int(ia[i]) * len(b) + int(ib[j])
-        if sizes[cell]:
-            out.append(cell)
-            got += int(sizes[cell])
-        for k, m in ((i + 1, j), (i, j + 1)):
-            if k < len(a) and m < len(b) and (k, m) not in seen:
+        for k, m in ((i + side, j), (i, j + side)):
+            if k < len(a) and m < n and (k, m) not in seen:
                 seen.add((k, m))
-                heapq.heappush(heap, (-(a[ia[k]] + b[ib[m]]), k, m))
-    return out
+                heapq.heappush(heap, (-(a[k] + b[m]), k, m))
+        cell = (ia[i:i + side, None] * n + ib[None, j:j + side]).ravel()
+        full = sizes[cell] > 0
+        cells.append(cell[full])
+        sums.append(np.add.outer(a[i:i + side], b[j:j + side]).ravel()[full])
+        short = got < want
+        got += int(sizes[cell].sum())
+        if short and got >= want:
+            least = _cut(np.concatenate(sums), sizes[np.concatenate(cells)], want)
+    sums, cells = np.concatenate(sums), np.concatenate(cells)
+    least = _cut(sums, sizes[cells], want)
+    return cells[sums >= least], least
+
+
+def _cut(sums: np.ndarray, sizes: np.ndarray, want: int) -> float:
+    order = np.argsort(-sums, kind="stable")
+    held = np.cumsum(sizes[order])
+    return float(sums[order[min(len(order) - 1, int(np.searchsorted(held, want)))]])
 
 
 def usable(vec: str):
@@ -71,7 +97,7 @@ def usable(vec: str):
     return v.isNotNull() & (F.size(v) > 0) & ~bad & F.exists(v, lambda x: x != 0)
 
 
-def search(vectors: DataFrame, query: object, top: int = 20, codes: int = 32, share: float = 0.25,
+def search(vectors: DataFrame, query: object, top: int = 20, codes: int = 256, share: float = 0.4,
            least: int = 2000, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """``query_id``, ``rank`` (from 1), id and ``score`` of the ``top`` nearest
     found for each query.
@@ -103,10 +129,12 @@ def search(vectors: DataFrame, query: object, top: int = 20, codes: int = 32, sh
     grid = 1 << 30
     sample = rows.where(F.pmod(F.xxhash64("_id"), F.lit(grid)) <=
                         int(min(1.0, SAMPLE / total) * grid)).select("_v")
-    x = np.array([r["_v"] for r in sample.collect()] or [r["_v"] for r in rows.limit(1).collect()])
+    x = sample.toArrow().column("_v").combine_chunks().flatten().to_numpy().reshape(-1, d)
+    if not len(x):
+        x = np.array([r["_v"] for r in rows.select("_v").limit(1).collect()])
     h = d // 2
     left, right = kmeans(x[:, :h], codes), kmeans(x[:, h:], codes)
-    books = spark.sparkContext.broadcast((left, right))
+    books = spark.sparkContext.broadcast((left, right))  # 2 * codes centroids
 
     def matrix(col: pa.Array) -> np.ndarray:
         return col.flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
@@ -123,70 +151,85 @@ def search(vectors: DataFrame, query: object, top: int = 20, codes: int = 32, sh
     index = ws.save(rows.mapInArrow(place, "_id long, _v array<double>, _query boolean, _cell long"),
                     "index")
     sizes = np.zeros(len(left) * len(right), dtype=np.int64)  # codes**2 numbers
-    for r in index.groupBy("_cell").count().collect():
-        sizes[r["_cell"]] = r["count"]
+    counts = index.groupBy("_cell").count().toArrow()
+    sizes[counts.column("_cell").to_numpy()] = counts.column("count").to_numpy()
     want = max(least, int(share * total))
-    known = spark.sparkContext.broadcast(sizes)
+    # Cells in order are cut into buckets of about BUCKET_ROWS vectors; a cell
+    # that is larger has several buckets of its own.
+    parts = np.maximum(1, -(-sizes // BUCKET_ROWS))
+    whole = np.cumsum(np.where(parts > 1, 0, sizes)) // BUCKET_ROWS
+    extra = np.cumsum(np.where(parts > 1, parts, 0)) - np.where(parts > 1, parts, 0)
+    base = np.where(parts > 1, whole[-1] + 1 + extra, whole)
+    known = spark.sparkContext.broadcast((sizes, base, parts))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = books.value
+        held, first, n = known.value
         for batch in batches:
             if not batch.num_rows:
                 continue
             v = matrix(batch.column("_v"))
             near_a, near_b = v[:, :h] @ a.T, v[:, h:] @ b.T
-            take, cell, part = [], [], []
+            take, bucket, edge = [], [], []
             for i in range(len(v)):
-                for c in visit(near_a[i], near_b[i], known.value, want):
-                    for p in range(-(-int(known.value[c]) // CELL_ROWS)):
-                        take.append(i)
-                        cell.append(c)
-                        part.append(p)
-            if take:
-                pick = pa.array(take, pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("_id").take(pick), batch.column("_v").take(pick),
-                     pa.array(cell, pa.int64()), pa.array(part, pa.int64())],
-                    ["_id", "_v", "_cell", "_part"])
+                cells, least_sum = visit(near_a[i], near_b[i], held, want)
+                go = np.unique(first[cells])
+                big = cells[n[cells] > 1]
+                go = np.union1d(go, np.concatenate([np.empty(0, np.int64), *(
+                    first[c] + np.arange(n[c]) for c in big)]))
+                take += [i] * len(go)
+                bucket += go.tolist()
+                edge += [least_sum] * len(go)
+            pick = pa.array(take, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("_id").take(pick), batch.column("_v").take(pick),
+                 pa.array(bucket, pa.int64()), pa.array(edge, pa.float64())],
+                ["_id", "_v", "_bucket", "_edge"])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, first, n = known.value
+        for batch in batches:
+            cell = batch.column("_cell").to_numpy()
+            spread = mix(batch.column("_id").to_numpy().view(np.uint64)) % n[cell].astype(np.uint64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("_id"), batch.column("_v"), batch.column("_cell"),
+                 pa.array(first[cell] + spread.astype(np.int64))], ["_id", "_v", "_cell", "_bucket"])
 
     queries = index.where("_query").select("_id", "_v").repartition(
         spark.sparkContext.defaultParallelism).mapInArrow(
-        route, "_id long, _v array<double>, _cell long, _part long")
-    # A large cell is dealt over several parts, each met by all queries of the cell.
-    n_parts = spark.createDataFrame([(int(c), int(-(-sizes[c] // CELL_ROWS)))
-                                     for c in np.flatnonzero(sizes)], "_cell long, _n long")
-    entries = index.join(F.broadcast(n_parts), "_cell").select(
-        "_id", "_v", "_cell", F.pmod(F.xxhash64("_id", F.lit(3)), F.col("_n")).alias("_part"))
+        route, "_id long, _v array<double>, _bucket long, _edge double")
+    entries = index.select("_id", "_v", "_cell").mapInArrow(
+        deal, "_id long, _v array<double>, _cell long, _bucket long")
 
     def rank(q: pa.Table, e: pa.Table) -> pa.Table:
         schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
         if not q.num_rows or not e.num_rows:
             return schema.empty_table()
-        q, e = q.combine_chunks(), e.combine_chunks()
+        a, b = books.value
         qv, ev = (t.column("_v").combine_chunks().flatten().to_numpy().reshape(-1, d) for t in (q, e))
         qid, eid = (t.column("_id").to_numpy() for t in (q, e))
+        ci, cj = np.divmod(e.column("_cell").to_numpy(), len(b))
+        edge = q.column("_edge").to_numpy()
         out = []
-        for lo in range(0, len(qid), 256):
-            ids = qid[lo:lo + 256]
-            # summed component by component: equal vectors get equal scores
-            score = np.zeros((len(ids), len(eid)))
-            for k in range(d):
-                score += qv[lo:lo + 256, k, None] * ev[None, :, k]
-            score[ids[:, None] == eid[None]] = -np.inf
+        for lo in range(0, len(qid), QUERY_ROWS):
+            ids, v = qid[lo:lo + QUERY_ROWS], qv[lo:lo + QUERY_ROWS]
+            visited = (v[:, :h] @ a.T)[:, ci] + (v[:, h:] @ b.T)[:, cj] >= edge[lo:lo + QUERY_ROWS, None]
+            score = np.where(visited & (ids[:, None] != eid[None]), v @ ev.T, -np.inf)
             for i in range(len(ids)):
                 s = score[i]
-                if len(s) > top:
-                    edge = np.partition(s, len(s) - top)[len(s) - top]
-                    near = np.flatnonzero(s >= edge)
-                else:
-                    near = np.arange(len(s))
-                near = near[np.lexsort((eid[near], -s[near]))][:top]
-                near = near[s[near] > -np.inf]
-                out.append((np.full(len(near), ids[i]), eid[near], s[near]))
+                bar = np.partition(s, len(s) - top)[len(s) - top] if len(s) > top else -np.inf
+                near = np.flatnonzero((s >= bar - 1e-9 * max(1.0, abs(bar)) if np.isfinite(bar) else
+                                       s > -np.inf))
+                # summed component by component: equal vectors get equal scores
+                exact = np.zeros(len(near))
+                for k in range(d):
+                    exact += v[i, k] * ev[near, k]
+                best = np.lexsort((eid[near], -exact))[:top]
+                out.append((np.full(len(best), ids[i]), eid[near[best]], exact[best]))
         return pa.Table.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)],
                                     schema=schema)
 
-    found = queries.groupBy("_cell", "_part").cogroup(entries.groupBy("_cell", "_part")).applyInArrow(
+    found = queries.groupBy("_bucket").cogroup(entries.groupBy("_bucket")).applyInArrow(
         rank, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
