@@ -14,15 +14,17 @@ from pyspark.sql import functions as F
 from outfold.llm.common import Workspace
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _star(edges: DataFrame, large: bool, ws: Workspace) -> DataFrame:
     """edges: (u, v), u > v. Rows keyed by a hub meet only the hub's smallest
-    neighbour, a pre-aggregated row; a hot hub is a skewed join, which AQE splits."""
+    neighbour, a pre-aggregated row, which is written first: then a hot hub is a
+    skewed join of two shuffles, which AQE splits."""
     if large:
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
+        least = ws.save(least, "least")
         return both.where("v > u").join(least, "u").select(
             F.col("v").alias("u"), F.col("m").alias("v"))
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    least = ws.save(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
     moved = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionAll(least.select("u", F.col("m").alias("v")))
 
@@ -35,8 +37,8 @@ def components(edges: DataFrame, ws: Workspace) -> DataFrame:
         .distinct(), "edges")
     mark = None
     while True:
-        big = _star(now, True).where("u > v").distinct()
-        small = _star(big, False).where("u > v").distinct()
+        big = ws.save(_star(now, True, ws).where("u > v").distinct(), "big")
+        small = _star(big, False, ws).where("u > v").distinct()
         new, new_path = ws.save_at(small, "edges")
         ws.drop(path)
         now, path = new, new_path

@@ -237,20 +237,21 @@ def parts_of(docs: DataFrame, make: Callable, step: int) -> DataFrame:
     return docs.mapInArrow(run, RUN)
 
 
-def judge(runs: DataFrame, keep_first: bool) -> DataFrame:
+def judge(runs: DataFrame, keep_first: bool, ws: Workspace) -> DataFrame:
     """Runs that are repeated as a whole (``cut``; with ``keep_first`` all but
     the first of equal ones), runs to be taken apart (``open``: the first of its
     content, where the key has other contents too) and runs that the document
     has again further on (``many``). ``runs`` must be a table, as it is read
-    twice. All counts are pre-aggregated."""
+    twice. All counts are pre-aggregated, and written before they are joined, so
+    that Spark can split the join of a hot content."""
     place = F.struct("_id", "_start")
-    same = runs.groupBy("_key", "_content").agg(
-        F.sum("_m").alias("_c"), F.min(place).alias("_first"))
+    same = ws.save(runs.groupBy("_key", "_content").agg(
+        F.sum("_m").alias("_c"), F.min(place).alias("_first")), "same")
     keys = same.groupBy("_key").agg(F.sum("_c").alias("_all"), (
         F.min("_content") != F.max("_content")).alias("_mixed")).where("_all > 1").drop("_all")
-    known = same.join(keys, "_key")
+    known = ws.save(same.join(keys, "_key"), "known")
     first = place.eqNullSafe(F.col("_first"))
-    return (runs.join(known, ["_key", "_content"])
+    return (runs.hint("merge").join(known, ["_key", "_content"])
             .withColumn("cut", ~first if keep_first else F.col("_c") > 1)
             .withColumn("open", F.col("_mixed") & first)
             .withColumn("many", F.col("_m") > 1)
@@ -272,13 +273,13 @@ def remove_repeats(rows: DataFrame, recurring: DataFrame, make: Callable, ws: Wo
                    keep_first: bool, id_col: str, unit: str, confirm: Callable | None = None
                    ) -> DataFrame:
     """From the runs with a recurring key to the documents without what repeats."""
-    marked, path = ws.save_at(with_refs(rows, judge(recurring, keep_first), make, confirm), "marked")
+    marked, path = ws.save_at(with_refs(rows, judge(recurring, keep_first, ws), make, confirm), "marked")
     ws.drop_all(but=path)
     opened = marked.where("exists(_refs, r -> r.open)")
     blocks = ws.save(parts_of(opened, make, step), "blocks")
-    more = ws.save(judge(blocks, keep_first), "more")
+    more = ws.save(judge(blocks, keep_first, ws), "more")
     single = ws.save(open_parts(opened, more, make, 1), "windows")
-    hits = ws.save(judge(single, keep_first).unionAll(more).where("_ref.cut"), "hits")
+    hits = ws.save(judge(single, keep_first, ws).unionAll(more).where("_ref.cut"), "hits")
     return finish(marked, hits, make, id_col, unit)
 
 

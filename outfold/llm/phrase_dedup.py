@@ -77,5 +77,6 @@ def repeated_phrases(docs: DataFrame, width: int = WIDTH, gram: int = GRAM,
     make = partial(Words, width, gram)
     runs = ws.save(sample(rows, make), "runs")
     often = runs.groupBy("_key").agg(F.sum("_m").alias("_c")).where("_c > 1").select("_key")
-    recurring = ws.save(runs.join(often, "_key"), "recurring")
+    often = ws.save(often, "often")  # written, so that Spark can split a hot key's join
+    recurring = ws.save(runs.hint("merge").join(often, "_key"), "recurring")
     return remove_repeats(rows, recurring, make, ws, BLOCK, True, id_col, "words", locate)

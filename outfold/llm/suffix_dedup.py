@@ -81,5 +81,6 @@ def repeated_substrings(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, b
     for b in range(batches):
         matches = family.add(runs.where(batch == b).select("_key", "_m"))
         found = matches if found is None else found.unionAll(matches)
-    recurring = ws.save(runs.join(found.distinct(), "_key"), "recurring")
+    keys = ws.save(found.distinct(), "keys")  # written, so that Spark can split a hot key's join
+    recurring = ws.save(runs.hint("merge").join(keys, "_key"), "recurring")
     return remove_repeats(rows, recurring, make, ws, BLOCK, False, id_col, "bytes")
