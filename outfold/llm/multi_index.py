@@ -29,7 +29,7 @@ BUCKET_ROWS = 4096
 #: Queries that one task ranks at once.
 QUERY_ROWS = 256
 #: Side of the squares of centroid pairs that the heap holds.
-SIDE = 8
+SIDE = 16
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 7) -> np.ndarray:
@@ -84,7 +84,7 @@ def visit(a: np.ndarray, b: np.ndarray, sizes: np.ndarray, want: int, side: int
 
 
 def _cut(sums: np.ndarray, sizes: np.ndarray, want: int) -> float:
-    order = np.argsort(-sums, kind="stable")
+    order = np.argsort(-sums)
     held = np.cumsum(sizes[order])
     return float(sums[order[min(len(order) - 1, int(np.searchsorted(held, want)))]])
 
