@@ -26,11 +26,13 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays, the one with the
-    smallest id: five words, similarity 0.8. Documents without words stay."""
+    smallest id: five words, similarity 0.8. Documents without words or without
+    an id stay."""
     ws = Workspace(spark, "neardup")
-    kept = ws.save(minhash.near_duplicates(docs, words=5, percent=80).where("kept")
-                   .select(F.col("doc_id").alias("_kept")).distinct(), "kept")
-    return docs.hint("merge").join(kept, docs["doc_id"] == kept["_kept"], "left_semi")
+    gone = ws.save(minhash.near_duplicates(docs, words=5, percent=80)
+                   .where("not kept and doc_id is not null")
+                   .select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    return docs.hint("merge").join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
 
 
 def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -54,9 +54,11 @@ def test_odd_documents(spark, tmp_path):
     rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (3, "the thing and that", "en", "s", 4),
             (3, "the thing and that", "en", "s", 4), (None, "der die das und", "de", None, None)]
     docs = spark.createDataFrame(rows, schema)
-    for name, stage in corpus_pipeline.STAGES[1:]:
+    for _, stage in corpus_pipeline.STAGES[1:]:
         stage(spark, docs, SF).collect()
+    stay = corpus_pipeline.near_duplicates(spark, docs, SF).collect()
+    assert sorted((r["doc_id"] or 0) for r in stay) == [0, 1, 2, 3, 3]
     empty = spark.createDataFrame([], schema)
-    for name, stage in corpus_pipeline.STAGES:
+    for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SF).count() == 0
     assert corpus_pipeline.pseudonyms(spark, docs, SF).where(F.col("text").isNull()).count() == 1
