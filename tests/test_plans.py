@@ -50,8 +50,6 @@ def test_flagship_streams_fact_through_broadcast_joins(spark):
 
 @pytest.mark.parametrize("key", sorted(entries()))
 def test_no_pairs_and_no_row_python(spark, key):
-    if key in ("oof_gbt",):
-        pytest.skip("Spark ML fit; plan checked elsewhere")
     plan = _plan(entries()[key].build(spark, SF01))
     for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython"):
         assert bad not in plan, (key, bad)
