@@ -35,15 +35,18 @@ def components(edges: DataFrame, ws: Workspace) -> DataFrame:
     now, path = ws.save_at(
         edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         .distinct(), "edges")
-    mark = None
-    while True:
+
+    def fingerprint(df: DataFrame):
+        return df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+
+    mark = fingerprint(now)
+    while mark[0]:
         big = ws.save(_star(now, True, ws).where("u > v").distinct(), "big")
         small = _star(big, False, ws).where("u > v").distinct()
         new, new_path = ws.save_at(small, "edges")
         ws.drop(path)
         now, path = new, new_path
-        last, mark = mark, now.agg(F.count("*"), F.sum(
-            F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        last, mark = mark, fingerprint(now)
         if last == mark:
             break
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionAll(

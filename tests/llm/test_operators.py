@@ -392,3 +392,26 @@ EMPTY = "doc_id long, text string"
 def test_empty_and_all_null_tables(spark, run):
     assert run(spark.createDataFrame([], EMPTY)).count() == 0
     run(spark.createDataFrame([(None, None), (None, None)], EMPTY)).collect()
+
+
+def test_components_of_paths_and_stars(spark):
+    from outfold.llm.common import Workspace
+    from outfold.llm.components import components
+    rng = random.Random(12)
+    edges = [(i, i + 1) for i in range(100, 160)] + [(200, i) for i in range(201, 300)]
+    edges += [(rng.randrange(400, 600), rng.randrange(400, 600)) for _ in range(120)] + [(5, 5), (7, 6)]
+    rng.shuffle(edges)
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            a, b = root(a), root(b)
+            parent[max(a, b)] = min(a, b)
+    got_ = components(spark.createDataFrame(edges, "a long, b long"), Workspace(spark, "cc")).collect()
+    assert sorted((r["id"], r["component"]) for r in got_) == sorted((x, root(x)) for x in list(parent))
+    assert components(spark.createDataFrame([], "a long, b long"), Workspace(spark, "cc")).count() == 0
