@@ -1,8 +1,9 @@
-"""Tokens of whole texts with a public tokenizer, word by word.
+"""Tokens of whole texts with a public tokenizer, pre-token by pre-token.
 
-The tokenizers read here never join characters across a space or line feed, so
-a text's tokens are those of its blank-separated words in a row. Words repeat;
-each task keeps the answers for the words it has seen in a bounded table.
+The tokenizers read here never join characters across pre-tokens, nor
+pre-tokens across a space or line feed, so a text's tokens are those of its
+pre-tokens in a row. Pre-tokens repeat; each Python worker keeps the answers for
+those it has seen in a bounded table.
 """
 
 from __future__ import annotations
@@ -11,17 +12,19 @@ import os
 import re
 from array import array
 
-#: Words and pre-tokens that a Python worker keeps, in two halves: when the newer
-#: half is full, the older one is dropped.
-CACHE_WORDS = 800_000
+#: Pre-tokens that a Python worker keeps, in two halves: when the newer half is
+#: full, the older one is dropped.
+CACHE_PIECES = 400_000
 
-# Pre-tokens of lower-cased words of ASCII and Latin-1 letters: the tokenizer's
-# own pattern restricted to that alphabet, in which lower case is letter by
-# letter and composition (NFC) changes nothing. Other words go through the
-# tokenizer's normalizer and pre-tokenizer.
-_PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch
-_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|"
-                     "[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+").findall
+# Texts of ASCII and Latin-1 letters only: there lower case is letter by letter,
+# composition (NFC) changes nothing, and the tokenizer's own pattern can be
+# written for this alphabet. Other words go through the tokenizer's normalizer
+# and pre-tokenizer.
+_LATIN = "\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+_PLAIN_TEXT = re.compile(f"[\t\n\r -~{_LATIN}]*").fullmatch
+_PLAIN = re.compile(f"[!-~{_LATIN}]+").fullmatch
+_SMALL = "a-z\u00df-\u00f6\u00f8-\u00ff"
+_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_SMALL}]+|[0-9]|[^\\s0-9{_SMALL}]+").findall
 
 
 def byte_alphabet() -> dict[int, int]:
@@ -80,56 +83,59 @@ class Cache(dict):
 
 
 class Words:
-    """Answers word by word: how many tokens (``counts``), and their ids as
-    little-endian unsigned 32-bit integers (``ids``)."""
+    """Answers for whole texts: how many tokens (``count``), and their ids as
+    little-endian unsigned 32-bit integers (``encode``)."""
 
     def __init__(self, path: str, proved: dict[str, int]):
         self.t, self.proved = load(path), proved
         self.special = [a.content for a in self.t.get_added_tokens_decoder().values()]
-        self.piece_ids = Cache(self._piece, CACHE_WORDS // 2)
-        self.ids = Cache(self._word_ids, CACHE_WORDS)
-        self.counts = Cache(self._word_count, CACHE_WORDS)
+        self.ids = Cache(self._ids, CACHE_PIECES)
+        self.counts = Cache(self._count, CACHE_PIECES)
 
-    def pieces(self, word: str) -> list[str] | None:
-        """Pre-tokens in the byte alphabet; None if a special string is inside,
+    def pieces(self, text: str) -> list[str]:
+        """Pre-tokens of a text. As they stand where the text is plain; after
+        NUL in the byte alphabet; after SOH a word with a special string inside,
         which only the tokenizer as a whole knows how to treat."""
-        if any(s in word for s in self.special):
-            return None
-        if not _PLAIN(word):
-            return [p for p, _ in self.t.pre_tokenizer.pre_tokenize_str(
-                self.t.normalizer.normalize_str(word))]
-        word = word.lower()
-        if word.isascii():
-            return _PIECES(word)
-        return [p.encode().decode("latin-1").translate(_BYTES) for p in _PIECES(word)]
-
-    def whole(self, word: str) -> list[int]:
-        return self.t.encode(word, add_special_tokens=False).ids
-
-    def _piece(self, piece: str) -> bytes:
-        one = self.proved.get(piece)
-        ids = [x.id for x in self.t.model.tokenize(piece)] if one is None else [one]
+        special = any(s in text for s in self.special)
+        if not special and _PLAIN_TEXT(text):
+            return _PIECES(text.lower())
+        out = []
+        for word in words_of(text):
+            if special and any(s in word for s in self.special):
+                out.append("\1" + word)
+            elif _PLAIN(word):
+                out += _PIECES(word.lower())
+            elif word:
+                out += ["\0" + p for p, _ in self.t.pre_tokenizer.pre_tokenize_str(
+                    self.t.normalizer.normalize_str(word))]
+        return out
+
+    def _known(self, piece: str) -> tuple[str, int | None]:
+        """The piece in the byte alphabet, and its id if it is proved whole."""
+        piece = piece[1:] if piece[0] == "\0" else piece if piece.isascii() else \
+            piece.encode().decode("latin-1").translate(_BYTES)
+        return piece, self.proved.get(piece)
+
+    def _ids(self, piece: str) -> bytes:
+        if piece[0] == "\1":
+            ids = self.t.encode(piece[1:], add_special_tokens=False).ids
+        else:
+            piece, one = self._known(piece)
+            ids = [x.id for x in self.t.model.tokenize(piece)] if one is None else (one,)
         return array("I", ids).tobytes()
 
-    def _word_ids(self, word: str) -> bytes:
-        found = self.pieces(word)
-        if found is None:
-            return array("I", self.whole(word)).tobytes()
-        return b"".join(map(self.piece_ids.__getitem__, found))
-
-    def _word_count(self, word: str) -> int:
+    def _count(self, piece: str) -> int:
         """Pre-tokens proved whole count 1; only the rest is merged."""
-        found = self.pieces(word)
-        if found is None:
-            return len(self.whole(word))
-        proved, merge = self.proved, self.t.model.tokenize
-        return sum(1 if p in proved else len(merge(p)) for p in found)
+        if piece[0] == "\1":
+            return len(self.t.encode(piece[1:], add_special_tokens=False).ids)
+        piece, one = self._known(piece)
+        return len(self.t.model.tokenize(piece)) if one is None else 1
 
     def count(self, text: str) -> int:
-        return sum(map(self.counts.__getitem__, words_of(text)))
+        return sum(map(self.counts.__getitem__, self.pieces(text)))
 
     def encode(self, text: str) -> bytes:
-        return b"".join(map(self.ids.__getitem__, words_of(text)))
+        return b"".join(map(self.ids.__getitem__, self.pieces(text)))
 
 
 _words: dict[str, Words] = {}

@@ -238,12 +238,14 @@ def test_whole_tokens_are_one_token():
 @pytest.mark.parametrize("limit", [4, 10_000])
 def test_words_give_the_tokenizers_ids(monkeypatch, limit):
     from outfold.llm import tokens
-    monkeypatch.setattr(tokens, "CACHE_WORDS", limit)
+    monkeypatch.setattr(tokens, "CACHE_PIECES", limit)
     words = tokens.Words(tokenizer_path(), tokens.whole_tokens(tokenizer_path()))
     rng = random.Random(11)
     chars = [chr(c) for c in range(1, 600)] + list("  \n\t'sdlmtre09\u0301\u03a3\u0130\u2003\ufb01\u6f22\U0001f600") * 6
     for i in range(1500):
         text = "".join(rng.choices(chars if i % 2 else chars[:255], k=rng.randint(0, 40)))
+        if i % 50 == 0:
+            text = f"{text}<|endoftext|>{text[::-1]} <|startoftext|>x"
         ids = words.t.encode(text, add_special_tokens=False).ids
         assert words.encode(text) == struct.pack(f"<{len(ids)}I", *ids), repr(text)
         assert words.count(text) == len(ids)
