@@ -155,12 +155,23 @@ def same_text(a: DataFrame, b: DataFrame):
     return a["_id"].eqNullSafe(b["_id"]) & (a["_h"] == b["_h"])
 
 
+def _only(col: pa.ListArray, keep: np.ndarray) -> pa.ListArray:
+    """The refs of a batch for which ``keep`` holds."""
+    if keep.all():
+        return col
+    sizes = pc.fill_null(pc.list_value_length(col), 0).to_numpy(zero_copy_only=False)
+    left = np.bincount(np.repeat(np.arange(len(col)), sizes)[keep], minlength=len(col))
+    ends = pa.array(np.cumsum([0, *left]).astype(np.int32))
+    return pa.ListArray.from_arrays(ends, col.flatten().filter(pa.array(keep)), type=col.type,
+                                    mask=col.is_null())
+
+
 def with_refs(rows: DataFrame, refs: DataFrame, make: Callable, confirm: Callable | None = None
               ) -> DataFrame:
     """Every document with its number of symbols, the checksum of its untouched
     symbols and its refs (structs of its recurring runs); the text only where
     there are refs. One shuffle of the texts. ``confirm(kind, parts of a batch's
-    documents, their refs)`` may take refs away."""
+    documents, document of each ref, fields of the refs)`` says which refs hold."""
     by_doc = refs.groupBy("_id", "_h").agg(F.collect_list("_ref").alias("_refs"))
     # refs are not bounded: no broadcast at any size
     joined = rows.hint("merge").join(by_doc, same_text(rows, by_doc), "left").select(
@@ -176,7 +187,7 @@ def with_refs(rows: DataFrame, refs: DataFrame, make: Callable, confirm: Callabl
             sha = [hashlib.sha256(kind.kept(p, none, none)).hexdigest() for p in parts]
             refs = b.column("_refs")
             if confirm is not None:
-                refs = pa.array(confirm(kind, parts, refs.to_pylist()), refs.type)
+                refs = _only(refs, confirm(kind, parts, *_refs_of(refs)))
             has = refs.is_valid().to_pylist()
             text = pa.array([t if h else None for t, h in zip(read, has, strict=True)], pa.binary())
             yield pa.RecordBatch.from_arrays(
@@ -237,19 +248,24 @@ def parts_of(docs: DataFrame, make: Callable, step: int) -> DataFrame:
     return docs.mapInArrow(run, RUN)
 
 
-def judge(runs: DataFrame, keep_first: bool, ws: Workspace) -> DataFrame:
+def judge(runs: DataFrame, keep_first: bool, ws: Workspace, single: bool = False) -> DataFrame:
     """Runs that are repeated as a whole (``cut``; with ``keep_first`` all but
     the first of equal ones), runs to be taken apart (``open``: the first of its
     content, where the key has other contents too) and runs that the document
     has again further on (``many``). ``runs`` must be a table, as it is read
     twice. All counts are pre-aggregated, and written before they are joined, so
-    that Spark can split the join of a hot content."""
+    that Spark can split the join of a hot content. ``single``: runs of one
+    window, which cannot be taken apart."""
     place = F.struct("_id", "_start")
-    same = ws.save(runs.groupBy("_key", "_content").agg(
-        F.sum("_m").alias("_c"), F.min(place).alias("_first")), "same")
-    keys = same.groupBy("_key").agg(F.sum("_c").alias("_all"), (
-        F.min("_content") != F.max("_content")).alias("_mixed")).where("_all > 1").drop("_all")
-    known = ws.save(same.join(keys, "_key"), "known")
+    same = runs.groupBy("_key", "_content").agg(
+        F.sum("_m").alias("_c"), F.min(place).alias("_first"))
+    if single:
+        known = ws.save(same.where("_c > 1").withColumn("_mixed", F.lit(False)), "known")
+    else:
+        same = ws.save(same, "same")
+        keys = same.groupBy("_key").agg(F.sum("_c").alias("_all"), (
+            F.min("_content") != F.max("_content")).alias("_mixed")).where("_all > 1").drop("_all")
+        known = ws.save(same.join(keys, "_key"), "known")
     first = place.eqNullSafe(F.col("_first"))
     return (runs.hint("merge").join(known, ["_key", "_content"])
             .withColumn("cut", ~first if keep_first else F.col("_c") > 1)
@@ -278,8 +294,8 @@ def remove_repeats(rows: DataFrame, recurring: DataFrame, make: Callable, ws: Wo
     opened = marked.where("exists(_refs, r -> r.open)")
     blocks = ws.save(parts_of(opened, make, step), "blocks")
     more = ws.save(judge(blocks, keep_first, ws), "more")
-    single = ws.save(open_parts(opened, more, make, 1), "windows")
-    hits = ws.save(judge(single, keep_first, ws).unionAll(more).where("_ref.cut"), "hits")
+    windows = ws.save(open_parts(opened, more, make, 1), "windows")
+    hits = ws.save(judge(windows, keep_first, ws, single=True).unionAll(more).where("_ref.cut"), "hits")
     return finish(marked, hits, make, id_col, unit)
 
 

@@ -26,36 +26,31 @@ WIDTH, GRAM = 20, 6
 BLOCK = 4
 
 
-def locate(kind: Words, parts: list[list[bytes]], refs: list[list[dict] | None]
-           ) -> list[list[dict] | None]:
-    """The refs of a shard's documents whose phrase the shard's automaton finds
-    there; documents without refs stay so."""
+def locate(kind: Words, parts: list[list[bytes]], doc: np.ndarray, ref: dict[str, np.ndarray]
+           ) -> np.ndarray:
+    """Which refs of a shard's documents (``doc``: the document of each) the
+    shard's automaton finds at their place, by the words themselves."""
     import ahocorasick
 
-    def phrase(words: list[bytes], ref: dict) -> str:
-        at = ref["start"] + ref["lead"]
-        return (b" " + b" ".join(words[at:at + kind.gram]) + b" ").decode("latin-1")
-
+    place = ref["start"] + ref["lead"]
     automaton = ahocorasick.Automaton()
-    for words, own in zip(parts, refs, strict=True):
-        for r in own or ():
-            p = phrase(words, r)
-            automaton.add_word(p, len(p))
-    if not len(automaton):
-        return refs
+    for d, at in zip(doc.tolist(), place.tolist(), strict=True):
+        phrase = b" ".join(parts[d][at:at + kind.gram])
+        automaton.add_word(f" {phrase.decode('latin-1')} ", len(phrase) + 2)
+    found_all = np.zeros(len(doc), dtype=bool)
+    if not len(doc):
+        return found_all
     automaton.make_automaton()
-    out = []
-    for words, own in zip(parts, refs, strict=True):
-        if own is None:
-            out.append(None)
-            continue
-        text = (b" " + b" ".join(words) + b" ").decode("latin-1")
-        ends = np.cumsum([len(w) + 1 for w in words])  # where each word's leading blank ends
-        begin = ends - [len(w) + 1 for w in words]
-        found = np.fromiter((end + 1 - size for end, size in automaton.iter(text)), np.int64)
-        places = set(np.searchsorted(begin, found).tolist())
-        out.append([r for r in own if r["start"] + r["lead"] in places])
-    return out
+    edge = np.searchsorted(doc, np.arange(len(parts) + 1))
+    for d in np.unique(doc):
+        words = parts[d]
+        text = b" ".join(words).decode("latin-1")
+        size = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        begin = np.cumsum(size) - size  # the blank before each word, counted with a first one
+        found = np.fromiter((end + 1 - n for end, n in automaton.iter(f" {text} ")), np.int64)
+        own = slice(edge[d], edge[d + 1])
+        found_all[own] = np.isin(begin[place[own]], found)
+    return found_all
 
 
 def repeated_phrases(docs: DataFrame, width: int = WIDTH, gram: int = GRAM,
