@@ -187,7 +187,7 @@ def predict(docs: DataFrame, model: Model, keep: Column, text_col: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        for b in slices(batches, "_t", 1 << 20):
+        for b in slices(batches, "_t", 1 << 19):
             strings = texts(b.column("_t"))
             lists = [symbols(t) if m.langs and LETTER.search(t) else np.empty(0, np.uint8)
                      for t in strings]

@@ -14,7 +14,7 @@ from array import array
 
 #: Pre-tokens that a Python worker keeps, in two halves: when the newer half is
 #: full, the older one is dropped.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 300_000
 
 # Texts of ASCII and Latin-1 letters only: there lower case is letter by letter,
 # composition (NFC) changes nothing, and the tokenizer's own pattern can be
