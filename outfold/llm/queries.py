@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from outfold.llm import (decontaminate, langid, minhash, multi_index, packing, phrase_dedup, pii,
                          sharding, suffix_dedup, token_counts)
+from outfold.llm.oracles import ORACLES  # noqa: F401  (the queries' SQL)
 from outfold.plans.registry import table
 
 #: For the registered queries only; a user passes a secret of their own.
@@ -69,5 +70,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_suffix_dedup, op2_decontaminate, op3_harmonic_packing, op4_pseudonyms, op5_byte_shards,
         op6_token_counts, op7_phrase_dedup, op8_minhash, op9_language_id, op10_multi_index)}
-
-ORACLES: dict[str, str] = {}
