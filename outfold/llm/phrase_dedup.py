@@ -70,8 +70,9 @@ def repeated_phrases(docs: DataFrame, width: int = WIDTH, gram: int = GRAM,
     ws = Workspace(docs.sparkSession, "phrases")
     rows = rows_of(docs, id_col, text_col)
     make = partial(Words, width, gram)
-    runs = ws.save(sample(rows, make), "runs")
+    runs, path = ws.save_at(sample(rows, make), "runs")
     often = runs.groupBy("_key").agg(F.sum("_m").alias("_c")).where("_c > 1").select("_key")
     often = ws.save(often, "often")  # written, so that Spark can split a hot key's join
     recurring = ws.save(runs.hint("merge").join(often, "_key"), "recurring")
+    ws.drop(path)
     return remove_repeats(rows, recurring, make, ws, BLOCK, True, id_col, "words", locate)

@@ -75,7 +75,7 @@ def repeated_substrings(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, b
     ws = Workspace(docs.sparkSession, "suffixes")
     rows = rows_of(docs, id_col, text_col)
     make = partial(Bytes, width, gram)
-    runs = ws.save(sample(rows, make), "runs")
+    runs, path = ws.save_at(sample(rows, make), "runs")
     family, found = SuffixFamily(ws), None
     batch = F.pmod(F.xxhash64("_id", "_h"), F.lit(batches))
     for b in range(batches):
@@ -83,4 +83,5 @@ def repeated_substrings(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, b
         found = matches if found is None else found.unionAll(matches)
     keys = ws.save(found.distinct(), "keys")  # written, so that Spark can split a hot key's join
     recurring = ws.save(runs.hint("merge").join(keys, "_key"), "recurring")
+    ws.drop(path)
     return remove_repeats(rows, recurring, make, ws, BLOCK, False, id_col, "bytes")
