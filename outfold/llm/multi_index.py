@@ -4,8 +4,9 @@ A vector is cut into two halves and each half is quantised with a codebook of
 its own, so a vector lies in one of ``codes ** 2`` cells. For a query, pairs of
 centroids are visited in order of their summed nearness with a heap until the
 visited cells hold enough vectors; these are ranked again with the exact inner
-product in double precision. A query travels with the smallest sum it visits, so
-that a task knows from the codebooks which of its cells are meant.
+product in double precision. A query travels to a bucket of cells with one bit for
+each of them, so that the task ranks the cells that were visited, whatever way
+their sums were rounded.
 """
 
 from __future__ import annotations
@@ -160,34 +161,47 @@ def search(vectors: DataFrame, query: object, top: int = 20, codes: int = 256, s
     whole = np.cumsum(np.where(parts > 1, 0, sizes)) // BUCKET_ROWS
     extra = np.cumsum(np.where(parts > 1, parts, 0)) - np.where(parts > 1, parts, 0)
     base = np.where(parts > 1, whole[-1] + 1 + extra, whole)
-    known = spark.sparkContext.broadcast((sizes, base, parts))
+    # The full cells of a bucket have one bit each, in whole bytes a bucket: at
+    # most 2 * BUCKET_ROWS bits. The parts of a large cell all have its one bit.
+    full = np.flatnonzero(sizes)
+    home = base[full]
+    order = np.argsort(home, kind="stable")
+    held_by = np.bincount(home, minlength=int((base + parts).max()))
+    ends = np.concatenate([[0], np.cumsum(-(-np.maximum(held_by, 1) // 8))])
+    nth = np.arange(len(full)) - (np.cumsum(held_by) - held_by)[home[order]]
+    slot = np.zeros(len(sizes), dtype=np.int64)
+    slot[full[order]] = 8 * ends[home[order]] + nth
+    known = spark.sparkContext.broadcast((sizes, base, parts, slot, ends))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = books.value
-        held, first, n = known.value
+        held, first, n, slot, ends = known.value
         for batch in batches:
             if not batch.num_rows:
                 continue
             v = matrix(batch.column("_v"))
             near_a, near_b = v[:, :h] @ a.T, v[:, h:] @ b.T
-            take, bucket, edge = [], [], []
+            take, bucket, bits = [], [], []
             for i in range(len(v)):
-                cells, least_sum = visit(near_a[i], near_b[i], held, want)
+                cells, _ = visit(near_a[i], near_b[i], held, want)
+                mark = np.zeros(8 * int(ends[-1]), dtype=bool)
+                mark[slot[cells]] = True
+                packed = np.packbits(mark).tobytes()
                 go = np.unique(first[cells])
                 big = cells[n[cells] > 1]
                 go = np.union1d(go, np.concatenate([np.empty(0, np.int64), *(
                     first[c] + np.arange(n[c]) for c in big)]))
                 take += [i] * len(go)
                 bucket += go.tolist()
-                edge += [least_sum] * len(go)
+                bits += [packed[ends[k]:ends[k + 1]] for k in go]
             pick = pa.array(take, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("_id").take(pick), batch.column("_v").take(pick),
-                 pa.array(bucket, pa.int64()), pa.array(edge, pa.float64())],
-                ["_id", "_v", "_bucket", "_edge"])
+                 pa.array(bucket, pa.int64()), pa.array(bits, pa.binary())],
+                ["_id", "_v", "_bucket", "_cells"])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, first, n = known.value
+        _, first, n, _, _ = known.value
         for batch in batches:
             cell = batch.column("_cell").to_numpy()
             spread = mix(batch.column("_id").to_numpy().view(np.uint64)) % n[cell].astype(np.uint64)
@@ -197,7 +211,7 @@ def search(vectors: DataFrame, query: object, top: int = 20, codes: int = 256, s
 
     queries = index.where("_query").select("_id", "_v").repartition(
         spark.sparkContext.defaultParallelism).mapInArrow(
-        route, "_id long, _v array<double>, _bucket long, _edge double")
+        route, "_id long, _v array<double>, _bucket long, _cells binary")
     entries = index.select("_id", "_v", "_cell").mapInArrow(
         deal, "_id long, _v array<double>, _cell long, _bucket long")
 
@@ -205,16 +219,22 @@ def search(vectors: DataFrame, query: object, top: int = 20, codes: int = 256, s
         schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
         if not q.num_rows or not e.num_rows:
             return schema.empty_table()
-        a, b = books.value
+        _, first, n, slot, ends = known.value
         qv, ev = (t.column("_v").combine_chunks().flatten().to_numpy().reshape(-1, d) for t in (q, e))
         qid, eid = (t.column("_id").to_numpy() for t in (q, e))
-        ci, cj = np.divmod(e.column("_cell").to_numpy(), len(b))
-        edge = q.column("_edge").to_numpy()
+        cell = e.column("_cell").to_numpy()
+        # a part of a large cell is sent to only if the cell is visited
+        bit = None if n[cell[0]] > 1 else slot[cell] - 8 * ends[first[cell[0]]]
+        bits = q.column("_cells")
         out = []
         for lo in range(0, len(qid), QUERY_ROWS):
             ids, v = qid[lo:lo + QUERY_ROWS], qv[lo:lo + QUERY_ROWS]
-            visited = (v[:, :h] @ a.T)[:, ci] + (v[:, h:] @ b.T)[:, cj] >= edge[lo:lo + QUERY_ROWS, None]
-            score = np.where(visited & (ids[:, None] != eid[None]), v @ ev.T, -np.inf)
+            meant = ids[:, None] != eid[None]
+            if bit is not None:
+                sent = b"".join(bits.slice(lo, QUERY_ROWS).to_pylist())
+                sent = np.frombuffer(sent, dtype=np.uint8).reshape(len(ids), -1)
+                meant &= np.unpackbits(sent, axis=1)[:, bit].astype(bool)
+            score = np.where(meant, v @ ev.T, -np.inf)
             for i in range(len(ids)):
                 s = score[i]
                 bar = np.partition(s, len(s) - top)[len(s) - top] if len(s) > top else -np.inf

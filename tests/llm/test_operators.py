@@ -381,6 +381,29 @@ def test_large_cells_and_small_buckets(spark, monkeypatch):
     test_search_finds_all_when_all_cells_are_visited(spark)
 
 
+def test_visited_cells_do_not_hang_on_rounding(spark):
+    """Sums of one row and of a block of rows are rounded differently; with a
+    single visited cell, each vector must still meet its copies."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(30, 64))
+    rows = [(i, [float(c) for c in x[i % 30]]) for i in range(300)]
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(size)
+    spark.conf.set(size, "1")
+    try:
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        out = multi_index.search(df, F.lit(True), top=9, share=0.0, least=1).collect()
+        same = spark.createDataFrame([(i, rows[0][1]) for i in range(100)], df.schema).repartition(100)
+        alike = multi_index.search(same, F.lit(True)).collect()
+    finally:
+        spark.conf.set(size, old)
+    found = {}
+    for r in out:
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    assert found == {i: {j for j in range(300) if j % 30 == i % 30} - {i} for i in range(300)}
+    assert len(alike) == 100 * 20
+
+
 EMPTY = "doc_id long, text string"
 
 
