@@ -16,13 +16,27 @@ from pyspark.sql import functions as F
 
 #: Fixed pattern of each kind. A match is told apart by these, in this order.
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+){0,9}\.[A-Za-z]{2,}"
-HEX = r"(?<![0-9A-Za-z])(?=[0-9a-f]{0,63}[0-9])(?=[0-9]{0,63}[a-f])[0-9a-f]{32,64}(?![0-9A-Za-z])"
+HEX = r"(?<![0-9A-Za-z])(?=[0-9A-Fa-f]{0,63}[0-9])(?=[0-9]{0,63}[A-Fa-f])[0-9A-Fa-f]{32,64}(?![0-9A-Za-z])"
 DATE = r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])|(?<![0-9.])[0-9]{2}\.[0-9]{2}\.[0-9]{4}(?![0-9])|(?<![0-9/])[0-9]{2}/[0-9]{2}/[0-9]{4}(?![0-9])"
 ADDRESS = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"
 SOCIAL = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
-PHONE = r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9A-Za-z.-])(?:\+[0-9]{1,3}[ .-])?[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9])"
+PHONE = r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9A-Za-z.-])(?:\+[0-9]{1,3}[ .-])?[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])"
 CARD = r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?: [0-9]{4}){2} [0-9]{1,7}|[0-9]{4}(?:-[0-9]{4}){2}-[0-9]{1,7}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9])"
 ANY = "|".join([EMAIL, HEX, DATE, ADDRESS, SOCIAL, PHONE, CARD])
+#: Every start of what looks like a card number, also inside another one.
+CARD_AT = CARD.replace("(?<![0-9])", "(?<![0-9])(?=(", 1) + "))"
+#: First digits that card issuers use.
+ISSUER = "^(?:3|4|5[0-8]|6|222[1-9]|22[3-9]|2[3-6]|27[01]|2720)"
+#: ``ANY`` with the valid card numbers of a text, joined by |, at <cards>: what
+#: fails the check digit takes no text from a match behind it. Those with other
+#: first digits than an issuer's (<other>) give way to an issuer's (<known>) at
+#: one of their groups. The last group of a telephone number may not begin a
+#: card, unless one begins right after.
+VALID = r"(?:<cards>)(?![0-9])"
+ANY_VALID = "|".join([EMAIL, HEX, DATE, ADDRESS, SOCIAL, PHONE.replace(
+    "[0-9]{4}(?![0-9])", rf"(?:(?=[0-9]{{4}}[^0-9]{VALID})|(?!{VALID}))[0-9]{{4}}(?![0-9])"),
+    r"(?<![0-9])(?=[0-9]{4})(?:(?:<known>)(?![0-9])|(?![0-9]{4}[ -](?:[0-9]{4}[ -]){0,2}(?:<known>)(?![0-9]))"
+    r"(?:<other>)(?![0-9]))"])
 ROUNDS = 8
 
 DIGITS = "0123456789"
@@ -85,6 +99,11 @@ def check_digit(body: str) -> str:
             f"2 * {digit} - if({digit} > 4, 9, 0), {digit})) % 10) % 10 as string)")
 
 
+def _valid(card: str) -> str:
+    return _let(f"regexp_replace({card}, '[^0-9]', '')", "d",
+                "right(d, 1) = " + check_digit("substr(d, 1, length(d) - 1)"))
+
+
 def _card(key: str) -> str:
     digits = "regexp_replace(m, '[^0-9]', '')"
     new = _let("substr(d, 1, length(d) - 1)", "body", "if(right(d, 1) <> " + check_digit("body")
@@ -94,6 +113,14 @@ def _card(key: str) -> str:
     return _let(digits, "d", new)
 
 
+def _hex(key: str) -> str:
+    """The digits move as lower case; upper case stays upper case."""
+    mixed = ("concat_ws('', transform(sequence(1, length(m)), i -> if(substr(m, i, 1) rlike '[A-F]', "
+             "upper(substr(p, i, 1)), substr(p, i, 1))))")
+    return _let(permute_word(key, "hex", "lower(m)", HEXES), "p", (
+        f"case when m = lower(m) then p when m = upper(m) then upper(p) else {mixed} end"))
+
+
 def _phone(key: str) -> str:
     """The last ten digits move; a country code stays."""
     return _let("regexp_replace(m, '[^0-9]', '')", "d", _let(
@@ -148,7 +175,7 @@ def pseudonym(key: str) -> str:
     def full(p: str) -> str:
         return _lit("^(?:" + p + ")$")
     return (f"case when m rlike {full(EMAIL)} then {_email(key)} "
-            f"when m rlike {full(HEX)} then {permute_word(key, 'hex', 'm', HEXES)} "
+            f"when m rlike {full(HEX)} then {_hex(key)} "
             f"when m rlike {full(DATE)} then {_date(key)} "
             f"when m rlike {full(ADDRESS)} then {_address(key)} "
             f"when m rlike {full(SOCIAL)} then {_social(key)} "
@@ -160,21 +187,30 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     """``docs`` with the personal values of ``text_col`` replaced in place; all
     columns and rows stay.
 
-    Kinds: e-mail addresses (user part), hexadecimal tokens of 32 to 64 digits,
-    dates 1800 to 2199, IPv4 addresses, social numbers, telephone numbers, card
-    numbers with a right check digit. A string that looks like one but fails its
-    check stays as it is. Null text stays null, empty text empty; repeated rows
+    Kinds: e-mail addresses (user part), hexadecimal tokens of 32 to 64 digits
+    in either case (at least one letter and one of 0-9), dates 1800 to 2199, IPv4
+    addresses, social numbers, telephone numbers (3-3-4 digits with blanks, dots
+    or hyphens between them), card numbers with a right check digit. A string
+    that looks like one but fails its check stays as it is. Of several overlapping
+    groups of digits with a right check digit one with an issuer's first digits
+    moves rather than one without, else the leftmost. Null text stays null, empty text empty; repeated rows
     and equal values get equal pseudonyms. Keep ``key`` secret: it undoes the
     permutation.
     """
     if not key:
         raise ValueError("an empty key gives no protection")
     text = f"`{text_col.replace('`', '``')}`"
-    found = f"regexp_extract_all({text}, {_lit(ANY)}, 0)"
-    parts = f"split({text}, {_lit(ANY)}, -1)"
+    cards = f"filter(array_distinct(regexp_extract_all({text}, {_lit(CARD_AT)}, 1)), c -> {_valid('c')})"
+    pattern = _lit(ANY_VALID)
+    for mark, some in (("cards", "cs"), ("known", f"filter(cs, c -> c rlike '{ISSUER}')"),
+                       ("other", f"filter(cs, c -> not c rlike '{ISSUER}')")):
+        pattern = f"replace({pattern}, '<{mark}>', coalesce(nullif(array_join({some}, '|'), ''), '(?!)'))"
+    pattern = _let(cards, "cs", pattern)
+    found = f"regexp_extract_all({text}, valid, 0)"
+    parts = f"split({text}, valid, -1)"
     moved = f"transform({found}, m -> coalesce({pseudonym(key)}, m))"
-    rebuilt = (f"concat_ws('', flatten(zip_with({parts}, {moved}, "
-               "(p, q) -> array(p, coalesce(q, '')))))")
+    rebuilt = _let(pattern, "valid", f"concat_ws('', flatten(zip_with({parts}, {moved}, "
+                   "(p, q) -> array(p, coalesce(q, '')))))")
     # Most texts hold nothing: one look decides before the text is taken apart.
     return docs.withColumn(text_col, F.expr(
         f"case when {text} rlike '[0-9]|@' and {text} rlike {_lit(ANY)} then {rebuilt} "

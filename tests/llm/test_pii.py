@@ -116,6 +116,48 @@ def test_neighbouring_numbers(moved):
                                                             f"12 {card(a)}-1"]
 
 
+def test_separated_cards_behind_numbers(moved):
+    for sep in " -":
+        a, b = (sep.join(c) for c in (["4111", "1111", "1111", "1111"], ["5500", "0000", "0000", "0004"]))
+        amex = sep.join(["3782", "822463", "10005"])
+        for year in ("2024", "1999", "1234"):
+            got = moved([f"paid {year}{sep}{a}", f"{year}{sep}{year}{sep}{b}{sep}12", f"{year}{sep}{amex} x",
+                         f"{year}{sep}{a}{sep}{b}", f"2024-01-05 {a}"])
+            assert got == [f"paid {year}{sep}{card(a)}", f"{year}{sep}{year}{sep}{card(b)}{sep}12",
+                           f"{year}{sep}{card(amex)} x", f"{year}{sep}{card(a)}{sep}{card(b)}",
+                           f"{date('2024-01-05')} {card(a)}"]
+
+
+def test_wrong_digits_with_a_right_check_digit(moved):
+    a = "4111 1111 1111 1111"
+    year = next(str(y) for y in range(1990, 2030) if luhn(f"{y}41111111" + "1111"))
+    assert moved([f"{year} {a}", f"{year} 4111 1111 1111"]) == [f"{year} {card(a)}", card(f"{year} 4111 1111 1111")]
+
+
+def test_upper_case_tokens(moved):
+    low = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+    new = word("hex", low, pii.HEXES)
+    mixed = low[:20] + low[20:].upper()
+    got = moved([f"TOKEN = \"{low.upper()}\"", f"{low} {low.upper()}", mixed])
+    assert got[:2] == [f"TOKEN = \"{new.upper()}\"", f"{new} {new.upper()}"]
+    assert got[2].lower() == new and mixed not in got[2]
+
+
+def test_phones_with_blanks(moved):
+    a = "4111 1111 1111 1111"
+    assert moved(["call 743 555 3824.", "+1 743 555 3824", "743.555 3824", f"743 555 3824 {a}",
+                  f"743 555 {a}", f"743-555-{a}"]) == [
+        f"call {phone('743 555 3824')}.", phone("+1 743 555 3824"), phone("743.555 3824"),
+        f"{phone('743 555 3824')} {card(a)}", f"743 555 {card(a)}", f"743-555-{card(a)}"]
+
+
+def test_many_cards_in_a_text(moved):
+    cards = [f"4{i:014d}" for i in range(3000)]
+    cards = [c + next(x for x in pii.DIGITS if luhn(c + x)) for c in cards]
+    cards = [" ".join(c[k:k + 4] for k in range(0, 16, 4)) for c in cards]
+    assert moved(["; ".join(cards)]) == ["; ".join(map(card, cards))]
+
+
 def test_formats_hold(moved):
     cards = moved(["4111 1111 1111 1111", "378282246310005"])
     assert all(luhn(re.sub(r"\D", "", c)) for c in cards)
