@@ -29,6 +29,9 @@ SAMPLE = 20_000
 BUCKET_ROWS = 4096
 #: Queries that one task ranks at once.
 QUERY_ROWS = 256
+#: Queries that meet a bucket in one group, about; for more, the bucket is
+#: repeated once for each block of so many queries.
+QUERY_BLOCK = 8192
 #: Side of the squares of centroid pairs that the heap holds.
 SIDE = 16
 
@@ -152,8 +155,10 @@ def search(vectors: DataFrame, query: object, top: int = 20, codes: int = 256, s
     index = ws.save(rows.mapInArrow(place, "_id long, _v array<double>, _query boolean, _cell long"),
                     "index")
     sizes = np.zeros(len(left) * len(right), dtype=np.int64)  # codes**2 numbers
-    counts = index.groupBy("_cell").count().toArrow()
+    counts = index.groupBy("_cell").agg(F.count(F.lit(1)).alias("count"),
+                                        F.count_if("_query").alias("queries")).toArrow()
     sizes[counts.column("_cell").to_numpy()] = counts.column("count").to_numpy()
+    blocks = max(1, -(-int(counts.column("queries").to_numpy().sum()) // QUERY_BLOCK))
     want = max(least, int(share * total))
     # Cells in order are cut into buckets of about BUCKET_ROWS vectors; a cell
     # that is larger has several buckets of its own.
@@ -195,25 +200,28 @@ def search(vectors: DataFrame, query: object, top: int = 20, codes: int = 256, s
                 bucket += go.tolist()
                 bits += [packed[ends[k]:ends[k + 1]] for k in go]
             pick = pa.array(take, pa.int64())
+            block = (mix(batch.column("_id").to_numpy().view(np.uint64)) % np.uint64(blocks)).astype(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("_id").take(pick), batch.column("_v").take(pick),
-                 pa.array(bucket, pa.int64()), pa.array(bits, pa.binary())],
-                ["_id", "_v", "_bucket", "_cells"])
+                 pa.array(bucket, pa.int64()), pa.array(block[take], pa.int64()), pa.array(bits, pa.binary())],
+                ["_id", "_v", "_bucket", "_block", "_cells"])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, first, n, _, _ = known.value
         for batch in batches:
             cell = batch.column("_cell").to_numpy()
             spread = mix(batch.column("_id").to_numpy().view(np.uint64)) % n[cell].astype(np.uint64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("_id"), batch.column("_v"), batch.column("_cell"),
-                 pa.array(first[cell] + spread.astype(np.int64))], ["_id", "_v", "_cell", "_bucket"])
+            bucket = pa.array(first[cell] + spread.astype(np.int64))
+            for k in range(blocks):
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("_id"), batch.column("_v"), batch.column("_cell"), bucket,
+                     pa.array(np.full(len(cell), k))], ["_id", "_v", "_cell", "_bucket", "_block"])
 
     queries = index.where("_query").select("_id", "_v").repartition(
         spark.sparkContext.defaultParallelism).mapInArrow(
-        route, "_id long, _v array<double>, _bucket long, _cells binary")
+        route, "_id long, _v array<double>, _bucket long, _block long, _cells binary")
     entries = index.select("_id", "_v", "_cell").mapInArrow(
-        deal, "_id long, _v array<double>, _cell long, _bucket long")
+        deal, "_id long, _v array<double>, _cell long, _bucket long, _block long")
 
     def rank(q: pa.Table, e: pa.Table) -> pa.Table:
         schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
@@ -249,7 +257,7 @@ def search(vectors: DataFrame, query: object, top: int = 20, codes: int = 256, s
         return pa.Table.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)],
                                     schema=schema)
 
-    found = queries.groupBy("_bucket").cogroup(entries.groupBy("_bucket")).applyInArrow(
+    found = queries.groupBy("_bucket", "_block").cogroup(entries.groupBy("_bucket", "_block")).applyInArrow(
         rank, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)

@@ -404,6 +404,27 @@ def test_visited_cells_do_not_hang_on_rounding(spark):
     assert len(alike) == 100 * 20
 
 
+def test_groups_hold_a_block_of_queries(spark, monkeypatch):
+    """No group gets all queries, and the neighbours are the same."""
+    monkeypatch.setattr(multi_index, "BUCKET_ROWS", 64)
+    monkeypatch.setattr(multi_index, "QUERY_BLOCK", 20, raising=False)
+    slots, frame = [], type(spark.range(0))
+    real = frame.groupBy
+    monkeypatch.setattr(frame, "groupBy", lambda self, *c: slots.append((self, c)) or real(self, *c))
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = multi_index.search(df, F.col("vec_id") % 2 == 0, share=1.0)
+    monkeypatch.undo()
+    found = {}
+    for r in out.orderBy("query_id", "rank").collect():
+        found.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert found == brute_search(rows, lambda i: i % 2 == 0, 20)
+    queries, key = next(s for s in slots if {"_v", "_bucket"} <= set(s[0].columns))
+    sizes = [r["count"] for r in queries.groupBy(*key).count().collect()]
+    assert max(sizes) <= 40 and sum(sizes) >= 200
+
+
 EMPTY = "doc_id long, text string"
 
 
