@@ -9,6 +9,7 @@ bit-parallel edit distance.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -19,6 +20,11 @@ from outfold.llm.common import slices, texts
 
 #: One edit is allowed for this many characters of an item.
 CHARS_PER_EDIT = 20
+#: Scripts without blanks between words (Thai to Myanmar, Khmer, Kana, Han), and
+#: Hangul, whose particles follow a word without one.
+UNSPACED = (("\u0e00", "\u109f"), ("\u1100", "\u11ff"), ("\u1780", "\u17ff"), ("\u3040", "\u318f"),
+            ("\u31f0", "\u31ff"), ("\u3400", "\u9fff"), ("\uac00", "\ud7ff"), ("\uf900", "\ufaff"),
+            ("\U00020000", "\U0003ffff"))
 #: Characters of items that one automaton holds; more items, more passes.
 BLOCK_CHARS = 4_000_000
 
@@ -28,6 +34,14 @@ def normal(text: str) -> str:
     return " ".join(text.lower().split())
 
 
+def in_word(text: str, at: int) -> bool:
+    """Whether ``at`` lies inside a word of ``text``: a letter, digit, mark or
+    underscore on both sides, neither of a script in ``UNSPACED``."""
+    return 0 < at < len(text) and all(
+        (c.isalnum() or c == "_" or unicodedata.category(c)[0] == "M")
+        and not any(lo <= c <= hi for lo, hi in UNSPACED) for c in text[at - 1:at + 1])
+
+
 def split(item: str, budget: int) -> list[tuple[int, str]]:
     """budget + 1 pieces of nearly equal length and where they begin."""
     n, k = len(item), budget + 1
@@ -73,8 +87,9 @@ class Myers:
 class Matcher:
     """All items of a block: automaton of the pieces, verifier of each item."""
 
-    def __init__(self, items: list[tuple[int, str]], chars_per_edit: int):
+    def __init__(self, items: list[tuple[int, str]], chars_per_edit: int, whole_words: bool = False):
         import ahocorasick
+        self.whole_words = whole_words
         self.items = [(i, t, len(t) // chars_per_edit) for i, t in items]
         self.verify: dict[int, Myers] = {}
         pieces: dict[str, list[tuple[int, int]]] = {}
@@ -92,10 +107,15 @@ class Matcher:
         if not len(self.automaton):
             return []
         spans: dict[int, list[list[int]]] = {}
+        whole: dict[int, int] = {}  # where an exact item first ends
         for end, (size, places) in self.automaton.iter(text):
             for at, offset in places:
                 _, t, budget = self.items[at]
                 begin = end + 1 - size - offset  # the item would begin here, give or take
+                if self.whole_words and not budget:  # the piece is the item
+                    if not in_word(text, begin) and not in_word(text, end + 1):
+                        whole.setdefault(at, end + 1)
+                    continue
                 lo, hi = begin - budget, begin + len(t) + budget
                 have = spans.setdefault(at, [])
                 if have and lo <= have[-1][1]:
@@ -103,7 +123,7 @@ class Matcher:
                     have[-1][1] = max(have[-1][1], hi)
                 else:
                     have.append([lo, hi])
-        out = []
+        out = [(self.items[at][0], 0, end) for at, end in whole.items()]
         for at, places in spans.items():
             key, t, budget = self.items[at]
             verifier = self.verify.get(at)
@@ -142,10 +162,12 @@ def item_blocks(items: DataFrame, item_col: str, text_col: str, block_chars: int
 
 def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           item_col: str = "item_id", item_text_col: str = "text",
-          chars_per_edit: int = CHARS_PER_EDIT) -> DataFrame:
+          chars_per_edit: int = CHARS_PER_EDIT, whole_words: bool = False) -> DataFrame:
     """(id, item id, ``distance``, ``match_end``) of every item that stands in a
     document with at most len(item) // ``chars_per_edit`` edits, both in lower
-    case with single blanks; ``match_end`` counts characters of that form.
+    case with single blanks; ``match_end`` counts characters of that form. With
+    ``whole_words``, an item that allows no edit neither begins nor ends inside
+    a longer word.
 
     The items are the query set: blocks of them of a bounded size go to all
     tasks, each block in one pass over the documents, without a shuffle. Null
@@ -164,7 +186,7 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
         sent = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(sent.value, chars_per_edit)
+            matcher = Matcher(sent.value, chars_per_edit, whole_words)
             for b in slices(batches, "_t", 4 << 20):
                 at, found = [], []
                 for i, t in enumerate(texts(b.column("_t"))):
@@ -185,7 +207,8 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
 
 
 def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id",
-          item_text_col: str = "text", chars_per_edit: int = CHARS_PER_EDIT) -> DataFrame:
+          item_text_col: str = "text", chars_per_edit: int = CHARS_PER_EDIT,
+          whole_words: bool = True) -> DataFrame:
     """The rows of ``docs`` in which no item stands (see ``leaks``), with all
     their columns; one pass for each block of items, no shuffle."""
     spark = docs.sparkSession
@@ -196,7 +219,7 @@ def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: s
                           F.col(text_col).cast("string").alias("_t"))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(sent.value, chars_per_edit)
+            matcher = Matcher(sent.value, chars_per_edit, whole_words)
             for b in slices(batches, "_t", 4 << 20):
                 stay = [not matcher.find(normal(t)) for t in texts(b.column("_t"))]
                 yield b.select(["row"]).filter(pa.array(stay, pa.bool_()))

@@ -155,6 +155,17 @@ def test_leaks_blocks_and_no_items(spark, some, monkeypatch):
     assert decontaminate.leaks(docs, items.limit(0)).count() == 0
 
 
+def test_short_items_are_whole_words(spark):
+    docs = docs_of(spark, [(1, "the eyes of a start"), (2, "Yes, of course"), (3, "eyes say yes"), (4, "c++ or é.art"),
+                           (5, "yesé 2art"), (6, "\u65e5\u672c\u8a9e"), (7, "a\u0301rt")])
+    items = spark.createDataFrame([(7, "yes"), (8, "art"), (10, "\u672c")], "item_id long, text string")
+    assert got(decontaminate.clean(docs, items), "doc_id") == [(1,), (5,), (7,)]
+    leaks = decontaminate.leaks(docs, items, whole_words=True)
+    assert got(leaks, "doc_id", "item_id", "distance", "match_end") == [
+        (2, 7, 0, 3), (3, 7, 0, 12), (4, 8, 0, 12), (6, 10, 0, 2)]
+    assert (1, 7) in got(decontaminate.leaks(docs, items), "doc_id", "item_id")
+
+
 def test_myers_matches_table():
     rng = random.Random(4)
     for _ in range(200):
