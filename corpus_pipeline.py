@@ -17,9 +17,12 @@ from outfold.plans.registry import table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in no known language (no letter, or null) go. The languages are
-    learned from the labelled documents that are not held out."""
+    """Documents in no language (no letter, or null) go. The languages are
+    learned from the labelled documents that are not held out; without any, the
+    same documents go. Which language it is rejects nothing."""
     model = langid.fit(docs.where(~langid.held_out()))
+    if not model.langs:
+        return langid.with_letter(docs)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     return langid.predict(docs, model, row).where(F.col("lang_pred") != "und").select("kept.*")
 

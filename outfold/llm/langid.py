@@ -211,6 +211,20 @@ def predict(docs: DataFrame, model: Model, keep: Column, text_col: str = "text",
     return rows.mapInArrow(run, schema)
 
 
+def with_letter(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text has a letter, with all their columns; no
+    model is needed."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+                       F.col(text_col).cast("string").alias("_t"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "_t", 4 << 20):
+            stay = [LETTER.search(t) is not None for t in texts(b.column("_t"))]
+            yield b.select(["row"]).filter(pa.array(stay, pa.bool_()))
+
+    return rows.mapInArrow(run, rows.select("row").schema).select("row.*")
+
+
 def held_out(id_col: str = "doc_id"):
     """True for documents whose crc32 of the id as text leaves 1 modulo 3."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))

@@ -1,5 +1,7 @@
 """The pipeline against its stages done plainly, and its contract."""
 
+import zlib
+
 import brute
 from pyspark.sql import functions as F
 
@@ -49,6 +51,17 @@ def test_registered():
         "language_id", "near_duplicates", "decontamination", "pseudonyms", "packing"]
 
 
+def test_language_stage_without_labels(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(1, "the thing and that", None, "s", 18), (2, None, None, "s", 0), (3, "12 _ 3", None, "s", 6),
+            (None, "\u65e5\u672c", None, None, 2), (1, "the thing and that", None, "s", 18), (4, "", None, "s", 0)]
+    out = corpus_pipeline.language(spark, spark.createDataFrame(rows, schema), SF)
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted((rows[i] for i in (0, 3, 4)), key=repr)
+    held = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 3 == 1)
+    few = spark.createDataFrame([(held, "the thing", "en", "s", 9)], schema)
+    assert corpus_pipeline.language(spark, few, SF).count() == 1
+
+
 def test_odd_documents(spark, tmp_path):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (3, "the thing and that", "en", "s", 4),
