@@ -1,13 +1,12 @@
-"""Repeated phrases, found by sharded Aho-Corasick automata.
+"""Repeated phrases, found by grouping hashes.
 
 Recurring phrases are confirmed first: of every ``width`` words, the phrase of
 ``gram`` words at the window's anchor stands for the window, and phrases that
-occur once are dropped by a count. The documents that hold recurring phrases
-are dealt out; each shard compiles the phrases of its own documents into
-automata of a bounded size and streams these documents through them, which
-locates every occurrence by its very words. So an automaton only holds what its
-documents can contain, and the work grows with the text, not with the text
-times the number of shards.
+occur once are dropped by a count. Which words go is then decided by grouping hashes
+of runs, blocks and windows (``passages``). Automata of a bounded size, built
+from the phrases of the documents at hand, are streamed over these documents
+only; a phrase is read from the place it is looked for at, so it is always
+found there, and the automata decide nothing.
 """
 
 from __future__ import annotations
@@ -29,7 +28,7 @@ BLOCK = 4
 def locate(kind: Words, parts: list[list[bytes]], doc: np.ndarray, ref: dict[str, np.ndarray]
            ) -> np.ndarray:
     """Which refs of a shard's documents (``doc``: the document of each) the
-    shard's automaton finds at their place, by the words themselves."""
+    shard's automaton finds at their place: all, as their phrases are read there."""
     import ahocorasick
 
     place = ref["start"] + ref["lead"]
