@@ -1,17 +1,17 @@
-"""Repeated substrings by a logarithmic family of suffix arrays.
+"""Repeated substrings by grouping hashes.
 
-The index is a family of levels; level i holds the suffixes of 2**i batches,
-in order. A new batch is put in order, scanned together with the levels for
-suffixes that begin alike, and then merged with level 0, 1, ... as long as
-there is a level of equal size, as in binary counting.
+A family of levels counts sampled suffixes by the fingerprint of their first
+``gram`` bytes; level i holds the counts of 2**i batches. A new batch is grouped
+together with the levels for fingerprints that recur, and then merged with level
+0, 1, ... as long as there is a level of equal size, as in binary counting. The
+levels are no suffix arrays: they are a prefilter that equals one count over all
+batches.
 
-Only sampled suffixes are kept: those at the anchors of ``anchors``. Every
-string of ``width`` bytes that repeats has an anchor at the same offset in each
-place, so no repeat is lost, while the family holds about one entry for 60
-bytes. Entries are ordered by the fingerprint of the suffix's first ``gram``
-bytes instead of the bytes: suffixes that begin alike are still neighbours,
-and a common beginning is spread over no more than one row of a level however
-often it occurs. Matches are then extended over the texts to their exact ends.
+Only suffixes at the anchors of ``anchors`` are sampled. Every string of
+``width`` bytes that repeats has an anchor at the same offset in each place, so
+no repeat is lost, while the family holds about one entry for 60 bytes. Which
+bytes go is then decided by grouping hashes of runs, blocks and windows
+(``passages``).
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ BLOCK = 16
 
 
 class SuffixFamily:
-    """Levels of ordered suffix fingerprints, ``_key`` and how often it occurs."""
+    """Levels of suffix fingerprints, ``_key`` and how often it occurs."""
 
     def __init__(self, ws: Workspace):
         self.ws = ws
