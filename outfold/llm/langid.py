@@ -1,7 +1,8 @@
 """Language identification by prediction by partial matching (PPM).
 
-Each language has a byte context tree of depth ``ORDER``: how often each symbol
-followed each context of 0..3 symbols in its training texts. A symbol's
+Each language has a context tree of depth ``ORDER`` over classes of bytes: how
+often each symbol followed each context of 0..3 symbols in its training texts;
+contexts rarer than ``MIN_CONTEXT`` are left out. A symbol's
 probability comes from the longest context that knows it, reached by escapes
 (method C: a context of N observations and D different symbols escapes with
 probability D/(N+D)). The statistics are frozen after training, so the code
