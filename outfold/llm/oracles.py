@@ -80,4 +80,50 @@ SELECT doc_id, size, text_crc32, 'bytes' AS law, shard,
        row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard
 FROM s"""
 
-ORACLES = {"op1_suffix_dedup": OP1, "op5_byte_shards": OP5, "op7_phrase_dedup": OP7, "op8_minhash": OP8}
+def _h(text: str) -> str:
+    """A leaf's input: each field with its length, ``-`` for null."""
+    cols = ["CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", text]
+    return " || ".join(f"coalesce(CAST(octet_length(encode({c})) AS VARCHAR) || ':' || {c}, '-')" for c in cols)
+
+
+#: A manifest per language, then over the languages; level by level.
+OP12 = f"""
+WITH RECURSIVE t AS (SELECT list_transform(range(0, 256), lambda n: list_reduce(list_prepend(n, range(0, 8)),
+             lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS crc),
+d AS (SELECT doc_id, lang, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT,
+               list_transform(range(1, strlen(CAST(doc_id AS VARCHAR)) + 1),
+                              lambda i: CAST(ascii(CAST(doc_id AS VARCHAR)[i]) AS BIGINT))),
+               lambda a, b: xor(a >> 8, crc[(xor(a, b) & 255) + 1]))) % 3 = 0 AS tampered,
+             sha256({_h("text")}) AS leaf,
+             sha256({_h("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")}) AS low
+      FROM documents, t),
+g AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS r,
+             count(*) OVER (PARTITION BY lang) AS n FROM d),
+lv AS (SELECT lang, 0 AS l, r AS i, leaf AS h, n AS m FROM g
+       UNION ALL SELECT lang, l + 1, i // 8, sha256(string_agg(h, '' ORDER BY i)), (m + 7) // 8
+       FROM lv WHERE m > 1 GROUP BY lang, l, i // 8, m),
+sub AS (SELECT lang, l AS depth, h AS subroot,
+               row_number() OVER (ORDER BY encode(lang) NULLS FIRST) - 1 AS r, count(*) OVER () AS n
+        FROM lv WHERE m = 1),
+up AS (SELECT 0 AS l, r AS i, subroot AS h, n AS m FROM sub
+       UNION ALL SELECT l + 1, i // 8, sha256(string_agg(h, '' ORDER BY i)), (m + 7) // 8
+       FROM up WHERE m > 1 GROUP BY l, i // 8, m),
+pos AS (SELECT g.*, sub.depth, sub.subroot, sub.r AS s FROM g JOIN sub ON g.lang IS NOT DISTINCT FROM sub.lang),
+seg AS (SELECT doc_id, lv.l AS q, string_agg(h, '' ORDER BY i) FILTER (WHERE i < r // CAST(8 ** lv.l AS BIGINT)) AS a,
+               string_agg(h, '' ORDER BY i) FILTER (WHERE i > r // CAST(8 ** lv.l AS BIGINT)) AS b
+        FROM pos JOIN lv ON lv.lang IS NOT DISTINCT FROM pos.lang AND m > 1
+             AND i // 8 = r // CAST(8 ** (lv.l + 1) AS BIGINT) GROUP BY doc_id, lv.l
+        UNION ALL
+        SELECT doc_id, depth + up.l, string_agg(h, '' ORDER BY i) FILTER (WHERE i < s // CAST(8 ** up.l AS BIGINT)),
+               string_agg(h, '' ORDER BY i) FILTER (WHERE i > s // CAST(8 ** up.l AS BIGINT))
+        FROM pos JOIN up ON m > 1 AND i // 8 = s // CAST(8 ** (up.l + 1) AS BIGINT) GROUP BY doc_id, depth, up.l),
+walk AS (SELECT doc_id, 0 AS q, CASE WHEN tampered AND low IS NOT NULL THEN low ELSE leaf END AS h, '' AS p FROM pos
+         UNION ALL SELECT walk.doc_id, walk.q + 1, sha256(coalesce(a, '') || h || coalesce(b, '')),
+                          p || coalesce(a, '') || coalesce(b, '')
+         FROM walk JOIN seg ON walk.doc_id = seg.doc_id AND walk.q = seg.q),
+fin AS (SELECT doc_id, arg_max(h, q) AS folded_root, sha256(arg_max(p, q)) AS proof_sha256 FROM walk GROUP BY doc_id)
+SELECT pos.doc_id, pos.leaf, pos.subroot, up.h AS root, proof_sha256, folded_root, folded_root = up.h AS verified
+FROM pos JOIN fin ON pos.doc_id = fin.doc_id JOIN up ON up.m = 1"""
+
+ORACLES = {"op1_suffix_dedup": OP1, "op5_byte_shards": OP5, "op7_phrase_dedup": OP7, "op8_minhash": OP8,
+           "op12_merkle_manifest": OP12}
