@@ -46,22 +46,29 @@ FROM d LEFT JOIN agg ON d.doc_id = agg.doc_id"""
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
-#: Links at Jaccard 0.85 of three-word shingles, and what they connect.
-OP8 = rf"""
+
+def _linked(k: int, percent: int, out: str) -> str:
+    """Links of documents by their k-word shingles, and what they connect."""
+    gram = " || ' ' || ".join(f"ws[i + {j}]" if j else "ws[i]" for j in range(k))
+    return rf"""
 WITH RECURSIVE d AS (SELECT doc_id, {_WORDS.format(text=_LOWER)} AS ws FROM documents),
-s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
-             ELSE [ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] FOR i IN range(1, len(ws) - 1)] END) AS g
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < {k} THEN [array_to_string(ws, ' ')]
+             ELSE [{gram} FOR i IN range(1, len(ws) - {k - 2})] END) AS g
       FROM d),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c
       FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY x.doc_id, y.doc_id),
 e AS (SELECT p.a, p.b FROM p JOIN n na ON na.doc_id = p.a JOIN n nb ON nb.doc_id = p.b
-      WHERE 100 * p.c >= 85 * (na.n + nb.n - p.c)),
+      WHERE 100 * p.c >= {percent} * (na.n + nb.n - p.c)),
 r AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
 m AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a)
-SELECT m.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id, m.component_id = m.doc_id AS kept
+SELECT m.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id{out}
 FROM m LEFT JOIN n ON m.doc_id = n.doc_id"""
 
+
+OP8 = _linked(3, 85, ", m.component_id = m.doc_id AS kept")
+OP13 = _linked(4, 85, "")
+
 #: Contiguous shards in the order of the ids, each row where its middle byte falls.
 #: The checksum is CRC-32 byte by byte, its table made by the usual rule.
 OP5 = """
@@ -126,4 +133,4 @@ SELECT pos.doc_id, pos.leaf, pos.subroot, up.h AS root, proof_sha256, folded_roo
 FROM pos JOIN fin ON pos.doc_id = fin.doc_id JOIN up ON up.m = 1"""
 
 ORACLES = {"op1_suffix_dedup": OP1, "op5_byte_shards": OP5, "op7_phrase_dedup": OP7, "op8_minhash": OP8,
-           "op12_merkle_manifest": OP12}
+           "op12_merkle_manifest": OP12, "op13_ngram_join": OP13}
