@@ -132,5 +132,30 @@ fin AS (SELECT doc_id, arg_max(h, q) AS folded_root, sha256(arg_max(p, q)) AS pr
 SELECT pos.doc_id, pos.leaf, pos.subroot, up.h AS root, proof_sha256, folded_root, folded_root = up.h AS verified
 FROM pos JOIN fin ON pos.doc_id = fin.doc_id JOIN up ON up.m = 1"""
 
+#: Phrases of up to five words, spelled out; every cut of every candidate.
+OP11 = rf"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece
+           FROM documents),
+s AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM d),
+g AS (SELECT lang, unnest(flatten([[ws[i:i + k - 1] FOR i IN range(1, len(ws) - k + 2)] FOR k IN range(1, 6)])) AS p
+      FROM s),
+f AS (SELECT lang, p, count(*) AS c FROM g GROUP BY lang, p),
+n AS (SELECT lang, sum(c)::BIGINT AS n FROM f WHERE len(p) = 1 GROUP BY lang),
+c AS (SELECT lang, p, c AS a, unnest(range(1, len(p))) AS k FROM f WHERE c >= 100 AND len(p) > 1),
+x AS (SELECT c.*, fl.c AS l, fr.c AS r, n.n,
+             (1000::HUGEINT * c.a * n.n) // (fl.c::HUGEINT * fr.c) AS score
+      FROM c JOIN n ON n.lang = c.lang JOIN f fl ON fl.lang = c.lang AND fl.p = c.p[1:k]
+      JOIN f fr ON fr.lang = c.lang AND fr.p = c.p[k + 1:len(c.p)]),
+b AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+inner_ AS (SELECT lang, p[i:j] AS p, max(a) AS m
+           FROM (SELECT *, unnest(range(i + 1, len(p) + 1)) AS j
+                 FROM (SELECT lang, p, a, unnest(range(1, len(p))) AS i FROM b))
+           WHERE j - i + 1 < len(p) GROUP BY ALL),
+t AS (SELECT b.lang, array_to_string(b.p, ' ') AS phrase, a, l, r, n, score
+      FROM b LEFT JOIN inner_ o ON o.lang = b.lang AND o.p = b.p WHERE o.m IS NULL OR 100 * o.m < 100 * a),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM t)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM o WHERE rank <= 2000"""
+
 ORACLES = {"op1_suffix_dedup": OP1, "op5_byte_shards": OP5, "op7_phrase_dedup": OP7, "op8_minhash": OP8,
-           "op12_merkle_manifest": OP12, "op13_ngram_join": OP13}
+           "op11_collocations": OP11, "op12_merkle_manifest": OP12,
+           "op13_ngram_join": OP13}

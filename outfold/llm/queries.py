@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from outfold.llm import (decontaminate, langid, merkle, minhash, multi_index, ngram_join, packing,
-                         phrase_dedup, pii, sharding, suffix_dedup, token_counts)
+from outfold.llm import (collocations, decontaminate, langid, merkle, minhash, multi_index, ngram_join,
+                         packing, phrase_dedup, pii, sharding, suffix_dedup, token_counts)
 from outfold.llm.oracles import ORACLES  # noqa: F401  (the queries' SQL)
 from outfold.plans.registry import table
 
@@ -67,6 +67,10 @@ def op10_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multi_index.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.tamper_check(table(spark, sf_dir, "documents"))
 
@@ -79,4 +83,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_suffix_dedup, op2_decontaminate, op3_harmonic_packing, op4_pseudonyms, op5_byte_shards,
         op6_token_counts, op7_phrase_dedup, op8_minhash, op9_language_id, op10_multi_index,
-        op12_merkle_manifest, op13_ngram_join)}
+        op11_collocations, op12_merkle_manifest, op13_ngram_join)}
