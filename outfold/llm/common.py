@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from outfold.session import shared_dir
 
@@ -86,3 +87,36 @@ def texts(col: pa.Array) -> list[str]:
 def blobs(col: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each value, null as the empty string."""
     return [t or b"" for t in col.cast(pa.binary()).to_pylist()]
+
+
+#: Bits of a table that tells tasks which hashes to let through (8 MB).
+FILTER_BITS = 1 << 26
+_SHIFT = 64 - FILTER_BITS.bit_length() + 1
+
+
+def bit_table(df: DataFrame, column: str) -> np.ndarray:
+    """The 64-bit hashes in ``column`` as bits: bounded at any number of rows."""
+    h = F.col(column)
+    marked = df.select(
+        F.shiftrightunsigned(h, _SHIFT + 6).alias("_at"),
+        F.expr(f"shiftleft(1L, cast(shiftrightunsigned(`{column}`, {_SHIFT}) & 63 as int))").alias("_b")
+    ).groupBy("_at").agg(F.bit_or("_b").alias("_bits")).toArrow()
+    bits = np.zeros(FILTER_BITS // 64, dtype=np.uint64)
+    bits[marked.column("_at").to_numpy()] = marked.column("_bits").to_numpy().view(np.uint64)
+    return bits
+
+
+def in_table(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which (unsigned) hashes may be in the table: all that are, few others."""
+    place = hashes >> np.uint64(_SHIFT)
+    return (bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
+
+
+def bit_filter(df: DataFrame, column: str):
+    """For ``mapInArrow``: rows whose ``column`` may be among that of ``df``."""
+    bits = df.sparkSession.sparkContext.broadcast(bit_table(df, column))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(in_table(bits.value, b.column(column).to_numpy().view(np.uint64))))
+    return keep

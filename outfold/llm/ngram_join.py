@@ -2,10 +2,11 @@
 
 A link at ``percent`` needs sets whose sizes differ by no more than that ratio.
 Sizes are cut into bands so wide that linked sets lie in one band or in two
-neighbouring ones. It also needs a common shingle among the rarest of each set
-(as many as may be missing, plus one). A *tile* is one rare shingle and one band:
+neighbouring ones. It also needs a shared shingle among the first of each set in
+any order that is the same for all, as many as may be missing plus one; here
+shingles that many sets hold come last. A *tile* is one such shingle and one band:
 its members are the sets of the band and of the band below that hold the
-shingle among their rarest. All links lie inside tiles, so no pair is lost.
+shingle among their first. All links lie inside tiles, so no pair is lost.
 
 Inside a tile hashed bitmaps go first: every bit in which two bitmaps differ
 stands for a shingle that only one of the sets has, so the common shingles are
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from outfold.llm.common import Workspace, blobs, slices
+from outfold.llm.common import Workspace, bit_filter, blobs, slices
 from outfold.llm.components import components
 from outfold.llm.minhash import Shingler
 
@@ -38,6 +39,9 @@ from outfold.llm.minhash import Shingler
 BITS, MAX_BITS = 1024, 1 << 14
 #: Sets, and shingles in them, that one task compares with as many others.
 BLOCK, BLOCK_SHINGLES = 512, 1 << 19
+#: Shingles known as common, at most (16 MB with their counts), and how many sets
+#: of a batch must hold one for the batch to count it.
+COMMON, LOCAL = 1 << 20, 4
 
 
 def band_edges(percent: int) -> np.ndarray:
@@ -91,72 +95,51 @@ def jaccard_join(docs: DataFrame, words: int = 4, percent: int = 85, id_col: str
     spark = docs.sparkSession
     ws = Workspace(spark, "ngrams")
     edges = band_edges(percent)
-    text = F.col(text_col).cast("string")
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(text).alias("_x"),
-                       text.alias("_t"))
 
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingler(words)
-        for b in slices(batches, "_t", 4 << 20):
-            n, key, low = [], [], []
-            for t in blobs(b.column("_t")):
-                s = shingles(t)
-                n.append(len(s))
-                key.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                low.append(s[:prefix_size(len(s), percent)].view(np.int64) if len(s) else None)
-            yield pa.RecordBatch.from_arrays(
-                [b.column("_id"), b.column("_x"), pa.array(n, pa.int64()), pa.array(key, pa.binary()),
-                 pa.array(low, pa.list_(pa.int64()))], ["_id", "_x", "_n", "_key", "_low"])
-
-    signed = ws.save(rows.mapInArrow(
-        probe, "_id long, _x long, _n long, _key binary, _low array<bigint>"), "signed")
-    # One representative of each set, numbered in the written table.
-    reps = ws.save(signed.where("_key is not null").groupBy("_key").agg(
-        F.min("_id").alias("_least"), F.min(F.struct("_id", "_x")).alias("_at"),
-        F.first("_low").alias("_low")).withColumn("_v", F.monotonically_increasing_id()), "reps")
-
-    # Which sets can have a link at all? Those that share one of their lowest hashes.
-    cells = reps.select("_v", F.explode("_low").alias("_w"))
-    shared = ws.save(cells.groupBy("_w").agg(F.count("*").alias("_c")).where("_c > 1").select("_w"),
-                     "shared")
-    some = cells.hint("merge").join(shared, "_w", "left_semi").select("_v").distinct()
-    wanted = ws.save(reps.select("_v", "_at._id", "_at._x").join(some, "_v", "left_semi"), "wanted")
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(words)
         for b in slices(batches, "_t", 2 << 20):
             sets = [shingles(t) for t in blobs(b.column("_t"))]
             n = np.array([len(s) for s in sets])
-            flat = np.concatenate(sets)
-            bits = bitmap(flat, np.repeat(np.arange(len(sets)), n), len(sets), BITS)
             yield pa.RecordBatch.from_arrays(
-                [b.column("_v"), pa.array(n, pa.int64()),
+                [b.column("_id"), pa.array(n, pa.int64()),
+                 pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
+                 _lists(np.concatenate(sets), n)], ["_id", "_n", "_key", "_set"])
+
+    signed = ws.save(docs.select(F.col(id_col).cast("long").alias("_id"),
+                                 F.col(text_col).cast("string").alias("_t"))
+                     .mapInArrow(shingle, "_id long, _n long, _key binary, _set array<bigint>"), "signed")
+    common = spark.sparkContext.broadcast(_common(signed))
+
+    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            flat, ends = _flat(b.column("_set"))
+            n = np.diff(ends)
+            bits = bitmap(flat, np.repeat(np.arange(len(n)), n), len(n), BITS)
+            first = [_prefix(flat[ends[i]:ends[i + 1]], common.value, percent) for i in range(len(n))]
+            yield pa.RecordBatch.from_arrays(
+                [b.column("_key"), b.column("_id"), b.column("_n"),
                  pa.array(np.searchsorted(edges, n, side="right"), pa.int64()),
-                 pa.array(list(bits.view(np.int64)), pa.list_(pa.int64())),
-                 pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n]).astype(np.int32)),
-                                          pa.array(flat.view(np.int64)))],
-                ["_v", "_n", "_band", "_bits", "_set"])
-
-    of = wanted.withColumnsRenamed({"_id": "_wid", "_x": "_wx"})
-    sets = ws.save(
-        rows.hint("merge").join(of, F.col("_x").eqNullSafe(F.col("_wx")) &
-                                F.col("_id").eqNullSafe(F.col("_wid")))
-        .select("_wx", "_wid", "_v", "_t").dropDuplicates(["_wx", "_wid"]).select("_v", "_t")
-        .mapInArrow(whole, "_v long, _n long, _band long, _bits array<bigint>, _set array<bigint>"),
-        "sets")
-
-    # Tiles: the rarest shingles of each set, by how many of these sets hold them.
-    held = sets.select("_v", "_n", "_band", F.explode("_set").alias("_w"))
-    counts = ws.save(held.groupBy("_w").agg(F.count("*").alias("_f")).where("_f > 1"), "counts")
-    rare = held.hint("merge").join(counts, "_w").groupBy("_v", "_n", "_band").agg(
-        F.sort_array(F.collect_list(F.struct("_f", "_w"))).alias("_s"))
-    # Shingles of one set only come first; they are in no tile.
-    take = f"greatest(0L, {prefix_size_sql('_n', percent)} - (_n - size(_s)))"
-    rare = ws.save(rare.select("_v", "_n", "_band", F.explode(
-        F.expr(f"slice(_s, 1, cast({take} as int))")).alias("_s"))
-        .select("_v", "_n", "_s._w", "_band"), "rare")
-    placed = rare.withColumn("_home", F.lit(True)).unionAll(
-        rare.withColumn("_band", F.col("_band") + 1).withColumn("_home", F.lit(False)))
+                 _lists(bits.ravel(), np.full(len(n), BITS // 64)),
+                 _lists(np.concatenate(first), np.array([len(f) for f in first]))],
+                ["_key", "_id", "_n", "_band", "_bits", "_first"])
+
+    # One representative of each set, numbered in the written table.
+    reps = ws.save(
+        signed.where("_key is not null").select("_key", "_id", "_n", "_set").mapInArrow(
+            rarest, "_key binary, _id long, _n long, _band long, _bits array<bigint>, _first array<bigint>")
+        .groupBy("_key").agg(F.min("_id").alias("_least"), *[F.first(c).alias(c) for c in (
+            "_n", "_band", "_bits", "_first")])
+        .withColumn("_v", F.monotonically_increasing_id()), "reps")
+    common.unpersist()
+
+    # Tiles: (shingle, band) with the sets of that band and of the one below.
+    cells = reps.select("_v", "_n", "_band", F.explode("_first").alias("_w"))
+    shared = ws.save(cells.groupBy("_w").agg(F.count("*").alias("_c")).where("_c > 1").select("_w"),
+                     "shared")
+    cells = ws.save(cells.hint("merge").join(shared, "_w", "left_semi"), "cells")
+    placed = cells.withColumn("_home", F.lit(True)).unionAll(
+        cells.select("_w", "_v", "_n", F.col("_band") + 1, F.lit(False)))
     heads = ws.save(placed.groupBy("_w", "_band").agg(
         F.min(F.when(F.col("_home"), F.struct("_n", "_v"))).alias("_lead"),
         F.count("*").alias("_c")).where("_c > 1 and _lead is not null")
@@ -166,18 +149,19 @@ def jaccard_join(docs: DataFrame, words: int = 4, percent: int = 85, id_col: str
 
     # Every member with its tile's smallest set: bitmaps, then the sets themselves.
     pairs = tiles.where("_v <> _lead").select("_v", "_lead").distinct()
-    marks = sets.select("_v", "_n", "_bits")
-    lead = sets.select(F.col("_v").alias("_lead"), F.col("_n").alias("_m"),
-                       F.col("_bits").alias("_lbits"), F.col("_set").alias("_lset"))
-    near = ws.save(pairs.join(marks, "_v").join(lead.drop("_lset"), "_lead").where(
+    marks = reps.select("_v", "_n", "_bits")
+    lead = reps.select(F.col("_v").alias("_lead"), F.col("_n").alias("_m"), F.col("_bits").alias("_lbits"))
+    near = ws.save(pairs.join(marks, "_v").join(lead, "_lead").where(
         _reaches(_bound("_n", "_m", "_bits", "_lbits"), F.col("_n"), F.col("_m"), percent)
     ).select("_v", "_lead", "_n", "_m"), "near")
+    sets = _sets(signed, reps, near.select("_v").unionAll(near.select("_lead")), ws)
+    lead = sets.select(F.col("_v").alias("_lead"), F.col("_set").alias("_lset"))
     links = ws.save(
-        near.join(sets.select("_v", "_set"), "_v").join(lead.select("_lead", "_lset"), "_lead")
+        near.join(sets, "_v").join(lead, "_lead")
         .where(_reaches(F.size(F.array_intersect("_set", "_lset")), F.col("_n"), F.col("_m"), percent))
         .select(F.col("_v").alias("a"), F.col("_lead").alias("b")), "links")
 
-    more = _open_units(ws, tiles, sets, links, percent)
+    more = _open_units(ws, tiles, signed, reps, links, percent)
     final = components(links if more is None else links.unionAll(more), ws)
     of_set = ws.save(reps.select("_key", "_v", "_least").join(
         final.withColumnRenamed("id", "_v"), "_v", "left").select(
@@ -189,16 +173,95 @@ def jaccard_join(docs: DataFrame, words: int = 4, percent: int = 85, id_col: str
         F.when(F.col("_key").isNull(), F.col("_id")).otherwise(F.col("_component")).alias("component_id"))
 
 
-def prefix_size_sql(n: str, percent: int) -> str:
-    return f"({n} - ({n} * {int(percent)}L + 99) div 100 + 1)"
+def _lists(flat: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+    ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))
 
 
-def _open_units(ws: Workspace, tiles: DataFrame, sets: DataFrame, links: DataFrame, percent: int
-                ) -> DataFrame | None:
+def _flat(col: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a list column and where each list ends."""
+    ends = col.offsets.to_numpy().astype(np.int64)
+    return col.values.to_numpy()[ends[0]:ends[-1]].view(np.uint64), ends - ends[0]
+
+
+def _common(signed: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that many sets hold, with counts; sorted, at most ``COMMON``.
+
+    A task counts a shingle if several of its sets hold it, so the counts are a
+    little low. They only put the shingles in order; links do not depend on it."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        seen: set[bytes] = set()
+
+        def flush() -> pa.RecordBatch:
+            w, c = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            seen.clear()
+            return pa.RecordBatch.from_arrays(
+                [pa.array(w[c >= LOCAL].view(np.int64)), pa.array(c[c >= LOCAL])], ["_w", "_c"])
+
+        size = 0
+        for b in batches:
+            flat, ends = _flat(b.column("_set"))
+            for i, key in enumerate(b.column("_key").to_pylist()):
+                if key not in seen:  # copies are one set
+                    seen.add(key)
+                    held.append(flat[ends[i]:ends[i + 1]].copy())
+                    size += len(held[-1])
+            if size > 1 << 21:
+                yield flush()
+                size = 0
+        if held:
+            yield flush()
+
+    counts = signed.where("_key is not null").select("_key", "_set").mapInArrow(
+        count, "_w long, _c long").groupBy("_w").agg(F.sum("_c").alias("_c"))
+    # The least power of two that leaves few enough.
+    steps = counts.groupBy(F.floor(F.log2("_c")).cast("int").alias("_p")).agg(F.count("*").alias("_k"))
+    least, total = 64, 0
+    for p, k in sorted(((r["_p"], r["_k"]) for r in steps.collect()), reverse=True):
+        total += k
+        if total > COMMON:
+            least = max(least, 2 << p)
+            break
+    t = counts.where(F.col("_c") >= least).toArrow()
+    w, c = t.column("_w").to_numpy().view(np.uint64), t.column("_c").to_numpy()
+    order = np.argsort(w)
+    return w[order], c[order]
+
+
+def _prefix(shingles: np.ndarray, common: tuple[np.ndarray, np.ndarray], percent: int) -> np.ndarray:
+    """The first shingles of a set: uncommon ones by hash, then common ones by count."""
+    n = prefix_size(len(shingles), percent)
+    w, c = common
+    if len(w):
+        at = np.minimum(np.searchsorted(w, shingles), len(w) - 1)
+        hot = w[at] == shingles
+        few = shingles[~hot]
+        if len(few) < n:
+            more = shingles[hot]
+            few = np.concatenate([few, more[np.lexsort((more, c[at[hot]]))]])
+        shingles = few
+    return shingles[:n]
+
+
+def _sets(signed: DataFrame, reps: DataFrame, wanted: DataFrame, ws: Workspace) -> DataFrame:
+    """(_v, _set) of the sets asked for (first column of ``wanted``). A table of
+    bits, bounded in size, keeps most others out of the shuffle."""
+    wanted = wanted.toDF("_v").distinct()
+    keys = ws.save(reps.select("_v", "_key").join(wanted, "_v", "left_semi"), "wanted")
+    may = bit_filter(keys.select(F.xxhash64("_key").alias("_h")), "_h")
+    rows = signed.where("_key is not null").select("_key", "_set", F.xxhash64("_key").alias("_h"))
+    rows = rows.mapInArrow(may, rows.schema).drop("_h")
+    return ws.save(rows.hint("merge").join(keys, "_key").dropDuplicates(["_key"]).select("_v", "_set"), "sets")
+
+
+def _open_units(ws: Workspace, tiles: DataFrame, signed: DataFrame, reps: DataFrame, links: DataFrame,
+                percent: int) -> DataFrame | None:
     """Links found by comparing the members of tiles that are not one component
     yet; None if there is no such tile."""
     part = components(links, ws).select(F.col("id").alias("_v"), F.col("component").alias("_part"))
-    parts = ws.save(sets.select("_v", "_n").join(part, "_v", "left").select(
+    parts = ws.save(reps.select("_v", "_n").join(part, "_v", "left").select(
         "_v", "_n", F.coalesce("_part", "_v").alias("_part")), "parts")
     # The smallest member has met all others, so only these others count. Tiles
     # with the same members (two sums of hashes) are one.
@@ -228,6 +291,7 @@ def _open_units(ws: Workspace, tiles: DataFrame, sets: DataFrame, links: DataFra
         members.join(kind.where("not _whole"), "_v").select(
             "_tile", F.lit(None).cast("long").alias("_group"), "_v"))
     dealt = ws.save(dealt.join(parts, "_v"), "dealt")
+    sets = _sets(signed, reps, dealt.select("_v"), ws)
     blocks = ws.save(dealt.groupBy("_tile", "_group").agg(
         F.count("*").alias("_c"), F.sum("_n").alias("_all")).select(
         "_tile", "_group", F.expr(f"cast(greatest((_c + {BLOCK - 1}) div {BLOCK}, "
@@ -236,7 +300,7 @@ def _open_units(ws: Workspace, tiles: DataFrame, sets: DataFrame, links: DataFra
     # Block pairs (x <= y): a member of block k goes to all pairs that hold k.
     b = blocks.withColumnsRenamed({"_tile": "_bt", "_group": "_bg"})
     dealt = dealt.join(b, F.col("_tile").eqNullSafe(F.col("_bt")) & F.col("_group").eqNullSafe(F.col("_bg"))
-                       ).join(sets.select("_v", "_set"), "_v").withColumn(
+                       ).join(sets, "_v").withColumn(
         "_k", F.pmod(F.xxhash64("_v", F.lit(5)), F.col("_blocks")).cast("int")).withColumn(
         "_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).select(
         F.coalesce("_tile._w", "_group").alias("_u"), F.coalesce("_tile._band", F.lit(-1)).alias("_band"),
@@ -252,11 +316,9 @@ def _open_units(ws: Workspace, tiles: DataFrame, sets: DataFrame, links: DataFra
 def joining_edges(t: pa.Table, percent: int) -> pa.Table:
     """Links of one block pair that join different components, as a forest."""
     x, y = t.column("_x")[0].as_py(), t.column("_y")[0].as_py()
-    col = t.column("_set").combine_chunks()
-    ends = col.offsets.to_numpy().astype(np.int64)
+    flat, ends = _flat(t.column("_set").combine_chunks())
     n = np.diff(ends)
     order = np.argsort(n, kind="stable")  # by size
-    flat = col.values.to_numpy().view(np.uint64)
     sets = [flat[ends[i]:ends[i + 1]] for i in order]
     n = n[order]
     ids = t.column("_v").to_numpy()[order]
