@@ -9,7 +9,8 @@ quicksort goes through them word by word. Equal partitions are phrases and their
 sizes the counts; a partition, equal or not, with too few suffixes for one
 frequent phrase is abandoned.
 
-Equal suffixes of a batch of texts travel as one row with its number. A leading
+Equal suffixes of a batch of texts travel once, with their number; those of one
+route are one row. A leading
 pair that holds more than its share of all suffixes is routed by all five words
 instead; its shorter phrases are then counted in parts, which are added up.
 """
@@ -26,16 +27,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from outfold.llm.anchors import mix
-from outfold.llm.common import Workspace, blobs, byte_lengths, slices
+from outfold.llm.common import Workspace, bit_table, blobs, in_table, slices
 
 DEPTH = 5
-#: Bits of the table of frequent pairs that goes to every task (8 MB). A pair that
-#: hits another one's bit only travels in vain.
-PAIR_BITS = 1 << 26
 #: A pair with more than one part in this many of all suffixes is routed by five words.
 SHARES = 1000
-#: Suffixes in one sorting task, about.
-TASK_ROWS = 1 << 20
+#: Suffixes in one sorting task, about, and in what a task sends off at once.
+TASK_ROWS = 1 << 19
 
 _ENDS = re.compile(rb"[.,;:!?\x0a-\x0d]+")
 #: Stands between pieces; no word of a text without A-Z is equal to it.
@@ -83,7 +81,7 @@ def _pairs(codes: np.ndarray, lang: int) -> np.ndarray:
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(_lang, _g, _code, _word, _c): words, and pairs with a null word."""
     coder = Coder()
-    for batch in slices(batches, "_t", 4 << 20):
+    for batch in slices(batches, "_t", 2 << 20):
         for g, lang, words in _by_lang(batch):
             codes = coder(words)
             one, at, c1 = np.unique(codes, return_index=True, return_counts=True)
@@ -133,20 +131,17 @@ def multikey(keys: np.ndarray, weight: np.ndarray, least: int) -> Iterator[tuple
             stack.append((equal, depth + 1))
 
 
-def _phrases_of(table: pa.Table, least: int) -> pa.RecordBatch:
-    """Frequent phrases of complete groups, partial counts of the others."""
-    names = ["_g", *[f"_w{i}" for i in range(DEPTH)]]
-    keys = np.stack([table.column(c).to_numpy().view(np.uint64) for c in names], axis=1)
-    weight = table.column("_c").to_numpy()
-    parted = table.column("_hot").to_numpy(zero_copy_only=False).astype(bool)
+def _phrases_of(whole: np.ndarray, parted: np.ndarray, least: int) -> pa.RecordBatch:
+    """Frequent phrases of complete groups, partial counts of the others. Rows of
+    codes (language, words) and a number."""
     out, total = [], []
-    k, w = keys[~parted], weight[~parted]
+    k, w = whole[:, :-1], whole[:, -1].view(np.int64)
     for depth, row, n in multikey(k, w, least):
         if depth > 2:  # language and two words at least
             out.append(np.r_[k[row, :depth], np.zeros(DEPTH + 1 - depth, np.uint64)])
             total.append(n)
     found, counts = [np.array(out, dtype=np.uint64).reshape(-1, DEPTH + 1)], [np.array(total, np.int64)]
-    k, w = keys[parted], weight[parted]
+    k, w = parted[:, :-1], parted[:, -1].view(np.int64)
     for depth in range(3, DEPTH + 2):
         some = k[:, depth - 1] != 0
         head = k[some].copy()
@@ -157,7 +152,7 @@ def _phrases_of(table: pa.Table, least: int) -> pa.RecordBatch:
     rows = np.concatenate(found).view(np.int64)
     return pa.RecordBatch.from_arrays(
         [*[pa.array(np.ascontiguousarray(rows[:, i])) for i in range(DEPTH + 1)],
-         pa.array(np.concatenate(counts))], [*names, "_c"])
+         pa.array(np.concatenate(counts))], ["_g", *[f"_w{i}" for i in range(DEPTH)], "_c"])
 
 
 def collocations(docs: DataFrame, least: int = 100, top: int = 2000, cover: int = 100,
@@ -192,59 +187,71 @@ def collocations(docs: DataFrame, least: int = 100, top: int = 2000, cover: int
     pairs = counted.where("_word is null")
     size = vocabulary.groupBy("_lang", "_g").agg(F.sum("_c").alias("_n"))
 
-    # Frequent pairs as bits, a bounded table; pairs with a large share by name.
+    # Frequent pairs as bits, a bounded table (others that hit a bit travel in
+    # vain); pairs with a large share by name.
     suffixes = pairs.agg(F.sum("_c")).first()[0] or 0
-    word = F.shiftrightunsigned("_code", 64 - PAIR_BITS.bit_length() + 1 + 6)
-    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(_code, {64 - PAIR_BITS.bit_length() + 1}) & 63 as int))")
-    bits = np.zeros(PAIR_BITS // 64, dtype=np.uint64)
-    marked = pairs.groupBy(word.alias("_at")).agg(F.bit_or(bit).alias("_bits")).toArrow()
-    bits[marked.column("_at").to_numpy()] = marked.column("_bits").to_numpy().view(np.uint64)
     large = [r[0] for r in pairs.where(F.col("_c") > max(least, suffixes // SHARES)).select("_code").collect()]
-    shared = spark.sparkContext.broadcast((bits, np.sort(np.array(large, dtype=np.int64).view(np.uint64))))
+    shared = spark.sparkContext.broadcast(
+        (bit_table(pairs, "_code"), np.sort(np.array(large, dtype=np.int64).view(np.uint64))))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-suffixes // TASK_ROWS))
+    buckets = 8 * tasks  # of about equal size; hashing them over the tasks evens out
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, large = shared.value
-        coder, drop = Coder(), np.uint64(64 - PAIR_BITS.bit_length() + 1)
-        for batch in slices(batches, "_t", 4 << 20):
+        coder = Coder()
+        held: list[np.ndarray] = []
+
+        def packed() -> pa.RecordBatch:
+            keys, c = runs(np.concatenate([h[:, :-1] for h in held]),
+                           np.concatenate([h[:, -1] for h in held]).view(np.int64))
+            held.clear()
+            route = mix(mix(keys[:, 1] * _K + keys[:, 0]) * _K + keys[:, 2])
+            hot = np.isin(route, large)
+            for j in range(3, DEPTH + 1):
+                route[hot] = mix(route[hot] * _K + keys[hot, j])
+            to = (route % np.uint64(buckets)).astype(np.int64) * 2 + hot
+            order = np.argsort(to, kind="stable")
+            to, rows = to[order], np.column_stack([keys, c.view(np.uint64)])[order]
+            at, first = np.unique(to, return_index=True)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(at // 2), pa.array(at % 2 == 1),
+                 pa.array([r.tobytes() for r in np.split(rows, first[1:])], pa.binary())],
+                ["_to", "_hot", "_rows"])
+
+        size = 0
+        for batch in slices(batches, "_t", 2 << 20):
             for g, _, words in _by_lang(batch):
                 codes = coder(words)
                 pair = _pairs(codes, g)
-                place = pair >> drop
-                go = (bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
-                go &= pair != 0
+                go = in_table(bits, pair) & (pair != 0)
                 at = np.flatnonzero(go)
                 if not len(at):
                     continue
                 go = np.r_[go, np.zeros(DEPTH, bool)]
                 codes = np.r_[codes, np.zeros(DEPTH, np.uint64)]
-                cols, on = [codes[at], codes[at + 1]], np.ones(len(at), bool)
+                cols, on = [np.full(len(at), g, np.uint64), codes[at], codes[at + 1]], np.ones(len(at), bool)
                 for j in range(2, DEPTH):
                     on = on & go[at + j - 1]
                     cols.append(np.where(on, codes[at + j], np.uint64(0)))
-                keys, c = runs(np.stack(cols, axis=1), np.ones(len(at), np.int64))
-                lead = mix(mix(keys[:, 0] * _K + np.uint64(g)) * _K + keys[:, 1])
-                hot = np.isin(lead, large)
-                route = lead.copy()
-                for j in range(2, DEPTH):
-                    route[hot] = mix(route[hot] * _K + keys[hot, j])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(route.view(np.int64)), pa.array(hot),
-                     pa.array(np.full(len(c), g, np.uint64).view(np.int64)),
-                     *[pa.array(np.ascontiguousarray(keys[:, j]).view(np.int64)) for j in range(DEPTH)],
-                     pa.array(c)],
-                    ["_route", "_hot", "_g", *[f"_w{j}" for j in range(DEPTH)], "_c"])
+                held.append(np.column_stack([*cols, np.ones(len(at), np.uint64)]))
+                size += len(at)
+                if size > TASK_ROWS:
+                    yield packed()
+                    size = 0
+        if held:
+            yield packed()
 
     columns = ", ".join(f"_w{j} long" for j in range(DEPTH))
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = list(batches)
-        if rows:
-            yield _phrases_of(pa.Table.from_batches(rows), least)
+        rows: list[list[np.ndarray]] = [[np.empty((0, DEPTH + 2), np.uint64)] for _ in range(2)]
+        for b in batches:
+            for hot, blob in zip(b.column("_hot").to_pylist(), b.column("_rows").to_pylist()):
+                rows[hot].append(np.frombuffer(blob, np.uint64).reshape(-1, DEPTH + 2))
+        yield _phrases_of(np.concatenate(rows[0]), np.concatenate(rows[1]), least)
 
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-suffixes // TASK_ROWS))
     keys = ["_g", *[f"_w{j}" for j in range(DEPTH)]]
-    phrases = (texts.mapInArrow(emit, f"_route long, _hot boolean, _g long, {columns}, _c long")
-               .repartition(tasks, "_route").drop("_route")
+    phrases = (texts.mapInArrow(emit, "_to long, _hot boolean, _rows binary").repartition(tasks, "_to")
                .mapInArrow(sort, f"_g long, {columns}, _c long")
                .groupBy(*keys).agg(F.sum("_c").alias("_a")).where(f"_a >= {int(least)}")
                .select("_g", F.filter(F.array(*keys[1:]), lambda w: w != 0).alias("_p"), "_a"))
