@@ -33,7 +33,7 @@ DEPTH = 5
 #: A pair with more than one part in this many of all suffixes is routed by five words.
 SHARES = 1000
 #: Suffixes in one sorting task, about, and in what a task sends off at once.
-TASK_ROWS = 1 << 19
+TASK_ROWS = 1 << 18
 
 _ENDS = re.compile(rb"[.,;:!?\x0a-\x0d]+")
 #: Stands between pieces; no word of a text without A-Z is equal to it.
@@ -81,7 +81,7 @@ def _pairs(codes: np.ndarray, lang: int) -> np.ndarray:
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(_lang, _g, _code, _word, _c): words, and pairs with a null word."""
     coder = Coder()
-    for batch in slices(batches, "_t", 2 << 20):
+    for batch in slices(batches, "_t", 1 << 20):
         for g, lang, words in _by_lang(batch):
             codes = coder(words)
             one, at, c1 = np.unique(codes, return_index=True, return_counts=True)
@@ -219,7 +219,7 @@ def collocations(docs: DataFrame, least: int = 100, top: int = 2000, cover: int
                 ["_to", "_hot", "_rows"])
 
         size = 0
-        for batch in slices(batches, "_t", 2 << 20):
+        for batch in slices(batches, "_t", 1 << 20):
             for g, _, words in _by_lang(batch):
                 codes = coder(words)
                 pair = _pairs(codes, g)

@@ -15,8 +15,8 @@ are decided by intersecting the sorted sets.
 
 Texts with equal sets are one member. Each member is compared with the smallest
 one of its tiles first; tiles whose members are then one component need nothing
-more. The others are compared in blocks, each pair of sets that are not yet
-connected. Where the tiles of a group overlap so much that the group as a whole
+more. The others are compared in blocks, by bitmaps alone first; only sets that may
+still be linked to one of another component travel. Where the tiles of a group overlap so much that the group as a whole
 has fewer pairs, the group is compared instead.
 """
 
@@ -34,9 +34,8 @@ from outfold.llm.common import Workspace, bit_filter, blobs, slices
 from outfold.llm.components import components
 from outfold.llm.minhash import Shingler
 
-#: Bits of the bitmaps that go with each set; those made inside a block are as
-#: wide as its sets ask for, up to ``MAX_BITS``.
-BITS, MAX_BITS = 1024, 1 << 14
+#: Bits of a bitmap, by the size band: four to eight for each shingle, within these.
+LEAST_BITS, MOST_BITS = 256, 1 << 16
 #: Sets, and shingles in them, that one task compares with as many others.
 BLOCK, BLOCK_SHINGLES = 512, 1 << 19
 #: Shingles known as common, at most (16 MB with their counts), and how many sets
@@ -57,11 +56,16 @@ def prefix_size(n, percent: int):
     return n - (n * percent + 99) // 100 + 1
 
 
-def bitmap(flat: np.ndarray, owner: np.ndarray, sets: int, bits: int) -> np.ndarray:
-    """``sets`` rows of ``bits`` bits; each shingle (a hash) sets one of its owner's row."""
-    out = np.zeros((sets, bits), dtype=bool)
-    out[owner, (flat >> np.uint64(64 - bits.bit_length() + 1)).astype(np.int64)] = True
-    return np.packbits(out, axis=1).view(np.uint64)
+def width_of(size: int) -> int:
+    """Bits for sets of up to ``size`` shingles."""
+    return min(MOST_BITS, max(LEAST_BITS, 1 << (4 * int(size) - 1).bit_length()))
+
+
+def bitmap(shingles: np.ndarray, bits: int) -> np.ndarray:
+    """Each shingle (a hash) sets one bit; as 64-bit words."""
+    out = np.zeros(bits, dtype=bool)
+    out[(shingles >> np.uint64(64 - bits.bit_length() + 1)).astype(np.int64)] = True
+    return np.packbits(out).view(np.uint64)
 
 
 def _bound(a: str, b: str, x: str, y: str) -> Column:
@@ -95,6 +99,8 @@ def jaccard_join(docs: DataFrame, words: int = 4, percent: int = 85, id_col: str
     spark = docs.sparkSession
     ws = Workspace(spark, "ngrams")
     edges = band_edges(percent)
+    # The width of band i, whose sets are below its upper edge; and of one more.
+    widths = [LEAST_BITS, *[width_of(e) for e in edges[1:]], MOST_BITS, MOST_BITS]
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(words)
@@ -114,22 +120,26 @@ def jaccard_join(docs: DataFrame, words: int = 4, percent: int = 85, id_col: str
     def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             flat, ends = _flat(b.column("_set"))
-            n = np.diff(ends)
-            bits = bitmap(flat, np.repeat(np.arange(len(n)), n), len(n), BITS)
-            first = [_prefix(flat[ends[i]:ends[i + 1]], common.value, percent) for i in range(len(n))]
+            sets = [flat[ends[i]:ends[i + 1]] for i in range(len(ends) - 1)]
+            band = np.searchsorted(edges, np.diff(ends), side="right")
+            own = [bitmap(x, widths[k]) for x, k in zip(sets, band)]
+            up = [bitmap(x, widths[k + 1]) if widths[k + 1] > widths[k] else None
+                  for x, k in zip(sets, band)]
+            first = [_prefix(x, common.value, percent) for x in sets]
             yield pa.RecordBatch.from_arrays(
-                [b.column("_key"), b.column("_id"), b.column("_n"),
-                 pa.array(np.searchsorted(edges, n, side="right"), pa.int64()),
-                 _lists(bits.ravel(), np.full(len(n), BITS // 64)),
-                 _lists(np.concatenate(first), np.array([len(f) for f in first]))],
-                ["_key", "_id", "_n", "_band", "_bits", "_first"])
+                [b.column("_key"), b.column("_id"), b.column("_n"), pa.array(band, pa.int64()),
+                 _lists(np.concatenate(own), np.array([len(x) for x in own])),
+                 pa.array([None if x is None else x.view(np.int64) for x in up], pa.list_(pa.int64())),
+                 _lists(np.concatenate(first), np.array([len(x) for x in first]))],
+                ["_key", "_id", "_n", "_band", "_bits", "_up", "_first"])
 
     # One representative of each set, numbered in the written table.
     reps = ws.save(
         signed.where("_key is not null").select("_key", "_id", "_n", "_set").mapInArrow(
-            rarest, "_key binary, _id long, _n long, _band long, _bits array<bigint>, _first array<bigint>")
+            rarest, "_key binary, _id long, _n long, _band long, _bits array<bigint>, _up array<bigint>, "
+            "_first array<bigint>")
         .groupBy("_key").agg(F.min("_id").alias("_least"), *[F.first(c).alias(c) for c in (
-            "_n", "_band", "_bits", "_first")])
+            "_n", "_band", "_bits", "_up", "_first")])
         .withColumn("_v", F.monotonically_increasing_id()), "reps")
     common.unpersist()
 
@@ -144,16 +154,18 @@ def jaccard_join(docs: DataFrame, words: int = 4, percent: int = 85, id_col: str
         F.min(F.when(F.col("_home"), F.struct("_n", "_v"))).alias("_lead"),
         F.count("*").alias("_c")).where("_c > 1 and _lead is not null")
         .select("_w", "_band", F.col("_lead._v").alias("_lead")), "heads")
-    tiles = ws.save(placed.hint("merge").join(heads, ["_w", "_band"]).select("_w", "_band", "_v", "_lead"),
-                    "tiles")
+    tiles = ws.save(placed.hint("merge").join(heads, ["_w", "_band"])
+                    .select("_w", "_band", "_v", "_home", "_lead"), "tiles")
 
     # Every member with its tile's smallest set: bitmaps, then the sets themselves.
     pairs = tiles.where("_v <> _lead").select("_v", "_lead").distinct()
-    marks = reps.select("_v", "_n", "_bits")
+    marks = reps.select("_v", "_n", "_bits", "_up")
     lead = reps.select(F.col("_v").alias("_lead"), F.col("_n").alias("_m"), F.col("_bits").alias("_lbits"))
-    near = ws.save(pairs.join(marks, "_v").join(lead, "_lead").where(
-        _reaches(_bound("_n", "_m", "_bits", "_lbits"), F.col("_n"), F.col("_m"), percent)
-    ).select("_v", "_lead", "_n", "_m"), "near")
+    near = ws.save(
+        pairs.join(marks, "_v").join(lead, "_lead")
+        .withColumn("_bits", F.when(F.size("_bits") == F.size("_lbits"), F.col("_bits")).otherwise(F.col("_up")))
+        .where(_reaches(_bound("_n", "_m", "_bits", "_lbits"), F.col("_n"), F.col("_m"), percent))
+        .select("_v", "_lead", "_n", "_m"), "near")
     sets = _sets(signed, reps, near.select("_v").unionAll(near.select("_lead")), ws)
     lead = sets.select(F.col("_v").alias("_lead"), F.col("_set").alias("_lset"))
     links = ws.save(
@@ -274,13 +286,29 @@ def _open_units(ws: Workspace, tiles: DataFrame, signed: DataFrame, reps: DataFr
                     .select("_u._w", "_u._band"), "open")
     if units.isEmpty():
         return None
-    members = ws.save(tiles.join(units, ["_w", "_band"]).select(
-        F.struct("_w", "_band").alias("_tile"), "_v", "_lead"), "members")
-    group = ws.save(components(members.select(F.col("_v").alias("a"), F.col("_lead").alias("b")), ws)
-                    .select(F.col("id").alias("_v"), F.col("component").alias("_group")), "groups")
+    # Bitmaps first: only members that may be linked to one of another component stay.
+    members = tiles.join(units, ["_w", "_band"])
+    deal = members.groupBy("_w", "_band").agg(F.count("*").alias("_c")).select(
+        "_w", "_band", F.expr(f"cast((_c + {BLOCK - 1}) div {BLOCK} as int)").alias("_blocks"))
+    dealt = _block_pairs(members.join(ws.save(deal, "deal"), ["_w", "_band"]).join(parts, "_v").join(
+        reps.select("_v", "_bits", "_up"), "_v").withColumn("_bits", F.when(
+            F.col("_home"), F.col("_bits")).otherwise(F.coalesce("_up", "_bits"))),
+        "_w", "_band", "_n", "_part", "_bits")
+
+    def bound(table: pa.Table) -> pa.Table:
+        return sift(table.combine_chunks(), percent)
+
+    members = ws.save(dealt.groupBy("_w", "_band", "_x", "_y").applyInArrow(
+        bound, "_w long, _band long, _v long").distinct().select(F.struct("_w", "_band").alias("_tile"), "_v"),
+        "members")
+    if members.isEmpty():
+        return None
+    lead = ws.save(members.groupBy("_tile").agg(F.min("_v").alias("_lead"), F.count("*").alias("_c")), "leads")
+    group = ws.save(components(members.join(lead, "_tile").select(
+        F.col("_v").alias("a"), F.col("_lead").alias("b")), ws)
+        .select(F.col("id").alias("_v"), F.col("component").alias("_group")), "groups")
     # A group goes as a whole where that means fewer pairs than its tiles have.
-    of_tile = members.groupBy("_tile", "_lead").agg(F.count("*").alias("_c")).join(
-        group.withColumnRenamed("_v", "_lead"), "_lead").groupBy("_group").agg(
+    of_tile = lead.join(group.withColumnRenamed("_v", "_lead"), "_lead").groupBy("_group").agg(
         F.sum(F.col("_c").cast("double") * F.col("_c")).alias("_tiles"))
     size = group.groupBy("_group").agg(F.count("*").alias("_g"))
     whole = ws.save(of_tile.join(size, "_group").select(
@@ -297,15 +325,11 @@ def _open_units(ws: Workspace, tiles: DataFrame, signed: DataFrame, reps: DataFr
         "_tile", "_group", F.expr(f"cast(greatest((_c + {BLOCK - 1}) div {BLOCK}, "
                                   f"(_all + {BLOCK_SHINGLES - 1}) div {BLOCK_SHINGLES}) as int)")
         .alias("_blocks")), "blocks")
-    # Block pairs (x <= y): a member of block k goes to all pairs that hold k.
     b = blocks.withColumnsRenamed({"_tile": "_bt", "_group": "_bg"})
-    dealt = dealt.join(b, F.col("_tile").eqNullSafe(F.col("_bt")) & F.col("_group").eqNullSafe(F.col("_bg"))
-                       ).join(sets, "_v").withColumn(
-        "_k", F.pmod(F.xxhash64("_v", F.lit(5)), F.col("_blocks")).cast("int")).withColumn(
-        "_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).select(
-        F.coalesce("_tile._w", "_group").alias("_u"), F.coalesce("_tile._band", F.lit(-1)).alias("_band"),
-        F.least("_k", "_other").alias("_x"), F.greatest("_k", "_other").alias("_y"),
-        "_k", "_v", "_part", "_set")
+    dealt = _block_pairs(
+        dealt.join(b, F.col("_tile").eqNullSafe(F.col("_bt")) & F.col("_group").eqNullSafe(F.col("_bg")))
+        .join(sets, "_v").withColumn("_u", F.coalesce("_tile._w", "_group"))
+        .withColumn("_band", F.coalesce("_tile._band", F.lit(-1))), "_u", "_band", "_part", "_set")
 
     def compare(table: pa.Table) -> pa.Table:
         return joining_edges(table.combine_chunks(), percent)
@@ -313,24 +337,18 @@ def _open_units(ws: Workspace, tiles: DataFrame, signed: DataFrame, reps: DataFr
     return ws.save(dealt.groupBy("_u", "_band", "_x", "_y").applyInArrow(compare, "a long, b long"), "more")
 
 
-def joining_edges(t: pa.Table, percent: int) -> pa.Table:
-    """Links of one block pair that join different components, as a forest."""
-    x, y = t.column("_x")[0].as_py(), t.column("_y")[0].as_py()
-    flat, ends = _flat(t.column("_set").combine_chunks())
-    n = np.diff(ends)
-    order = np.argsort(n, kind="stable")  # by size
-    sets = [flat[ends[i]:ends[i + 1]] for i in order]
-    n = n[order]
-    ids = t.column("_v").to_numpy()[order]
-    label = t.column("_part").to_numpy()[order].copy()
-    block = t.column("_k").to_numpy()[order]
-    bits = 256
-    while bits < 4 * n[-1] and bits < MAX_BITS:
-        bits *= 2
-    marks = bitmap(np.concatenate(sets), np.repeat(np.arange(len(n)), n), len(n), bits)
-    # Linked sets are at most this large.
-    upto = np.searchsorted(n, n * 100 // percent, side="right")
-    a, b = [], []
+def _block_pairs(members: DataFrame, *columns: str) -> DataFrame:
+    """Block pairs (x <= y): a member of block k goes to all pairs that hold k."""
+    return members.withColumn("_k", F.pmod(F.xxhash64("_v", F.lit(5)), F.col("_blocks")).cast("int")).withColumn(
+        "_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).select(
+        *columns, F.least("_k", "_other").alias("_x"), F.greatest("_k", "_other").alias("_y"), "_k", "_v")
+
+
+def _candidates(n: np.ndarray, marks: np.ndarray, block: np.ndarray | None, percent: int, label: np.ndarray
+                ) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, all j > i that the bitmaps let pass and whose label differs), sets in
+    the order of their sizes. ``block``: only pairs of different blocks."""
+    upto = np.searchsorted(n, n * 100 // percent, side="right")  # linked sets are no larger
     for i in range(len(n)):
         lo, hi = i + 1, upto[i]
         if lo >= hi:
@@ -338,9 +356,41 @@ def joining_edges(t: pa.Table, percent: int) -> pa.Table:
         differ = np.bitwise_count(marks[lo:hi] ^ marks[i]).sum(axis=1, dtype=np.int64)
         m = n[lo:hi]
         may = _reaches((n[i] + m - differ) // 2, n[i], m, percent) & (label[lo:hi] != label[i])
-        if x != y:
+        if block is not None:
             may &= block[lo:hi] != block[i]
-        for j in lo + np.flatnonzero(may):
+        yield i, lo + np.flatnonzero(may)
+
+
+def _blocks_of(t: pa.Table, order: np.ndarray) -> np.ndarray | None:
+    if t.column("_x")[0].as_py() == t.column("_y")[0].as_py():
+        return None
+    return t.column("_k").to_numpy()[order]
+
+
+def sift(t: pa.Table, percent: int) -> pa.Table:
+    """Members of a block pair with a pair that the bitmaps let pass."""
+    n = t.column("_n").to_numpy()
+    order = np.argsort(n, kind="stable")
+    n, label = n[order], t.column("_part").to_numpy()[order]
+    marks = _flat(t.column("_bits").combine_chunks())[0].reshape(len(n), -1)[order]
+    stay = np.zeros(len(n), bool)
+    for i, found in _candidates(n, marks, _blocks_of(t, order), percent, label):
+        stay[found] = True
+        stay[i] |= len(found) > 0
+    return t.select(["_w", "_band", "_v"]).take(pa.array(order[stay]))
+
+
+def joining_edges(t: pa.Table, percent: int) -> pa.Table:
+    """Links of one block pair that join different components, as a forest."""
+    flat, ends = _flat(t.column("_set").combine_chunks())
+    n = np.diff(ends)
+    order = np.argsort(n, kind="stable")
+    sets = [flat[ends[i]:ends[i + 1]] for i in order]
+    n, ids, label = n[order], t.column("_v").to_numpy()[order], t.column("_part").to_numpy()[order].copy()
+    marks = np.stack([bitmap(x, width_of(n[-1])) for x in sets])
+    a, b = [], []
+    for i, found in _candidates(n, marks, _blocks_of(t, order), percent, label):
+        for j in found:
             if label[j] == label[i]:
                 continue
             common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
