@@ -34,7 +34,7 @@ from outfold.llm.common import Workspace, bit_filter, blobs, slices
 from outfold.llm.components import components
 from outfold.llm.minhash import Shingler
 
-#: Bits of a bitmap, by the size band: four to eight for each shingle, within these.
+#: Bits of a bitmap, by the size band: two to four for each shingle, within these.
 LEAST_BITS, MOST_BITS = 256, 1 << 16
 #: Sets, and shingles in them, that one task compares with as many others.
 BLOCK, BLOCK_SHINGLES = 512, 1 << 19
@@ -58,7 +58,7 @@ def prefix_size(n, percent: int):
 
 def width_of(size: int) -> int:
     """Bits for sets of up to ``size`` shingles."""
-    return min(MOST_BITS, max(LEAST_BITS, 1 << (4 * int(size) - 1).bit_length()))
+    return min(MOST_BITS, max(LEAST_BITS, 1 << (2 * int(size) - 1).bit_length()))
 
 
 def bitmap(shingles: np.ndarray, bits: int) -> np.ndarray:
@@ -102,44 +102,36 @@ def jaccard_join(docs: DataFrame, words: int = 4, percent: int = 85, id_col: str
     # The width of band i, whose sets are below its upper edge; and of one more.
     widths = [LEAST_BITS, *[width_of(e) for e in edges[1:]], MOST_BITS, MOST_BITS]
 
-    def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(text).alias("_x"), text.alias("_t"))
+    common = spark.sparkContext.broadcast(_common(rows, words))
+
+    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(words)
         for b in slices(batches, "_t", 2 << 20):
             sets = [shingles(t) for t in blobs(b.column("_t"))]
-            n = np.array([len(s) for s in sets])
-            yield pa.RecordBatch.from_arrays(
-                [b.column("_id"), pa.array(n, pa.int64()),
-                 pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
-                 _lists(np.concatenate(sets), n)], ["_id", "_n", "_key", "_set"])
-
-    signed = ws.save(docs.select(F.col(id_col).cast("long").alias("_id"),
-                                 F.col(text_col).cast("string").alias("_t"))
-                     .mapInArrow(shingle, "_id long, _n long, _key binary, _set array<bigint>"), "signed")
-    common = spark.sparkContext.broadcast(_common(signed))
-
-    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            flat, ends = _flat(b.column("_set"))
-            sets = [flat[ends[i]:ends[i + 1]] for i in range(len(ends) - 1)]
-            band = np.searchsorted(edges, np.diff(ends), side="right")
+            n = np.array([len(x) for x in sets])
+            band = np.searchsorted(edges, n, side="right")
             own = [bitmap(x, widths[k]) for x, k in zip(sets, band)]
             up = [bitmap(x, widths[k + 1]) if widths[k + 1] > widths[k] else None
                   for x, k in zip(sets, band)]
             first = [_prefix(x, common.value, percent) for x in sets]
             yield pa.RecordBatch.from_arrays(
-                [b.column("_key"), b.column("_id"), b.column("_n"), pa.array(band, pa.int64()),
-                 _lists(np.concatenate(own), np.array([len(x) for x in own])),
+                [b.column("_id"), b.column("_x"), pa.array(n, pa.int64()),
+                 pa.array([xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in sets], pa.binary()),
+                 pa.array(band, pa.int64()), _lists(np.concatenate(own), np.array([len(x) for x in own])),
                  pa.array([None if x is None else x.view(np.int64) for x in up], pa.list_(pa.int64())),
                  _lists(np.concatenate(first), np.array([len(x) for x in first]))],
-                ["_key", "_id", "_n", "_band", "_bits", "_up", "_first"])
+                ["_id", "_x", "_n", "_key", "_band", "_bits", "_up", "_first"])
 
+    signed = ws.save(rows.mapInArrow(
+        rarest, "_id long, _x long, _n long, _key binary, _band long, _bits array<bigint>, "
+        "_up array<bigint>, _first array<bigint>"), "signed")
     # One representative of each set, numbered in the written table.
     reps = ws.save(
-        signed.where("_key is not null").select("_key", "_id", "_n", "_set").mapInArrow(
-            rarest, "_key binary, _id long, _n long, _band long, _bits array<bigint>, _up array<bigint>, "
-            "_first array<bigint>")
-        .groupBy("_key").agg(F.min("_id").alias("_least"), *[F.first(c).alias(c) for c in (
-            "_n", "_band", "_bits", "_up", "_first")])
+        signed.where("_key is not null").groupBy("_key").agg(
+            F.min("_id").alias("_least"), F.min(F.struct("_id", "_x")).alias("_at"),
+            *[F.first(c).alias(c) for c in ("_n", "_band", "_bits", "_up", "_first")])
         .withColumn("_v", F.monotonically_increasing_id()), "reps")
     common.unpersist()
 
@@ -166,14 +158,14 @@ def jaccard_join(docs: DataFrame, words: int = 4, percent: int = 85, id_col: str
         .withColumn("_bits", F.when(F.size("_bits") == F.size("_lbits"), F.col("_bits")).otherwise(F.col("_up")))
         .where(_reaches(_bound("_n", "_m", "_bits", "_lbits"), F.col("_n"), F.col("_m"), percent))
         .select("_v", "_lead", "_n", "_m"), "near")
-    sets = _sets(signed, reps, near.select("_v").unionAll(near.select("_lead")), ws)
+    sets = _sets(rows, words, reps, near.select("_v").unionAll(near.select("_lead")), ws)
     lead = sets.select(F.col("_v").alias("_lead"), F.col("_set").alias("_lset"))
     links = ws.save(
         near.join(sets, "_v").join(lead, "_lead")
         .where(_reaches(F.size(F.array_intersect("_set", "_lset")), F.col("_n"), F.col("_m"), percent))
         .select(F.col("_v").alias("a"), F.col("_lead").alias("b")), "links")
 
-    more = _open_units(ws, tiles, signed, reps, links, percent)
+    more = _open_units(ws, tiles, rows, words, reps, links, percent)
     final = components(links if more is None else links.unionAll(more), ws)
     of_set = ws.save(reps.select("_key", "_v", "_least").join(
         final.withColumnRenamed("id", "_v"), "_v", "left").select(
@@ -196,7 +188,7 @@ def _flat(col: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     return col.values.to_numpy()[ends[0]:ends[-1]].view(np.uint64), ends - ends[0]
 
 
-def _common(signed: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def _common(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that many sets hold, with counts; sorted, at most ``COMMON``.
 
     A task counts a shingle if several of its sets hold it, so the counts are a
@@ -212,13 +204,13 @@ def _common(signed: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             return pa.RecordBatch.from_arrays(
                 [pa.array(w[c >= LOCAL].view(np.int64)), pa.array(c[c >= LOCAL])], ["_w", "_c"])
 
-        size = 0
-        for b in batches:
-            flat, ends = _flat(b.column("_set"))
-            for i, key in enumerate(b.column("_key").to_pylist()):
+        shingles, size = Shingler(words), 0
+        for b in slices(batches, "_t", 2 << 20):
+            for t in blobs(b.column("_t")):
+                key = xxhash.xxh3_128_digest(t)
                 if key not in seen:  # copies are one set
                     seen.add(key)
-                    held.append(flat[ends[i]:ends[i + 1]].copy())
+                    held.append(shingles(t))
                     size += len(held[-1])
             if size > 1 << 21:
                 yield flush()
@@ -226,8 +218,7 @@ def _common(signed: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         if held:
             yield flush()
 
-    counts = signed.where("_key is not null").select("_key", "_set").mapInArrow(
-        count, "_w long, _c long").groupBy("_w").agg(F.sum("_c").alias("_c"))
+    counts = rows.select("_t").mapInArrow(count, "_w long, _c long").groupBy("_w").agg(F.sum("_c").alias("_c"))
     # The least power of two that leaves few enough.
     steps = counts.groupBy(F.floor(F.log2("_c")).cast("int").alias("_p")).agg(F.count("*").alias("_k"))
     least, total = 64, 0
@@ -257,19 +248,31 @@ def _prefix(shingles: np.ndarray, common: tuple[np.ndarray, np.ndarray], percent
     return shingles[:n]
 
 
-def _sets(signed: DataFrame, reps: DataFrame, wanted: DataFrame, ws: Workspace) -> DataFrame:
-    """(_v, _set) of the sets asked for (first column of ``wanted``). A table of
-    bits, bounded in size, keeps most others out of the shuffle."""
-    wanted = wanted.toDF("_v").distinct()
-    keys = ws.save(reps.select("_v", "_key").join(wanted, "_v", "left_semi"), "wanted")
-    may = bit_filter(keys.select(F.xxhash64("_key").alias("_h")), "_h")
-    rows = signed.where("_key is not null").select("_key", "_set", F.xxhash64("_key").alias("_h"))
-    rows = rows.mapInArrow(may, rows.schema).drop("_h")
-    return ws.save(rows.hint("merge").join(keys, "_key").dropDuplicates(["_key"]).select("_v", "_set"), "sets")
+def _sets(rows: DataFrame, words: int, reps: DataFrame, wanted: DataFrame, ws: Workspace) -> DataFrame:
+    """(_v, _set) of the sets asked for (first column of ``wanted``), from the
+    texts. A table of bits, bounded in size, keeps most others out of the shuffle."""
+    keys = ws.save(reps.select("_v", F.col("_at._id").alias("_wid"), F.col("_at._x").alias("_wx"))
+                   .join(wanted.toDF("_v").distinct(), "_v", "left_semi"), "wanted")
+    may = bit_filter(keys.select(F.xxhash64("_wid", "_wx").alias("_h")), "_h")
+    rows = rows.withColumn("_h", F.xxhash64("_id", "_x"))
+    rows = rows.mapInArrow(may, rows.schema)
+
+    def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingler(words)
+        for b in slices(batches, "_t", 2 << 20):
+            sets = [shingles(t) for t in blobs(b.column("_t"))]
+            yield pa.RecordBatch.from_arrays(
+                [b.column("_v"), _lists(np.concatenate(sets), np.array([len(x) for x in sets]))],
+                ["_v", "_set"])
+
+    return ws.save(rows.hint("merge").join(keys, F.col("_x").eqNullSafe(F.col("_wx")) &
+                                           F.col("_id").eqNullSafe(F.col("_wid")))
+                   .dropDuplicates(["_wx", "_wid"]).select("_v", "_t")
+                   .mapInArrow(shingle, "_v long, _set array<bigint>"), "sets")
 
 
-def _open_units(ws: Workspace, tiles: DataFrame, signed: DataFrame, reps: DataFrame, links: DataFrame,
-                percent: int) -> DataFrame | None:
+def _open_units(ws: Workspace, tiles: DataFrame, rows: DataFrame, words: int, reps: DataFrame,
+                links: DataFrame, percent: int) -> DataFrame | None:
     """Links found by comparing the members of tiles that are not one component
     yet; None if there is no such tile."""
     part = components(links, ws).select(F.col("id").alias("_v"), F.col("component").alias("_part"))
@@ -319,7 +322,7 @@ def _open_units(ws: Workspace, tiles: DataFrame, signed: DataFrame, reps: DataFr
         members.join(kind.where("not _whole"), "_v").select(
             "_tile", F.lit(None).cast("long").alias("_group"), "_v"))
     dealt = ws.save(dealt.join(parts, "_v"), "dealt")
-    sets = _sets(signed, reps, dealt.select("_v"), ws)
+    sets = _sets(rows, words, reps, dealt.select("_v"), ws)
     blocks = ws.save(dealt.groupBy("_tile", "_group").agg(
         F.count("*").alias("_c"), F.sum("_n").alias("_all")).select(
         "_tile", "_group", F.expr(f"cast(greatest((_c + {BLOCK - 1}) div {BLOCK}, "
