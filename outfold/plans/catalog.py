@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 
 from outfold.functions.folds import fold_sql
 from outfold.functions.safe import round_dec, round_dec_sql
+from outfold.operators import blending as bl
 from outfold.operators import boosting as bo
+from outfold.operators import bootstrap as bs
 from outfold.operators import checks as ch
 from outfold.operators import features as fe
 from outfold.operators import folds as fo
@@ -164,7 +166,7 @@ HOLD_SQL = f"""
   tr AS (SELECT * FROM h WHERE NOT hold),
   te AS (SELECT * FROM h WHERE hold),
   m AS (SELECT g, avg(y) AS gm FROM tr GROUP BY g),
-  hp AS (SELECT te.y, coalesce(m.gm, (SELECT avg(y) FROM tr)) AS pred
+  hp AS (SELECT te.id, te.cust, te.y, coalesce(m.gm, (SELECT avg(y) FROM tr)) AS pred
          FROM te LEFT JOIN m ON te.g = m.g)"""
 
 
@@ -888,3 +890,61 @@ def q_oof_boost_stump(spark, sf_dir):
         F.round(F.avg(me.abs_err("y", "pred")), 6).alias("mae"), F.count("pred").alias("n_scored"))
     return score.join(F.broadcast(parts), "fold").select(
         "fold", "cut", *[round_dec(c).alias(c) for c in ("base", "left", "right")], "mae", "n_scored")
+
+
+# --- D23: is the gap chance? -----------------------------------------------------
+
+REPLICATES = 100
+
+
+def _interval_sql(level: str, unit: str) -> str:
+    w = bs.poisson_weight_sql("h", "b")
+    return f"""
+  u_{level} AS (SELECT CAST('0x' || substr(md5(CAST({unit} AS VARCHAR)), 1, 8) AS BIGINT) AS h, s, sum(e) AS e, count(*) AS n
+        FROM sc GROUP BY ALL),
+  d_{level} AS (SELECT b, s, {w} AS w, e, n FROM u_{level}, (SELECT unnest(range(1, {REPLICATES + 1})) AS b)),
+  r_{level} AS (SELECT b, sum(w * e) FILTER (WHERE NOT s) / nullif(sum(w * n) FILTER (WHERE NOT s), 0) AS mae_a,
+               sum(w * e) FILTER (WHERE s) / nullif(sum(w * n) FILTER (WHERE s), 0) AS mae_b
+        FROM d_{level} GROUP BY b),
+  l_{level} AS (SELECT '{level}' AS unit, unnest(['mae_a', 'mae_b', 'gap', 'gap_pct']) AS measure,
+               unnest([mae_a, mae_b, mae_b - mae_a, 100 * (mae_b - mae_a) / mae_a]) AS v FROM r_{level})"""
+
+
+@register("gap_interval", oracle=f"""
+WITH {HOLD_SQL},
+{fold_sums_sql('tg', 'tr', ['g'])},
+{fold_sums_sql('ta', 'tr')},
+sc AS (SELECT id, cust, false AS s, abs(y - coalesce({other_folds_sql('tg', ['g'])}, {other_folds_sql('ta')})) AS e
+       FROM tr b UNION ALL SELECT id, cust, true AS s, abs(y - pred) AS e FROM hp),
+{_interval_sql('row', 'id')},
+{_interval_sql('customer', 'cust')},
+p AS (SELECT avg(e) FILTER (WHERE NOT s) AS a, avg(e) FILTER (WHERE s) AS b FROM sc),
+est AS (SELECT unnest(['mae_a', 'mae_b', 'gap', 'gap_pct']) AS measure, unnest([a, b, b - a, 100 * (b - a) / a]) AS estimate
+        FROM p)
+SELECT unit, measure, round(estimate, 4) AS estimate, round(quantile_cont(v, 0.025), 4) AS low,
+       round(quantile_cont(v, 0.975), 4) AS high, round(stddev(v), 4) AS se, count(v) AS n_replicates
+FROM (SELECT * FROM l_row UNION ALL SELECT * FROM l_customer) JOIN est USING (measure)
+GROUP BY unit, measure, estimate""")
+def q_gap_interval(spark, sf_dir):
+    """Intervals of the out-of-fold score, the held-out score and their gap; drawn
+    by row, and by customer."""
+    fact = ho.split_holdout(orders_fact(spark, sf_dir), "id", 10, col="hold")
+    scored = oof.oof_with_holdout(fact, "hold", by="g", k=K)
+    parts = [bs.gap_interval(scored, unit, F.col("hold"), b=REPLICATES, clustered=unit == "cust").select(
+        F.lit(name).alias("unit"), "measure", *[F.round(c, 4).alias(c) for c in ("estimate", "low", "high", "se")],
+        "n_replicates") for name, unit in (("row", "id"), ("customer", "cust"))]
+    return parts[0].unionByName(parts[1])
+
+
+# --- D24: the exact weight ---------------------------------------------------------
+
+@register("blend_exact", oracle=f"""
+WITH {TWO_MODELS_SQL},
+q AS (SELECT (y - p2) / (p1 - p2) AS r, abs(p1 - p2) AS d FROM p WHERE p1 <> p2),
+c AS (SELECT r, sum(d) OVER (ORDER BY r) AS upto, sum(d) OVER () / 2 AS half FROM q),
+w AS (SELECT least(1, greatest(0, min(r))) AS w FROM c WHERE upto >= half)
+SELECT round(w, 6) AS w, round(avg(abs(y - (w * p1 + (1 - w) * p2))), 6) AS mae, count(y) AS n_scored
+FROM p, w GROUP BY w""")
+def q_blend_exact(spark, sf_dir):
+    r = bl.blend_exact(orders_two_models(spark, sf_dir), "p1", "p2")
+    return r.select(*_r6("w", "mae"), "n_scored")
