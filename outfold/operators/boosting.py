@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from outfold.functions.safe import known
 from outfold.operators.folds import check_folds
 from outfold.operators.holdout import HOLD_SEED, split_holdout
+from outfold.operators.joins import materialize
 from outfold.operators.quantiles import SKETCH_K, exact_quantiles
-from outfold.session import scratch_path
 
 REFRESH = 8
 
@@ -118,7 +118,7 @@ def fit(df: DataFrame, fold: str, y: str, xs, k: int, rounds: int = 20, depth: i
     edges = bin_edges(df, xs, bins) if edges is None else [sorted(map(float, e)) for e in edges]
     p, width = len(xs), max([len(e) for e in edges], default=0) + 2
     names = [f"__b{j}" for j in range(p)]
-    data = _stored(df.select(F.col(fold).cast("bigint").alias("__f"), known(y).alias("__y"),
+    data = materialize(df.select(F.col(fold).cast("bigint").alias("__f"), known(y).alias("__y"),
                              *[_bin(x, e).alias(n) for x, e, n in zip(xs, edges, names, strict=True)]))
     model = Boosted(xs, edges, np.zeros(k), depth)
     written = 0  # rounds whose predictions are in the table
@@ -210,12 +210,6 @@ def fit(df: DataFrame, fold: str, y: str, xs, k: int, rounds: int = 20, depth: i
     return model
 
 
-def _stored(df: DataFrame) -> DataFrame:
-    path = scratch_path(df.sparkSession, "boosting")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _refreshed(data: DataFrame, m: Boosted, done: int, k: int, read, names) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -227,7 +221,7 @@ def _refreshed(data: DataFrame, m: Boosted, done: int, k: int, read, names) -> D
                 ["__f", "__y", *names, *[f"__p{t}" for t in range(k)]])
 
     columns = ["__f long", "__y double", *[f"{n} int" for n in names], *[f"__p{t} double" for t in range(k)]]
-    return _stored(data.mapInArrow(scan, ", ".join(columns)))
+    return materialize(data.mapInArrow(scan, ", ".join(columns)))
 
 
 def _best_splits(g: np.ndarray, n: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:

@@ -106,11 +106,21 @@ def impute(df: DataFrame, cols, by=None, stat: str = "median", fit_on: DataFrame
     out = df
     for c in cols:
         out = out.withColumn(f"{c}{flag_suffix}", F.col(c).isNull())
-    glob = materialize(wide(stats(["__col"]), fk, "__glob_"))
+    if by and exact and stat == "median":
+        # one search: all rows of a column are one more group
+        both = long.select("__col", "__x", *by, *fk, F.explode(F.array(F.lit(False), F.lit(True))).alias("__all"))
+        both = both.select("__col", "__x", "__all", *fk, *[F.when(~F.col("__all"), F.col(c)).alias(c) for c in by])
+        found = materialize(exact_quantiles(
+            both, "__x", [0.5], by=["__col", "__all", *by], fold=fold, k=k, out="__q").select(
+            "__col", "__all", *by, *fk, F.col("__q")[0].alias("__v")))
+        glob, fills = found.where("__all").drop("__all", *by), found.where("not __all").drop("__all")
+    else:
+        glob, fills = stats(["__col"]), (stats(["__col", *by]) if by else None)
+    glob = materialize(wide(glob, fk, "__glob_"))
     if fold is not None:
         out = out.join(broadcast_bounded(glob, k), on=fold, how="left")
     if by:
-        out = out.join(broadcast_checked(wide(stats(["__col", *by]), [*by, *fk], "__fill_")),
+        out = out.join(broadcast_checked(wide(fills, [*by, *fk], "__fill_")),
                        on=[*by, *fk], how="left")
     for c in cols:
         fill = [F.col(f"__fill_{c}")] if by else []

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from outfold.session import shared_dir
+from outfold.session import scratch_path
 
 # Largest row count we hint as broadcast without measuring; such tables are
 # built from parameters (folds, rules, weights), never from data.
@@ -40,10 +40,12 @@ def broadcast_bounded(df: DataFrame, bound: int) -> DataFrame:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it back: cuts the
-    lineage and makes later counts and joins read the stored rows."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` as Parquet in the shared folder and read it back: cuts the
+    lineage, runs the plan once, and later reads take only the columns they need.
+    The tables stay until ``session.clear_scratch``."""
+    path = scratch_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def table_bytes(df: DataFrame) -> int:

@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from outfold.functions.safe import known, safe_div
 from outfold.operators.folds import check_folds
-from outfold.operators.joins import (broadcast_bounded, broadcast_checked, broadcast_sized,
-                                     materialize, table_bytes)
+from outfold.operators.joins import (broadcast_bounded, broadcast_checked, broadcast_if_small,
+                                     broadcast_sized, materialize, table_bytes)
 from outfold.operators.quantiles import exact_quantiles
 
 
@@ -198,10 +198,13 @@ def oof_median(df: DataFrame, fold: str = "fold", y: str = "y", by="g", k: int =
     by = _cols(by)
     base = df.withColumn(y, known(y)).where(F.col(y).isNotNull() & F.col(fold).isNotNull())
     if method == "exact":
-        grp = exact_quantiles(base, y, [0.5], by=by, fold=fold, k=k, out="__q").select(
-            *by, fold, F.col("__q")[0].alias("__gm"))
-        glob = exact_quantiles(base, y, [0.5], fold=fold, k=k, out="__q").select(
-            fold, F.col("__q")[0].alias("__glob"))
+        # one search: all rows together are one more group
+        both = base.select(fold, y, *by, F.explode(F.array(F.lit(False), F.lit(True))).alias("__all"))
+        both = both.select(fold, y, "__all", *[F.when(~F.col("__all"), F.col(c)).alias(c) for c in by])
+        q = materialize(exact_quantiles(both, y, [0.5], by=["__all", *by], fold=fold, k=k, out="__q").select(
+            "__all", *by, fold, F.col("__q")[0].alias("__gm")))
+        grp = q.where("not __all").drop("__all")
+        glob = q.where("__all").select(fold, F.col("__gm").alias("__glob"))
     elif method == "sketch":
         sk = base.groupBy(*by, fold).agg(
             F.kll_sketch_agg_double(F.col(y), F.lit(sketch_k)).alias("__sk"))
@@ -219,7 +222,7 @@ def oof_median(df: DataFrame, fold: str = "fold", y: str = "y", by="g", k: int =
     else:
         raise ValueError(f"unknown method {method!r}")
     glob = broadcast_bounded(glob, k)
-    grp = broadcast_checked(grp)
+    grp = broadcast_if_small(grp) if method == "exact" else broadcast_checked(grp)
     j = df.join(grp, on=[*by, fold], how="left").join(glob, on=fold, how="left")
     return j.withColumn(out, F.coalesce("__gm", "__glob")).drop("__gm", "__glob")
 

@@ -82,30 +82,36 @@ def exact_quantiles(df: DataFrame, x: str, probs, by=(), fold: str | None = None
                      ).where("__x is not null and not isnan(__x) and __f is not null")
 
     sketch = F.kll_sketch_agg_double("__x", F.lit(SKETCH_K)).alias("__sk")
-    cells = materialize(rows.groupBy("__g", "__f").agg(
-        F.lit(0).alias("__i"), F.count(F.lit(1)).alias("__c"), sketch))
-    if folded:
-        low, high = cells.agg(F.min("__f"), F.max("__f")).first()
-        if low is not None and (low < 0 or high >= k):
-            raise ValueError(f"folds {low}..{high} are not in 0..{k - 1}")
+    cells = materialize(rows.groupBy("__g", "__f").agg(F.lit(0).alias("__i"), F.count(F.lit(1)).alias("__c")))
+    low, high, total, largest = cells.groupBy("__g").agg(
+        F.min("__f").alias("a"), F.max("__f").alias("z"), F.sum("__c").alias("n")).agg(
+        F.min("a"), F.max("z"), F.sum("n"), F.max("n")).first()
+    if folded and low is not None and (low < 0 or high >= k):
+        raise ValueError(f"folds {low}..{high} are not in 0..{k - 1}")
+    heavy = max(1, total or 0)
+    # Without a group above ``work`` no interval is cut, and no pass is needed.
+    cutting = (largest or 0) > work
+    keep = materialize if cutting else (lambda df: df)
+    if cutting:
+        cells = materialize(rows.groupBy("__g", "__f").agg(
+            F.lit(0).alias("__i"), F.count(F.lit(1)).alias("__c"), sketch))
 
     sizes = cells.withColumn("__t", F.explode(F.sequence(F.lit(0), F.lit(targets - 1)))).where(
         "__f <> __t").groupBy("__g", "__t").agg(F.sum("__c").alias("__n"))
-    spec = materialize(sizes.select("__g", "__t", "__n", F.posexplode(F.array(
+    spec = keep(sizes.select("__g", "__t", "__n", F.posexplode(F.array(
         *[F.lit(p) * (F.col("__n") - 1) for p in probs])).alias("__q", "__at")).select(
         "__g", "__t", "__n", "__q", "__at", F.floor("__at").cast("bigint").alias("__rlo"),
         F.ceil("__at").cast("bigint").alias("__rhi")))
     none = F.lit(None).cast("double")
     # __rel: the rank inside the interval (__lo, __hi), of __in rows.
-    states = materialize(spec.select(
+    states = keep(spec.select(
         "__g", "__t", "__n", F.explode(F.array("__rlo", "__rhi")).alias("__r")).distinct().select(
         "__g", "__t", "__r", F.col("__r").alias("__rel"), F.col("__n").alias("__in"),
         F.lit(0).alias("__i"), none.alias("__lo"), none.alias("__hi"), none.alias("__v")))
 
-    heavy = max(1, cells.agg(F.sum("__c")).first()[0] or 0)
     # The states of one interval differ in their training rows; they go on together.
     peak = F.max("__in").over(Window.partitionBy("__g", "__lo", "__hi"))
-    while True:
+    while cutting:
         seeking = states.where("__v is null").withColumn("__peak", peak)
         wide = seeking.where(F.col("__peak") > work).drop("__peak")
         if wide.isEmpty():
@@ -149,22 +155,23 @@ def exact_quantiles(df: DataFrame, x: str, probs, by=(), fold: str | None = None
                              .unionByName(seeking.where(F.col("__peak") <= work).drop("__peak"))
                              .unionByName(found))
 
-    # The open intervals of a group are equal or apart, so all their ends
-    # together cut the rows into just these intervals.
     left = states.where("__v is null")
-    cuts = left.groupBy("__g").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(
-        F.filter(F.array("__lo", "__hi"), lambda v: v.isNotNull()))))).alias("__cuts"),
-        F.max("__in").alias("__size"))
-    left = left.join(cuts.drop("__size"), "__g").withColumn(
-        "__i", _pos(F.col("__lo"), F.col("__cuts"), F.lit(-1)) + 1)
-    wanted = left.groupBy("__g", "__cuts", "__i").agg(F.collect_list(
-        F.struct("__t", "__r", "__rel")).alias("__want"))
-    cuts = materialize(cuts.join(left.groupBy("__g").agg(F.collect_set("__i").alias("__is")), "__g"))
+    if cutting:
+        # The open intervals of a group are equal or apart, so all their ends
+        # together cut the rows into just these intervals.
+        cuts = left.groupBy("__g").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(
+            F.filter(F.array("__lo", "__hi"), lambda v: v.isNotNull()))))).alias("__cuts"),
+            F.max("__in").alias("__size"))
+        left = left.join(cuts.drop("__size"), "__g").withColumn(
+            "__i", _pos(F.col("__lo"), F.col("__cuts"), F.lit(-1)) + 1)
+        cuts = materialize(cuts.join(left.groupBy("__g").agg(F.collect_set("__i").alias("__is")), "__g"))
+        inner = join_hot(rows, cuts, "__g", "__size", heavy).withColumn(
+            "__i", _cell(F.col("__x"), F.col("__cuts"))).where(F.array_contains("__is", F.col("__i")))
+    else:
+        inner = rows.withColumn("__i", F.lit(0))  # one open interval a group
+    wanted = left.groupBy("__g", "__i").agg(F.collect_list(F.struct("__t", "__r", "__rel")).alias("__want"))
     per_fold = [F.count(F.when(F.col("__f") == i, 1)).alias(f"__c{i}") for i in range(k)] if folded else []
-    values = (join_hot(rows, cuts, "__g", "__size", heavy)
-              .withColumn("__i", _cell(F.col("__x"), F.col("__cuts")))
-              .where(F.array_contains("__is", F.col("__i")))
-              .groupBy("__g", "__i", "__x").agg(F.count(F.lit(1)).alias("__c"), *per_fold))
+    values = inner.groupBy("__g", "__i", "__x").agg(F.count(F.lit(1)).alias("__c"), *per_fold)
     # one interval of about ``work`` rows at most
     upto = Window.partitionBy("__g", "__i").orderBy("__x").rowsBetween(Window.unboundedPreceding, 0)
     names = ["__c", *[f"__c{i}" for i in range(k if folded else 0)]]
@@ -181,15 +188,14 @@ def exact_quantiles(df: DataFrame, x: str, probs, by=(), fold: str | None = None
         end = of_target("_end", s["__t"])
         return (s["__rel"] < end) & (s["__rel"] >= end - of_target("", s["__t"]))
 
-    ranked = values.join(wanted.drop("__cuts"), ["__g", "__i"]).select(
+    ranked = values.join(wanted, ["__g", "__i"]).select(
         "__g", "__x", F.inline(F.filter("__want", holds))).select(
         "__g", "__t", "__r", F.col("__x").alias("__v"))
-    vals = materialize(states.where("__v is not null").select("__g", "__t", "__r", "__v")
-                       .unionByName(ranked))
-
-    lo_v = vals.select("__g", "__t", F.col("__r").alias("__rlo"), F.col("__v").alias("__vlo"))
-    hi_v = vals.select("__g", "__t", F.col("__r").alias("__rhi"), F.col("__v").alias("__vhi"))
-    q = spec.join(lo_v, ["__g", "__t", "__rlo"]).join(hi_v, ["__g", "__t", "__rhi"])
+    vals = states.where("__v is not null").select("__g", "__t", "__r", "__v").unionByName(ranked)
+    vals = vals.groupBy("__g", "__t").agg(
+        F.map_from_entries(F.collect_list(F.struct("__r", "__v"))).alias("__m"))  # two a quantile
+    q = spec.join(vals, ["__g", "__t"]).withColumn("__vlo", F.element_at("__m", F.col("__rlo"))).withColumn(
+        "__vhi", F.element_at("__m", F.col("__rhi"))).drop("__m")
     # Interpolate as Spark's percentile does; equal ends stay as they are (also infinite ones).
     value = F.when(F.col("__vlo") == F.col("__vhi"), F.col("__vlo")).otherwise(
         (F.col("__rhi") - F.col("__at")) * F.col("__vlo")
