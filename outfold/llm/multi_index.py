@@ -112,7 +112,8 @@ def search(vectors: DataFrame, query: object, top: int = 20, codes: int = 256, s
     are null, empty, zero, hold a null or non-finite component, or have not the
     commonest dimension take no part, neither as query nor as candidate; the
     same holds for a null id. Ties go to the smaller id. Repeated rows of one
-    id are candidates each, except for the query of that id. No usable vector:
+    id are candidates each, except for the query of that id; query rows of one id
+    are answered each, with ranks of their own. No usable vector:
     empty result. Other columns are not read.
     """
     spark = vectors.sparkSession
@@ -202,9 +203,9 @@ def search(vectors: DataFrame, query: object, top: int = 20, codes: int = 256, s
             pick = pa.array(take, pa.int64())
             block = (mix(batch.column("_id").to_numpy().view(np.uint64)) % np.uint64(blocks)).astype(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("_id").take(pick), batch.column("_v").take(pick),
+                [batch.column("_id").take(pick), batch.column("_row").take(pick), batch.column("_v").take(pick),
                  pa.array(bucket, pa.int64()), pa.array(block[take], pa.int64()), pa.array(bits, pa.binary())],
-                ["_id", "_v", "_bucket", "_block", "_cells"])
+                ["_id", "_row", "_v", "_bucket", "_block", "_cells"])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, first, n, _, _ = known.value
@@ -217,19 +218,23 @@ def search(vectors: DataFrame, query: object, top: int = 20, codes: int = 256, s
                     [batch.column("_id"), batch.column("_v"), batch.column("_cell"), bucket,
                      pa.array(np.full(len(cell), k))], ["_id", "_v", "_cell", "_bucket", "_block"])
 
-    queries = index.where("_query").select("_id", "_v").repartition(
+    # Rows of one query id are searched for apart.
+    queries = index.where("_query").select(
+        "_id", F.monotonically_increasing_id().alias("_row"), "_v").repartition(
         spark.sparkContext.defaultParallelism).mapInArrow(
-        route, "_id long, _v array<double>, _bucket long, _block long, _cells binary")
+        route, "_id long, _row long, _v array<double>, _bucket long, _block long, _cells binary")
     entries = index.select("_id", "_v", "_cell").mapInArrow(
         deal, "_id long, _v array<double>, _cell long, _bucket long, _block long")
 
     def rank(q: pa.Table, e: pa.Table) -> pa.Table:
-        schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+        schema = pa.schema([("query_id", pa.int64()), ("_row", pa.int64()), ("vec_id", pa.int64()),
+                            ("score", pa.float64())])
         if not q.num_rows or not e.num_rows:
             return schema.empty_table()
         _, first, n, slot, ends = known.value
         qv, ev = (t.column("_v").combine_chunks().flatten().to_numpy().reshape(-1, d) for t in (q, e))
         qid, eid = (t.column("_id").to_numpy() for t in (q, e))
+        row = q.column("_row").to_numpy()
         cell = e.column("_cell").to_numpy()
         # a part of a large cell is sent to only if the cell is visited
         bit = None if n[cell[0]] > 1 else slot[cell] - 8 * ends[first[cell[0]]]
@@ -253,12 +258,13 @@ def search(vectors: DataFrame, query: object, top: int = 20, codes: int = 256, s
                 for k in range(d):
                     exact += v[i, k] * ev[near, k]
                 best = np.lexsort((eid[near], -exact))[:top]
-                out.append((np.full(len(best), ids[i]), eid[near[best]], exact[best]))
+                out.append((np.full(len(best), ids[i]), np.full(len(best), row[lo + i]), eid[near[best]],
+                            exact[best]))
         return pa.Table.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)],
                                     schema=schema)
 
     found = queries.groupBy("_bucket", "_block").cogroup(entries.groupBy("_bucket", "_block")).applyInArrow(
-        rank, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        rank, "query_id long, _row long, vec_id long, score double")
+    order = Window.partitionBy("query_id", "_row").orderBy(F.desc("score"), "vec_id")
     return (found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
             .select("query_id", "rank", F.col("vec_id").alias(id_col), "score"))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 #: Fixed pattern of each kind. A match is told apart by these, in this order.
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+){0,9}\.[A-Za-z]{2,}"
-HEX = r"(?<![0-9A-Za-z])(?=[0-9A-Fa-f]{0,63}[0-9])(?=[0-9]{0,63}[A-Fa-f])[0-9A-Fa-f]{32,64}(?![0-9A-Za-z])"
+HEX = r"(?<![0-9A-Za-z])(?=[0-9A-Fa-f]*[0-9])(?=[0-9]*[A-Fa-f])[0-9A-Fa-f]{32,}(?![0-9A-Za-z])"
 DATE = r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])|(?<![0-9.])[0-9]{2}\.[0-9]{2}\.[0-9]{4}(?![0-9])|(?<![0-9/])[0-9]{2}/[0-9]{2}/[0-9]{4}(?![0-9])"
 ADDRESS = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"
 SOCIAL = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
@@ -128,12 +128,32 @@ def _phone(key: str) -> str:
         + ")", "n", put_back("m", "n", "[0-9]")))
 
 
+#: Most steps of a walk; an image outside the format after all of them has
+#: probability below 1e-30.
+WALK = 80
+
+
+def walk(start: str, step: str, inside: str) -> str:
+    """``step`` (of ``v``) applied to ``start`` until ``inside`` (of ``v``) holds: a
+    permutation of the values inside, as ``step`` is one of a larger set."""
+    return (f"aggregate(sequence(1, {WALK}), named_struct('v', {start}, 'done', false), (w, i) -> if(w.done, w, "
+            + _let(_let("w.v", "v", step), "v", f"named_struct('v', v, 'done', {inside})") + "), w -> w.v)")
+
+
 def _address(key: str) -> str:
-    pair = permute_pair(key, "address", "o[0] * 256 + o[1]", "o[2] * 256 + o[3]", 65536, 65536)
-    return _let("transform(split(m, '[.]'), x -> cast(x as int))", "o",
-                "if(exists(o, x -> x > 255), null, " + _let(pair, "p", (
-                    "concat_ws('.', cast(p.a div 256 as string), cast(p.a % 256 as string), "
-                    "cast(p.b div 256 as string), cast(p.b % 256 as string))")) + ")")
+    """Plain addresses move among themselves, and those of four three-digit parts
+    with a leading zero among these; other paddings stay."""
+    def pair(label: str) -> str:
+        return permute_pair(key, label, "v[0] * 256 + v[1]", "v[2] * 256 + v[3]", 65536, 65536)
+
+    parts = "array(cast(p.a div 256 as int), cast(p.a % 256 as int), cast(p.b div 256 as int), cast(p.b % 256 as int))"
+    plain = _let(_let("o", "v", _let(pair("address"), "p", parts)), "n",
+                 "array_join(transform(n, x -> cast(x as string)), '.')")
+    wide = _let(walk("o", _let(pair("padded address"), "p", parts), "exists(v, x -> x < 100)"), "n",
+                "array_join(transform(n, x -> lpad(cast(x as string), 3, '0')), '.')")
+    return _let("transform(split(m, '[.]'), x -> cast(x as int))", "o", (
+        f"case when exists(o, x -> x > 255) then null when not m rlike '(^|[.])0[0-9]' then {plain} "
+        f"when length(m) = 15 then {wide} else null end"))
 
 
 def _social(key: str) -> str:
@@ -150,16 +170,21 @@ def _social(key: str) -> str:
 
 
 def _date(key: str) -> str:
-    """Year first, day.month.year, or month/day/year (day/month/year where that
-    is the only reading)."""
+    """Year first, day.month.year, or month/day/year. Slash dates that are none
+    of the last, with a day above 12 first, move among themselves."""
     fmt = ("case when substr(m, 5, 1) = '-' then 'yyyy-MM-dd' when substr(m, 3, 1) = '.' then "
            "'dd.MM.yyyy' when cast(substr(m, 1, 2) as int) <= 12 then 'MM/dd/yyyy' "
            "else 'dd/MM/yyyy' end")
     day = (f"datediff(cast(try_to_timestamp(m, {fmt}) as date), date'{FIRST_DAY}')")
-    pair = permute_pair(key, "date", f"t div {DAYS_B}", f"t % {DAYS_B}", DAYS_A, DAYS_B)
+
+    def moved(label: str, t: str) -> str:
+        return _let(permute_pair(key, label, f"{t} div {DAYS_B}", f"{t} % {DAYS_B}", DAYS_A, DAYS_B), "p",
+                    f"cast(p.a * {DAYS_B} + p.b as int)")
+
+    late = walk("t", moved("day first", "v"), f"dayofmonth(date_add(date'{FIRST_DAY}', v)) > 12")
+    new = f"if({fmt} = 'dd/MM/yyyy', {late}, {moved('date', 't')})"
     return _let(day, "t", f"if(t is null or t < 0 or t >= {DAYS_A * DAYS_B}, null, "
-                + _let(pair, "p", f"date_format(date_add(date'{FIRST_DAY}', "
-                                  f"cast(p.a * {DAYS_B} + p.b as int)), {fmt})") + ")")
+                f"date_format(date_add(date'{FIRST_DAY}', {new}), {fmt}))")
 
 
 def _email(key: str) -> str:
@@ -187,9 +212,9 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     """``docs`` with the personal values of ``text_col`` replaced in place; all
     columns and rows stay.
 
-    Kinds: e-mail addresses (user part), hexadecimal tokens of 32 to 64 digits
-    in either case (at least one letter and one of 0-9), dates 1800 to 2199, IPv4
-    addresses, social numbers, telephone numbers (3-3-4 digits with blanks, dots
+    Kinds: e-mail addresses (user part), hexadecimal tokens of 32 digits or
+    more in either case (at least one letter and one of 0-9), dates 1800 to 2199,
+    IPv4 addresses (plain, or all four parts with three digits), social numbers, telephone numbers (3-3-4 digits with blanks, dots
     or hyphens between them), card numbers with a right check digit. A string
     that looks like one but fails its check stays as it is. Of several overlapping
     groups of digits with a right check digit one with an issuer's first digits

@@ -66,6 +66,17 @@ def date(m, fmt="%Y-%m-%d"):
     return (datetime.date(1800, 1, 1) + datetime.timedelta(days=a * pii.DAYS_B + b)).strftime(fmt)
 
 
+def day_first(m):
+    """The pair permutation, again and again until the day is above 12."""
+    first = datetime.date(1800, 1, 1)
+    n = (datetime.datetime.strptime(m, "%d/%m/%Y").date() - first).days
+    while True:
+        a, b = pair("day first", n // pii.DAYS_B, n % pii.DAYS_B, pii.DAYS_A, pii.DAYS_B)
+        n = a * pii.DAYS_B + b
+        if (first + datetime.timedelta(days=n)).day > 12:
+            return (first + datetime.timedelta(days=n)).strftime("%d/%m/%Y")
+
+
 def social(m):
     x, y, z = map(int, m.split("-"))
     a, b = pair("social", (x - (2 if x > 666 else 1)) * 99 + y - 1, z - 1, 898 * 99, 9999)
@@ -84,7 +95,7 @@ CASES = [
     ("152.143.123.131", address), ("0.0.0.0", address), ("255.255.255.255", address),
     ("2024-02-29", date), ("1800-01-01", date), ("2199-12-31", date),
     ("29.02.2024", lambda m: date(m, "%d.%m.%Y")), ("02/29/2024", lambda m: date(m, "%m/%d/%Y")),
-    ("29/02/2024", lambda m: date(m, "%d/%m/%Y")), ("123-45-6789", social), ("899-99-9999", social),
+    ("29/02/2024", lambda m: day_first(m)), ("123-45-6789", social), ("899-99-9999", social),
     ("665-01-0001", social), ("667-01-0001", social), ("that.92@mail2.example.com", email),
     ("A_b-9@x.org", email), ("24be64439e3e49cf46b2d7c90f3602a3d0b907ff", lambda m: word("hex", m, pii.HEXES)),
 ]
