@@ -30,12 +30,20 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays, the one with the
     smallest id: five words, similarity 0.8. Documents without words or without
-    an id stay."""
+    an id stay. A document is its id and its text, so rows that only share an id
+    are judged apart; rows equal in both stay or go together."""
     ws = Workspace(spark, "neardup")
-    gone = ws.save(minhash.near_duplicates(docs, words=5, percent=80)
-                   .where("not kept and doc_id is not null")
-                   .select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return docs.hint("merge").join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    row = F.xxhash64("doc_id", "text")
+    found = minhash.near_duplicates(docs.select(row.alias("_row"), "text"), words=5, percent=80, id_col="_row")
+    found = ws.save(found.where("n_shingles > 0").select("_row", "component_id").distinct(), "found")
+    several = found.groupBy("component_id").agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    found = ws.save(found.join(several, "component_id"), "several")
+    ids = docs.where("doc_id is not null").select(row.alias("_row"), "doc_id")
+    named = ws.save(ids.hint("merge").join(found, "_row"), "named")
+    first = named.groupBy("component_id").agg(F.min(F.struct("doc_id", "_row")).alias("_first"))
+    gone = ws.save(named.join(first, "component_id").where(F.struct("doc_id", "_row") != F.col("_first"))
+                   .select(F.col("_row").alias("_gone_row")).distinct(), "gone")
+    return docs.hint("merge").join(gone, row == gone["_gone_row"], "left_anti")
 
 
 def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
