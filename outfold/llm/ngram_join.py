@@ -104,7 +104,7 @@ def jaccard_join(docs: DataFrame, words: int = 4, percent: int = 85, id_col: str
 
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(text).alias("_x"), text.alias("_t"))
-    common = spark.sparkContext.broadcast(_common(rows, words))
+    common = spark.sparkContext.broadcast(_common(rows, words, ws))
 
     def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(words)
@@ -188,7 +188,7 @@ def _flat(col: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     return col.values.to_numpy()[ends[0]:ends[-1]].view(np.uint64), ends - ends[0]
 
 
-def _common(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+def _common(rows: DataFrame, words: int, ws: Workspace) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that many sets hold, with counts; sorted, at most ``COMMON``.
 
     A task counts a shingle if several of its sets hold it, so the counts are a
@@ -218,7 +218,8 @@ def _common(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
         if held:
             yield flush()
 
-    counts = rows.select("_t").mapInArrow(count, "_w long, _c long").groupBy("_w").agg(F.sum("_c").alias("_c"))
+    counts = ws.save(rows.select("_t").mapInArrow(count, "_w long, _c long").groupBy("_w").agg(
+        F.sum("_c").alias("_c")).where("_c >= 64"), "common")
     # The least power of two that leaves few enough.
     steps = counts.groupBy(F.floor(F.log2("_c")).cast("int").alias("_p")).agg(F.count("*").alias("_k"))
     least, total = 64, 0
