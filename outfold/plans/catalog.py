@@ -24,6 +24,7 @@ from outfold.operators import checks as ch
 from outfold.operators import features as fe
 from outfold.operators import folds as fo
 from outfold.operators import holdout as ho
+from outfold.operators import lad
 from outfold.operators import metrics as me
 from outfold.operators import models as mo
 from outfold.operators import oof
@@ -948,3 +949,39 @@ FROM p, w GROUP BY w""")
 def q_blend_exact(spark, sf_dir):
     r = bl.blend_exact(orders_two_models(spark, sf_dir), "p1", "p2")
     return r.select(*_r6("w", "mae"), "n_scored")
+
+
+# --- D17: least absolute deviations --------------------------------------------------
+
+@register("oof_lad", oracle=f"""
+WITH RECURSIVE {ORDERS_CUST_SQL},
+ff AS (SELECT DISTINCT fold FROM f),
+tr AS (SELECT ff.fold AS t, f.y, f.x FROM ff JOIN f ON f.fold <> ff.fold WHERE f.x IS NOT NULL),
+it AS (
+  SELECT fold AS t, -1000.0::DOUBLE AS lo, 1000.0::DOUBLE AS hi, 0 AS i FROM ff
+  UNION ALL
+  SELECT t, CASE WHEN g > 0 THEN mid ELSE lo END, CASE WHEN g > 0 THEN hi ELSE mid END, i + 1
+  FROM (SELECT m.t, m.lo, m.hi, m.mid, m.i, sum(tr.x * sign(tr.y - m.mid * tr.x - m.med)) AS g
+        FROM (SELECT it.t, it.lo, it.hi, (it.lo + it.hi) / 2 AS mid, it.i,
+                     median(tr.y - (it.lo + it.hi) / 2 * tr.x) AS med
+              FROM it JOIN tr ON tr.t = it.t WHERE it.i < 60 GROUP BY it.t, it.lo, it.hi, it.i) m
+        JOIN tr ON tr.t = m.t GROUP BY m.t, m.lo, m.hi, m.mid, m.i)),
+b AS (SELECT it.t, (it.lo + it.hi) / 2 AS b1, median(tr.y - (it.lo + it.hi) / 2 * tr.x) AS b0
+      FROM it JOIN tr ON tr.t = it.t WHERE it.i = 60 GROUP BY it.t, it.lo, it.hi),
+l AS (SELECT b.t, avg(abs(tr.y - b.b0 - b.b1 * tr.x)) AS mae FROM b JOIN tr ON tr.t = b.t GROUP BY b.t),
+e AS (SELECT f.fold, abs(f.y - b.b0 - b.b1 * f.x) AS err FROM f JOIN b ON f.fold = b.t)
+SELECT e.fold, round(any_value(l.mae), 4) AS train_mae, round(avg(e.err), 4) AS mae,
+       count(e.err) AS n_scored, true AS proven
+FROM e JOIN l ON l.t = e.fold GROUP BY e.fold""")
+def q_oof_lad(spark, sf_dir):
+    """The oracle halves the interval of the slope by the sign of the derivative,
+    with the median as intercept; the fit must have the same least training MAE."""
+    f = orders_with_customer(spark, sf_dir)
+    fits = lad.fit(f, "fold", "y", ["x"], range(K), K, near=2000)
+    best = spark.createDataFrame(
+        [(t, m.mae, m.gap <= 1e-9) for t, m in fits.items()], "fold long, train_mae double, proven boolean")
+    err = me.abs_err("y", "pred")
+    return (lad.predict(f, fits, "fold", ["x"], K).groupBy("fold").agg(
+        F.avg(err).alias("mae"), F.count(err).alias("n_scored")).join(F.broadcast(best), "fold")
+        .select("fold", F.round("train_mae", 4).alias("train_mae"), F.round("mae", 4).alias("mae"),
+                "n_scored", "proven"))
