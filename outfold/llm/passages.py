@@ -155,23 +155,10 @@ def same_text(a: DataFrame, b: DataFrame):
     return a["_id"].eqNullSafe(b["_id"]) & (a["_h"] == b["_h"])
 
 
-def _only(col: pa.ListArray, keep: np.ndarray) -> pa.ListArray:
-    """The refs of a batch for which ``keep`` holds."""
-    if keep.all():
-        return col
-    sizes = pc.fill_null(pc.list_value_length(col), 0).to_numpy(zero_copy_only=False)
-    left = np.bincount(np.repeat(np.arange(len(col)), sizes)[keep], minlength=len(col))
-    ends = pa.array(np.cumsum([0, *left]).astype(np.int32))
-    return pa.ListArray.from_arrays(ends, col.flatten().filter(pa.array(keep)), type=col.type,
-                                    mask=col.is_null())
-
-
-def with_refs(rows: DataFrame, refs: DataFrame, make: Callable, confirm: Callable | None = None
-              ) -> DataFrame:
+def with_refs(rows: DataFrame, refs: DataFrame, make: Callable) -> DataFrame:
     """Every document with its number of symbols, the checksum of its untouched
     symbols and its refs (structs of its recurring runs); the text only where
-    there are refs. One shuffle of the texts. ``confirm(kind, parts of a batch's
-    documents, document of each ref, fields of the refs)`` says which refs hold."""
+    there are refs. One shuffle of the texts."""
     by_doc = refs.groupBy("_id", "_h").agg(F.collect_list("_ref").alias("_refs"))
     # refs are not bounded: no broadcast at any size
     joined = rows.hint("merge").join(by_doc, same_text(rows, by_doc), "left").select(
@@ -186,8 +173,6 @@ def with_refs(rows: DataFrame, refs: DataFrame, make: Callable, confirm: Callabl
             parts = [kind.parts(t) for t in read]
             sha = [hashlib.sha256(kind.kept(p, none, none)).hexdigest() for p in parts]
             refs = b.column("_refs")
-            if confirm is not None:
-                refs = _only(refs, confirm(kind, parts, *_refs_of(refs)))
             has = refs.is_valid().to_pylist()
             text = pa.array([t if h else None for t, h in zip(read, has, strict=True)], pa.binary())
             yield pa.RecordBatch.from_arrays(
@@ -286,10 +271,9 @@ def open_parts(docs: DataFrame, refs: DataFrame, make: Callable, step: int) -> D
 
 
 def remove_repeats(rows: DataFrame, recurring: DataFrame, make: Callable, ws: Workspace, step: int,
-                   keep_first: bool, id_col: str, unit: str, confirm: Callable | None = None
-                   ) -> DataFrame:
+                   keep_first: bool, id_col: str, unit: str) -> DataFrame:
     """From the runs with a recurring key to the documents without what repeats."""
-    marked, path = ws.save_at(with_refs(rows, judge(recurring, keep_first, ws), make, confirm), "marked")
+    marked, path = ws.save_at(with_refs(rows, judge(recurring, keep_first, ws), make), "marked")
     ws.drop_all(but=path)
     opened = marked.where("exists(_refs, r -> r.open)")
     blocks = ws.save(parts_of(opened, make, step), "blocks")

@@ -1,19 +1,17 @@
 """Repeated phrases, found by grouping hashes.
 
-Recurring phrases are confirmed first: of every ``width`` words, the phrase of
-``gram`` words at the window's anchor stands for the window, and phrases that
-occur once are dropped by a count. Which words go is then decided by grouping hashes
-of runs, blocks and windows (``passages``). Automata of a bounded size, built
-from the phrases of the documents at hand, are streamed over these documents
-only; a phrase is read from the place it is looked for at, so it is always
-found there, and the automata decide nothing.
+Of every ``width`` words, the phrase of ``gram`` words at the window's anchor
+stands for the window, and phrases that occur once are dropped by a count. Which
+words go is then decided by grouping hashes of runs, blocks and windows
+(``passages``). Automata over the recurring phrases are not used: their number
+grows with the corpus, so every document would pass through ever more shards
+(measured figures in the README).
 """
 
 from __future__ import annotations
 
 from functools import partial
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,33 +23,6 @@ WIDTH, GRAM = 20, 6
 BLOCK = 4
 
 
-def locate(kind: Words, parts: list[list[bytes]], doc: np.ndarray, ref: dict[str, np.ndarray]
-           ) -> np.ndarray:
-    """Which refs of a shard's documents (``doc``: the document of each) the
-    shard's automaton finds at their place: all, as their phrases are read there."""
-    import ahocorasick
-
-    place = ref["start"] + ref["lead"]
-    automaton = ahocorasick.Automaton()
-    for d, at in zip(doc.tolist(), place.tolist(), strict=True):
-        phrase = b" ".join(parts[d][at:at + kind.gram])
-        automaton.add_word(f" {phrase.decode('latin-1')} ", len(phrase) + 2)
-    found_all = np.zeros(len(doc), dtype=bool)
-    if not len(doc):
-        return found_all
-    automaton.make_automaton()
-    edge = np.searchsorted(doc, np.arange(len(parts) + 1))
-    for d in np.unique(doc):
-        words = parts[d]
-        text = b" ".join(words).decode("latin-1")
-        size = np.fromiter(map(len, words), np.int64, len(words)) + 1
-        begin = np.cumsum(size) - size  # the blank before each word, counted with a first one
-        found = np.fromiter((end + 1 - n for end, n in automaton.iter(f" {text} ")), np.int64)
-        own = slice(edge[d], edge[d + 1])
-        found_all[own] = np.isin(begin[place[own]], found)
-    return found_all
-
-
 def repeated_phrases(docs: DataFrame, width: int = WIDTH, gram: int = GRAM,
                      id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, ``n_words``, ``n_removed``, ``n_spans`` and ``kept_sha256`` of each
@@ -74,4 +45,4 @@ def repeated_phrases(docs: DataFrame, width: int = WIDTH, gram: int = GRAM,
     often = ws.save(often, "often")  # written, so that Spark can split a hot key's join
     recurring = ws.save(runs.hint("merge").join(often, "_key"), "recurring")
     ws.drop(path)
-    return remove_repeats(rows, recurring, make, ws, BLOCK, True, id_col, "words", locate)
+    return remove_repeats(rows, recurring, make, ws, BLOCK, True, id_col, "words")

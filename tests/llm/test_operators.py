@@ -484,14 +484,3 @@ def test_refs_can_be_taken_away():
     left = passages._only(col.slice(0), np.array([False, True, False]))
     assert left.to_pylist() == [[{"start": 2}], None, [], []]
     assert passages._only(col.slice(1), np.array([False])).to_pylist() == [None, [], []]
-
-
-def test_automaton_finds_phrases_by_their_words():
-    kind = phrase_dedup.Words(20, 2)
-    parts = [b"a bb c a bb".split(), [], b"xa bb c".split()]
-    doc = np.array([0, 0, 2])
-    ref = {"start": np.array([0, 3, 1]), "lead": np.array([0, 0, 0])}
-    assert phrase_dedup.locate(kind, parts, doc, ref).all()
-    parts[0][4] = b"b"
-    assert phrase_dedup.locate(kind, parts, doc, ref).all()
-    assert len(phrase_dedup.locate(kind, parts, doc[:0], {k: v[:0] for k, v in ref.items()})) == 0
