@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import heapq
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from outfold.functions.folds import _key, fold_col, hash32
-from outfold.operators.joins import broadcast_checked, join_keys
+from outfold.operators.joins import broadcast_bounded, broadcast_checked, join_keys
 
 
 def check_folds(stats: DataFrame, fold: str, k: int) -> None:
@@ -31,6 +33,63 @@ def assign_group_fold(df: DataFrame, group_key, k: int, seed=None,
     return df.withColumn(out, fold_col(group_key, k, seed, method))
 
 
+def pack_largest_first(sizes: list[int], k: int) -> list[int]:
+    """The bin of each item: each goes to the least filled of ``k`` (ties: the first)."""
+    load = [(0, f) for f in range(k)]
+    out = []
+    for n in sizes:
+        total, f = heapq.heappop(load)
+        heapq.heappush(load, (total + n, f))
+        out.append(f)
+    return out
+
+
+def assign_balanced_group_fold(df: DataFrame, group_key: str, k: int, seed=None, out: str = "fold",
+                               slots: int = 1024) -> DataFrame:
+    """Group-wise folds of near equal size, whatever the groups' sizes: a group
+    stays in one fold.
+
+    Groups are hashed to ``slots`` slots and the slots' rows are counted; nothing
+    but these counts is shuffled. Only in slots with more than twice an even share
+    are groups counted one by one, and those with more than an even share (at most
+    ``slots``) stand for themselves. These groups and the slots without them are
+    packed largest first, each into the fold with the fewest rows; ties go by the
+    slot, groups before slots and then by the group as a string. So two folds
+    differ by no more than the largest item that comes after the first k, and
+    usually by no more than the smallest one. Rows are not shuffled.
+
+    The folds depend on the data: further rows can move groups. Rows without a
+    group get a null fold and count for nothing.
+    """
+    if k < 1 or slots < 1:
+        raise ValueError("need k >= 1 and slots >= 1")
+    slot = fold_col(group_key, slots, seed)
+    keyed = df.where(F.col(group_key).isNotNull()).select(
+        slot.alias("s"), F.col(group_key).cast("string").alias("g"))
+    size = {r["s"]: r["c"] for r in keyed.groupBy("s").agg(F.count(F.lit(1)).alias("c")).collect()}
+    total = sum(size.values())
+    full = [s for s, c in size.items() if c * slots > 2 * total]
+    heavy = []
+    if full:
+        heavy = [(r["c"], r["s"], r["g"]) for r in keyed.where(F.col("s").isin(full)).groupBy("s", "g").agg(
+            F.count(F.lit(1)).alias("c")).where(F.col("c") * slots > total).collect()]  # under ``slots`` rows
+        for c, s, _ in heavy:
+            size[s] -= c
+    items = sorted([(-c, s, 0, g) for c, s, g in heavy] + [(-c, s, 1, "") for s, c in size.items() if c])
+    folds = pack_largest_first([-i[0] for i in items], k)
+    of_slot, of_group = [0] * slots, []
+    for (_, s, kind, g), f in zip(items, folds, strict=True):
+        if kind:
+            of_slot[s] = f
+        else:
+            of_group.append((g, f))
+    named = broadcast_bounded(df.sparkSession.createDataFrame(of_group, "__g string, __f long"), slots)
+    own = F.element_at(F.lit(of_slot), (slot + 1).cast("int")).cast("bigint")
+    return (df.join(named, F.col(group_key).cast("string") == F.col("__g"), "left")
+            .withColumn(out, F.when(F.col(group_key).isNotNull(), F.coalesce("__f", own)))
+            .drop("__g", "__f"))
+
+
 def fold_sizes(df: DataFrame, fold: str = "fold", group_key=None) -> DataFrame:
     """Rows per fold, and distinct groups per fold when ``group_key`` is given."""
     aggs = [F.count(F.lit(1)).alias("n_rows")]

@@ -985,3 +985,34 @@ def q_oof_lad(spark, sf_dir):
         F.avg(err).alias("mae"), F.count(err).alias("n_scored")).join(F.broadcast(best), "fold")
         .select("fold", F.round("train_mae", 4).alias("train_mae"), F.round("mae", 4).alias("mae"),
                 "n_scored", "proven"))
+
+
+# --- D19: folds of near equal size ---------------------------------------------------
+
+BALANCED_SLOTS = 64
+
+@register("balanced_group_fold", oracle=f"""
+WITH RECURSIVE l AS (
+  SELECT l_returnflag || CASE WHEN l_partkey % 2 = 0 THEN '' ELSE '-' || l_partkey END AS g FROM lineitem),
+n AS (SELECT g, {fold_sql('g', BALANCED_SLOTS)} AS s, count(*) AS c FROM l WHERE g IS NOT NULL GROUP BY g),
+big AS (SELECT * FROM n WHERE c * {BALANCED_SLOTS} > (SELECT sum(c) FROM n)
+        AND s IN (SELECT s FROM n GROUP BY s HAVING sum(c) * {BALANCED_SLOTS} > 2 * (SELECT sum(c) FROM n))),
+item AS (SELECT c, s, 0 AS kind, g FROM big UNION ALL
+         SELECT sum(c), s, 1, '' FROM n WHERE g NOT IN (SELECT g FROM big) GROUP BY s),
+o AS (SELECT *, row_number() OVER (ORDER BY c DESC, s, kind, g) AS i FROM item),
+pack AS (
+  SELECT 0::BIGINT AS i, [0::BIGINT, 0, 0, 0, 0] AS load, -1::BIGINT AS f
+  UNION ALL
+  SELECT i, load[:place - 1] || [load[place] + c] || load[place + 1:], place - 1
+  FROM (SELECT o.i, p.load, o.c::BIGINT AS c, list_position(p.load, list_min(p.load)) AS place
+        FROM pack p JOIN o ON o.i = p.i + 1)),
+a AS (SELECT o.*, pack.f FROM o JOIN pack USING (i))
+SELECT n.g, n.c::BIGINT AS n_rows, coalesce(b.f, r.f) AS fold
+FROM n LEFT JOIN a b ON b.kind = 0 AND b.g = n.g LEFT JOIN a r ON r.kind = 1 AND r.s = n.s""")
+def q_balanced_group_fold(spark, sf_dir):
+    """Groups of very unequal size: half of the rows are in those of the return
+    flags alone, the others in one for each flag and odd part."""
+    f = table(spark, sf_dir, "lineitem").select(F.concat("l_returnflag", F.when(
+        F.col("l_partkey") % 2 == 0, "").otherwise(F.concat(F.lit("-"), F.col("l_partkey")))).alias("g"))
+    f = fo.assign_balanced_group_fold(f, "g", K, slots=BALANCED_SLOTS)
+    return f.groupBy("g", "fold").agg(F.count(F.lit(1)).alias("n_rows")).select("g", "n_rows", "fold")
