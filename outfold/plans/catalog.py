@@ -21,6 +21,7 @@ from outfold.operators import blending as bl
 from outfold.operators import boosting as bo
 from outfold.operators import bootstrap as bs
 from outfold.operators import checks as ch
+from outfold.operators import drift as dr
 from outfold.operators import features as fe
 from outfold.operators import folds as fo
 from outfold.operators import holdout as ho
@@ -1016,3 +1017,27 @@ def q_balanced_group_fold(spark, sf_dir):
         F.col("l_partkey") % 2 == 0, "").otherwise(F.concat(F.lit("-"), F.col("l_partkey")))).alias("g"))
     f = fo.assign_balanced_group_fold(f, "g", K, slots=BALANCED_SLOTS)
     return f.groupBy("g", "fold").agg(F.count(F.lit(1)).alias("n_rows")).select("g", "n_rows", "fold")
+
+
+# --- R5, D23: do the held-out rows look like the others? -------------------------------
+
+@register("holdout_drift", oracle=f"""
+WITH {ORDERS_CUST_SQL},
+u AS (SELECT {fold_sql('id', 10, 'hold')} = 0 AS h, 'y' AS col, CAST(y AS DOUBLE) AS v FROM f
+      UNION ALL SELECT {fold_sql('id', 10, 'hold')} = 0, 'x', x FROM f),
+t AS (SELECT col, count(*) FILTER (h) AS n_in, count(*) FILTER (NOT h) AS n_out
+      FROM u WHERE v IS NOT NULL GROUP BY col),
+c AS (SELECT col, v, count(*) FILTER (h) AS a, count(*) FILTER (NOT h) AS b
+      FROM u WHERE v IS NOT NULL GROUP BY col, v),
+s AS (SELECT col, v, sum(a) OVER w AS ca, sum(b) OVER w AS cb, lead(v) OVER w - v AS width
+      FROM c WINDOW w AS (PARTITION BY col ORDER BY v)),
+g AS (SELECT s.col, v, n_in, n_out, abs(ca / n_in - cb / n_out) AS gap, width FROM s JOIN t ON s.col = t.col)
+SELECT col AS "column", n_in, n_out, round(max(gap), 9) AS ks, arg_min(v, (-gap, v)) AS ks_at,
+       round(sqrt(ln(40) / 2 * (n_in + n_out) / (n_in::DOUBLE * n_out)), 9) AS ks_critical,
+       round(sum(gap * width), 6) AS wasserstein
+FROM g GROUP BY col, n_in, n_out""")
+def q_holdout_drift(spark, sf_dir):
+    f = ho.split_holdout(orders_with_customer(spark, sf_dir), "id")
+    return dr.drift(f, "is_holdout", ["y", "x"]).select(
+        "column", "n_in", "n_out", F.round("ks", 9).alias("ks"), "ks_at",
+        F.round("ks_critical", 9).alias("ks_critical"), *_r6("wasserstein"))
