@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from outfold.operators import boosting as bo
 from outfold.operators import holdout as ho
 from outfold.operators import joins
+from outfold.operators import lad
 from outfold.operators import metrics as me
 from outfold.operators import models as mo
 from outfold.operators import oof
@@ -23,6 +24,7 @@ OOF = {
     "median": lambda d, k: oof.oof_median(d, by="g", k=k),
     "sketch": lambda d, k: oof.oof_median(d, by="g", k=k, method="sketch"),
     "ols": lambda d, k: mo.oof_ols(d, xs=["x"], k=k),
+    "lad": lambda d, k: lad.oof_lad(d, xs=["x"], k=k),
     "gbt": lambda d, k: mo.oof_gbt(d, xs=["x"], k=k, max_iter=1, max_depth=1),
     "boost": lambda d, k: bo.oof_boost(d, xs=["x"], k=k, rounds=2, depth=2, least_rows=2),
     "nested": lambda d, k: oof.nested_encoded_ols(d, "g", k=k, m=5.0),
@@ -71,6 +73,7 @@ def test_one_fold_predicts_nothing(spark, name):
     lambda d: ho.holdout_predict(d, "id", "y", "g", parts=2),
     lambda d: ho.holdout_encode(d, "id", "y", "g", parts=2),
     lambda d: ho.holdout_linear(d, "id", "y", ["x"], parts=2),
+    lambda d: lad.holdout_lad(d, "id", "y", ["x"], parts=2),
     lambda d: bo.holdout_boost(d, "id", "y", ["x"], parts=2, rounds=1, depth=1)])
 def test_holdout_parts_hold_every_row_once(spark, rows, fit):
     df = spark.createDataFrame([*rows, (None, "a", 1.0, 1.0, 0)], SCHEMA)
