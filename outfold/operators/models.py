@@ -20,9 +20,13 @@ from pyspark.sql import types as T
 
 from outfold.functions.safe import known
 from outfold.operators.folds import check_folds
+from outfold.operators.gram import wide_moments
 from outfold.operators.joins import broadcast_bounded, materialize
 from outfold.session import shared_dir
 
+#: Features up to which moments are aggregate columns, one for each pair.
+WIDE = 40
+
 
 def fold_moments(df: DataFrame, fold: str, y: str, xs) -> DataFrame:
     """Per fold over complete rows (a fold, and no null or NaN in y or any x): n,
@@ -62,10 +66,15 @@ def _moments(r, p1: int):
 
 
 def solve(moments: list, p: int, l2: float = 0.0) -> list[float] | None:
-    """Intercept and coefficients from rows of moments that are taken together;
-    None without a row. Ridge ``l2`` adds to the diagonal of the centred normal
-    equations (the intercept is not penalised)."""
-    n, mean, com = _merge([_moments(r, p + 1) for r in moments], p + 1)
+    """``solve_parts`` of rows of ``fold_moments``."""
+    return solve_parts([_moments(r, p + 1) for r in moments], p, l2)
+
+
+def solve_parts(parts: list, p: int, l2: float = 0.0) -> list[float] | None:
+    """Intercept and coefficients from moments (n, means, covariances; the target
+    last) that are taken together; None without a row. Ridge ``l2`` adds to the
+    diagonal of the centred normal equations (the intercept is not penalised)."""
+    n, mean, com = _merge(parts, p + 1)
     if n < 1:
         return None
     lhs, rhs = com[:p, :p] + l2 * np.eye(p), com[:p, p]
@@ -91,19 +100,29 @@ def oof_ols(df: DataFrame, fold: str = "fold", y: str = "y", xs=("x",), k: int =
     """Out-of-fold linear least squares: each row is predicted by the model
     fitted on the other folds. Rows with a null or NaN feature, without a fold,
     or without any training row get a null pred; rows without a fold train
-    nothing; a fold outside 0..k-1 raises ValueError."""
+    nothing; a fold outside 0..k-1 raises ValueError. More than ``WIDE`` features
+    take their moments from blocks (``gram.wide_moments``), the rest is the same."""
     xs = list(xs)
-    mom = materialize(fold_moments(df, fold, y, xs))
-    check_folds(mom, fold, k)
-    mom = mom.collect()  # k rows
-    coefs = [(t, solve([r for r in mom if r[fold] != t], len(xs), l2)) for t in range(k)]
+    if len(xs) > WIDE:
+        parts = wide_moments(df, [*xs, y], fold)
+        if any(not 0 <= f < k for f in parts):
+            raise ValueError(f"folds {min(parts)}..{max(parts)} are not in 0..{k - 1}")
+    else:
+        mom = materialize(fold_moments(df, fold, y, xs))
+        check_folds(mom, fold, k)
+        parts = {r[fold]: _moments(r, len(xs) + 1) for r in mom.collect()}  # k rows
+    coefs = [(t, solve_parts([m for f, m in sorted(parts.items()) if f != t], len(xs), l2)) for t in range(k)]
     spark: SparkSession = df.sparkSession
     cdf = broadcast_bounded(spark.createDataFrame(
         coefs, T.StructType([T.StructField(fold, T.LongType()),
                              T.StructField("__b", T.ArrayType(T.DoubleType()))])), k)
-    pred = F.col("__b")[0]
-    for i, c in enumerate(xs):
-        pred = pred + F.col("__b")[i + 1] * known(c)
+    if len(xs) > WIDE:  # one expression over an array, not a sum nested once a feature
+        terms = F.zip_with(F.slice("__b", 2, len(xs)), F.array(*[known(c) for c in xs]), lambda b, x: b * x)
+        pred = F.aggregate(terms, F.col("__b")[0], lambda s, t: s + t)
+    else:
+        pred = F.col("__b")[0]
+        for i, c in enumerate(xs):
+            pred = pred + F.col("__b")[i + 1] * known(c)
     return df.join(cdf, on=fold, how="left").withColumn(out, pred).drop("__b")
 
 

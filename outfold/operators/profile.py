@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from outfold.functions.safe import safe_div
+from outfold.operators.gram import wide_corr
 from outfold.operators.joins import materialize
 from outfold.operators.quantiles import exact_quantiles, quantile_agg
 
@@ -83,8 +84,11 @@ def corr_pairs(df: DataFrame, cols=None, method: str = "agg") -> DataFrame:
     complete rows, as SQL ``corr``). ``method="matrix"``: Spark ML's
     ``Correlation`` over an assembled vector, one pass for very wide inputs;
     rows with a null in any column are skipped, and only the p x p matrix
-    reaches the driver.
+    reaches the driver. ``method="blocks"``: blocks of the matrix multiplied in
+    the tasks and added in a tree (``gram.wide_corr``); hundreds of columns.
     """
+    if method == "blocks":
+        return wide_corr(df, numeric_columns(df) if cols is None else list(cols))
     cols = numeric_columns(df) if cols is None else list(cols)
     pairs = list(combinations(cols, 2))
     if method == "matrix":
