@@ -82,18 +82,31 @@ def oof_predict(df: DataFrame, fold: str = "fold", y: str = "y", by="g",
 
 
 def oof_encode(df: DataFrame, col="g", y: str = "y", fold: str = "fold", k: int = 5,
-               m: float | None = 20.0, out: str | None = None) -> DataFrame:
+               m: float | None = 20.0, out: str | None = None,
+               stats: DataFrame | None = None) -> DataFrame:
     """D15: out-of-fold target encoding ``(S + m*G) / (N + m)``.
 
     S, N: sum and count of ``y`` for the row's category in the other folds;
     G: mean of ``y`` over all other folds. ``m=None`` gives the plain
-    out-of-fold group mean with fallback to G (R3).
+    out-of-fold group mean with fallback to G (R3). ``stats``: learn from this
+    table (``group_fold_sums``, of other rows) instead of ``df``, which then needs
+    no target.
     """
     by = _cols(col)
     out = out or (f"{by[0]}_te" if m is not None else "pred")
-    # a row without a fold (null key) trains nothing
-    st = materialize(group_fold_sums(df.where(F.col(fold).isNotNull()), fold, y, by))
-    check_folds(st, fold, k)
+    if stats is not None:
+        # rows may have a (group, fold) that the table lacks: give each group all folds
+        check_folds(stats, fold, k)
+        every = F.array(*[F.lit(t).cast(stats.schema[fold].dataType) for t in range(k)])
+        zero = stats.select(*by).distinct().select(
+            *by, F.explode(every).alias(fold), F.lit(None).cast("double").alias("__s"),
+            F.lit(0).cast("bigint").alias("__n"))
+        st = materialize(stats.unionByName(zero).groupBy(*by, fold).agg(
+            F.sum("__s").alias("__s"), F.sum("__n").alias("__n")))
+    else:
+        # a row without a fold (null key) trains nothing
+        st = materialize(group_fold_sums(df.where(F.col(fold).isNotNull()), fold, y, by))
+        check_folds(st, fold, k)
     # the window keeps one row per (group, fold): the stats' size is its size
     sums = broadcast_sized(oof_group_sums(df, fold, y, by, stats=st), table_bytes(st))
     glob = oof_global_sums(df, fold, y, k, stats=st)

@@ -13,6 +13,8 @@ doubles are rounded to 6 decimals on both sides.
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import functions as F
 
 from outfold.functions.folds import fold_sql
@@ -30,7 +32,10 @@ from outfold.operators import metrics as me
 from outfold.operators import models as mo
 from outfold.operators import oof
 from outfold.operators import profile as pr
+from outfold.operators import profile_state as ps
+from outfold.operators import slices as sl
 from outfold.operators.quantiles import exact_quantiles
+from outfold.operators.stored import StoredSums
 from outfold.plans.registry import register, table
 from outfold.session import scratch_path
 from outfold.sources import sinks, tables
@@ -1041,3 +1046,124 @@ def q_holdout_drift(spark, sf_dir):
     return dr.drift(f, "is_holdout", ["y", "x"]).select(
         "column", "n_in", "n_out", F.round("ks", 9).alias("ks"), "ks_at",
         F.round("ks_critical", 9).alias("ks_critical"), *_r6("wasserstein"))
+
+
+# --- D22: which segments hold the error --------------------------------------------------
+
+SLICE_ATTRS = ("flag", "status", "price", "discount", "tax")
+
+
+def _slices_sql() -> str:
+    """Every slice of one or two conditions, by one GROUP BY for each set of attributes."""
+    sets = [(a,) for a in SLICE_ATTRS] + list(combinations(SLICE_ATTRS, 2))
+    parts = [f"SELECT {len(s)} AS level, " + " || ' & ' || ".join(f"'{a}=' || {a}" for a in s)
+             + ", count(*), CAST(sum(CAST(err AS DECIMAL(38,9))) AS DOUBLE) FROM s GROUP BY " + ", ".join(s)
+             for s in sets]
+    return " UNION ALL ".join(parts)
+
+
+@register("worst_slices", oracle=f"""
+WITH f AS (SELECT l_returnflag AS flag, l_linestatus AS status, floor(l_extendedprice / 10000)::INT::VARCHAR AS price,
+                  round(l_discount * 100)::INT::VARCHAR AS discount, round(l_tax * 100)::INT::VARCHAR AS tax,
+                  l_extendedprice * (1 - l_discount) AS y, {fold_sql('l_orderkey', K)} AS fold FROM lineitem),
+{fold_sums_sql('fg', 'f', ['flag'])},
+p AS (SELECT b.*, {other_folds_sql('fg', ['flag'])} AS pred FROM f b),
+s AS (SELECT *, abs(y - pred) AS err FROM p),
+a AS (SELECT count(*) AS n, CAST(sum(CAST(err AS DECIMAL(38,9))) AS DOUBLE) / count(*) AS mae FROM s),
+u(level, slice, n, e) AS ({_slices_sql()}),
+r AS (SELECT u.*, 0.99::DOUBLE * (u.e / u.n / a.mae - 1) - (1 - 0.99::DOUBLE) * (a.n::DOUBLE / u.n - 1) AS score
+      FROM u, a WHERE u.n >= ceil(0.01::DOUBLE * a.n))
+SELECT row_number() OVER (ORDER BY score DESC, level, slice)::INT AS rank, level::INT AS level, slice,
+       n::BIGINT AS n_rows, round(e / n, 4) AS mae, round(score, 6) AS score
+FROM r WHERE score > 0 ORDER BY score DESC, level, slice LIMIT 20""")
+def q_worst_slices(spark, sf_dir):
+    """The lattice, pruned, against all slices counted one set of attributes at a
+    time: where does the mean net price of a return flag miss most?"""
+    def whole(c):
+        return F.round(c).cast("int").cast("string")
+
+    f = table(spark, sf_dir, "lineitem").select(
+        F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status"),
+        F.floor(F.col("l_extendedprice") / 10000).cast("int").cast("string").alias("price"),
+        whole(F.col("l_discount") * 100).alias("discount"), whole(F.col("l_tax") * 100).alias("tax"),
+        (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("y"), "l_orderkey")
+    p = oof.oof_predict(fo.assign_fold(f, "l_orderkey", K), by="flag", k=K)
+    name = F.concat_ws(" & ", F.transform("slice", lambda c: F.concat(c["attribute"], F.lit("="), c["value"])))
+    return sl.worst_slices(p, SLICE_ATTRS, alpha=0.99).select(
+        "rank", "level", name.alias("slice"), "n_rows", F.round("mae", 4).alias("mae"),
+        F.round("score", 6).alias("score"))
+
+
+# --- D8, D17: hundreds of columns ------------------------------------------------------------
+
+WIDE = 200
+
+
+def _wide(i: int) -> tuple[str, str]:
+    return f"w{i}", f"(o_orderkey * {2 * i + 1} + o_custkey * {i * i + 3}) % {499 + i}"
+
+
+@register("corr_wide", oracle="""
+WITH o AS (SELECT """ + ", ".join(f"CAST({e} AS DOUBLE) AS {n}" for n, e in map(_wide, range(WIDE))) + """, o_orderkey FROM orders),
+m AS (SELECT """ + ", ".join(f"avg({n}) AS {n}" for n, _ in map(_wide, range(WIDE))) + """ FROM o),
+l AS (""" + " UNION ALL ".join(
+    f"SELECT {i} AS i, '{n}' AS name, list(o.{n} - m.{n} ORDER BY o_orderkey) AS v FROM o, m"
+    for i, (n, _) in enumerate(map(_wide, range(WIDE)))) + """)
+SELECT x.name AS a, y.name AS b, round(list_dot_product(x.v, y.v)
+       / sqrt(list_dot_product(x.v, x.v) * list_dot_product(y.v, y.v)), 6) AS r
+FROM l x JOIN l y ON x.i < y.i""")
+def q_corr_wide(spark, sf_dir):
+    """All 19,900 pairs of 200 derived columns, complete rows."""
+    o = table(spark, sf_dir, "orders").selectExpr(*[f"{e} AS {n}" for n, e in map(_wide, range(WIDE))])
+    return pr.corr_pairs(o, method="blocks").select("a", "b", F.round("r", 6).alias("r"))
+
+
+# --- R3, D5: states that grow batch by batch ---------------------------------------------------
+
+@register("oof_group_mean_stored", oracle=f"""
+WITH {ORDERS_OOF_SQL}
+SELECT id, fold, round(pred, 6) AS pred FROM p""")
+def q_oof_group_mean_stored(spark, sf_dir):
+    """Three batches, one put in twice, merged halfway: as if all facts came at once."""
+    f = orders_fact(spark, sf_dir)
+    store = StoredSums(spark, scratch_path(spark, "sums"), f.schema, "g")
+    for batch in (0, 1, 1, 2):
+        store.add(f.where(F.pmod("id", F.lit(3)) == batch), batch)
+        if batch == 0:
+            store.compact()
+    return store.predict(f, K).select("id", "fold", *_r6("pred"))
+
+
+STORED_COLS = ("l_quantity", "l_extendedprice", "l_partkey")
+
+
+@register("profile_stored", oracle=" UNION ALL ".join(f"""
+SELECT '{c}' AS "column", count(*) AS n_rows, count(*) - count({c}) AS n_null, min({c})::DOUBLE AS min,
+       max({c})::DOUBLE AS max, round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS sd,
+       true AS distinct_ok, true AS quartiles_ok FROM lineitem""" for c in STORED_COLS))
+def q_profile_stored(spark, sf_dir):
+    """Four batches stored one after the other and merged; counts, extremes and
+    moments are exact, the sketches are held to 3 % of the distinct values and 1 %
+    of the ranks."""
+    li = table(spark, sf_dir, "lineitem").select(*STORED_COLS, "l_orderkey")
+    store = ps.StoredProfile(spark, scratch_path(spark, "profile"), STORED_COLS)
+    for batch in range(4):
+        store.add(li.where(F.pmod("l_orderkey", F.lit(4)) == batch), batch)
+        if batch == 1:
+            store.compact()
+    got = {r["column"]: r for r in store.report().collect()}  # one row a column
+    probs = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+    exact = li.agg(*[F.struct(F.count_distinct(c).alias("d"), *[
+        F.struct((F.count(F.when(F.col(c) < got[c][q], 1)) / F.count(c)).alias("lo"),
+                 (F.count(F.when(F.col(c) <= got[c][q], 1)) / F.count(c)).alias("hi")).alias(q)
+        for q in probs]).alias(c) for c in STORED_COLS]).first()
+    rows = []
+    for c, r in got.items():
+        e = exact[c]
+        rows.append((c, r["n_rows"], r["n_null"], r["min"], r["max"], r["mean"], r["sd"],
+                     abs(r["n_distinct"] - e["d"]) <= 0.03 * e["d"],
+                     all(e[q]["lo"] - 0.01 <= p <= e[q]["hi"] + 0.01 for q, p in probs.items())))
+    return spark.createDataFrame(rows, "column string, n_rows long, n_null long, min double, max double, "
+                                 "mean double, sd double, distinct_ok boolean, quartiles_ok boolean").select(
+        "column", "n_rows", "n_null", "min", "max", F.round("mean", 4).alias("mean"),
+        F.round("sd", 4).alias("sd"), "distinct_ok", "quartiles_ok")
