@@ -140,11 +140,13 @@ class Matcher:
         return out
 
 
-def item_blocks(items: DataFrame, item_col: str, text_col: str, block_chars: int = BLOCK_CHARS
+def item_blocks(items: DataFrame, item_col: str | None, text_col: str, block_chars: int = BLOCK_CHARS
                 ) -> Iterator[list[tuple[int, str]]]:
     """The items in blocks of at most ``block_chars`` characters (or one item),
-    read one partition at a time. Null or blank items match nothing and are left out."""
-    rows = items.select(F.col(item_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")
+    read one partition at a time. Null or blank items match nothing and are left
+    out, as are null ids; without ``item_col`` ids are not read and all are 0."""
+    key = F.col(item_col) if item_col else F.lit(0)
+    rows = items.select(key.cast("long").alias("i"), F.col(text_col).cast("string").alias("t")
                         ).where("i is not null and t is not null").dropDuplicates(["i", "t"]).orderBy("i", "t")
     block, size = [], 0
     for r in rows.toLocalIterator():
@@ -206,14 +208,15 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     return out.withColumnRenamed("_id", id_col).withColumnRenamed("_item", item_col)
 
 
-def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id",
+def clean(docs: DataFrame, items: DataFrame, text_col: str = "text",
           item_text_col: str = "text", chars_per_edit: int = CHARS_PER_EDIT,
           whole_words: bool = True) -> DataFrame:
     """The rows of ``docs`` in which no item stands (see ``leaks``), with all
-    their columns; one pass for each block of items, no shuffle."""
+    their columns; one pass for each block of items, no shuffle. Item ids are not
+    read: an item without one removes documents too."""
     spark = docs.sparkSession
     out = docs
-    for block in item_blocks(items, item_col, item_text_col):
+    for block in item_blocks(items, None, item_text_col):
         sent = spark.sparkContext.broadcast(block)
         rows = out.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
                           F.col(text_col).cast("string").alias("_t"))

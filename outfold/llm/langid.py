@@ -212,6 +212,22 @@ def predict(docs: DataFrame, model: Model, keep: Column, text_col: str = "text",
     return rows.mapInArrow(run, schema)
 
 
+#: Nats per byte above which a text speaks for no learned language, and how many
+#: nats it must be above that in all. Texts of sf0.01 cost 0.9 to 3.1 (German texts
+#: under a model without German at most 4.6, Polish 7.9); random letters and
+#: digits cost 9.1, scripts that were never seen 13.
+MAX_NATS = 8.0
+SLACK = 100.0
+
+
+def rejected(text: Column, max_nats: float = MAX_NATS, slack: float = SLACK) -> Column:
+    """For rows of ``predict``: is the text in none of the learned languages? It has
+    no letter, or its best code length is more than ``slack`` nats above ``max_nats``
+    a byte, so that a few odd words decide nothing."""
+    over = (F.col("nats_per_byte") - max_nats) * F.coalesce(F.octet_length(text), F.lit(0)) > slack
+    return (F.col("lang_pred") == "und") | over
+
+
 def with_letter(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose text has a letter, with all their columns; no
     model is needed."""

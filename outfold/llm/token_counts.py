@@ -16,7 +16,8 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 2048, id_col: str
                  text_col: str = "text") -> DataFrame:
     """id, ``n_bytes``, ``n_tokens`` and ``over_limit`` (more than ``limit``
     tokens) of each row; ``tokenizer`` is a .json file of the ``tokenizers``
-    library whose pre-tokenizer splits at blanks.
+    library. One that does not split in the form of ``tokens.SPLITS`` counts whole
+    texts, without the shortcut.
 
     Which vocabulary strings are one token by themselves is proved once on the
     driver (bounded by the vocabulary) and sent to the tasks. One pass over the

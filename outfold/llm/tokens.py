@@ -1,13 +1,14 @@
 """Tokens of whole texts with a public tokenizer, pre-token by pre-token.
 
-The tokenizers read here never join characters across pre-tokens, nor
+A tokenizer of the form ``SPLITS`` never joins characters across pre-tokens, nor
 pre-tokens across a space or line feed, so a text's tokens are those of its
 pre-tokens in a row. Pre-tokens repeat; each Python worker keeps the answers for
-those it has seen in a bounded table.
+those it has seen in a bounded table. Any other tokenizer is given whole texts.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
@@ -26,6 +27,26 @@ _PLAIN = re.compile(f"[!-~{_LATIN}]+").fullmatch
 _SMALL = "a-z\u00df-\u00f6\u00f8-\u00ff"
 _PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_SMALL}]+|[0-9]|[^\\s0-9{_SMALL}]+").findall
 
+# The normalizer, pre-tokenizer and model settings that the patterns
+# above are written for, as the tokenizer's file states them.
+SPLITS = {
+    "normalizer": {"type": "Sequence", "normalizers": [
+        {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "},
+        {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+         "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+}
+
+
+def splits(t) -> bool:
+    """Is the tokenizer one that may be asked pre-token by pre-token?"""
+    parts = json.loads(t.to_str())
+    model, added = parts["model"], parts["added_tokens"]
+    return (all(parts[k] == v for k, v in SPLITS.items()) and model["type"] == "BPE" and not model["dropout"]
+            and not any(a["normalized"] or a["lstrip"] or a["rstrip"] or a["single_word"] for a in added))
+
 
 def byte_alphabet() -> dict[int, int]:
     """Byte -> character of byte-level tokenizers: printable bytes stand for
@@ -88,6 +109,7 @@ class Words:
 
     def __init__(self, path: str, proved: dict[str, int]):
         self.t, self.proved = load(path), proved
+        self.splits = splits(self.t)
         self.special = [a.content for a in self.t.get_added_tokens_decoder().values()]
         self.ids = Cache(self._ids, CACHE_PIECES)
         self.counts = Cache(self._count, CACHE_PIECES)
@@ -132,9 +154,13 @@ class Words:
         return len(self.t.model.tokenize(piece)) if one is None else 1
 
     def count(self, text: str) -> int:
+        if not self.splits:
+            return len(self.t.encode(text, add_special_tokens=False).ids)
         return sum(map(self.counts.__getitem__, self.pieces(text)))
 
     def encode(self, text: str) -> bytes:
+        if not self.splits:
+            return array("I", self.t.encode(text, add_special_tokens=False).ids).tobytes()
         return b"".join(map(self.ids.__getitem__, self.pieces(text)))
 
 

@@ -66,3 +66,58 @@ def test_near_duplicates_with_clashing_ids(spark):
     assert out.columns == docs.columns
     assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=repr) == sorted(
         [(1, a), (3, b), (None, a), (5, c), (7, None), (7, "")], key=repr)
+
+
+def test_other_tokenizers_count_whole_texts(spark):
+    """The shortcut is for one form of tokenizer; others must give their own counts."""
+    import os
+
+    from outfold.llm import token_counts
+    from outfold.llm.queries import tokenizer_path
+    from outfold.llm.tokens import Words, load, splits, whole_tokens
+    rows = ["Hello  World, it's 2024!", "a\n\nb  c", "\u00dcber <|endoftext|> x", "", "12345 \u65e5\u672c"]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    folder = os.path.dirname(tokenizer_path())
+    assert splits(load(tokenizer_path()))
+    assert not splits(load(f"{folder}/byte_bpe_50k.json"))
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        path = f"{folder}/{name}"
+        tok = load(path)
+        want = [tok.encode(t, add_special_tokens=False).ids for t in rows]
+        got = {r["doc_id"]: r["n_tokens"] for r in token_counts.count_tokens(docs, path).collect()}
+        assert got == {i: len(w) for i, w in enumerate(want)}
+        words = Words(path, whole_tokens(path))
+        assert [list(memoryview(words.encode(t)).cast("I")) for t in rows] == want
+
+
+def test_items_without_an_id_remove_documents(spark):
+    from outfold.llm import decontaminate
+    docs = spark.createDataFrame([(1, "here the secret question of the exam stands"), (2, "nothing"), (3, None)],
+                                 "doc_id long, text string")
+    items = spark.createDataFrame([(None, "The secret question of the exam"), (7, None), (None, None)],
+                                  "item_id long, text string")
+    assert sorted(r["doc_id"] for r in decontaminate.clean(docs, items).collect()) == [2, 3]
+    assert decontaminate.leaks(docs, items).count() == 0
+
+
+def test_texts_in_no_learned_language(spark):
+    """Noise and other scripts go, learned and neighbouring languages stay."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from outfold.llm import langid
+    from outfold.plans.registry import table
+    docs = table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text", "lang")
+    model = langid.fit(docs.where(~langid.held_out()))
+    rng = random.Random(1)
+    odd = [("gone", "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(4000))),
+           ("gone", "\u3053\u308c\u306f\u5225\u306e\u8a00\u8a9e\u3067\u3059 " * 20), ("gone", None),
+           ("gone", "12 34"), ("gone", ""), ("stay", "zq"), ("stay", "xylophone"), ("stay", "PLEASE READ THIS"),
+           ("stay", "for (int i=0;i<n;++i){ a[i]=b[i]*2; }")]
+    odd = spark.createDataFrame(odd, "k string, text string")
+    got = langid.predict(odd, model, F.struct("k", "text")).select(
+        "kept.k", langid.rejected(F.col("kept.text")).alias("r")).collect()
+    assert all((r["k"] == "gone") == r["r"] for r in got), got
+    own = langid.predict(docs, model, F.struct("text"))
+    assert own.where(langid.rejected(F.col("kept.text")) & (F.col("lang_pred") != "und")).count() == 0
