@@ -17,14 +17,15 @@ from outfold.plans.registry import table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in no language (no letter, or null) go. The languages are
-    learned from the labelled documents that are not held out; without any, the
-    same documents go. Which language it is rejects nothing."""
+    """Documents in none of the learned languages go: null, without a letter, or
+    coded so badly by every language that it is another script or noise
+    (``langid.rejected``). The languages are learned from the labelled documents
+    that are not held out; without any, only null and letterless documents go."""
     model = langid.fit(docs.where(~langid.held_out()))
     if not model.langs:
         return langid.with_letter(docs)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    return langid.predict(docs, model, row).where(F.col("lang_pred") != "und").select("kept.*")
+    return langid.predict(docs, model, row).where(~langid.rejected(F.col("kept.text"))).select("kept.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
