@@ -108,7 +108,7 @@ def test_texts_in_no_learned_language(spark):
 
     from outfold.llm import langid
     from outfold.plans.registry import table
-    docs = table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text", "lang")
+    docs = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text", "lang")
     model = langid.fit(docs.where(~langid.held_out()))
     rng = random.Random(1)
     odd = [("gone", "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(4000))),
