@@ -123,3 +123,56 @@ def test_edge_cases(spark):
     assert all(np.isfinite(r["pred"]) for r in bo.oof_boost(far, xs=["x"], k=2, rounds=1, depth=1).collect())
     with pytest.raises(ValueError):
         bo.fit(same, "fold", "y", ["x"], 2, depth=0)
+
+
+@pytest.mark.parametrize("refresh", [1, 8])
+def test_scans_by_level_equal_scans_by_cell(spark, monkeypatch, refresh):
+    df = spark.createDataFrame(rows_of(240, 3), SCHEMA).repartition(3)
+    options = dict(xs=["x", "z"], k=3, rounds=4, depth=2, rate=0.5, least_rows=5, edges=[[1.0, 5.0], [1.0, 3.0]])
+    by_cell = {leaf: bo.fit(df, "fold", "y", leaf=leaf, **options) for leaf in ("exact", "mean")}
+    monkeypatch.setattr(bo, "CELLS", 1)
+    monkeypatch.setattr(bo, "REFRESH", refresh)
+    for leaf, a in by_cell.items():
+        b = bo.fit(df, "fold", "y", leaf=leaf, **options)
+        for one, two in zip(a.trees, b.trees, strict=True):
+            assert (one[0] == two[0]).all() and (one[1] == two[1]).all() and one[2] == pytest.approx(two[2])
+
+
+def test_a_round_scans_once_for_all_levels(spark, monkeypatch):
+    """It took a scan a level before, and one row each to Python."""
+    seen = []
+    run = type(spark.range(0)).mapInArrow
+    monkeypatch.setattr(type(spark.range(0)), "mapInArrow", lambda self, *a, **b: seen.append(1) or run(self, *a, **b))
+    df = spark.createDataFrame(rows_of(240, 3), SCHEMA)
+    bo.fit(df, "fold", "y", ["x", "z"], 3, rounds=2, depth=4, leaf="mean")
+    one = len(seen)
+    bo.fit(df, "fold", "y", ["x", "z"], 3, rounds=5, depth=4, leaf="mean")
+    assert len(seen) - one == one + 3
+
+
+@pytest.mark.parametrize("last", [0, 50, 100_000])
+def test_exact_medians_of_odd_values(spark, monkeypatch, last):
+    monkeypatch.setattr(bo, "LAST", last)
+    rng = random.Random(5)
+    odd = [0.0, -0.0, 5e-324, -5e-324, 1e300, -1e300, 0.1, 0.1 + 1e-16, 7.0, 7.0]
+    groups = [[rng.choice(odd) if rng.random() < 0.3 else rng.gauss(0, 10 ** rng.randrange(-3, 9)) for _ in range(n)]
+              for n in (1, 2, 7, 400, 401)] + [[], [4.0] * 300, [1.0, 1.0, 2.0, 2.0]]
+    df = spark.createDataFrame([(c, v) for c, g in enumerate(groups) for v in g], "c long, r double").repartition(3)
+
+    def scan(batches):
+        for b in batches:
+            yield b.column("c").to_numpy(), b.column("r").to_numpy()
+    got = bo._exact_medians(df, scan, len(groups))
+    assert all(np.isnan(v) if not g else v == statistics.median(g) for v, g in zip(got, groups))
+
+
+def test_sketched_medians_of_long_chunks(spark):
+    """Values that stand for others in the sketch, and left over ones, both count."""
+    df = spark.range(40_000, numPartitions=1).selectExpr("id % 3 c", "cast(pow(id, 1.5) as double) r")
+
+    def scan(batches):
+        import pyarrow as pa
+        t = pa.Table.from_batches(list(batches))
+        yield t.column("c").to_numpy(), t.column("r").to_numpy()
+    got = bo._sketched_medians(df, scan, 4)
+    assert np.isnan(got[3]) and all(abs(v ** (2 / 3) - 20_000) < 200 for v in got[:3])
