@@ -22,7 +22,6 @@ from outfold.functions.safe import known
 from outfold.operators.folds import check_folds
 from outfold.operators.gram import wide_moments
 from outfold.operators.joins import broadcast_bounded, materialize
-from outfold.session import shared_dir
 
 #: Features up to which moments are aggregate columns, one for each pair.
 WIDE = 40
@@ -128,54 +127,31 @@ def oof_ols(df: DataFrame, fold: str = "fold", y: str = "y", xs=("x",), k: int =
 
 def oof_gbt(df: DataFrame, fold: str = "fold", y: str = "y", xs=("x",), k: int = 5,
             max_iter: int = 20, max_depth: int = 5, seed: int = 7, out: str = "pred",
-            parallelism: int | None = None) -> DataFrame:
-    """Out-of-fold gradient-boosted trees with absolute loss: k fits, each on
-    the rows of the other folds.
-
-    The assembled rows (fold, target, features) are written once and all fits
-    read them, so what makes ``df`` runs once for the fits. One more pass scores:
-    every row meets the k models in one projection and takes its fold's. The
-    fits are independent and are submitted from ``parallelism`` driver threads
-    (default k), as Spark ML's CrossValidator does. Intermediate state is
-    checkpointed to the shared folder, so a long fit survives executor loss
-    without an ever-growing lineage.
+            parallelism: int | None = None, rate: float = 0.1, bins: int = 32) -> DataFrame:
+    """Out-of-fold gradient-boosted trees with absolute loss, each on the rows of
+    the other folds, as Spark ML's ``GBTRegressor`` boosts: a regression tree of the
+    target, then ``max_iter - 1`` trees of the residuals' signs at ``rate``, whose
+    leaves are means.
+
+    The k models are grown together over the same bins (``boosting.fit``), so a round
+    is one scan with few features, not a number of jobs for each fold and level; the
+    cut points come from a sketch of all rows. The rows (fold, target, features) are
+    written once, so what makes ``df`` runs once for the models and once for the scores.
+    Nothing is drawn and no fits run side by side: ``seed`` and ``parallelism`` have no
+    effect any more.
 
     Every row is returned. Rows without a fold, and rows whose fold has no
     training row (k=1), get a null pred; rows without a fold, with a null or
     NaN target train nothing; a fold outside 0..k-1 raises ValueError.
     """
-    from concurrent.futures import ThreadPoolExecutor
+    from outfold.operators import boosting
 
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
-
-    shared_dir(df.sparkSession)
-    xs = list(xs)
     names = [f"__x{i}" for i in range(len(xs))]
-    va = VectorAssembler(inputCols=names, outputCol="__features", handleInvalid="keep")
-    doubles = [F.col(c).cast("double").alias(n) for c, n in zip(xs, names, strict=True)]
-    train = materialize(va.transform(df.select(
-        F.col(fold).cast("bigint").alias("__f"), known(y).alias("__y"), *doubles))
-        .where("__f is not null and __y is not null").select("__f", "__y", "__features"))
-    sizes = materialize(train.groupBy("__f").count())
-    check_folds(sizes, "__f", k)
-    have = {r["__f"]: r["count"] for r in sizes.collect()}  # k rows
-
-    def fit(f: int):
-        gbt = GBTRegressor(featuresCol="__features", labelCol="__y", predictionCol=f"__p{f}",
-                           lossType="absolute", maxIter=max_iter, maxDepth=max_depth,
-                           seed=seed, checkpointInterval=10, cacheNodeIds=False)
-        return gbt.fit(train.where(F.col("__f") != f))
-
-    folds = [f for f in range(k) if any(n for g, n in have.items() if g != f)]
-    if not folds:
-        return df.withColumn(out, F.lit(None).cast("double"))
-    with ThreadPoolExecutor(max_workers=max(1, min(k, parallelism or k))) as pool:
-        models = list(pool.map(fit, folds))
-    scored = va.transform(df.select("*", *doubles))
-    for m in models:
-        scored = m.transform(scored)
-    pred = F.lit(None).cast("double")
-    for f in folds:
-        pred = F.when(F.col(fold) == f, F.col(f"__p{f}")).otherwise(pred)
-    return scored.withColumn(out, pred).drop("__features", *names, *[f"__p{f}" for f in folds])
+    train = materialize(df.select(F.col(fold).cast("bigint").alias("__f"), known(y).alias("__y"),
+                                  *[known(c).alias(n) for c, n in zip(xs, names, strict=True)])
+                        .where("__f is not null and __y is not null"))
+    check_folds(train, "__f", k)
+    model = boosting.fit(train, "__f", "__y", names, k, rounds=max_iter, depth=max_depth, rate=rate, bins=bins,
+                         least_rows=1, leaf="mean")
+    model.xs = list(xs)
+    return boosting.predict(df, model, F.col(fold), out)

@@ -176,3 +176,35 @@ def test_sketched_medians_of_long_chunks(spark):
         yield t.column("c").to_numpy(), t.column("r").to_numpy()
     got = bo._sketched_medians(df, scan, 4)
     assert np.isnan(got[3]) and all(abs(v ** (2 / 3) - 20_000) < 200 for v in got[:3])
+
+
+def test_gbt_boosts_as_spark_ml_does(spark):
+    """With the same split candidates (ten values), the same predictions."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor
+
+    from outfold.operators import models as mo
+    rng = random.Random(3)
+    rows = [(i, float(rng.randrange(10)), float(rng.randrange(4)), rng.gauss(0, 1), i % 3) for i in range(400)]
+    rows = [(i, x, z, 10 * x + z * z + e, f) for i, x, z, e, f in rows]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {r["id"]: r["pred"] for r in mo.oof_gbt(df, xs=["x", "z"], k=3, max_iter=4, max_depth=3).collect()}
+    vectors = VectorAssembler(inputCols=["x", "z"], outputCol="v").transform(df)
+    for t in range(3):
+        ml = GBTRegressor(featuresCol="v", labelCol="y", lossType="absolute", maxIter=4, maxDepth=3, seed=7)
+        for r in ml.fit(vectors.where(F.col("fold") != t)).transform(vectors.where(F.col("fold") == t)).collect():
+            assert got[r["id"]] == pytest.approx(r["prediction"])
+
+
+def test_gbt_takes_a_few_jobs_a_round(spark):
+    """They were a number of jobs for each fold and level."""
+    from outfold.operators import models as mo
+    df = spark.createDataFrame(rows_of(200, 5), SCHEMA).localCheckpoint()
+
+    def jobs(rounds):
+        last = lambda: max(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+        spark.range(10).count()
+        before = last()
+        mo.oof_gbt(df, xs=["x", "z"], k=5, max_iter=rounds, max_depth=5)
+        return last() - before
+    assert jobs(7) - jobs(2) <= 15
