@@ -27,12 +27,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from outfold.llm.anchors import mix
-from outfold.llm.common import Workspace, bit_table, blobs, in_table, slices
+from outfold.llm.common import Workspace, bit_table, blobs, in_table, slices, small_batches
 
 DEPTH = 5
 #: A pair with more than one part in this many of all suffixes is routed by five words.
 SHARES = 1000
-#: Suffixes in one sorting task, about, and in what a task sends off at once.
+#: Suffixes in one sorting task, about; half of it is what a task sends off at once.
 TASK_ROWS = 1 << 18
 
 _ENDS = re.compile(rb"[.,;:!?\x0a-\x0d]+")
@@ -79,7 +79,7 @@ def _pairs(codes: np.ndarray, lang: int) -> np.ndarray:
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(_lang, _g, _code, _word, _c): words, and pairs with a null word."""
+    """(_lang, _g, _code, _word, _c): words, and pairs with a code and a number only."""
     coder = Coder()
     for batch in slices(batches, "_t", 1 << 20):
         for g, lang, words in _by_lang(batch):
@@ -89,10 +89,10 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             one, at, c1 = one[one != 0], at[one != 0], c1[one != 0]
             two, c2 = two[two != 0], c2[two != 0]
             text = pa.array([words[i] for i in at], pa.binary()).cast(pa.string())
-            n = len(one) + len(two)
+            none = np.r_[np.zeros(len(one), bool), np.ones(len(two), bool)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([lang], pa.string()).take(pa.array(np.zeros(n, np.int32))),
-                 pa.array(np.full(n, g, np.uint64).view(np.int64)),
+                [pa.array([lang], pa.string()).take(pa.array(np.zeros(len(none), np.int32), mask=none)),
+                 pa.array(np.full(len(none), g, np.uint64).view(np.int64), mask=none),
                  pa.array(np.concatenate([one, two]).view(np.int64)),
                  pa.concat_arrays([text, pa.nulls(len(two), pa.string())]),
                  pa.array(np.concatenate([c1, c2]))], ["_lang", "_g", "_code", "_word", "_c"])
@@ -178,11 +178,12 @@ def collocations(docs: DataFrame, least: int = 100, top: int = 2000, cover: int
     ws = Workspace(spark, "phrases")
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("_lang"),
                         F.col(text_col).cast("string").alias("_t")).where("_t is not null")
-    counted = ws.save(texts.mapInArrow(
-        _count_words, "_lang string, _g long, _code long, _word string, _c long")
-        .groupBy("_lang", "_g", "_code", "_word").agg(F.sum("_c").alias("_c"))
-        # An infrequent pair is needed no more; words are, for n.
-        .where(f"_word is not null or _c >= {int(least)}"), "counted")
+    with small_batches(spark):
+        counted = ws.save(texts.mapInArrow(
+            _count_words, "_lang string, _g long, _code long, _word string, _c long")
+            .groupBy("_lang", "_g", "_code", "_word").agg(F.sum("_c").alias("_c"))
+            # An infrequent pair is needed no more; words are, for n.
+            .where(f"_word is not null or _c >= {int(least)}"), "counted")
     vocabulary = counted.where("_word is not null")
     pairs = counted.where("_word is null")
     size = vocabulary.groupBy("_lang", "_g").agg(F.sum("_c").alias("_n"))
@@ -235,7 +236,7 @@ def collocations(docs: DataFrame, least: int = 100, top: int = 2000, cover: int
                     cols.append(np.where(on, codes[at + j], np.uint64(0)))
                 held.append(np.column_stack([*cols, np.ones(len(at), np.uint64)]))
                 size += len(at)
-                if size > TASK_ROWS:
+                if 2 * size > TASK_ROWS:
                     yield packed()
                     size = 0
         if held:
@@ -255,7 +256,8 @@ def collocations(docs: DataFrame, least: int = 100, top: int = 2000, cover: int
                .mapInArrow(sort, f"_g long, {columns}, _c long")
                .groupBy(*keys).agg(F.sum("_c").alias("_a")).where(f"_a >= {int(least)}")
                .select("_g", F.filter(F.array(*keys[1:]), lambda w: w != 0).alias("_p"), "_a"))
-    phrases = ws.save(phrases, "frequent")
+    with small_batches(spark):
+        phrases = ws.save(phrases, "frequent")
     shared.unpersist()
     counts = ws.save(phrases.unionAll(vocabulary.where(f"_c >= {int(least)}").select(
         "_g", F.array("_code").alias("_p"), F.col("_c").alias("_a"))), "counts")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +56,19 @@ class Workspace:
         hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000):
+    """While it lasts, ``rows`` at most travel to Python at once: a batch of whole
+    texts is held by the JVM and by Python, in each task."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(old)) if int(old) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 20
            ) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that ``column`` (string or binary) holds at most

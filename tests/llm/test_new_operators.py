@@ -210,6 +210,25 @@ def test_collocations(spark, vocab, monkeypatch, shares, task, cover, top):
     assert sorted(map(tuple, out.collect())) == phrases(rows, 10, top, cover)
 
 
+def test_collocations_take_few_texts_at_once(spark, monkeypatch):
+    """Batches of 10,000 whole texts filled the memory of an executor."""
+    count = collocations._count_words
+
+    def watched(batches):
+        def few():
+            for b in batches:
+                assert b.num_rows <= 1000
+                yield b
+        yield from count(few())
+    monkeypatch.setattr(collocations, "_count_words", watched)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    docs = spark.range(3000, numPartitions=1).selectExpr("'en' lang", "concat('red sea ', id) text")
+    got = collocations.collocations(docs, least=3000).collect()
+    assert [(r["phrase"], r["a"], r["n"]) for r in got] == [("red sea", 3000, 9000)]
+    assert spark.conf.get(key) == before
+
+
 def test_collocations_of_nothing(spark):
     docs = spark.createDataFrame([("en", "too few words")], "lang string, text string")
     assert collocations.collocations(docs).count() == 0
