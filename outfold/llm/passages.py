@@ -192,6 +192,17 @@ def _refs_of(col: pa.ListArray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
         bool if pa.types.is_boolean(f.type) else np.int64) for f in flat.type}
 
 
+def _only(col: pa.ListArray, keep: np.ndarray) -> pa.ListArray:
+    """The refs of a batch for which ``keep`` holds."""
+    if keep.all():
+        return col
+    sizes = pc.fill_null(pc.list_value_length(col), 0).to_numpy(zero_copy_only=False)
+    left = np.bincount(np.repeat(np.arange(len(col)), sizes)[keep], minlength=len(col))
+    ends = pa.array(np.cumsum([0, *left]).astype(np.int32))
+    return pa.ListArray.from_arrays(ends, col.flatten().filter(pa.array(keep)), type=col.type,
+                                    mask=col.is_null())
+
+
 def parts_of(docs: DataFrame, make: Callable, step: int) -> DataFrame:
     """The refs marked ``open``, cut into blocks of at most ``step`` windows whose
     distance to the anchor is the same multiple of ``step``; rows as in ``RUN``."""
