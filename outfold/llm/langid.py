@@ -31,6 +31,8 @@ SYMBOLS = 128
 TRAIN_DOCS = 3000
 #: A context seen less often over all languages is left to its shorter suffix.
 MIN_CONTEXT = 8
+#: Contexts whose probabilities are worked out at a time.
+FIT_ROWS = 256
 
 LETTER = re.compile(r"[^\W\d_]")
 
@@ -87,43 +89,52 @@ class Model:
     def fit(cls, counts: list[tuple[str, int, int]]) -> Model:
         """counts: (language, context * SYMBOLS + symbol, how often)."""
         langs = sorted({c[0] for c in counts})
-        n_lang = len(langs)
         at = {lang: i for i, lang in enumerate(langs)}
-        lang = np.array([at[c[0]] for c in counts], dtype=np.int64)
-        code = np.array([c[1] for c in counts], dtype=np.int64)
-        n = np.array([c[2] for c in counts], dtype=np.float64)
-        row_of = np.zeros(SYMBOLS ** ORDER, dtype=np.int32)
-        flat = np.full((SYMBOLS, n_lang), 1.0 / SYMBOLS)
-        tables, rows, parent_row = [], 0, None
+        return cls.fit_arrays(langs, np.array([at[c[0]] for c in counts], dtype=np.int64),
+                              np.array([c[1] for c in counts], dtype=np.int64),
+                              np.array([c[2] for c in counts], dtype=np.int64))
+
+    @classmethod
+    def fit_arrays(cls, langs: list[str], lang: np.ndarray, code: np.ndarray, n: np.ndarray) -> Model:
+        """The same from arrays; ``lang`` holds places in ``langs``. Beside the tables
+        only ``FIT_ROWS`` contexts are worked on at a time."""
+        n, n_lang = n.astype(np.float64), len(langs)
+        known = np.full((1, SYMBOLS, n_lang), 1.0 / SYMBOLS)
+        costs, rows, parent_row = [], 0, None
         for order in range(ORDER + 1):
-            context = (code // SYMBOLS) % SYMBOLS ** order
-            total = np.bincount(context, n, minlength=SYMBOLS ** order)
-            kept = np.flatnonzero(total >= (MIN_CONTEXT if order else 0))
+            size = SYMBOLS ** order
+            context = (code // SYMBOLS) % size
+            kept = np.flatnonzero(np.bincount(context, n, minlength=size) >= (MIN_CONTEXT if order else 0))
             if not len(kept):
                 break
-            place = np.full(SYMBOLS ** order, -1, dtype=np.int64)
+            place = np.full(size, -1, dtype=np.int32)
             place[kept] = np.arange(len(kept))
-            use = place[context] >= 0
-            freq = np.zeros((len(kept), SYMBOLS, n_lang))
-            np.add.at(freq, (place[context[use]], code[use] % SYMBOLS, lang[use]), n[use])
-            below = flat[None] if parent_row is None else \
-                np.concatenate(tables)[parent_row[kept % SYMBOLS ** (order - 1)]]
-            seen, kinds = freq.sum(1), (freq > 0).sum(1)
-            escape = np.where(seen > 0, kinds / np.maximum(seen + kinds, 1), 1.0)
-            p = np.where(freq > 0, freq / np.maximum(seen + kinds, 1)[:, None, :],
-                         escape[:, None, :] * below)
-            tables.append(p)
+            place = place[context]
+            use = np.argsort(place, kind="stable")
+            begin = np.searchsorted(place[use], np.arange(0, len(kept) + FIT_ROWS, FIT_ROWS))
+            cost = np.empty((len(kept), SYMBOLS, n_lang), dtype=np.float32)
+            table = np.empty(cost.shape if order < ORDER else (0, SYMBOLS, n_lang))
+            for k, lo in enumerate(range(0, len(kept), FIT_ROWS)):
+                some, now = use[begin[k]:begin[k + 1]], kept[lo:lo + FIT_ROWS]
+                freq = np.zeros((len(now), SYMBOLS, n_lang))
+                np.add.at(freq, (place[some] - lo, code[some] % SYMBOLS, lang[some]), n[some])
+                below = known if parent_row is None else known[parent_row[now % SYMBOLS ** (order - 1)]]
+                seen, kinds = freq.sum(1), (freq > 0).sum(1)
+                escape = np.where(seen > 0, kinds / np.maximum(seen + kinds, 1), 1.0)
+                p = np.where(freq > 0, freq / np.maximum(seen + kinds, 1)[:, None, :],
+                             escape[:, None, :] * below)
+                cost[lo:lo + FIT_ROWS] = -np.log(p)
+                if order < ORDER:  # the deepest contexts are no one's suffix
+                    table[lo:lo + FIT_ROWS] = p
+            costs.append(cost)
+            known = table if parent_row is None else np.concatenate([known, table])
             # contexts that are not kept fall back to the row of their suffix
-            row = np.zeros(SYMBOLS ** order, dtype=np.int64)
-            if parent_row is not None:
-                row = np.tile(parent_row, SYMBOLS)
+            row = np.zeros(1, dtype=np.int32) if parent_row is None else np.tile(parent_row, SYMBOLS)
             row[kept] = rows + np.arange(len(kept))
             rows += len(kept)
             parent_row = row
-        if parent_row is not None:
-            row_of = np.resize(parent_row, SYMBOLS ** ORDER).astype(np.int32)
-        cost = -np.log(np.concatenate(tables)) if tables else np.zeros((1, SYMBOLS, max(1, n_lang)))
-        return cls(langs, row_of, cost.astype(np.float32).reshape(-1, max(1, n_lang)))
+        return cls(langs, np.resize(parent_row, SYMBOLS ** ORDER),
+                   np.concatenate(costs).reshape(-1, max(1, n_lang)))
 
     def code_lengths(self, lists: list[np.ndarray]) -> np.ndarray:
         """Nats of each text in each language."""
@@ -169,8 +180,11 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     counts = (rows.where(keep).mapInArrow(run, "lang string, code long, n long")
               .groupBy("lang", "code").agg(F.sum("n").alias("n")))
     table = counts.toArrow()
-    return Model.fit(list(zip(*(table.column(c).to_pylist() for c in ("lang", "code", "n")),
-                              strict=True)))
+    names = table.column("lang").combine_chunks().dictionary_encode()
+    langs = sorted(names.dictionary.to_pylist())
+    place = np.array([langs.index(x) for x in names.dictionary.to_pylist()], dtype=np.int64)
+    return Model.fit_arrays(langs, place[names.indices.to_numpy()],
+                            table.column("code").to_numpy(), table.column("n").to_numpy())
 
 
 def predict(docs: DataFrame, model: Model, keep: Column, text_col: str = "text",
